@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackloom.llm import chat, decontaminate, language_id, line_dedup, mixing, sharding, simhash, token_files, topk
+from trackloom.llm import chat, decontaminate, language_id, line_dedup, mixing, sharding, simhash, suffix_dedup, token_files, topk
 from trackloom.llm.common import read_table, ship_package
 
 SHARDS = 24
@@ -50,6 +50,11 @@ def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    return suffix_dedup.remove_repeats(read_table(spark, sf_dir, "documents"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -81,7 +86,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_simhash, op2_token_files, op3_line_dedup, op4_sharding, op5_decontaminate, op6_topk, op8_mixing, op9_language_id, op10_chat]
+    found = [op1_simhash, op2_token_files, op3_line_dedup, op4_sharding, op5_decontaminate, op6_topk, op7_suffix_dedup, op8_mixing, op9_language_id, op10_chat]
     return {f.__name__: f for f in found}
 
 
