@@ -19,7 +19,7 @@ LENGTH = 200
 ANCHOR = 80
 #: Window starts whose anchors are found at a time; anchors with more rows are counted by context
 #: first; distinct contexts that one task sorts; document keys that go to every executor.
-STEP, MANY, GROUP, BROADCAST_KEYS = 1 << 19, 512, 4096, 1_000_000
+STEP, MANY, GROUP, BROADCAST_KEYS = 1 << 19, 512, 1 << 15, 1_000_000
 BASE, MIX = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 
 
@@ -251,7 +251,12 @@ def _crowded(contexts: DataFrame, length: int, size: int) -> DataFrame:
     text = F.substring("data", F.col("left") - F.col("i") + 1, F.lit(length))
     strings = strings.select("h", "cid", "n", "i", F.xxhash64(text).alias("a"), F.xxhash64(F.lit(7), text).alias("b"))
     again = strings.groupBy("h", "i", "a", "b").agg(F.sum("n").alias("total")).where("total > 1").drop("total")
-    return strings.join(again, ["h", "i", "a", "b"], "left_semi").select("h", "cid", F.col("i").alias("i1"), F.col("i").alias("i2"))
+    found = strings.join(again, ["h", "i", "a", "b"], "left_semi").groupBy("h", "cid").agg(F.collect_set("i").alias("at"))
+    # neighbouring offsets become one range
+    first = F.array_sort(F.filter("at", lambda i: ~F.array_contains("at", i - 1)))
+    last = F.array_sort(F.filter("at", lambda i: ~F.array_contains("at", i + 1)))
+    ranges = found.select("h", "cid", F.explode(F.arrays_zip(first.alias("i1"), last.alias("i2"))).alias("r"))
+    return ranges.select("h", "cid", "r.i1", "r.i2")
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, size: int = ANCHOR, many: int = MANY, group: int = GROUP) -> DataFrame:
@@ -273,6 +278,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     long_ones = docs.where(F.octet_length("text") >= length).select("doc", "text")
     found = materialize(long_ones.mapInArrow(_anchor_rows(length, size), "h long, doc long, pos long"), "anchors")
     counts = found.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h", (F.col("c") > many).alias("many"))
+    counts = materialize(counts, "anchor-counts")  # so that the join below may split a frequent anchor
     per_doc = found.join(counts, "h").groupBy("doc").agg(F.collect_set(F.struct("pos", "h", "many")).alias("anchors"))
     per_doc = materialize(per_doc, "repeated-anchors")
     texts = long_ones
