@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from trackloom.config import CONFIG
 
-BY_PLATE = Window.partitionBy("plate")
-
 
 def runs(obs: DataFrame, key: str = "plate") -> DataFrame:
     """Maximal runs of one region within ``key``: ``plate, key, run, region, start, end, first``.
@@ -155,7 +153,7 @@ def hard_cut(events: DataFrame, start_us: int, length_us: int) -> DataFrame:
     later = events.where(F.col("end") > start_us).withColumn("start", F.greatest("start", F.lit(start_us)))
     order = Window.partitionBy("plate").orderBy("start", "end", "region")
     d = later.withColumn("dur", F.col("end") - F.col("start"))
-    d = d.withColumns({"so_far": F.sum("dur").over(order.rowsBetween(Window.unboundedPreceding, 0)), "whole": F.sum("dur").over(BY_PLATE)})
+    d = d.withColumns({"so_far": F.sum("dur").over(order.rowsBetween(Window.unboundedPreceding, 0)), "whole": F.sum("dur").over(Window.partitionBy("plate"))})
     kept = d.where((F.col("whole") >= length_us) & (F.col("so_far") - F.col("dur") < length_us))
     return kept.select("plate", "start", (F.col("end") - F.greatest(F.lit(0), F.col("so_far") - length_us)).alias("end"), "region")
 

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-ORDER = Window.partitionBy("plate").orderBy("ord")
+
+def by_frame() -> WindowSpec:
+    """A plate's rows in order; made on demand, as a window needs a session."""
+    return Window.partitionBy("plate").orderBy("ord")
 
 
 def repair_clock(obs: DataFrame, frame_us: int) -> DataFrame:
@@ -16,21 +19,21 @@ def repair_clock(obs: DataFrame, frame_us: int) -> DataFrame:
     negative steps become one frame and time is summed up anew from 0.
     """
     whole = Window.partitionBy("plate")
-    first = F.first("t").over(ORDER)
+    first = F.first("t").over(by_frame())
     o = obs.withColumn("t", F.when(first.isNull(), F.col("ord") * frame_us).otherwise(F.col("t")))
-    o = o.withColumn("step", F.col("t") - F.lag("t").over(ORDER))
+    o = o.withColumn("step", F.col("t") - F.lag("t").over(by_frame()))
     o = o.withColumn("reset", F.coalesce(F.max(F.col("step") < 0).over(whole), F.lit(False)))
     fixed = F.when(F.col("step") < 0, F.lit(frame_us)).otherwise(F.coalesce("step", F.lit(0)))
-    summed = F.sum(fixed).over(ORDER)
+    summed = F.sum(fixed).over(by_frame())
     return o.withColumn("t", F.when(F.col("reset"), summed).otherwise(F.col("t"))).drop("step")
 
 
 def steps(obs: DataFrame) -> DataFrame:
     """Add ``dist`` to the row before in thousandths (0 for the first), ``dt`` and the track switch."""
-    dx, dy = F.col("x") - F.lag("x").over(ORDER), F.col("y") * 100 - F.lag(F.col("y") * 100).over(ORDER)
+    dx, dy = F.col("x") - F.lag("x").over(by_frame()), F.col("y") * 100 - F.lag(F.col("y") * 100).over(by_frame())
     dist = F.floor(F.sqrt((dx * dx + dy * dy).cast("double")) * 10 + 0.5).cast("long")
     return obs.withColumns(
-        {"dist": F.coalesce(dist, F.lit(0)), "dt": F.col("t") - F.lag("t").over(ORDER), "switched": F.coalesce(F.col("track") != F.lag("track").over(ORDER), F.lit(False))}
+        {"dist": F.coalesce(dist, F.lit(0)), "dt": F.col("t") - F.lag("t").over(by_frame()), "switched": F.coalesce(F.col("track") != F.lag("track").over(by_frame()), F.lit(False))}
     )
 
 

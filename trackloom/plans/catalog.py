@@ -30,10 +30,10 @@ OBS = """obs AS (
 
 def _runs(name: str, key: str) -> str:
     return f"""{name}0 AS (
-  SELECT *, lag(region) OVER w AS prev, lag(t) OVER w AS before FROM obs WINDOW w AS (PARTITION BY {key} ORDER BY ord)),
+  SELECT *, lag(region) OVER w AS prev, lag(t) OVER w AS before, min(ord) OVER (PARTITION BY {key}) AS first_ord FROM obs WINDOW w AS (PARTITION BY {key} ORDER BY ord)),
 {name}1 AS (SELECT *, sum(CASE WHEN region IS NOT DISTINCT FROM prev THEN 0 ELSE 1 END) OVER (PARTITION BY {key} ORDER BY ord) AS run FROM {name}0),
 {name} AS (
-  SELECT plate, {"track, " if key == "track" else ""}run, min(region) AS region, coalesce(arg_min(before, ord), min(t)) AS start_t, max(t) AS end_t, arg_min(prev, ord) AS prev
+  SELECT plate, {"track, " if key == "track" else ""}run, min(region) AS region, coalesce(arg_min(before, ord), min(t)) AS start_t, max(t) AS end_t, CASE WHEN min(ord) = min(first_ord) THEN NULL ELSE arg_min(prev, ord) END AS prev
   FROM {name}1 GROUP BY ALL)""".replace("GROUP BY ALL", "GROUP BY plate, " + ("track, " if key == "track" else "") + "run")
 
 
@@ -330,8 +330,8 @@ def jon05(spark, d):
 
 @query(
     "jon06_nearest_time",
-    f"""WITH {OBS}, q AS (SELECT DISTINCT plate, unnest({EDGES}) AS at FROM obs), c AS (SELECT q.plate, at, o.ord, abs(o.t - at) AS gap FROM q JOIN obs o ON o.plate = q.plate)
-SELECT plate, at, arg_min(ord, gap * 1000000 + ord) AS ord, min(gap) AS gap FROM c GROUP BY plate, at""",
+    f"""WITH {OBS}, q AS (SELECT DISTINCT plate, unnest({EDGES}) AS stamp FROM obs), c AS (SELECT q.plate, stamp, o.ord, abs(o.t - stamp) AS gap FROM q JOIN obs o ON o.plate = q.plate)
+SELECT plate, stamp, arg_min(ord, gap * 1000000 + ord) AS ord, min(gap) AS gap FROM c GROUP BY plate, stamp""",
 )
 def jon06(spark, d):
     """The observation nearest to each of a few times, the earlier of ties: one pass over sorted stamps of both."""
@@ -346,8 +346,8 @@ def jon06(spark, d):
     pick = low.isNotNull() & (high.isNull() | (low <= high))
     # equal stamps: the first of them stands for the time
     first = o.groupBy("plate", F.col("t").alias("_t")).agg(F.min("ord").alias("ord"))
-    hit = near.select("plate", F.col("t").alias("at"), F.when(pick, F.col("b.t")).otherwise(F.col("n.t")).alias("_t"), F.when(pick, low).otherwise(high).alias("gap"))
-    return hit.join(first, ["plate", "_t"]).select("plate", "at", "ord", "gap")
+    hit = near.select("plate", F.col("t").alias("stamp"), F.when(pick, F.col("b.t")).otherwise(F.col("n.t")).alias("_t"), F.when(pick, low).otherwise(high).alias("gap"))
+    return hit.join(first, ["plate", "_t"]).select("plate", "stamp", "ord", "gap")
 
 
 @query(
