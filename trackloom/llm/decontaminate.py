@@ -80,7 +80,7 @@ def find_occurrences(docs: DataFrame, items: DataFrame, window_words: int = WIND
         hits = d.join(p, (F.col("d._shingle") == F.col("p._shingle")) & fits & same).select("_doc", start.alias("start"), "n", "item_ids")
         found = hits if found is None else found.unionByName(hits)
     if found is None:
-        found = docs.sparkSession.createDataFrame([], docs.select("_doc").schema.add("start", "int").add("n", "int").add("item_ids", "array<string>"))
+        found = docs.sparkSession.createDataFrame([], "_doc struct<a:bigint,b:bigint>, start int, n int, item_ids array<string>")
     return found
 
 
