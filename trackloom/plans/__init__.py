@@ -1 +1,5 @@
+"""Named queries; each module registers its own."""
 
+from trackloom.plans import catalog, curves
+
+__all__ = ["catalog", "curves"]
