@@ -1,5 +1,5 @@
 """Named queries; each module registers its own."""
 
-from trackloom.plans import catalog, curves
+from trackloom.plans import catalog, curves, reports, space
 
-__all__ = ["catalog", "curves"]
+__all__ = ["catalog", "curves", "reports", "space"]
