@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -53,3 +56,10 @@ def pools(spark: SparkSession) -> DataFrame:
     c = conditions(spark)
     names = F.array(F.lit("all"), F.col("density"), F.col("layout"), F.concat_ws(" ", "layout", "density"))
     return c.select(F.explode(names).alias("pool"), "condition_id")
+
+
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for work tables and stream checkpoints: in ``spark.checkpoint.dir`` if set, else a local one."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    base = shared if shared else tempfile.mkdtemp(prefix="spark-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
