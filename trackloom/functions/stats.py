@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -43,3 +45,64 @@ def bootstrap_means(df: DataFrame, group: str, value: str, resamples: int = 1000
         return pd.DataFrame({"grp": [key[0]], "mean": [data.mean()], "lo": [lo], "hi": [hi]})
 
     return df.select(group, value).groupBy(group).applyInPandas(one, "grp long, mean double, lo double, hi double")
+
+
+def moments(df: DataFrame, group: str, value: str) -> DataFrame:
+    """``n, mean, m2, m3, m4`` by group: central moments about the group's mean, in two passes."""
+    mean = df.where(F.col(value).isNotNull()).groupBy(group).agg(F.avg(value).alias("mean"))
+    d = df.join(mean, group).withColumn("_d", F.col(value) - F.col("mean"))
+    return d.groupBy(group).agg(F.count("_d").alias("n"), F.first("mean").alias("mean"), *[F.avg(F.pow("_d", F.lit(k))).alias(f"m{k}") for k in (2, 3, 4)])
+
+
+def normality(m: DataFrame) -> DataFrame:
+    """D'Agostino and Pearson's K squared and its p by group; groups of fewer than 8 values, or of one value, have none."""
+    n, skew, kurt = F.col("n").cast("double"), F.col("m3") / F.pow("m2", F.lit(1.5)), F.col("m4") / (F.col("m2") * F.col("m2"))
+    y = skew * F.sqrt((n + 1) * (n + 3) / (6 * (n - 2)))
+    beta = 3 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2) * (n + 5) * (n + 7) * (n + 9))
+    w2 = F.sqrt(2 * (beta - 1)) - 1
+    z1 = F.asinh(y / F.sqrt(2 / (w2 - 1))) / F.sqrt(0.5 * F.log(w2))
+    spread = F.sqrt(24 * n * (n - 2) * (n - 3) / ((n + 1) * (n + 1) * (n + 3) * (n + 5)))
+    x = (kurt - 3 * (n - 1) / (n + 1)) / spread
+    root = 6 * (n * n - 5 * n + 2) / ((n + 7) * (n + 9)) * F.sqrt(6 * (n + 3) * (n + 5) / (n * (n - 2) * (n - 3)))
+    a = 6 + 8 / root * (2 / root + F.sqrt(1 + 4 / (root * root)))
+    below = 1 + x * F.sqrt(2 / (a - 4))
+    z2 = (1 - 2 / (9 * a) - F.signum(below) * F.cbrt((1 - 2 / a) / F.abs(below))) / F.sqrt(2 / (9 * a))
+    k2 = z1 * z1 + z2 * z2
+    usable = (F.col("n") >= 8) & (F.col("m2") > 0)
+    return m.withColumn("k2", F.when(usable, k2)).withColumn("p", F.exp(-F.col("k2") / 2))
+
+
+def equal_means(df: DataFrame, group: str, value: str) -> DataFrame:
+    """Alexander and Govern's statistic for equal means under unequal variances: one row ``k, statistic``."""
+    g = df.groupBy(group).agg(F.count(value).alias("n"), F.avg(value).alias("m"), F.var_samp(value).alias("v")).where("n > 1 and v > 0")
+    g = g.withColumn("w", F.col("n") / F.col("v"))
+    common = g.agg((F.sum(F.col("w") * F.col("m")) / F.sum("w"))).scalar()
+    t = (F.col("m") - common) * F.sqrt("w")
+    nu = F.col("n") - 1.0
+    a = nu - 0.5
+    b = 48 * a * a
+    c = F.sqrt(a * F.log(1 + t * t / nu))
+    z = c + (c**3 + 3 * c) / b - (4 * c**7 + 33 * c**5 + 240 * c**3 + 855 * c) / (10 * b * b + 8 * b * c**4 + 1000 * b)
+    return g.agg(F.count(F.lit(1)).alias("k"), F.sum(z * z).alias("statistic"))
+
+
+def chi2_tail_3(x: float) -> float:
+    """Probability that a chi-squared variable of three degrees of freedom exceeds ``x``."""
+    return math.erfc(math.sqrt(x / 2)) + math.sqrt(2 * x / math.pi) * math.exp(-x / 2)
+
+
+def box(df: DataFrame, group: str, value: str) -> DataFrame:
+    """Quartiles, whisker ends (the furthest values within 1.5 times the box) and counts by group."""
+    q = df.groupBy(group).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+    reach = 1.5 * (F.col("q")[2] - F.col("q")[0])
+    inside = F.col(value).between(F.col("q")[0] - reach, F.col("q")[2] + reach)
+    return df.join(q, group).groupBy(group).agg(
+        F.first("q").alias("q"), F.count(value).alias("n"), F.min(F.when(inside, F.col(value))).alias("low"), F.max(F.when(inside, F.col(value))).alias("high")
+    ).select(group, "n", F.col("q")[0].alias("q1"), F.col("q")[1].alias("q2"), F.col("q")[2].alias("q3"), "low", "high")
+
+
+def equal_count_bins(df: DataFrame, group: str, x: str, y: str, tie: list[str], size: int) -> DataFrame:
+    """Bins of ``size`` rows in order of x (then ``tie``) within a group: ``group, bin, n, low, high, sum_y``."""
+    order = Window.partitionBy(group).orderBy(x, *tie)
+    b = df.withColumn("bin", F.floor((F.row_number().over(order) - 1) / size).cast("long"))
+    return b.groupBy(group, "bin").agg(F.count(F.lit(1)).alias("n"), F.min(x).alias("low"), F.max(x).alias("high"), F.sum(y).alias("sum_y"))

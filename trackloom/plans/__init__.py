@@ -1,5 +1,5 @@
 """Named queries; each module registers its own."""
 
-from trackloom.plans import catalog, curves, reports, space, streams
+from trackloom.plans import catalog, curves, models, reports, space, streams
 
-__all__ = ["catalog", "curves", "reports", "space", "streams"]
+__all__ = ["catalog", "curves", "models", "reports", "space", "streams"]
