@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -32,19 +33,30 @@ def clamped_matrix(df: DataFrame, x: str, y: str, most: int) -> DataFrame:
 
 
 def bootstrap_means(df: DataFrame, group: str, value: str, resamples: int = 1000, seed: int = 7) -> DataFrame:
-    """Mean of each group and its 2.5 and 97.5 percentiles over seeded resamples."""
-
-    def one(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        data = pdf[value].to_numpy(float)
-        data = data[~np.isnan(data)]
-        if not len(data):
-            return pd.DataFrame({"grp": [key[0]], "mean": [None], "lo": [None], "hi": [None]})
-        rng = np.random.default_rng([seed, abs(int(key[0]))])
-        means = np.array([data[rng.integers(0, len(data), len(data))].mean() for _ in range(resamples)])
-        lo, hi = np.percentile(means, [2.5, 97.5])
-        return pd.DataFrame({"grp": [key[0]], "mean": [data.mean()], "lo": [lo], "hi": [hi]})
-
-    return df.select(group, value).groupBy(group).applyInPandas(one, "grp long, mean double, lo double, hi double")
+    """Mean of each group and its 2.5 and 97.5 percentiles over seeded resamples: ``grp, mean, lo, hi``.
+
+    A row enters a resample a Poisson(1) number of times, so n equal values enter it a Poisson(n)
+    number of times: values are counted first and drawn by value, batches give partial sums for each
+    resample, and no group comes together in a task. Nulls and NaN don't count; a group of only these
+    has null results.
+    """
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for g, rows in b.groupby("grp"):
+                rows = rows[np.isfinite(rows["x"])]
+                w = np.zeros((len(rows), resamples + 1))
+                for i, (n, h) in enumerate(zip(rows["n"], rows["h"])):
+                    w[i, 0], w[i, 1:] = n, np.random.default_rng([seed, int(h)]).poisson(n, resamples)
+                yield pd.DataFrame({"grp": g, "r": np.arange(resamples + 1), "s": rows["x"].to_numpy(float) @ w, "w": w.sum(axis=0)})
+
+    counted = df.select(F.col(group).cast("long").alias("grp"), F.col(value).cast("double").alias("x")).where("grp is not null")
+    counted = counted.groupBy("grp", "x").agg(F.count(F.lit(1)).alias("n")).withColumn("h", F.abs(F.shiftright(F.xxhash64("grp", "x"), 1)))
+    means = counted.mapInPandas(sums, "grp long, r long, s double, w double").groupBy("grp", "r").agg(F.try_divide(F.sum("s"), F.sum("w")).alias("m"))
+    drawn = F.when(F.col("r") > 0, F.col("m"))
+    return means.groupBy("grp").agg(
+        F.max(F.when(F.col("r") == 0, F.col("m"))).alias("mean"), F.percentile(drawn, F.lit(0.025)).alias("lo"), F.percentile(drawn, F.lit(0.975)).alias("hi")
+    )
 
 
 def moments(df: DataFrame, group: str, value: str) -> DataFrame:
