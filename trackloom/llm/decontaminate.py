@@ -76,8 +76,15 @@ def find_occurrences(docs: DataFrame, items: DataFrame, window_words: int = WIND
         start = F.col("_pos") - F.col("_at")
         fits = (start >= 0) & (start + F.col("n") <= F.size("_words"))
         same = F.slice("_words", start + 1, F.col("n")) == F.col("_window")
-        d, p = tokens.alias("d"), near(prefixes).alias("p")
-        hits = d.join(p, (F.col("d._shingle") == F.col("p._shingle")) & fits & same).select("_doc", start.alias("start"), "n", "item_ids")
+        if small:
+            d, p = tokens.alias("d"), near(prefixes).alias("p")
+            hits = d.join(p, (F.col("d._shingle") == F.col("p._shingle")) & fits & same).select("_doc", start.alias("start"), "n", "item_ids")
+        else:
+            # shingles cross the shuffle without their text; words come back to candidates by document
+            bare = tokens.select("_doc", "_pos", "_shingle", F.size("_words").alias("_len"))
+            room = (start >= 0) & (start + F.col("n") <= F.col("_len"))
+            candidates = bare.join(prefixes, "_shingle").where(room).select("_doc", "_pos", "_at", "n", "item_ids", "_window")
+            hits = candidates.join(docs, "_doc").where(same).select("_doc", start.alias("start"), "n", "item_ids")
         found = hits if found is None else found.unionByName(hits)
     if found is None:
         found = docs.sparkSession.createDataFrame([], "_doc struct<a:bigint,b:bigint>, start int, n int, item_ids array<string>")
