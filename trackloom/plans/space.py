@@ -11,10 +11,11 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trackloom.operators import kinematics as kin
 from trackloom.operators import pixels as px
 from trackloom.operators import space as sp
-from trackloom.plans.catalog import OBS, query
-from trackloom.sources.tables import observations, table
+from trackloom.plans.catalog import COND, OBS, STEPS, query
+from trackloom.sources.tables import condition_of, conditions, observations, table
 
 BREAKS = [-math.pi, -math.pi / 2, 0.0, math.pi / 2, math.pi]
 ANGLES = [-4.0, -3.0, -1.0, 0.0, 0.5, 2.0, 3.0, 4.0]
@@ -258,3 +259,38 @@ def evt32(spark, d):
 @query("agg08_heatmap", f"WITH {PV} SELECT px, py, count(*) AS n, count(DISTINCT plate) AS n_plates, count(*) / (SELECT count(*) FROM pw) AS share FROM pw GROUP BY px, py")
 def agg08(spark, d):
     return px.heatmap(pixel_rows(spark, d))
+
+
+@query(
+    "evt27_pixel_steps",
+    f"""WITH {STEPS}, pw AS (SELECT plate, dist, dt, unnest([x // 2500, x // 2500 + 1]) AS px, y // 10 AS py FROM st)
+SELECT plate, px, py, count(*) AS n, CAST(sum(dist) AS DOUBLE) / CAST(nullif(sum(dt), 0) AS DOUBLE) AS speed FROM pw GROUP BY plate, px, py""",
+)
+def evt27(spark, d):
+    """Speed over all frames in which a pixel is covered; the step goes along with the row, so nothing is joined."""
+    o = kin.steps(observations(spark, d))
+    own = F.floor(F.col("x") / 2500).cast("long")
+    rows = o.select("plate", "dist", "dt", F.explode(F.array(own, own + 1)).alias("px"), F.floor(F.col("y") / 10).cast("long").alias("py"))
+    g = rows.groupBy("plate", "px", "py").agg(F.count(F.lit(1)).alias("n"), F.sum("dist").alias("dist"), F.sum("dt").alias("dt"))
+    return g.select("plate", "px", "py", "n", F.try_divide(F.col("dist").cast("double"), F.col("dt").cast("double")).alias("speed"))
+
+
+@query("fil13_side_steps", f"WITH {STEPS} SELECT plate, region >= 0 AS inside, count(*) AS n, min(dist) AS least, max(dist) AS most FROM st WHERE dist <> 0 GROUP BY 1, 2")
+def fil13(spark, d):
+    """Steps inside and outside of regions, without those of no length."""
+    s = kin.steps(observations(spark, d)).where("dist <> 0")
+    return s.groupBy("plate", (F.col("region") >= 0).alias("inside")).agg(F.count(F.lit(1)).alias("n"), F.min("dist").alias("least"), F.max("dist").alias("most"))
+
+
+@query("geo25_point_counts", f"WITH {CORNERS.split(',' + chr(10) + 'cq')[0]} SELECT CAST(trunc(x / 10) AS BIGINT) AS px, CAST(trunc(y / 10) AS BIGINT) AS py, count(*) AS n FROM co GROUP BY 1, 2")
+def geo25(spark, d):
+    """Reference points by cell of ten pixels."""
+    return corners(spark, d).groupBy((F.col("x") / 10).cast("long").alias("px"), (F.col("y") / 10).cast("long").alias("py")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("agg11_condition_counts", f"WITH {OBS}, {COND} SELECT condition_id, layout, count(DISTINCT plate) AS n_plates, count(*) AS n_rows FROM obs JOIN cond ON condition_id = plate % 8 GROUP BY condition_id, layout")
+def agg11(spark, d):
+    """Plates and rows of each condition."""
+    p = observations(spark, d).groupBy("plate").agg(F.count(F.lit(1)).alias("n")).withColumn("condition_id", condition_of(F.col("plate")))
+    j = p.join(F.broadcast(conditions(spark).select("condition_id", "layout")), "condition_id")
+    return j.groupBy("condition_id", "layout").agg(F.count(F.lit(1)).alias("n_plates"), F.sum("n").alias("n_rows"))
