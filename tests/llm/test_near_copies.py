@@ -1,0 +1,69 @@
+import random
+
+import brute
+import corpus_pipeline
+import pytest
+
+from trackloom.llm import near_copies
+
+
+def jaccard(a, b):
+    def grams(text):
+        words = (text or "").split()
+        k = min(5, len(words))
+        return {tuple(words[i : i + k]) for i in range(len(words) - k + 1)} if words else set()
+
+    x, y = grams(a), grams(b)
+    return 1.0 if x == y else len(x & y) / len(x | y)
+
+
+def changed(rng, words, n):
+    own = list(words)
+    for i in rng.sample(range(len(own)), n):
+        own[i] = f"other{rng.randrange(10**9)}"
+    return own
+
+
+def kept_by_brute_force(docs):
+    part = brute.components([i for i, _ in docs], lambda a, b: jaccard(dict(docs)[a], dict(docs)[b]) >= 0.8)
+    return sorted(set(part.values()))
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_near_copies(spark, seed):
+    """Copies of each similarity, chains of copies of copies, and short texts."""
+    rng = random.Random(seed)
+    docs = []
+    for _ in range(14):
+        words = [f"w{rng.randrange(400)}" for _ in range(rng.randint(40, 300))]
+        for _ in range(rng.randint(1, 6)):
+            docs.append((len(docs), " ".join(words)))
+            words = changed(rng, words, rng.randint(0, max(1, len(words) // 50)))
+    docs += [(1000 + i, t) for i, t in enumerate([None, "", " \n", "one", "one two", "one two", "a b c d e"])]
+    rng.shuffle(docs)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert sorted(r.doc_id for r in near_copies.keep_one(df).collect()) == kept_by_brute_force(docs)
+
+
+def test_pipeline_stage(spark, sf_dir):
+    """300 words with 3 or 6 of them changed: similarities from 0.8 to 0.95, far more than 3 bits of SimHash."""
+    rng = random.Random(5)
+    docs = []
+    for i in range(20):
+        words = [f"w{rng.randrange(5000)}" for _ in range(300)]
+        docs += [(3 * i, " ".join(words)), (3 * i + 1, " ".join(changed(rng, words, 3))), (3 * i + 2, " ".join(changed(rng, words, 6)))]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in docs], "doc_id long, text string, lang string, source string, n_chars int")
+    got = corpus_pipeline.dedup_stage(spark, df, sf_dir)
+    assert got.schema.names == df.schema.names
+    assert sorted(r.doc_id for r in got.collect()) == kept_by_brute_force(docs)
+
+
+def test_ids_of_several_texts(spark):
+    a, b = " ".join(f"a{i}" for i in range(80)), " ".join(f"b{i}" for i in range(80))
+    docs = [(3, a), (7, a + " end"), (7, b), (7, b), (8, b.upper()), (None, a), (None, a)]
+    got = near_copies.keep_one(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(3, a), (7, b), (None, a), (None, a)], key=str)
+
+
+def test_nothing(spark):
+    assert near_copies.keep_one(spark.createDataFrame([], "doc_id long, text string")).count() == 0

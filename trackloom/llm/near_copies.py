@@ -1,0 +1,155 @@
+"""Near copies by word shingles: MinHash bands find candidates, exact Jaccard similarity decides."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from itertools import accumulate
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from trackloom.llm.common import materialize
+from trackloom.llm.components import connected_components
+
+SHINGLE_WORDS, SEED = 5, 42
+#: Sets whose Jaccard similarity is SIMILAR[0] / SIMILAR[1] or more are near copies.
+SIMILAR = (4, 5)
+#: A pair at similarity s shares a band with probability 1 - (1 - s ** ROWS) ** BANDS: 0.999998 at 0.8.
+BANDS, ROWS = 25, 4
+#: One bit of each minimum makes a sketch; sets at 0.8 differ in more bits of 100 four times in a million.
+SKETCH_BITS, SKETCH_DISTANCE = BANDS * ROWS // 2, 25
+#: Shingles that are multiplied at a time.
+STEP = 4096
+
+_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+_FACTORS = np.random.default_rng(SEED).integers(0, 1 << 32, BANDS * ROWS, np.uint32)[:, None] | np.uint32(1)
+
+
+def shingles(text: bytes | None) -> np.ndarray:
+    """The sorted distinct hashes of a text's word shingles; a shorter text is one shingle, a blank one has none."""
+    words = text.translate(_LOWER).split() if text else []
+    if not words:
+        return np.empty(0, np.uint64)
+    k = min(SHINGLE_WORDS, len(words))
+    joined = b" ".join(words)
+    ends = list(accumulate(len(w) + 1 for w in words))
+    digest = xxhash.xxh64_digest
+    part = b"".join([digest(joined[s : e - 1], SEED) for s, e in zip([0, *ends], ends[k - 1 :])])
+    return np.unique(np.frombuffer(part, ">u8").astype(np.uint64))
+
+
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """One key for each band, a hash of its number and its minima, and then the two halves of the sketch."""
+    low = (hashes >> np.uint64(32)).astype(np.uint32)
+    least = np.full(len(_FACTORS), 0xFFFFFFFF, np.uint32)
+    for at in range(0, len(low), STEP):
+        np.minimum(least, (low[at : at + STEP] * _FACTORS).min(axis=1), out=least)
+    rows = least.reshape(BANDS, ROWS)
+    keys = [xxhash.xxh64_intdigest(r.tobytes(), i) for i, r in enumerate(rows)]
+    bits = (least >> np.uint32(9) & np.uint32(1)).astype(np.uint64)
+    halves = (bits.reshape(2, SKETCH_BITS) << np.arange(SKETCH_BITS, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
+    return np.concatenate([np.array(keys, np.uint64), halves]).view(np.int64)
+
+
+def _node(hashes: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(hashes.tobytes(), SEED)
+
+
+def _mark(at: int, names: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes, sizes, keys = [], [], []
+            for text in batch.column(at).cast(pa.binary()):
+                hashes = shingles(text.as_py())
+                nodes.append(_node(hashes))
+                sizes.append(len(hashes))
+                keys.append(band_keys(hashes))
+            offsets = pa.array(np.arange(len(keys) + 1, dtype=np.int32) * (BANDS + 2))
+            flat = pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64))
+            more = [pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(offsets, flat)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=names)
+
+    return run
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for node, text in zip(batch.column(0), batch.column(1).cast(pa.binary())):
+            own = pa.array([shingles(text.as_py()).view(np.int64)], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array([node.as_py()], pa.int64()), own], names=["node", "hashes"])
+
+
+def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs ``u, v`` of nodes whose shingle sets are near copies, by their exact intersection."""
+    both = pairs.join(sets.select(F.col("node").alias("u"), F.col("hashes").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("hashes").alias("b")), "v")
+    common, over, under = F.size(F.array_intersect("a", "b")), SIMILAR[0], SIMILAR[1]
+    return both.where(common * (over + under) >= (F.size("a") + F.size("b")) * over).select("u", "v")
+
+
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``df`` with one document of each group of near copies: that with the smallest id.
+
+    Texts are sets of word shingles; equal sets are one node. Nodes that share a band and are near in
+    size and sketch are candidates, and those at the similarity or above link. First each node meets one node of the smallest hash in
+    its bands, then all of these, and at last every other node of its bands that no links join to it
+    yet, so that a large group of near copies takes few comparisons; what links reach is as if all
+    candidates had been compared. Rows are told apart by id and set, so another text under the same
+    id stays. Rows with a null id stay, as nothing names them; repeated rows are cut to one.
+    """
+    names = [*df.columns, "_node", "_size", "_keys"]
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    marked = df.mapInArrow(_mark(df.columns.index(text_col), names), f"{kinds}, _node long, _size int, _keys array<long>")
+    marked = materialize(marked, "near-marked")
+    nodes = marked.groupBy(F.col("_node").alias("node")).agg(F.min(id_col).alias("least"), F.first("_size").alias("size"), F.first("_keys").alias("keys"))
+    nodes = materialize(nodes, "near-nodes")
+    sketch = F.struct("size", F.get("keys", F.lit(BANDS)).alias("s"), F.get("keys", F.lit(BANDS + 1)).alias("t")).alias("sketch")
+    banded = nodes.select("node", sketch, F.explode(F.slice("keys", 1, BANDS)).alias("key"))
+    blocks = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("node", "sketch")).alias("f")).where("n > 1")
+    blocks = blocks.select("key", F.col("f.node").alias("low"), F.col("f.sketch").alias("low_sketch"))
+    members = materialize(banded.join(blocks, "key"), "near-members")
+    wanted = members.select("node").distinct().join(nodes, "node").select(F.col("node").alias("_node"), "least")
+    texts = marked.join(wanted, "_node").where(F.col(id_col).eqNullSafe(F.col("least"))).select("_node", text_col)
+    sets = texts.mapInArrow(_sets, "node long, hashes array<long>").groupBy("node").agg(F.first("hashes").alias("hashes"))
+    sets = materialize(sets, "near-sets")
+
+    def near(a: str, b: str) -> Column:
+        small, large = F.least(f"{a}.size", f"{b}.size"), F.greatest(f"{a}.size", f"{b}.size")
+        differ = sum((F.bit_count(F.col(f"{a}.{h}").bitwiseXOR(F.col(f"{b}.{h}"))) for h in "st"), F.lit(0))
+        return (small * SIMILAR[1] >= large * SIMILAR[0]) & (differ <= SKETCH_DISTANCE)
+
+    stars = members.where((F.col("low") < F.col("node")) & near("sketch", "low_sketch"))
+    pairs = materialize(stars.groupBy("node").agg(F.min("low").alias("v")).select(F.col("node").alias("u"), "v"), "near-pairs")
+    links = done = None
+    for step in ("one", "low", "rest"):
+        if step != "one":
+            parts = materialize(connected_components(links, "near-links"), "near-parts")
+        if step == "low":
+            mine = stars.select("node", "low").distinct().join(parts.withColumnRenamed("component", "part"), "node", "left")
+            other = parts.select(F.col("node").alias("low"), F.col("component").alias("low_part"))
+            pairs = mine.join(other, "low", "left").where(F.coalesce("part", "node") != F.coalesce("low_part", "low"))
+            pairs = pairs.select(F.col("node").alias("u"), F.col("low").alias("v"))
+        elif step == "rest":
+            known = members.select("key", "node", "sketch").join(parts, "node", "left").withColumn("part", F.coalesce("component", "node"))
+            known = materialize(known.drop("component"), "near-known")
+            classes = known.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n"))
+            main = classes.groupBy("key").agg(F.max_by("part", "n").alias("main"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+            mixed = known.join(main, "key")
+            few = mixed.where("part <> main").select("key", F.col("node").alias("other"), F.col("sketch").alias("other_sketch"), F.col("part").alias("other_part"))
+            pairs = few.join(mixed, "key").where((F.col("part") != F.col("other_part")) & near("sketch", "other_sketch"))
+            pairs = pairs.select(F.greatest("other", "node").alias("u"), F.least("other", "node").alias("v")).distinct()
+        if done is not None:
+            pairs = materialize(pairs.join(done, ["u", "v"], "left_anti"), "near-pairs")
+        found = materialize(_similar(pairs, sets), "near-found")
+        links = found if links is None else links.unionByName(found)
+        done = pairs if done is None else done.unionByName(pairs)
+    parts = connected_components(links, "near-links")
+    labelled = nodes.where("least is not null").join(parts, "node", "left").withColumn("part", F.coalesce("component", "node"))
+    first = labelled.groupBy("part").agg(F.min(F.struct("least", "node")).alias("f"))
+    first = materialize(first.select(F.col("f.least").alias("_least"), F.col("f.node").alias("_node")), "near-first")
+    kept = marked.join(first, "_node").where(F.col(id_col) == F.col("_least"))
+    order = Window.partitionBy("_node").orderBy(F.xxhash64(text_col))
+    one = kept.withColumn("_nth", F.row_number().over(order)).where("_nth = 1").select(*df.columns)
+    return one.unionByName(marked.where(F.col(id_col).isNull()).select(*df.columns))
