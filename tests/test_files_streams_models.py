@@ -91,3 +91,10 @@ def test_simulations(spark):
     assert all(0 <= start <= end <= 100 for _, _, start, end, _ in runs[0])
     walks = md.walk(spark, [(0.0, 0.0)], 8, 200, 0.3, 6.0, 42.0, 100.0).collect()
     assert all(r.furthest <= 100 and r.n_regions <= 1 and r.n_inside <= 200 for r in walks)
+
+
+def test_stream_of_part_files(spark, sf_dir, tmp_path):
+    table = spark.read.parquet(f"{sf_dir}/events.parquet")
+    table.repartition(3).write.parquet(str(tmp_path / "events.parquet"))
+    for folder in (sf_dir, str(tmp_path)):
+        assert st.drain(st.read_events(spark, folder), "parts").count() == table.count() > 0

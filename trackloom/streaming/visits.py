@@ -18,8 +18,14 @@ STATE = "last_t long, last_region int, start long"
 
 
 def read_events(spark: SparkSession, folder: str, name: str = "events.parquet") -> DataFrame:
-    """New event files of a folder as a stream: ``plate, ts, t, event_id, region, value``."""
-    raw = spark.readStream.schema(EVENTS).option("pathGlobFilter", name).parquet(folder)
+    """New event files of a folder as a stream: ``plate, ts, t, event_id, region, value``.
+
+    The table is one file, or a folder of part files, which the filter on leaf names would all leave out.
+    """
+    reader = spark.readStream.schema(EVENTS)
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+    parts = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory()
+    raw = reader.parquet(f"{folder}/{name}") if parts else reader.option("pathGlobFilter", name).parquet(folder)
     region = F.lit(None).cast("int")
     for kind, code in REGIONS.items():
         region = F.when(F.col("event_type") == kind, F.lit(code)).otherwise(region)
