@@ -71,13 +71,6 @@ def test_links_of_dense_groups(spark, block_rows):
     assert mine == want
 
 
-def test_keep_one(spark):
-    docs = made_docs()
-    kept = Counter(r.doc_id for r in simhash.keep_one(frame(spark, docs)).collect())
-    want = {c for (_, _, c) in brute.near_duplicates(docs) if c is not None}
-    assert kept == Counter({**dict.fromkeys(want, 1), None: 1})
-
-
 def test_components(spark):
     rng = random.Random(3)
     for edges in ([], [(1, 1)], [(i, i + 1) for i in range(60)], [(rng.randrange(80), rng.randrange(80)) for _ in range(60)], [(0, i) for i in range(40)]):

@@ -15,15 +15,22 @@ ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder for intermediate tables: ``spark.checkpoint.dir`` of the session.
 
-    A folder of our own is made only where that setting is absent, as in local tests.
+    Where that setting is absent, a session on a local master gets a temporary folder of its own. On a
+    cluster each executor would write to its own disk, so there it is an error.
     """
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    found = spark.conf.get("spark.checkpoint.dir", None) or _own_folders.get(spark.sparkContext.applicationId)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="trackloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        found = _own_folders[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="trackloom-")
     return found.rstrip("/")
 
 
+#: Folders of local sessions, and the work tables that this process has written, by application.
+_own_folders: dict[str, str] = {}
+_written: dict[str, list[str]] = {}
+
+
 def new_folder(spark: SparkSession, label: str) -> str:
     return f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
@@ -32,13 +39,24 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
     This cuts the lineage so that a lost executor costs a re-read, not a recomputation, and it
-    gives later stages exact sizes, column pruning and stable row order within files.
+    gives later stages exact sizes, column pruning and stable row order within files. Results are
+    read from these tables when the caller runs them, so the caller says when they can go
+    (``drop_work_tables``).
     """
     path = new_folder(df.sparkSession, label)
+    _written.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_work_tables(spark: SparkSession) -> None:
+    """Delete the work tables of this session, once the results that were read from them are written."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in _written.pop(spark.sparkContext.applicationId, []):
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+
+
 def fresh(df: DataFrame, base: str) -> str:
     """A column name that ``df`` does not have, made from ``base``."""
     taken = {c.lower() for c in df.columns}
@@ -48,6 +66,12 @@ def fresh(df: DataFrame, base: str) -> str:
     return name
 
 
+def checked_keep(keep: tuple[str, ...], made: tuple[str, ...]) -> None:
+    """Refuse to carry a column along whose name the result gives to a column of its own."""
+    if clash := {c.lower() for c in keep} & set(made):
+        raise ValueError(f"the result has columns of its own named {sorted(clash)}: rename these before keeping them")
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only. A text of ASCII bytes alone takes the faster built-in."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(

@@ -11,8 +11,9 @@ from trackloom.llm.common import materialize
 def connected_components(links: DataFrame, label: str = "links") -> DataFrame:
     """``node, component`` (the smallest node) of every node in ``links(u, v)``, two longs.
 
-    Each step joins links to the smallest neighbour of each node, a partial aggregate, so a node
-    with very many links is never gathered; skewed joins are split by the adaptive planner. The
+    Nodes may be of any type that has an order. Each step joins links to the smallest neighbour of each
+    node, a partial aggregate, so a node with very many links is never gathered; the smallest
+    neighbours are a table of their own, so that the adaptive planner can split the join. The
     number of rounds grows with the logarithm of the longest path. Each round is written to the
     shared folder, and the stars are finished when a round leaves the links as they were.
     """
@@ -27,8 +28,9 @@ def connected_components(links: DataFrame, label: str = "links") -> DataFrame:
             )
         last = mark
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+        low = materialize(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")), label + "-low")
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = materialize(large, label + "-large")
+        low = materialize(large.groupBy("u").agg(F.min("v").alias("m")), label + "-low")
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = materialize(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), label)
