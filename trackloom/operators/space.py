@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trackloom.sources.tables import stored
+
 
 def spline(angle: Column, breaks: Column, coefs: Column) -> Column:
     """Value of a piecewise polynomial, highest degree first, on the distance to the piece's left break.
@@ -53,16 +55,98 @@ def raster(lines: DataFrame) -> DataFrame:
     return pixels.groupBy("plate", "px", "py").agg(F.max("region").alias("region"))
 
 
-def region_distance(pixels: DataFrame, lines: DataFrame) -> DataFrame:
-    """Distance of each distinct pixel (plate, px, py) to the nearest region pixel of its plate; 0 inside.
+def nearest(points: DataFrame, targets: DataFrame, tag: list[str], other: Column | None = None, cell: float = 128.0) -> DataFrame:
+    """The nearest target of the same plate for each distinct row of ``points`` (plate, px, py and more): ``d2`` and ``tag``.
 
-    The nearest pixel of a line extent is a clamp, so pixels meet the plate's line extents (a row per
-    region and line) and never its pixels.
+    A target is an extent on a line, ``plate, low, high, by`` with pixels low <= x < high, or a point
+    with high = low + 1; ties go to the least tag. ``other`` is a condition on a point and a target.
+    Points meet the targets of their own grid cell and of the eight around it. What is found within
+    the length of a cell is nearest; points that found nothing so near go on with cells eight times as
+    long, until one cell holds the plate. So points and targets far apart never meet. Points of plates
+    without targets are left out.
     """
+    keys = points.columns
+    span = targets.agg(F.min("low"), F.max("high"), F.min("by"), F.max("by")).first()
+    if span[0] is None:
+        return points.limit(0).join(targets.limit(0).select("plate", *[c for c in tag if c not in keys]), "plate").withColumn("d2", F.lit(0.0))
+    ends = points.agg(F.min("px"), F.max("px"), F.min("py"), F.max("py")).first()
+    reach = max(span[1], ends[1] or 0, span[3], ends[3] or 0) - min(span[0], ends[0] or 0, span[2], ends[2] or 0)
     dx = F.greatest(F.col("low") - F.col("px"), F.col("px") - (F.col("high") - 1), F.lit(0))
     dy = F.col("by") - F.col("py")
-    near = pixels.join(lines.select("plate", "by", "low", "high"), "plate").groupBy("plate", "px", "py").agg(F.min(dx * dx + dy * dy).alias("d2"))
-    return near.select("plate", "px", "py", F.sqrt("d2").alias("distance"))
+    d2 = (dx * dx + dy * dy).cast("double").alias("d2")
+    todo, found = points.join(targets.select("plate").distinct(), "plate", "left_semi"), None
+    while True:
+        at = lambda c: F.floor(c / F.lit(cell)).cast("long")  # noqa: E731, B023
+        t = targets.withColumns({"_x": F.explode(F.sequence(at(F.col("low")), at(F.col("high") - 1))), "_y": at(F.col("by"))})
+        p = todo.withColumn("_x", F.explode(F.sequence(at(F.col("px")) - 1, at(F.col("px")) + 1)))
+        p = p.withColumn("_y", F.explode(F.sequence(at(F.col("py")) - 1, at(F.col("py")) + 1)))
+        t = t.select(F.col("plate").alias("_plate"), "_x", "_y", "low", "high", "by", *[F.col(c).alias(f"_t_{c}") for c in tag])
+        met = p.withColumnRenamed("plate", "_plate").join(t, ["_plate", "_x", "_y"]).withColumnRenamed("_plate", "plate")
+        if other is not None:
+            met = met.where(other)
+        best = met.groupBy(*keys).agg(F.min(F.struct(d2, *[F.col(f"_t_{c}").alias(c) for c in tag])).alias("_best"))
+        best = stored(best if cell >= reach else best.where(F.col("_best.d2") <= cell * cell), "nearest")
+        found = best if found is None else found.unionByName(best)
+        if cell >= reach:
+            break
+        todo = stored(todo.join(best, keys, "left_anti"), "nearest-left")
+        if todo.isEmpty():
+            break
+        cell *= 8
+    return found.select(*keys, "_best.d2", *[F.col("_best")[c].alias(c) for c in tag if c not in keys])
+
+
+def merged_lines(lines: DataFrame) -> DataFrame:
+    """Extents of all regions of a line, joined where they touch or overlap: ``plate, by, low, high``."""
+    order = Window.partitionBy("plate", "by").orderBy("low", "high")
+    furthest = F.max("high").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = F.when(furthest >= F.col("low"), 0).otherwise(1)
+    islands = lines.withColumn("_fresh", fresh).withColumn("_island", F.sum("_fresh").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    return islands.groupBy("plate", "by", "_island").agg(F.min("low").alias("low"), F.max("high").alias("high")).drop("_island")
+
+
+def outside_lines(lines: DataFrame) -> DataFrame:
+    """What lies between and around merged extents, up to one pixel beyond a plate's regions: ``plate, by, low, high``."""
+    frame = lines.groupBy("plate").agg(F.min("low").alias("_low"), F.max("high").alias("_high"), F.min("by").alias("_first"), F.max("by").alias("_last"))
+    rows = frame.select("plate", "_low", "_high", F.explode(F.sequence(F.col("_first") - 1, F.col("_last") + 1)).alias("by"))
+    order = Window.partitionBy("plate", "by").orderBy("low")
+    own = rows.join(merged_lines(lines), ["plate", "by"], "left")
+    before = own.select("plate", "by", F.coalesce(F.lag("high").over(order), F.col("_low") - 1).alias("low"), F.coalesce("low", F.col("_high") + 1).alias("high"))
+    last = own.groupBy("plate", "by", "_high").agg(F.max("high").alias("low")).where("low is not null").select("plate", "by", "low", (F.col("_high") + 1).alias("high"))
+    return before.unionByName(last).where("low < high")
+
+
+def edge_lines(lines: DataFrame) -> DataFrame:
+    """Pixels outside of regions that touch one on a side, as extents: ``plate, by, low, high``.
+
+    The way from an inside pixel to the nearest outside one ends with a step out of a region, so these
+    are all that inside pixels need to know.
+    """
+    m, out = stored(merged_lines(lines), "merged-lines"), stored(outside_lines(lines), "outside-lines")
+    beside = m.select("plate", "by", F.explode(F.array(F.col("low") - 1, F.col("high"))).alias("low")).withColumn("high", F.col("low") + 1)
+    over = m.select("plate", F.explode(F.array(F.col("by") - 1, F.col("by") + 1)).alias("by"), F.col("low").alias("_low"), F.col("high").alias("_high"))
+    above = out.join(over, ["plate", "by"]).where("_low < high and _high > low")
+    above = above.select("plate", "by", F.greatest("low", "_low").alias("low"), F.least("high", "_high").alias("high"))
+    return beside.unionByName(above).distinct()
+
+
+def region_distance(pixels: DataFrame, lines: DataFrame) -> DataFrame:
+    """Signed distance of each distinct pixel (plate, px, py) to the edge of its plate's regions.
+
+    Outside it is the distance to the nearest region pixel; inside it is one less the distance to the
+    nearest pixel outside, so pixels at the edge have 0 and deeper ones less.
+    """
+    lines = stored(lines, "lines")
+    out = nearest(pixels, lines, []).select("plate", "px", "py", F.sqrt("d2").alias("distance"))
+    inside = stored(out.where("distance = 0").select("plate", "px", "py"), "inside-pixels")
+    deep = nearest(inside, stored(edge_lines(lines), "edge-lines"), [], cell=32.0).select("plate", "px", "py", (1 - F.sqrt("d2")).alias("distance"))
+    return out.where("distance > 0").unionByName(deep)
+
+
+def raster_regions(points: DataFrame, lines: DataFrame) -> DataFrame:
+    """The region of each distinct pixel (plate, px, py) that lies in one, the greatest number if several do."""
+    hit = points.join(lines.withColumnRenamed("by", "py"), ["plate", "py"]).where("px >= low and px < high")
+    return hit.groupBy("plate", "px", "py").agg(F.max("region").alias("region"))
 
 
 def square_basis(p: DataFrame) -> DataFrame:
@@ -103,7 +187,8 @@ def from_basis(u: Column, v: Column, side_mm: float) -> tuple[Column, Column]:
 
 
 def nearest_region(points: DataFrame, centres: DataFrame) -> DataFrame:
-    """The nearest centre of the same plate for each point, the smaller number of ties, and the angle from it."""
-    d = points.join(centres, "plate").withColumns({"dx": F.col("px") - F.col("cx"), "dy": F.col("py") - F.col("cy")})
-    best = d.groupBy("plate", "px", "py").agg(F.min(F.struct((F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy")).alias("d2"), "region", "dx", "dy")).alias("b"))
-    return best.select("plate", "px", "py", "b.region", F.sqrt("b.d2").alias("distance"), F.atan2("b.dy", "b.dx").alias("angle"))
+    """The nearest centre of the same plate for each distinct point, the smaller number of ties, and the angle from it."""
+    at = centres.select("plate", "region", "cx", "cy", F.col("cx").alias("low"), (F.col("cx") + 1).alias("high"), F.col("cy").alias("by"))
+    best = nearest(points.select("plate", "px", "py"), at, ["region", "cx", "cy"])
+    angle = F.atan2(F.col("py") - F.col("cy"), F.col("px") - F.col("cx"))
+    return best.select("plate", "px", "py", "region", F.sqrt("d2").alias("distance"), angle.alias("angle"))

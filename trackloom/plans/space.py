@@ -111,18 +111,30 @@ def placed(spark, d) -> DataFrame:
 SELECT who, ord, coalesce(w.region, -1) AS region FROM oq LEFT JOIN w ON w.plate = oq.plate AND w.px = oq.px AND w.py = oq.py""",
 )
 def trj05(spark, d):
-    """Region of each observation by its pixel of the plate's raster."""
-    hit = placed(spark, d).join(sp.raster(lines(spark, d)), ["plate", "px", "py"], "left")
+    """Region of each observation by its pixel of the plate's raster, from the extents of regions on lines."""
+    at = placed(spark, d)
+    hit = at.join(sp.raster_regions(at.select("plate", "px", "py").distinct(), lines(spark, d)), ["plate", "px", "py"], "left")
     return hit.select("who", "ord", F.coalesce("region", F.lit(-1).cast("long")).alias("region"))
 
 
-@query(
-    "geo09_distance",
-    f"""WITH {PIX}, {BOUNDARY}, dp AS (SELECT DISTINCT plate, px, py FROM oq)
-SELECT plate, px, py, sqrt(min(greatest(low - px, px - (high - 1), 0) * greatest(low - px, px - (high - 1), 0) + ("by" - py) * ("by" - py))::DOUBLE) AS distance FROM dp JOIN ln USING (plate) GROUP BY plate, px, py""",
-)
+#: Extents of what lies outside of regions, a pixel beyond them at most, and signed distances of visited pixels.
+SIGNED = """mi AS (SELECT plate, "by", min(low) AS low, max(high) AS high FROM (
+  SELECT *, sum(fresh) OVER (PARTITION BY plate, "by" ORDER BY low, high ROWS UNBOUNDED PRECEDING) AS island FROM (
+    SELECT *, CASE WHEN max(high) OVER (PARTITION BY plate, "by" ORDER BY low, high ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) >= low THEN 0 ELSE 1 END AS fresh FROM ln)) GROUP BY plate, "by", island),
+fr AS (SELECT plate, min(low) AS l0, max(high) AS h0, min("by") AS b0, max("by") AS b1 FROM ln GROUP BY plate),
+rw AS (SELECT plate, l0, h0, unnest(range(b0 - 1, b1 + 2)) AS "by" FROM fr),
+ow AS (SELECT rw.plate, rw."by", l0, h0, low, high FROM rw LEFT JOIN mi ON mi.plate = rw.plate AND mi."by" = rw."by"),
+ol AS (SELECT plate, "by", coalesce(lag(high) OVER (PARTITION BY plate, "by" ORDER BY low), l0 - 1) AS low, coalesce(low, h0 + 1) AS high FROM ow
+  UNION ALL SELECT plate, "by", max(high), any_value(h0) + 1 FROM ow WHERE high IS NOT NULL GROUP BY plate, "by"),
+so AS (SELECT plate, px, py, sqrt(min(greatest(low - px, px - (high - 1), 0) * greatest(low - px, px - (high - 1), 0) + ("by" - py) * ("by" - py))::DOUBLE) AS distance FROM dp JOIN ln USING (plate) GROUP BY plate, px, py),
+sg AS (SELECT * FROM so WHERE distance > 0 UNION ALL
+  SELECT plate, px, py, 1 - sqrt(min(greatest(low - px, px - (high - 1), 0) * greatest(low - px, px - (high - 1), 0) + ("by" - py) * ("by" - py))::DOUBLE) AS distance
+  FROM (SELECT plate, px, py FROM so WHERE distance = 0) JOIN (SELECT * FROM ol WHERE low < high) USING (plate) GROUP BY plate, px, py)"""
+
+
+@query("geo09_distance", f"WITH {PIX}, {BOUNDARY}, dp AS (SELECT DISTINCT plate, px, py FROM oq), {SIGNED} SELECT * FROM sg")
 def geo09(spark, d):
-    """Distance of every visited pixel to the regions of its plate."""
+    """Signed distance of every visited pixel to the edge of the regions of its plate."""
     return sp.region_distance(placed(spark, d).select("plate", "px", "py").distinct(), lines(spark, d))
 
 
@@ -152,10 +164,10 @@ SELECT plate, count(*) AS n, round(avg(mm), 6) AS mean_mm, round(stddev_pop(mm),
 )
 def geo17(spark, d):
     """Distance to the nearest other region: mean, population deviation and median of a layout."""
-    a = regions(spark, d).select("plate", F.col("region").alias("src"), F.col("cx").alias("ax"), F.col("cy").alias("ay"))
-    b = regions(spark, d).select("plate", "region", "cx", "cy")
-    dx, dy = F.col("ax") - F.col("cx"), F.col("ay") - F.col("cy")
-    m = a.join(b, "plate").where("src <> region").groupBy("plate", "src").agg((F.lit(0.0324) * F.sqrt(F.min(dx * dx + dy * dy))).alias("mm"))
+    r = regions(spark, d)
+    at = r.select("plate", "region", F.col("cx").alias("low"), (F.col("cx") + 1).alias("high"), F.col("cy").alias("by"))
+    points = r.select("plate", F.col("region").alias("src"), F.col("cx").alias("px"), F.col("cy").alias("py"))
+    m = sp.nearest(points, at, ["region"], F.col("src") != F.col("_t_region")).select("plate", (F.lit(0.0324) * F.sqrt("d2")).alias("mm"))
     return m.groupBy("plate").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("mm"), 6).alias("mean_mm"), F.round(F.stddev_pop("mm"), 6).alias("std_mm"), F.round(F.median("mm"), 6).alias("med_mm"))
 
 

@@ -58,8 +58,18 @@ def pools(spark: SparkSession) -> DataFrame:
     return c.select(F.explode(names).alias("pool"), "condition_id")
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write a step's rows to the work folder and read them back: the lineage ends there."""
+    path = work_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def work_folder(spark: SparkSession, name: str) -> str:
-    """A new folder for work tables and stream checkpoints: in ``spark.checkpoint.dir`` if set, else a local one."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    base = shared if shared else tempfile.mkdtemp(prefix="spark-")
+    """A new folder for work tables and stream checkpoints: in ``spark.checkpoint.dir``, or a local one if the master is local."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="spark-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
