@@ -1,3 +1,5 @@
+import numpy as np
+import random
 """Hand-made cases of the event algebra, kinematics and statistics."""
 
 import pytest
@@ -74,17 +76,66 @@ def test_smoothing(spark):
     assert [round(x, 3) for x, _ in got] == [0, 33.333, 66.667, 100] and [s for _, s in got] == [False, True, True, False]
 
 
+def plain_smoothing(rows, radius):
+    """Rows of a plate in order, (track, x, y): what is kept, then each gap between kept rows."""
+    kept = [0]
+    for i in range(1, len(rows)):
+        if (rows[i][1] - rows[kept[-1]][1]) ** 2 + (rows[i][2] - rows[kept[-1]][2]) ** 2 > radius**2:
+            kept.append(i)
+    switches = [i for i in range(1, len(rows)) if rows[i][0] != rows[i - 1][0]]
+    out = [[x, y, i not in kept] for i, (_, x, y) in enumerate(rows)]
+    for a, b in zip(kept, kept[1:]):
+        if any(a < i < b for i in switches):
+            for i in range(a, b):
+                out[i][2] = False
+        else:
+            for i in range(a + 1, b):
+                out[i][:2] = [rows[a][k] + (i - a) / (b - a) * (rows[b][k] - rows[a][k]) for k in (1, 2)]
+    return out
+
+
+def test_smoothing_of_switches(spark):
+    """Random ways with track switches within gaps, next to kept rows and at the end, over several batches."""
+    rng = random.Random(4)
+    plates = {}
+    for plate in range(5):
+        rows, track, x, y = [], 0, 0, 0
+        for _ in range([1, 2, 40, 400, 3000][plate]):
+            track += rng.random() < 0.15
+            x, y = x + rng.randint(-4, 4), y + rng.randint(-4, 4)
+            rows.append((track, x, y))
+        plates[plate] = rows
+    data = [(p, t, i + 1, x, y) for p, rows in plates.items() for i, (t, x, y) in enumerate(rows)]
+    rng.shuffle(data)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        got = kin.smooth(spark.createDataFrame(data, "plate long, track long, ord long, x long, y long"), 9.0).orderBy("plate", "ord").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = [(p, *row) for p, rows in plates.items() for row in plain_smoothing(rows, 9.0)]
+    assert len(got) == len(want)
+    for r, (p, x, y, flag) in zip(got, want):
+        assert (r.plate, r.is_smoothed) == (p, flag) and abs(r.sx - x) < 1e-9 and abs(r.sy - y) < 1e-9
+
+
 def test_bins(spark):
     df = spark.createDataFrame([(50,), (100,), (250,)], "x long")
     assert [r.b for r in df.select("x", stats.bin_index(F.col("x"), [0, 100, 200]).alias("b")).orderBy("x").collect()] == [0, 0, 2]
 
 
-def test_bootstrap(spark):
-    df = spark.createDataFrame([(g, float(i % 7)) for g in (1, 2) for i in range(50)] + [(3, None)], "g long, v double")
-    rows = {r.grp: r for r in stats.bootstrap_means(df, "g", "v", 200).collect()}
-    assert all(rows[g].lo <= rows[g].mean <= rows[g].hi for g in (1, 2)) and rows[3].mean is None
-    again = {r.grp: r for r in stats.bootstrap_means(df.repartition(3), "g", "v", 200).collect()}
-    assert rows[1].mean == again[1].mean
+def test_spread_ranks(spark):
+    """Ranks and percentiles as if each group were sorted as a whole, with ties and null groups."""
+    rng = random.Random(2)
+    rows = [(rng.choice([1, 1, 1, 2, None]), rng.randint(0, 60), i) for i in range(900)] + [(3, None, 901)]
+    df = spark.createDataFrame(rows, "g int, v int, id long")
+    got = {r.id: r["_rank"] for r in stats.spread_rank(df.where("v is not null"), ["g"], ["v", "id"], 8).collect()}
+    for g in (1, 2, None):
+        own = sorted((v, i) for h, v, i in rows if h == g and v is not None)
+        assert [got[i] for _, i in own] == list(range(1, len(own) + 1))
+    p = {r.g: (r.p0, r.p1) for r in stats.exact_percentiles(df, "g", "v", [0.15, 1.0], 8).collect()}
+    assert set(p) == {1, 2, None}
+    for g, found in p.items():
+        assert found == pytest.approx(tuple(np.percentile([v for h, v, _ in rows if h == g and v is not None], [15, 100])))
 
 
 def test_empty(spark):

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from trackloom.functions import stats
 from trackloom.operators import curves as cv
-from trackloom.operators import models as md
 from trackloom.sources import files
 from trackloom.streaming import visits as st
 
@@ -67,10 +66,29 @@ def test_delays(spark):
 
 def test_bootstrap(spark):
     df = spark.createDataFrame([(g, k, 4.0 if g == 0 else float(k % 5)) for g in (0, 1) for k in range(200)] + [(1, 999, None), (1, 998, float("nan"))], "g long, k long, v double")
-    got = {r.grp: r for r in stats.bootstrap_means(df, "g", "v", 200).collect()}
-    assert (got[0].mean, got[0].lo, got[0].hi) == (4.0, 4.0, 4.0)
-    assert got[1].mean == 2.0 and 1.7 < got[1].lo < 2.0 < got[1].hi < 2.3
-    assert stats.bootstrap_means(df.limit(0), "g", "v", 20).count() == 0
+    got = {r.g: r for r in stats.intervals(df, ["g"], "v", ["k"], 200).collect()}
+    assert (got[0]["mean"], got[0].lo, got[0].hi) == (4.0, 4.0, 4.0)
+    assert got[1].n == 200 and got[1]["mean"] == 2.0 and 1.7 < got[1].lo < 2.0 < got[1].hi < 2.3
+    again = {r.g: r for r in stats.intervals(df.repartition(3), ["g"], "v", ["k"], 200).collect()}
+    assert again == got
+    assert stats.intervals(df.limit(0), ["g"], "v", ["k"], 20).count() == 0
+    means = stats.resampled_means(df.where("g = 1"), ["g"], "v", ["k"], 400).where("r > 0").agg(F.stddev("m"), F.avg("n")).first()
+    # values 0 to 4: standard error sqrt(2 / 200); resamples have 200 rows on average
+    assert abs(means[0] - 0.1) < 0.015 and abs(means[1] - 200) < 3
+
+
+def test_fixed_width_bins(spark):
+    assert stats.fixed_width_edges(1, 10, 3) == [0, 3, 6] and stats.fixed_width_edges(5, 5, 10) == [4]
+    assert stats.middles([0, 3, 6], 10) == [1.5, 4.5, 8]
+    df = spark.createDataFrame([(1, 1, 2.0), (2, 3, 4.0), (3, 10, 8.0), (4, 10, None)], "k int, x int, y double")
+    got = [(r.bin, r.middle, r.n, r["mean"]) for r in stats.fixed_width_bins(df, "x", "y", ["k"], 3.0, 10).orderBy("bin").collect()]
+    assert got == [(0, 1.5, 2, 3.0), (1, 4.5, 0, 0.0), (2, 8.0, 1, 8.0)]
+    assert stats.fixed_width_bins(df.limit(0), "x", "y", ["k"], 3.0).count() == 0
+
+
+def test_pooled_ranks(spark):
+    counts = spark.createDataFrame([(1, 50), (2, 30), (3, 10), (4, 1), (5, 45), (6, 3)], "k int, n int")
+    assert [tuple(r) for r in stats.pooled_ranks(counts, "k", "n", 40).orderBy("first").collect()] == [(1, 1, 50), (2, 4, 41), (5, 5, 45)]
 
 
 def test_tests(spark):
@@ -81,18 +99,6 @@ def test_tests(spark):
     r = stats.equal_means(same, "g", "v").first()
     assert r.k == 4 and abs(r.statistic) < 1e-12
 
-
-def test_simulations(spark):
-    moves = spark.createDataFrame([(0, 1, 1.0), (1, 0, 0.5), (1, 1, 0.5)], "src int, dst int, p double")
-    travel = spark.createDataFrame([(0, 1, [1.0, 3.0]), (1, 0, [2.0, 2.0]), (1, 1, [0.0, 1.0])], "src int, dst int, pool array<double>")
-    stay = spark.createDataFrame([(0, [5.0, 5.0]), (1, [2.0, 8.0])], "region int, pool array<double>")
-    runs = [sorted(map(tuple, md.simulate_visits(spark, moves, travel, stay, 20, 100.0).repartition(k).collect())) for k in (1, 3)]
-    assert runs[0] == runs[1] and {r[0] for r in runs[0]} == set(range(20))
-    assert all(0 <= start <= end <= 100 for _, _, start, end, _ in runs[0])
-    walks = md.walk(spark, [(0.0, 0.0)], 8, 200, 0.3, 6.0, 42.0, 100.0).collect()
-    assert all(r.furthest <= 100 and r.n_regions <= 1 and r.n_inside <= 200 for r in walks)
-
-
 def test_stream_of_part_files(spark, sf_dir, tmp_path):
     table = spark.read.parquet(f"{sf_dir}/events.parquet")
     table.repartition(3).write.parquet(str(tmp_path / "events.parquet"))

@@ -3,10 +3,6 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,33 +28,134 @@ def clamped_matrix(df: DataFrame, x: str, y: str, most: int) -> DataFrame:
     return df.groupBy(F.least(F.col(x), F.lit(most)).alias("a"), F.least(F.col(y), F.lit(most)).alias("b")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def bootstrap_means(df: DataFrame, group: str, value: str, resamples: int = 1000, seed: int = 7) -> DataFrame:
-    """Mean of each group and its 2.5 and 97.5 percentiles over seeded resamples: ``grp, mean, lo, hi``.
+#: Shares of resamples that take a row at most 0, 1, 2, ... times: a Poisson variable of mean 1.
+POISSON = [sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) for k in range(9)]
+
+
+def draw(*parts: Column) -> Column:
+    """A number in [0, 1) that depends on the parts alone: 32 bits of their MD5, which any SQL engine can compute."""
+    text = F.concat_ws(",", *[p.cast("string") for p in parts])
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") / float(1 << 32)
+
 
-    A row enters a resample a Poisson(1) number of times, so n equal values enter it a Poisson(n)
-    number of times: values are counted first and drawn by value, batches give partial sums for each
-    resample, and no group comes together in a task. Nulls and NaN don't count; a group of only these
-    has null results.
+def resampled_means(df: DataFrame, keys: list[str], value: str, row: list[str], resamples: int) -> DataFrame:
+    """``keys, r, n, m``: the mean of each group (r = 0) and of ``resamples`` resamples of it.
+
+    A row, named by the columns ``row``, enters a resample a Poisson(1) number of times by a draw of
+    its own, so tasks give partial sums for each resample and no group comes together. Resamples vary
+    a little in size, as the mean of what is drawn allows for. Null values and NaN don't count.
     """
+    rows = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(resamples))))
+    u = draw(F.col("r"), *[F.col(c) for c in row])
+    w = F.when(F.col("r") == 0, 1).otherwise(sum((F.when(u >= p, 1).otherwise(0) for p in POISSON), F.lit(0))).cast("long")
+    sums = rows.withColumn("_w", w).groupBy(*keys, "r").agg(F.sum("_w").alias("n"), F.sum(F.col("_w") * F.col(value)).alias("_s"))
+    return sums.select(*keys, "r", "n", F.try_divide(F.col("_s"), F.col("n")).alias("m"))
+
 
-    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for g, rows in b.groupby("grp"):
-                rows = rows[np.isfinite(rows["x"])]
-                w = np.zeros((len(rows), resamples + 1))
-                for i, (n, h) in enumerate(zip(rows["n"], rows["h"])):
-                    w[i, 0], w[i, 1:] = n, np.random.default_rng([seed, int(h)]).poisson(n, resamples)
-                yield pd.DataFrame({"grp": g, "r": np.arange(resamples + 1), "s": rows["x"].to_numpy(float) @ w, "w": w.sum(axis=0)})
-
-    counted = df.select(F.col(group).cast("long").alias("grp"), F.col(value).cast("double").alias("x")).where("grp is not null")
-    counted = counted.groupBy("grp", "x").agg(F.count(F.lit(1)).alias("n")).withColumn("h", F.abs(F.shiftright(F.xxhash64("grp", "x"), 1)))
-    means = counted.mapInPandas(sums, "grp long, r long, s double, w double").groupBy("grp", "r").agg(F.try_divide(F.sum("s"), F.sum("w")).alias("m"))
+def intervals(df: DataFrame, keys: list[str], value: str, row: list[str], resamples: int = 1000) -> DataFrame:
+    """``keys, n, mean, lo, hi``: means of groups and the 2.5 and 97.5 percentiles of the means of resamples."""
     drawn = F.when(F.col("r") > 0, F.col("m"))
-    return means.groupBy("grp").agg(
-        F.max(F.when(F.col("r") == 0, F.col("m"))).alias("mean"), F.percentile(drawn, F.lit(0.025)).alias("lo"), F.percentile(drawn, F.lit(0.975)).alias("hi")
+    return resampled_means(df, keys, value, row, resamples).groupBy(*keys).agg(
+        F.max(F.when(F.col("r") == 0, F.col("n"))).alias("n"),
+        F.max(F.when(F.col("r") == 0, F.col("m"))).alias("mean"),
+        F.percentile(drawn, F.lit(0.025)).alias("lo"),
+        F.percentile(drawn, F.lit(0.975)).alias("hi"),
     )
 
 
+def picked_means(df: DataFrame, group: str, value: str, order: list[str], picks: int, resamples: int) -> DataFrame:
+    """``group, r, m``: means of ``picks`` values of a group drawn with replacement, ``resamples`` times.
+
+    Draws name places in the group's order, so only as many rows as draws meet the values.
+    """
+    places = df.withColumn("_k", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
+    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
+    draws = sizes.withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(resamples)))).withColumn("_i", F.explode(F.sequence(F.lit(1), F.lit(picks))))
+    draws = draws.select(group, "r", (F.floor(draw(F.col("r"), F.col("_i"), F.col(group)) * F.col("_n")) + 1).cast("int").alias("_k"))
+    return draws.join(places, [group, "_k"]).groupBy(group, "r").agg((F.sum(value) / F.count(F.lit(1))).alias("m"))
+
+
+def fixed_width_edges(least: float, most: float, width: float) -> list[float]:
+    """Left edges from one below the least value; the last bin takes what is left, up to twice the width."""
+    n = max(0, math.ceil((most - (least - 1) - 2 * width) / width))
+    return [least - 1 + k * width for k in range(n + 1)]
+
+
+def middles(edges: list[float], most: float) -> list[float]:
+    """Centres of bins; the last one lies between its edge and the greatest value."""
+    return [(a + b) / 2 for a, b in zip(edges, [*edges[1:], most])]
+
+
+def fixed_width_bins(df: DataFrame, x: str, y: str, row: list[str], width: float, resamples: int = 100) -> DataFrame:
+    """``bin, middle, n, mean, lo, hi`` of every bin of equal width; an empty bin has mean 0 and no interval."""
+    ends = df.agg(F.min(x), F.max(x)).first()
+    if ends[0] is None:
+        return df.sparkSession.createDataFrame([], "bin long, middle double, n long, mean double, lo double, hi double")
+    edges = fixed_width_edges(float(ends[0]), float(ends[1]), width)
+    all_bins = df.sparkSession.createDataFrame(list(zip(range(len(edges)), middles(edges, float(ends[1])))), "bin long, middle double")
+    place = F.least(F.ceil((F.col(x) - F.lit(edges[0])) / F.lit(width)) - 1, F.lit(len(edges) - 1)).cast("long")
+    found = intervals(df.withColumn("bin", place), ["bin"], y, row, resamples)
+    return all_bins.join(found, "bin", "left").select("bin", "middle", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("mean", F.lit(0.0)).alias("mean"), "lo", "hi")
+
+
+def log_fit(df: DataFrame, group: str, x: str, y: str) -> DataFrame:
+    """``group, slope, intercept`` of the line through log10 x and log10 y; values that aren't positive don't count."""
+    p = df.where((F.col(x) > 0) & (F.col(y) > 0)).select(group, F.log10(x).alias("_x"), F.log10(y).alias("_y"))
+    return p.groupBy(group).agg(F.regr_slope("_y", "_x").alias("slope"), F.regr_intercept("_y", "_x").alias("intercept"))
+
+
+def pooled_ranks(counts: DataFrame, rank: str, n: str, least: int) -> DataFrame:
+    """``first, last, n``: ranks in order, pooled until a pool has more than ``least`` values; what is left at the end is dropped.
+
+    One row per rank is in play, folded in order.
+    """
+    ranks = counts.agg(F.sort_array(F.collect_list(F.struct(F.col(rank).cast("long").alias("k"), F.col(n).cast("long").alias("n")))).alias("_all"))
+    pool = "array<struct<first:bigint,last:bigint,n:bigint>>"
+    start = F.struct(F.lit(None).cast("long").alias("first"), F.lit(0).cast("long").alias("n"), F.array().cast(pool).alias("out"))
+
+    def step(s: Column, r: Column) -> Column:
+        first, total = F.coalesce(s["first"], r["k"]), s["n"] + r["n"]
+        full = total > least
+        done = F.concat(s["out"], F.array(F.struct(first.alias("first"), r["k"].alias("last"), total.alias("n"))))
+        return F.struct(F.when(~full, first).alias("first"), F.when(full, F.lit(0).cast("long")).otherwise(total).alias("n"), F.when(full, done).otherwise(s["out"]).alias("out"))
+
+    return ranks.select(F.explode(F.aggregate("_all", start, step, lambda s: s["out"])).alias("p")).select("p.*")
+
+
+def spread_rank(df: DataFrame, keys: list[str], order: list[str], parts: int = 64) -> DataFrame:
+    """Add ``_rank`` (from 1) of each row within ``keys`` by ``order``, without a task that holds a whole group.
+
+    Rows are dealt to ranges of the first column of the order by approximate quantiles of each group, a
+    bounded sketch; counts of ranges give the rank where each begins, and each range is ranked on its own.
+    """
+    at = [i / parts for i in range(1, parts)]
+    cuts = df.groupBy(*keys).agg(F.percentile_approx(order[0], at, 1000).alias("_cuts"))
+    same = [F.col(f"d.{k}").eqNullSafe(F.col(f"c.{k}")) for k in keys]
+    on = same[0] if len(same) == 1 else same[0] & same[1]
+    dealt = df.alias("d").join(cuts.alias("c"), on).select("d.*", F.size(F.filter(F.col("_cuts"), lambda e: e < F.col(f"d.{order[0]}"))).alias("_range"))
+    sizes = dealt.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(*keys, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    ranked = dealt.withColumn("_k", F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(*order)))
+    joined = ranked.alias("d").join(starts.alias("c"), [*same, F.col("d._range") == F.col("c._range")])
+    return joined.select(*[F.col(f"d.{c}") for c in df.columns], (F.col("_before") + F.col("_k")).cast("long").alias("_rank"))
+
+
+def exact_percentiles(df: DataFrame, key: str, value: str, shares: list[float], parts: int = 64) -> DataFrame:
+    """``key, p0, p1, ...``: linear percentiles of few large groups: values are ranked in ranges, and two of them interpolate each."""
+    rows = df.where(F.col(value).isNotNull()).select(key, value)
+    ranked = spread_rank(rows, [key], [value], parts)
+    sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    joined = ranked.alias("d").join(sizes.alias("c"), F.col(f"d.{key}").eqNullSafe(F.col(f"c.{key}"))).select(F.col(f"d.{key}"), F.col(f"d.{value}").alias("_v"), "_rank", "_n")
+    place = [1 + s * (F.col("_n") - 1) for s in shares]
+    picks = []
+    for i, p in enumerate(place):
+        picks += [F.max(F.when(F.col("_rank") == F.floor(p), F.col("_v"))).alias(f"_a{i}"), F.max(F.when(F.col("_rank") == F.ceil(p), F.col("_v"))).alias(f"_b{i}")]
+    got = joined.groupBy(key).agg(F.first("_n").alias("_n"), *picks)
+    between = [(F.col(f"_a{i}") + (p - F.floor(p)) * (F.col(f"_b{i}") - F.col(f"_a{i}"))).alias(f"p{i}") for i, p in enumerate(place)]
+    return got.select(key, *between)
+
+
 def moments(df: DataFrame, group: str, value: str) -> DataFrame:
     """``n, mean, m2, m3, m4`` by group: central moments about the group's mean, in two passes."""
     mean = df.where(F.col(value).isNotNull()).groupBy(group).agg(F.avg(value).alias("mean"))
@@ -105,7 +202,7 @@ def chi2_tail_3(x: float) -> float:
 
 def box(df: DataFrame, group: str, value: str) -> DataFrame:
     """Quartiles, whisker ends (the furthest values within 1.5 times the box) and counts by group."""
-    q = df.groupBy(group).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+    q = exact_percentiles(df, group, value, [0.25, 0.5, 0.75]).select(F.col(group), F.array("p0", "p1", "p2").alias("q"))
     reach = 1.5 * (F.col("q")[2] - F.col("q")[0])
     inside = F.col(value).between(F.col("q")[0] - reach, F.col("q")[2] + reach)
     return df.join(q, group).groupBy(group).agg(
@@ -115,6 +212,5 @@ def box(df: DataFrame, group: str, value: str) -> DataFrame:
 
 def equal_count_bins(df: DataFrame, group: str, x: str, y: str, tie: list[str], size: int) -> DataFrame:
     """Bins of ``size`` rows in order of x (then ``tie``) within a group: ``group, bin, n, low, high, sum_y``."""
-    order = Window.partitionBy(group).orderBy(x, *tie)
-    b = df.withColumn("bin", F.floor((F.row_number().over(order) - 1) / size).cast("long"))
+    b = spread_rank(df, [group], [x, *tie]).withColumn("bin", F.floor((F.col("_rank") - 1) / size).cast("long"))
     return b.groupBy(group, "bin").agg(F.count(F.lit(1)).alias("n"), F.min(x).alias("low"), F.max(x).alias("high"), F.sum(y).alias("sum_y"))

@@ -93,14 +93,15 @@ def censored(events: DataFrame) -> DataFrame:
 
     Also ``patch_uncensored``: no visit of the region of that plate is censored.
     """
-    stamps = events.select("plate", (F.col("region") >= 0).alias("is_visit"), "start2", "end2")
-    starts = stamps.groupBy("plate", F.col("start2").alias("s"), F.col("is_visit")).agg(F.lit(1).alias("one"))
-    ends = stamps.groupBy("plate", F.col("end2").alias("s"), F.col("is_visit")).agg(F.lit(1).alias("one"))
-    e = events.withColumn("is_visit", F.col("region") >= 0)
-    before = ends.select("plate", F.col("s").alias("start2"), (~F.col("is_visit")).alias("is_visit"), F.lit(True).alias("opened"))
-    after = starts.select("plate", F.col("s").alias("end2"), (~F.col("is_visit")).alias("is_visit"), F.lit(True).alias("closed"))
-    joined = e.join(before, ["plate", "start2", "is_visit"], "left").join(after, ["plate", "end2", "is_visit"], "left")
-    out = joined.withColumn("uncensored", F.coalesce(F.col("opened") & F.col("closed"), F.lit(False)))
+    e = events.withColumns({"_id": F.row_number().over(Window.partitionBy("plate").orderBy("start2", "end2", "region")), "_visit": F.col("region") >= 0})
+    both = e.withColumn("_end", F.explode(F.array(F.lit(False), F.lit(True)))).withColumn("_stamp", F.when(F.col("_end"), F.col("end2")).otherwise(F.col("start2")))
+    # at a stamp: whether events of each kind end there, and whether they start there
+    here = Window.partitionBy("plate", "_stamp")
+    has = lambda kind, end: F.max(((F.col("_visit") == kind) & (F.col("_end") == end)).cast("int")).over(here)
+    met = F.when(F.col("_visit"), F.when(F.col("_end"), has(False, False)).otherwise(has(False, True))).otherwise(F.when(F.col("_end"), has(True, False)).otherwise(has(True, True)))
+    out = both.withColumn("_met", met).groupBy("plate", "_id").agg(
+        F.first("start2").alias("start2"), F.first("end2").alias("end2"), F.first("region").alias("region"), (F.min("_met") == 1).alias("uncensored")
+    )
     whole = F.min(F.col("uncensored").cast("int")).over(Window.partitionBy("plate", "region")) == 1
     return out.withColumn("patch_uncensored", whole & (F.col("region") >= 0)).select("plate", "start2", "end2", "region", "uncensored", "patch_uncensored")
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -70,28 +73,56 @@ def coverage(obs: DataFrame) -> DataFrame:
     )
 
 
+def kept_rows(obs: DataFrame, radius: float) -> DataFrame:
+    """Add ``kept``: whether a row is farther than ``radius`` from the plate's last kept row; its first row is kept.
+
+    Keeping depends on what was kept, so rows are read in order, an Arrow batch at a time, with the
+    last kept position carried on; a plate is never in memory as a whole.
+    """
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for b in batches:
+            plate, x, y = b.column("plate").to_pylist(), b.column("x").to_numpy().astype(float), b.column("y").to_numpy().astype(float)
+            kept = np.zeros(len(plate), bool)
+            i = 0
+            while i < len(plate):
+                if last is None or last[0] != plate[i]:
+                    kept[i], last = True, (plate[i], x[i], y[i])
+                    i += 1
+                    continue
+                part = slice(i, i + 256)
+                far = (x[part] - last[1]) ** 2 + (y[part] - last[2]) ** 2 > radius * radius
+                stop = next((k for k, p in enumerate(plate[part]) if p != last[0]), len(far))
+                k = int(far[:stop].argmax()) if far[:stop].any() else stop
+                i += k
+                if k < stop:
+                    kept[i], last = True, (plate[i], x[i], y[i])
+                    i += 1
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(kept)], names=[*b.schema.names, "kept"])
+
+    rows = obs.repartition("plate").sortWithinPartitions("plate", "ord")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    return rows.mapInArrow(scan, f"{kinds}, kept boolean")
+
+
 def smooth(obs: DataFrame, radius: float) -> DataFrame:
     """Keep a row if it is farther than ``radius`` from the last kept row; interpolate the rest between kept rows.
 
-    Rows after the last kept one, and gaps across a track switch, stay as they are. Keeping depends
-    on what was kept, so each plate is one group.
+    Between two kept rows with a track switch strictly between them, rows stay as they are and don't
+    count as smoothed. Rows after the last kept one stay, too, but do count.
     """
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ord").reset_index(drop=True)
-        x, y, track = pdf["x"].to_numpy(float), pdf["y"].to_numpy(float), pdf["track"].to_numpy()
-        kept = [0] if len(pdf) else []
-        for i in range(1, len(pdf)):
-            if (x[i] - x[kept[-1]]) ** 2 + (y[i] - y[kept[-1]]) ** 2 > radius * radius:
-                kept.append(i)
-        sx, sy = x.copy(), y.copy()
-        for a, b in zip(kept, kept[1:]):
-            if b - a > 1 and (track[a : b + 1] == track[a]).all():
-                w = (pd.Series(range(a + 1, b)).to_numpy() - a) / (b - a)
-                sx[a + 1 : b], sy[a + 1 : b] = x[a] + w * (x[b] - x[a]), y[a] + w * (y[b] - y[a])
-        flags = [True] * len(pdf)
-        for i in kept:
-            flags[i] = False
-        return pd.DataFrame({"plate": pdf["plate"], "ord": pdf["ord"], "sx": sx, "sy": sy, "is_smoothed": flags})
-
-    return obs.select("plate", "track", "ord", "x", "y").groupBy("plate").applyInPandas(one, "plate long, ord long, sx double, sy double, is_smoothed boolean")
+    k = kept_rows(obs.select("plate", "track", "ord", "x", "y"), radius)
+    switched = F.coalesce((F.col("track") != F.lag("track").over(by_frame())).cast("int"), F.lit(0))
+    k = k.withColumn("_switched", switched).withColumn("_switches", F.sum("_switched").over(by_frame()))
+    at = F.when(F.col("kept"), F.struct("ord", "x", "y", "_switches", "_switched"))
+    k = k.withColumns({
+        "_a": F.last(at, True).over(by_frame().rowsBetween(Window.unboundedPreceding, Window.currentRow)),
+        "_b": F.first(at, True).over(by_frame().rowsBetween(1, Window.unboundedFollowing)),
+    })
+    cut = F.col("_b._switches") - F.col("_b._switched") > F.col("_a._switches")
+    moved = ~F.col("kept") & F.col("_b").isNotNull() & ~F.coalesce(cut, F.lit(False))
+    share = (F.col("ord") - F.col("_a.ord")) / (F.col("_b.ord") - F.col("_a.ord"))
+    line = lambda c: F.when(moved, F.col(f"_a.{c}") + share * (F.col(f"_b.{c}") - F.col(f"_a.{c}"))).otherwise(F.col(c).cast("double"))
+    flag = ~F.col("kept") & ~F.coalesce(cut, F.lit(False))
+    return k.select("plate", "ord", line("x").alias("sx"), line("y").alias("sy"), flag.alias("is_smoothed"))

@@ -1,12 +1,8 @@
-"""Models of foraging: intake, seeded simulations of travel and visits, walks in an arena of discs."""
+"""Models of foraging: intake, recovery, transition shares, turns."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -37,105 +33,22 @@ def with_revisits(transitions: DataFrame, p_stay: float) -> DataFrame:
     return t.withColumn("p_new", F.when((F.col("_other") == 0) | ~F.col("_self"), F.col("p")).otherwise(scaled)).drop("_other", "_self")
 
 
-def quantile_pools(durations: DataFrame, keys: list[str], points: int = 101) -> DataFrame:
-    """``points`` approximate quantiles of ``dur`` by key: a bounded stand-in for a pool of observed durations.
-
-    The sketch merges before the shuffle, so a key with many rows needs no more memory than another.
-    """
-    at = [i / (points - 1) for i in range(points)]
-    return durations.groupBy(*keys).agg(F.percentile_approx("dur", at, 10_000).alias("pool"))
-
-
-def simulate_visits(spark: SparkSession, transitions: DataFrame, transit_pools: DataFrame, visit_pools: DataFrame, n: int, length: float, seed: int = 11) -> DataFrame:
-    """``experiment, pos, start, end, region`` of ``n`` simulated experiments of total ``length``.
-
-    The next region is drawn by its share, travel and stay from quantile pools. The tables that go to
-    the tasks have a row per pair of regions. A region without moves restarts at a drawn one.
-    """
-    moves: dict[int, tuple[list[int], list[float]]] = {}
-    for r in transitions.select("src", "dst", "p").orderBy("src", "dst").collect():
-        to, p = moves.setdefault(r.src, ([], []))
-        to.append(r.dst)
-        p.append(r.p)
-    travel = {(r.src, r.dst): np.array(r.pool) for r in transit_pools.collect()}
-    stay = {r.region: np.array(r.pool) for r in visit_pools.collect()}
-    starts = sorted(stay)
-
-    def draw(rng: np.random.Generator, pool: np.ndarray) -> float:
-        return float(np.interp(rng.random() * (len(pool) - 1), np.arange(len(pool)), pool))
-
-    def one(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for e in batch["id"]:
-                rng, now, pos = np.random.default_rng([seed, int(e)]), 0.0, 0
-                here = int(rng.choice(starts))
-                while now < length:
-                    last = min(now + max(draw(rng, stay[here]), 1.0), length)
-                    out.append((int(e), pos, now, last, here))
-                    to, p = moves.get(here, (starts, [1 / len(starts)] * len(starts)))
-                    there = int(rng.choice(to, p=np.array(p) / sum(p)))
-                    gap = draw(rng, travel[here, there]) if (here, there) in travel else 0.0
-                    now, here, pos = last + max(gap, 0.0), there, pos + 1
-            yield pd.DataFrame(out, columns=["experiment", "pos", "start", "end", "region"])
-
-    return spark.range(n).mapInPandas(one, "experiment long, pos long, start double, end double, region int")
-
-
-def simulate_rates(grid: DataFrame, steps: int, travel: int = 60, revisit: float = 0.3, seed: int = 5) -> DataFrame:
-    """Mean intake of a forager for each ``leave`` probability and ``tau`` of the grid, seeded by row ``id``.
-
-    At each step it eats at exp(-spent / tau), then leaves with probability ``leave``; it comes back to
-    the same region with probability ``revisit``, else to a fresh one after the travel.
-    """
-
-    def one(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rates = []
-            for i, leave, tau in zip(b["id"], b["leave"], b["tau"]):
-                rng = np.random.default_rng([seed, int(i)])
-                stays = rng.geometric(leave, size=steps)
-                fresh = rng.random(steps) >= revisit
-                fresh[0] = True
-                group = np.cumsum(fresh)
-                total = pd.Series(stays).groupby(group).sum().to_numpy()
-                gain = (1 - np.exp(-total / tau)) / (1 - np.exp(-1 / tau))
-                rates.append(gain.sum() / (stays.sum() + travel * fresh.sum()))
-            yield b.assign(rate=rates)
-
-    return grid.mapInPandas(one, "id long, leave double, tau double, rate double")
-
-
-def walk(spark: SparkSession, centres: list[tuple[float, float]], n: int, steps: int, turn: float, speed: float, radius: float, arena: float, seed: int = 3) -> DataFrame:
-    """Correlated walks in a round arena with discs: ``walker, n_inside, n_visits, n_regions, furthest``.
-
-    Headings change by a normal angle; a step out of the arena turns the heading to the centre. All
-    walkers of a batch step together; each has its own seed, so batches don't change results.
-    """
-
-    at = np.array(centres, float)
-
-    def one(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            ids = b["id"].to_numpy()
-            rngs = [np.random.default_rng([seed, int(i)]) for i in ids]
-            heading = np.array([r.uniform(-np.pi, np.pi) for r in rngs])
-            turns = np.stack([r.normal(0, turn, steps) for r in rngs])
-            pos, last = np.zeros((len(ids), 2)), np.full(len(ids), -1)
-            inside, visits, far = np.zeros(len(ids), int), np.zeros(len(ids), int), np.zeros(len(ids))
-            seen = np.zeros((len(ids), len(at)), bool)
-            for k in range(steps):
-                heading = heading + turns[:, k]
-                new = pos + speed * np.column_stack([np.cos(heading), np.sin(heading)])
-                out = np.hypot(new[:, 0], new[:, 1]) > arena
-                heading = np.where(out, np.arctan2(-pos[:, 1], -pos[:, 0]), heading)
-                pos = np.where(out[:, None], pos, new)
-                gap = np.hypot(pos[:, None, 0] - at[None, :, 0], pos[:, None, 1] - at[None, :, 1])
-                region = np.where(gap.min(axis=1) <= radius, gap.argmin(axis=1), -1)
-                inside += region >= 0
-                visits += (region >= 0) & (region != last)
-                seen[np.flatnonzero(region >= 0), region[region >= 0]] = True
-                far, last = np.maximum(far, np.hypot(pos[:, 0], pos[:, 1])), region
-            yield pd.DataFrame({"walker": ids, "n_inside": inside, "n_visits": visits, "n_regions": seen.sum(axis=1), "furthest": far})
-
-    return spark.range(n).mapInPandas(one, "walker long, n_inside long, n_visits long, n_regions long, furthest double")
+def intake_rates(stays: DataFrame, taus: list[float], travel_s: float) -> DataFrame:
+    """Mean intake of observed stays (``dur_s`` seconds) under exponential depletion, by ``grp``: a whole stay's intake in closed form."""
+    grid = stays.withColumn("tau", F.explode(F.array(*map(F.lit, taus))))
+    gain = F.col("tau") * (1 - F.exp(-F.col("dur_s") / F.col("tau")))
+    sums = grid.groupBy("grp", "tau").agg(F.count(F.lit(1)).alias("n"), F.sum(gain).alias("gain"), F.sum("dur_s").alias("dur_s"))
+    return sums.select("grp", "tau", "n", (F.col("gain") / (F.col("dur_s") + F.col("n") * travel_s)).alias("rate"))
+
+
+def turns(obs: DataFrame, width_deg: int) -> DataFrame:
+    """Turning angles of observed ways by plate: counts and mean step by bins of ``width_deg`` degrees in (-180, 180]."""
+    order = Window.partitionBy("plate", "track").orderBy("ord")
+    way = obs.withColumns({"_dx": F.col("x") - F.lag("x").over(order), "_dy": (F.col("y") - F.lag("y").over(order)) * 100})
+    way = way.withColumns({"_px": F.lag("_dx").over(order), "_py": F.lag("_dy").over(order)})
+    way = way.where("(_dx <> 0 or _dy <> 0) and (_px <> 0 or _py <> 0)")
+    cross, dot = F.col("_px") * F.col("_dy") - F.col("_py") * F.col("_dx"), F.col("_px") * F.col("_dx") + F.col("_py") * F.col("_dy")
+    deg = F.degrees(F.atan2(cross.cast("double"), dot.cast("double")))
+    step = F.floor(F.sqrt((F.col("_dx") * F.col("_dx") + F.col("_dy") * F.col("_dy")).cast("double")) + 0.5).cast("long")
+    bins = way.withColumns({"bin": F.floor(deg / width_deg).cast("long"), "step": step})
+    return bins.groupBy("plate", "bin").agg(F.count(F.lit(1)).alias("n"), F.sum("step").alias("sum_step"))

@@ -395,7 +395,7 @@ def bin08(spark, d):
 @query("sta05_percentiles", f"WITH {VISITS} SELECT region, round(quantile_cont(end_t - start_t, 0.15), 3) AS p15, round(median(end_t - start_t), 3) AS med FROM v GROUP BY region")
 def sta05(spark, d):
     v = ev.visits(observations(spark, d)).withColumn("dur", F.col("end") - F.col("start"))
-    return v.groupBy("region").agg(F.round(F.percentile("dur", F.lit(0.15)), 3).alias("p15"), F.round(F.median("dur"), 3).alias("med"))
+    return stats.exact_percentiles(v, "region", "dur", [0.15, 0.5]).select("region", F.round("p0", 3).alias("p15"), F.round("p1", 3).alias("med"))
 
 
 @query("sta03_regression", "SELECT l_returnflag, round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 2) AS intercept, round(pow(corr(l_quantity, l_extendedprice), 2), 6) AS r2 FROM lineitem GROUP BY l_returnflag")
@@ -408,13 +408,6 @@ def sta03(spark, d):
     )
 
 
-@query("sta01_bootstrap")
-def sta01(spark, d):
-    """Mean visits of a condition with a seeded bootstrap interval; random, so no SQL."""
-    per_plate = ev.visits(observations(spark, d)).groupBy("plate").agg(F.count(F.lit(1)).cast("double").alias("n"))
-    return stats.bootstrap_means(per_plate.withColumn("condition_id", condition_of(F.col("plate")).cast("long")), "condition_id", "n")
-
-
 @query("set_distinct_regions", f"WITH {OBS} SELECT DISTINCT plate, region FROM obs WHERE region >= 0 EXCEPT SELECT plate, region FROM obs WHERE ord = 1")
 def set04(spark, d):
     """Regions of a plate other than the one of its first row."""

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -44,29 +42,44 @@ def mod12(spark, d):
     return md.with_revisits(ev.transitions(ev.visits(observations(spark, d))), 0.25).select("src", "dst", F.round("p_new", 9).alias("p_new"))
 
 
-@query("mod02_simulated_rates")
+@query(
+    "mod02_intake_rates",
+    f"""WITH {VISITS}, st AS (SELECT CAST(plate % 8 AS INTEGER) AS grp, tau, (end_t - start_t) / 1e6 AS dur_s FROM v, (SELECT unnest([3600.0, 86400.0, 864000.0]::DOUBLE[]) AS tau))
+SELECT grp AS condition_id, tau, count(*) AS n, round(sum(tau * (1 - exp(-dur_s / tau))) / (sum(dur_s) + count(*) * 600.0), 9) AS rate FROM st GROUP BY grp, tau""",
+)
 def mod02(spark, d):
-    """Simulated intake over a grid of leaving probabilities; random, so no SQL."""
-    grid = spark.range(60).select("id", ((F.col("id") % 20 + 1) / 200).alias("leave"), F.element_at(F.array(F.lit(50.0), F.lit(100.0), F.lit(200.0)), F.floor(F.col("id") / 20).cast("int") + 1).alias("tau"))
-    return md.simulate_rates(grid, 2000)
+    """Intake rate that the observed stays of a condition give, for several rates of depletion."""
+    stays = ev.visits(observations(spark, d)).select(condition_of(F.col("plate")).alias("grp"), ((F.col("end") - F.col("start")) / 1e6).alias("dur_s"))
+    return md.intake_rates(stays, [3600.0, 86400.0, 864000.0], 600.0).select(F.col("grp").alias("condition_id"), "tau", "n", F.round("rate", 9).alias("rate"))
 
 
-@query("mod11_simulated_visits")
-def mod11(spark, d):
-    """Totals of simulated experiments with the moves, travels and stays of the recordings; random, so no SQL."""
-    v = ev.visits(observations(spark, d))
-    order = Window.partitionBy("plate").orderBy("start", "end", "region")
-    gaps = v.select(F.col("region").alias("src"), F.lead("region").over(order).alias("dst"), (F.lead("start").over(order) - F.col("end")).alias("dur")).where("dst is not null")
-    stays = v.select("region", (F.col("end") - F.col("start")).alias("dur"))
-    s = md.simulate_visits(spark, ev.transitions(v), md.quantile_pools(gaps, ["src", "dst"]), md.quantile_pools(stays, ["region"]), 400, 20 * 86_400e6)
-    return s.groupBy("experiment").agg(F.count(F.lit(1)).alias("n_visits"), F.count_distinct("region").alias("n_regions"), F.sum(F.col("end") - F.col("start")).alias("visit_us"))
+@query(
+    "mod05_turns",
+    f"""WITH {OBS}, w1 AS (SELECT plate, track, ord, x - lag(x) OVER w AS dx, (y - lag(y) OVER w) * 100 AS dy FROM obs WINDOW w AS (PARTITION BY plate, track ORDER BY ord)),
+w2 AS (SELECT *, lag(dx) OVER w AS px, lag(dy) OVER w AS py FROM w1 WINDOW w AS (PARTITION BY plate, track ORDER BY ord))
+SELECT plate, CAST(floor(degrees(atan2((px * dy - py * dx)::DOUBLE, (px * dx + py * dy)::DOUBLE)) / 30) AS BIGINT) AS bin, count(*) AS n, CAST(sum(floor(sqrt((dx * dx + dy * dy)::DOUBLE) + 0.5)) AS BIGINT) AS sum_step
+FROM w2 WHERE (dx <> 0 OR dy <> 0) AND (px <> 0 OR py <> 0) GROUP BY 1, 2""",
+)
+def mod05(spark, d):
+    """Turning angles and steps of the observed ways, which a correlated walk would be made of."""
+    return md.turns(observations(spark, d), 30)
 
 
-@query("mod05_walks")
-def mod05(spark, d):
-    """Walks among seven discs; random, so no SQL."""
-    ring = [(0.0, 0.0)] + [(400 * math.cos(k * math.pi / 3), 400 * math.sin(k * math.pi / 3)) for k in range(6)]
-    return md.walk(spark, ring, 400, 2000, 0.3, 6.0, 42.114, 698.0)
+@query(
+    "mod11_moves",
+    f"""WITH {VISITS}, mv AS (SELECT plate, region AS src, end_t - start_t AS stay, lead(region) OVER w AS dst, lead(start_t) OVER w - end_t AS travel, row_number() OVER w AS rank FROM v WINDOW w AS (PARTITION BY plate ORDER BY start_t, end_t, region)),
+n AS (SELECT least(rank, 4) AS rank, src, dst, count(*) AS n, CAST(sum(stay) AS BIGINT) AS stay_us, CAST(sum(travel) AS BIGINT) AS travel_us FROM mv WHERE dst IS NOT NULL GROUP BY 1, 2, 3)
+SELECT *, n / sum(n) OVER (PARTITION BY rank, src) AS p FROM n""",
+)
+def mod11(spark, d):
+    """Shares, stays and travels of moves by rank of the visit (the fourth and later as one), which a Markov chain of visits takes."""
+    order = Window.partitionBy("plate").orderBy("start", "end", "region")
+    mv = ev.visits(observations(spark, d)).select(
+        F.least(F.row_number().over(order), F.lit(4)).cast("long").alias("rank"), F.col("region").alias("src"), F.lead("region").over(order).alias("dst"),
+        (F.col("end") - F.col("start")).alias("stay"), (F.lead("start").over(order) - F.col("end")).alias("travel"),
+    ).where("dst is not null")
+    n = mv.groupBy("rank", "src", "dst").agg(F.count(F.lit(1)).alias("n"), F.sum("stay").alias("stay_us"), F.sum("travel").alias("travel_us"))
+    return n.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy("rank", "src")))
 
 
 @query(
