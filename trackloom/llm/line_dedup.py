@@ -22,18 +22,17 @@ def line_key(line: Column) -> Column:
 def boilerplate_keys(lines: DataFrame, min_sites: int = SITES, bits: int = SKETCH_BITS, band: float = BAND) -> DataFrame:
     """Keys of the lines on ``min_sites`` sites or more, from ``(key, site)`` rows.
 
-    HyperLogLog sketches of sites are built per key within each task and merged in the final
-    aggregation, so the most frequent line sends one sketch per task. Keys whose estimate falls in
-    the band around the threshold get an exact distinct count instead; the band is many standard
-    errors wide, and beyond it the sketch decides. Keys seen on one site only have no sketch.
+    HyperLogLog sketches of sites are built per key within each task that reads lines and merged in
+    the final aggregation, so the most frequent line sends one sketch per task. Keys whose estimate
+    falls in the band around the threshold get an exact distinct count instead; the band is many
+    standard errors wide, and beyond it the sketch decides. The distinct count, too, begins within tasks.
     """
-    spread = lines.groupBy("key").agg(F.min("site").alias("_lo"), F.max("site").alias("_hi")).where("_lo < _hi").select("key")
-    shared = lines.join(spread, "key", "left_semi")
-    sketched = shared.groupBy("key").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(bits))).alias("_sites"))
+    sketched = lines.groupBy("key").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(bits))).alias("_sites"))
     sketched = materialize(sketched.where(F.col("_sites") >= min_sites * (1 - band)), "lines-sketched")
     sure = sketched.where(F.col("_sites") > min_sites * (1 + band)).select("key")
     near = sketched.where(F.col("_sites") <= min_sites * (1 + band)).select("key")
-    exact = lines.join(near, "key", "left_semi").distinct().groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_sites).select("key")
+    pairs = lines.groupBy("key", "site").agg(F.count(F.lit(1)).alias("_rows"))
+    exact = pairs.join(near, "key", "left_semi").groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_sites).select("key")
     return sure.unionByName(exact)
 
 
@@ -42,7 +41,8 @@ def dedup_lines(
 ) -> DataFrame:
     """Remove from every text the lines that stand on ``min_sites`` distinct sites or more.
 
-    Lines end at line feeds and are compared without outer blanks; blank lines always stay. A null
+    Lines end at line feeds and are compared without outer blanks (spaces alone, so a line that ends in
+    a carriage return is another line); blank lines always stay. Texts of any length are taken whole. A null
     site counts as one site of its own (it is named by the empty text). Returns ``doc_id, clean_text,
     n_lines, n_removed`` for each row; a null text stays null with no lines, repeated rows stay
     repeated, an empty table gives an empty result, other columns are dropped. Rows keep their text
@@ -58,7 +58,9 @@ def dedup_lines(
     bad = boilerplate_keys(lines.select("key", "site"), min_sites)
     hits = lines.join(bad, "key", "left_semi").groupBy("_doc").agg(F.collect_set("_pos").alias("_bad"))
     parts = F.split("_text", "\n")
-    kept = F.filter(F.transform(parts, lambda x, i: F.when(~F.array_contains("_bad", i), x)), lambda x: x.isNotNull())
+    # positions that stay, by a hash set; the outer arrays of one hold what is to be computed once for all lines
+    stay = lambda p: F.array_except(F.sequence(F.lit(0), F.size(p) - 1), F.col("_bad"))
+    kept = F.get(F.transform(F.array(parts), lambda p: F.transform(stay(p), lambda i: F.get(p, i))), F.lit(0))
     text = F.when(F.col("_bad").isNull(), F.col("_text")).otherwise(F.array_join(kept, "\n"))
     return base.join(hits, "_doc", "left").select(
         "doc_id",
