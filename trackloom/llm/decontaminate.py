@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import ascii_lower, materialize
+from trackloom.llm.common import ascii_lower, checked_keep, materialize
 
 WINDOW_WORDS = 13
 SHINGLE_WORDS = 3
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Item windows up to this many rows go to every executor; beyond it, the join shuffles instead.
-BROADCAST_ROWS = 200_000
+#: Item windows up to this many rows go to every executor; beyond it, the join shuffles instead, after a
+#: sieve of so many bits (a table of a 64th of them in rows, which is what goes to executors then).
+BROADCAST_ROWS, SIEVE_BITS = 200_000, 1 << 26
 
 
 def words_of(text: Column) -> Column:
@@ -37,32 +38,44 @@ def item_windows(items: DataFrame, id_col: str = "item_id", text_col: str = "tex
     )
 
 
+def sieved(tokens: DataFrame, shingles: DataFrame, bits: int = SIEVE_BITS) -> DataFrame:
+    """Rows of ``tokens`` whose ``_shingle`` may be one of ``shingles``: all that are, and few others.
+
+    The sieve has one bit for each remainder of a hash, 64 in a row, so it is bounded whatever the benchmark.
+    """
+    slot = F.pmod(F.col("_shingle"), F.lit(bits))
+    word, bit = F.shiftright(slot, 6), slot.bitwiseAND(63).cast("int")
+    table = shingles.select(word.alias("_word"), bit.alias("_bit")).distinct()
+    table = table.groupBy("_word").agg(F.bit_or(F.expr("shiftleft(1L, _bit)")).alias("_bits"))
+    return tokens.withColumn("_word", word).join(F.broadcast(table), "_word").where(F.getbit("_bits", bit) == 1).select(tokens.columns)
+
+
 def find_occurrences(docs: DataFrame, items: DataFrame, window_words: int = WINDOW_WORDS) -> DataFrame:
-    """``_doc, start, n, item_ids`` of each item window in each document's ``_words``.
+    """``_doc, start, n, item_ids`` of each item window in each document's ``_words``; ``_doc`` is a row's own number.
 
     Exact containment needs every shingle of a window, so its prefix is one shingle. Shingles of
     windows are ordered by how often the whole corpus has them, and a window is looked up by its
     rarest alone. A candidate must lie where the window fits the document (positional and length
-    bounds), and is verified word for word over the window. Windows that items share are looked up once.
+    bounds), and is verified word for word over the window. Windows that items share are looked up
+    once. Where windows are too many to go to every executor, shingles of documents pass a bounded
+    sieve first; what passes is shuffled without text, and words come back to candidates by document.
     """
     windows = items.groupBy("words", "n").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"))
     windows = materialize(windows.withColumn("_w", F.xxhash64("words")), "item-windows")
-    n_rows = windows.count()
-    small = n_rows * window_words <= BROADCAST_ROWS
-
-    def near(side: DataFrame) -> DataFrame:
-        return F.broadcast(side) if small else side
-
+    small = windows.count() * window_words <= BROADCAST_ROWS
     sizes = sorted({min(r["n"], SHINGLE_WORDS) for r in windows.select("n").distinct().collect()})
     found = None
     for size in sizes:
         own = windows.where(F.least("n", F.lit(SHINGLE_WORDS)) == size)
         places = own.select("words", "n", "item_ids", "_w", F.explode(F.sequence(F.lit(0), F.col("n") - size)).alias("_at"))
         places = places.withColumn("_shingle", shingle_at(F.col("words"), F.col("_at"), size))
-        tokens = docs.select("_doc", "_words", F.posexplode("_words").alias("_pos", "_word")).withColumn(
-            "_shingle", shingle_at(F.col("_words"), F.col("_pos"), size)
-        )
-        counts = tokens.select("_shingle").join(near(places.select("_shingle").distinct()), "_shingle", "left_semi").groupBy("_shingle").agg(F.count(F.lit(1)).alias("_df"))
+        spread = docs.select("_doc", "_words", F.posexplode("_words").alias("_pos", "_word"))
+        tokens = spread.withColumn("_shingle", shingle_at(F.col("_words"), F.col("_pos"), size)).where("_shingle is not null")
+        shingles = places.select("_shingle").distinct()
+        if small:
+            counts = tokens.select("_shingle").join(F.broadcast(shingles), "_shingle", "left_semi").groupBy("_shingle").agg(F.count(F.lit(1)).alias("_df"))
+        else:
+            counts = sieved(tokens.select("_shingle"), shingles).groupBy("_shingle").agg(F.count(F.lit(1)).alias("_df"))
         rarity = materialize(counts, "shingle-counts")
         ranked = Window.partitionBy("_w", "words").orderBy("_df", "_at")
         # a shingle that no document has makes its window impossible
@@ -74,20 +87,20 @@ def find_occurrences(docs: DataFrame, items: DataFrame, window_words: int = WIND
             .select("_shingle", "_at", "n", "item_ids", F.col("words").alias("_window"))
         )
         start = F.col("_pos") - F.col("_at")
-        fits = (start >= 0) & (start + F.col("n") <= F.size("_words"))
         same = F.slice("_words", start + 1, F.col("n")) == F.col("_window")
         if small:
-            d, p = tokens.alias("d"), near(prefixes).alias("p")
+            fits = (start >= 0) & (start + F.col("n") <= F.size("_words"))
+            d, p = tokens.alias("d"), F.broadcast(prefixes).alias("p")
             hits = d.join(p, (F.col("d._shingle") == F.col("p._shingle")) & fits & same).select("_doc", start.alias("start"), "n", "item_ids")
         else:
-            # shingles cross the shuffle without their text; words come back to candidates by document
-            bare = tokens.select("_doc", "_pos", "_shingle", F.size("_words").alias("_len"))
+            prefixes = materialize(prefixes, "item-prefixes")
+            bare = sieved(tokens.select("_doc", "_pos", "_shingle", F.size("_words").alias("_len")), prefixes.select("_shingle"))
             room = (start >= 0) & (start + F.col("n") <= F.col("_len"))
             candidates = bare.join(prefixes, "_shingle").where(room).select("_doc", "_pos", "_at", "n", "item_ids", "_window")
             hits = candidates.join(docs, "_doc").where(same).select("_doc", start.alias("start"), "n", "item_ids")
         found = hits if found is None else found.unionByName(hits)
     if found is None:
-        found = docs.sparkSession.createDataFrame([], "_doc struct<a:bigint,b:bigint>, start int, n int, item_ids array<string>")
+        found = docs.sparkSession.sql("SELECT 0L AS _doc, 0 AS start, 0 AS n, array('') AS item_ids").where("false")
     return found
 
 
@@ -105,13 +118,16 @@ def decontaminate(
 
     Returns ``doc_id, n_words, n_hit, n_items, item_ids, contaminated`` for each row: contaminated
     if a word is hit and hit words are a twentieth of all or more. Null texts have no words and are
-    clean; items without words (or null) match nothing; repeated rows each get the same figures; an
-    empty benchmark leaves all documents clean; an empty table gives an empty result. ``keep`` names
-    columns of ``docs`` to carry along (by their own names); others are dropped.
+    clean; items without words (or null) match nothing; windows of items without an id hit words, but
+    are no item in ``n_items`` and ``item_ids``; repeated rows each get the same figures; texts of any
+    length are taken whole; an empty benchmark leaves all documents clean; an empty table gives an
+    empty result. ``keep`` names columns of ``docs`` to carry along, which can't be named as columns
+    of the result are (an error); others are dropped. Texts are cut into words once, into a work table.
     """
-    text = F.col(text_col)
-    doc = F.struct(F.xxhash64(F.col(id_col), text).alias("a"), F.xxhash64(F.lit(1), text, F.col(id_col)).alias("b"))
-    base = docs.withColumns({"_doc": doc, "_words": words_of(text)})
+    checked_keep(keep, ("doc_id", "n_words", "n_hit", "n_items", "item_ids", "contaminated"))
+    held = F.struct(*[F.col(c) for c in keep]) if keep else F.lit(0)
+    base = docs.select(F.monotonically_increasing_id().alias("_doc"), F.col(id_col).alias("doc_id"), words_of(F.col(text_col)).alias("_words"), held.alias("_keep"))
+    base = materialize(base.withColumn("n_words", F.size("_words").cast("long")), "document-words")
     found = find_occurrences(base.select("_doc", "_words"), item_windows(benchmark, item_id_col, item_text_col, window_words), window_words)
     cover = F.aggregate(
         F.array_sort("_spans"),
@@ -132,13 +148,12 @@ def decontaminate(
     per_doc = materialize(per_doc, "doc-hits")
     n_hit = F.coalesce("_hit", F.lit(0)).cast("long")
     items = F.coalesce("_items", F.array().cast("array<string>"))
-    rows = docs.select(doc.alias("_doc"), F.col(id_col).alias("doc_id"), F.size(words_of(text)).cast("long").alias("n_words"), F.struct(*keep).alias("_keep") if keep else F.lit(None).alias("_keep"))
-    return rows.join(per_doc, "_doc", "left").select(
+    return base.drop("_words").join(per_doc, "_doc", "left").select(
         "doc_id",
         "n_words",
         n_hit.alias("n_hit"),
         F.size(items).cast("long").alias("n_items"),
         items.alias("item_ids"),
         ((n_hit > 0) & (n_hit * 20 >= F.col("n_words"))).alias("contaminated"),
-        *[F.col(f"_keep.{c}").alias(c) for c in keep if c != "doc_id"],
+        *[F.col("_keep")[c].alias(c) for c in keep],
     )
