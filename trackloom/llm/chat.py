@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Markers of a turn by role; any other role (and its name) goes into a generic marker.
@@ -10,7 +10,6 @@ MARKS = {"user": ("[INST] ", " [/INST]"), "assistant": ("<s> ", " </s>"), "syste
 OTHER = ("[ROLE ", "] ", " [/ROLE]")
 #: Where a turn begins in a rendering: no escaped text holds one of these.
 TURN_START = r"(?=\[INST\] |<s> |\[SYS\] |\[ROLE )"
-EVENTS = ("message", "delta", "edit", "regenerate")
 
 
 def escape(text: Column) -> Column:
@@ -27,40 +26,55 @@ def fold_events(
 ) -> DataFrame:
     """Fold an event log into final messages: ``conv_id, messages array<struct<role, text>>``.
 
-    Events of a conversation in order of ``seq`` (nulls first; ties by target, role and text):
+    Events of a conversation in order of ``seq`` (nulls first; ties by target, role, text and kind):
     ``message`` appends a message; ``delta`` adds its text to the last message, or begins one;
     ``edit`` replaces the text of the message with number ``target`` (from 0); ``regenerate`` does
     so and drops every later message. An edit or regeneration of a message that isn't there, and an
-    unknown or null kind, change nothing. Null texts and roles are empty. Each conversation is one
-    group, as its rendering is one value.
+    unknown or null kind, change nothing. Null texts and roles are empty; rows without a conversation
+    are one; rows that repeat are events of their own; an empty log gives no rows; other columns are
+    ignored.
+
+    One sorted pass over a conversation gives the number of messages after each event, and so the
+    message that it acts on; a message is its last beginning, the last text put in its place since,
+    and all deltas after that, joined once. So time grows with the log, however many deltas or edits a
+    conversation or a message has, and texts of any length are copied a few times at most. Each
+    conversation is one group, as its rendering is one value.
     """
-    event = F.struct(
+    events = log.select(
+        F.col(conv).alias("conv_id"),
         F.col(seq).alias("seq"),
         F.col(target).cast("long").alias("target"),
         F.coalesce(F.col(role), F.lit("")).alias("role"),
         F.coalesce(F.col(text), F.lit("")).alias("text"),
         F.col(kind).alias("kind"),
     )
-    grouped = log.groupBy(F.col(conv).alias("conv_id")).agg(F.sort_array(F.collect_list(event)).alias("_log"))
-    plain = ~F.exists("_log", lambda e: ~e["kind"].eqNullSafe(F.lit("message")))
-    message = lambda e: F.struct(e["role"].alias("role"), e["text"].alias("text"))
-
-    def put(done: Column, e: Column) -> Column:
-        n, last = F.size(done), F.size(done) - 1
-        there = e["target"].isNotNull() & (e["target"] >= 0) & (e["target"] < n)
-        grown = F.transform(done, lambda m, i: F.when(i == last, F.struct(m["role"].alias("role"), F.concat(m["text"], e["text"]).alias("text"))).otherwise(m))
-        edited = F.transform(done, lambda m, i: F.when(i == e["target"], F.struct(m["role"].alias("role"), e["text"].alias("text"))).otherwise(m))
-        return (
-            F.when((e["kind"] == "message") | ((e["kind"] == "delta") & (n == 0)), F.concat(done, F.array(message(e))))
-            .when(e["kind"] == "delta", grown)
-            .when((e["kind"] == "edit") & there, edited)
-            .when((e["kind"] == "regenerate") & there, F.filter(edited, lambda _, i: i <= e["target"]))
-            .otherwise(done)
-        )
-
-    empty = F.array().cast("array<struct<role:string,text:string>>")
-    folded = F.when(plain, F.transform("_log", message)).otherwise(F.aggregate("_log", empty, put))
-    return grouped.select("conv_id", folded.cast("array<struct<role:string,text:string>>").alias("messages"))
+    order = Window.partitionBy("conv_id").orderBy("seq", "target", "role", "text", "kind")
+    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    writes = F.col("kind").isin("message", "delta")
+    cuts = (F.col("kind") == "regenerate") & (F.col("target") >= 0)
+    # messages that began, less what regenerations took: a regeneration leaves at most target + 1 of those there were
+    events = events.withColumns({"_r": F.row_number().over(order), "_writes": F.count_if(writes).over(so_far)})
+    events = events.withColumn("_begins", (F.coalesce(F.col("kind") == "message", F.lit(False))) | (F.coalesce(writes, F.lit(False)) & (F.col("_writes") == 1)))
+    events = events.withColumn("_sum", F.count_if("_begins").over(so_far))
+    events = events.withColumn("_n", F.least("_sum", F.col("_sum") + F.min(F.when(cuts, F.col("target") + 1 - F.col("_sum"))).over(so_far)))
+    before = F.coalesce(F.lag("_n").over(order), F.lit(0))
+    there = (F.col("target") >= 0) & (F.col("target") < F.col("_before"))
+    at = F.when(writes, F.col("_n") - 1).when(F.col("kind").isin("edit", "regenerate") & there, F.col("target"))
+    acts = events.withColumn("_before", before).withColumn("_at", at)
+    puts = F.col("_begins") | ~F.coalesce(writes, F.lit(False))
+    piece = F.struct("_r", "text")
+    messages = acts.groupBy("conv_id", "_at").agg(
+        F.max(F.struct("_r", "_n")).alias("_last"),
+        F.max(F.when(F.col("_begins"), F.struct("_r", "role"))).alias("_first"),
+        F.max(F.when(puts, piece)).alias("_put"),
+        F.collect_list(F.when(~puts, piece)).alias("_deltas"),
+    )
+    later = F.filter(F.sort_array("_deltas"), lambda d: d["_r"] > F.col("_put._r"))
+    joined = F.concat_ws("", F.array("_put.text"), F.transform(later, lambda d: d["text"]))
+    one = F.struct("_at", F.col("_first.role").alias("role"), joined.alias("text"))
+    folded = messages.groupBy("conv_id").agg(F.max("_last").alias("_last"), F.collect_list(F.when(F.col("_at").isNotNull(), one)).alias("_all"))
+    final = F.filter(F.sort_array("_all"), lambda m: m["_at"] < F.col("_last._n"))
+    return folded.select("conv_id", F.transform(final, lambda m: F.struct(m["role"].alias("role"), m["text"].alias("text"))).alias("messages"))
 
 
 def _render_turn(m: Column) -> Column:
@@ -75,26 +89,22 @@ def render(folded: DataFrame) -> DataFrame:
     """``conv_id, formatted, loss_spans array<struct<start, end>>`` of folded conversations.
 
     ``loss_spans`` covers the escaped assistant texts in ``formatted``, in code points from 0, end
-    exclusive; markers are never under the mask. A conversation without messages renders empty.
+    exclusive; markers are never under the mask. A conversation without messages (or null ones)
+    renders empty; an empty table gives no rows; rows that repeat an id with other messages are a
+    conversation each, rows that repeat whole are one; other columns are dropped.
     """
-    turns = folded.select("conv_id", "messages", F.transform("messages", _render_turn).alias("_turns"))
     begin, end = (len(x) for x in MARKS["assistant"])
-    lens = F.transform("_turns", lambda t: F.char_length(t).cast("long"))
-    state = F.aggregate(
-        F.arrays_zip(lens.alias("n"), F.transform("messages", lambda m: m["role"] == "assistant").alias("loss")),
-        F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans")),
-        lambda s, x: F.struct(
-            (s["at"] + x["n"]).alias("at"),
-            F.when(
-                x["loss"],
-                F.concat(s["spans"], F.array(F.struct((s["at"] + begin).alias("start"), (s["at"] + x["n"] - end).alias("end")))),
-            )
-            .otherwise(s["spans"])
-            .alias("spans"),
-        ),
-        lambda s: s["spans"],
+    turns = folded.select("conv_id", F.coalesce(F.xxhash64("messages"), F.lit(0)).alias("_which"), F.posexplode_outer("messages").alias("_pos", "_m"))
+    turns = turns.withColumn("_turn", _render_turn(F.col("_m"))).withColumn("_n", F.coalesce(F.char_length("_turn"), F.lit(0)).cast("long"))
+    order = Window.partitionBy("conv_id", "_which").orderBy("_pos")
+    turns = turns.withColumn("_before", F.lag("_pos").over(order)).where("_before is null or _before <> _pos")
+    turns = turns.withColumn("_stop", F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    span = F.struct((F.col("_stop") - F.col("_n") + begin).alias("start"), (F.col("_stop") - end).alias("end"))
+    whole = turns.groupBy("conv_id", "_which").agg(
+        F.collect_list(F.when(F.col("_pos").isNotNull(), F.struct("_pos", "_turn"))).alias("_turns"),
+        F.sort_array(F.collect_list(F.when(F.col("_m.role") == "assistant", span))).alias("loss_spans"),
     )
-    return turns.select("conv_id", F.concat_ws("", "_turns").alias("formatted"), state.alias("loss_spans"))
+    return whole.select("conv_id", F.concat_ws("", F.transform(F.sort_array("_turns"), lambda t: t["_turn"])).alias("formatted"), "loss_spans")
 
 
 def parse(formatted: Column) -> Column:
