@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import fresh
+from trackloom.llm.common import checked_keep, materialize
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -62,27 +62,37 @@ def mix_sources(
     """Give each row the number of copies that the mix takes of it.
 
     A row of a source is expected target / source_size times. Rows of a source stand in order of
-    size class, then hash part, then size and id; the prefix sum of their expected copies plus one
-    offset per source (a hash of the seed and the source) crosses a whole number once for each
-    copy. As sizes are in order, the words taken stay within about one document of a size class of the target.
-    Counts per (source, class, part) give every part's first rank, and each part is ranked on its
-    own, so a source with a third of all rows is spread over many tasks. The result is the same on
-    each run; rows equal in id and text may swap places. A null or empty text has size 0 and takes
-    part; a source of size 0 has target 0 and no copies; null sources form one source; an empty
-    table gives an empty result. ``keep`` names further columns to carry; others are dropped.
+    size class, then hash part, then size and hashes of id and text; the prefix sum of their expected
+    copies plus one offset per source (a hash of the seed and the source) crosses a whole number once
+    for each copy, so a row has at most the rate's next whole number of copies. As sizes are in order,
+    the words taken stay within about one document of a size class of the target. Counts per (source,
+    class, part) give every part's first rank, and each part is ranked on its own, so a source with a
+    third of all rows is spread over many tasks. The result is the same on each run; only rows that
+    are equal in id, text and ``keep`` may swap places.
+
+    Words are counted once, into a work table. A null or empty text has size 0 and takes part; a
+    source of size 0 has target 0 and no copies; null sources form one source; texts of any length
+    are counted whole; an empty table gives an empty result. ``keep`` names further columns to carry,
+    which can't be named as columns of the result are (an error); others are dropped.
     """
-    rows = df.select(
+    checked_keep(keep, ("doc_id", "size", "source_size", "target", "copies", "taken"))
+    text, held = F.col(text_col), F.struct(*[F.col(c) for c in keep]) if keep else F.lit(0)
+    base = df.select(
         F.col(id_col).alias("doc_id"),
         F.col(source_col).alias("_source"),
-        word_count(F.col(text_col)).alias("size"),
-        F.xxhash64(F.col(id_col), F.octet_length(F.col(text_col)), F.lit(seed)).alias("_hash"),
-        *[F.col(c).alias(fresh(df, f"_keep_{c}")) for c in keep],
+        word_count(text).alias("size"),
+        F.xxhash64(F.col(id_col), text, F.lit(seed)).alias("_hash"),
+        F.xxhash64(F.lit(seed), text, held).alias("_more"),
+        held.alias("_keep"),
+        F.monotonically_increasing_id().alias("_row"),
     )
-    kept = rows.columns[4:]
+    base = materialize(base, "mix-rows")
+    rows = base.drop("_keep")
     # classes of sizes: the bit length and the next three bits; sizes below 8 are their own class
     rows = rows.withColumn("_class", F.expr("cast(if(size < 8, size, (length(bin(size)) - 4) * 8 + shiftright(size, length(bin(size)) - 4)) as int)"))
     rows = rows.withColumn("_part", F.pmod(F.col("_hash"), F.lit(CHUNKS)).cast("int"))
     counts = rows.groupBy("_source", "_class", "_part").agg(F.count(F.lit(1)).alias("_n"), F.sum("size").alias("_words"))
+    counts = materialize(counts, "mix-counts")
     targets = source_targets(counts.groupBy("_source").agg(F.sum("_words").alias("source_size")), weights, share, most)
     earlier = Window.partitionBy("_source").orderBy("_class", "_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("_source", "_class", "_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_first"))
@@ -90,7 +100,7 @@ def mix_sources(
     plan = s.join(t, F.col("s._source").eqNullSafe(F.col("t._source"))).select(
         "s._source", "s._class", "s._part", "_first", "source_size", "target"
     )
-    within = Window.partitionBy("_source", "_class", "_part").orderBy("size", "_hash", "doc_id")
+    within = Window.partitionBy("_source", "_class", "_part").orderBy("size", "_hash", "_more", "doc_id")
     r, p = rows.withColumn("_i", F.row_number().over(within) - 1).alias("r"), plan.alias("p")
     ranked = r.join(
         p,
@@ -103,13 +113,9 @@ def mix_sources(
         }
     )
     crossed = F.floor((F.col("_rank") + 1) * F.col("_rate") + F.col("_offset")) - F.floor(F.col("_rank") * F.col("_rate") + F.col("_offset"))
-    copies = F.least(crossed, F.lit(int(most))).cast("int")
-    return ranked.select(
-        "doc_id",
-        "size",
-        "source_size",
-        "target",
-        copies.alias("copies"),
-        (copies * F.col("size")).cast("long").alias("taken"),
-        *[F.col(k).alias(c) for k, c in zip(kept, keep, strict=True)],
+    mixed = ranked.select(
+        "doc_id", "size", "source_size", "target", crossed.cast("int").alias("copies"), (crossed * F.col("size")).cast("long").alias("taken"), "_row"
     )
+    if not keep:
+        return mixed.drop("_row")
+    return mixed.join(base.select("_row", "_keep"), "_row").select(*mixed.columns[:-1], *[F.col("_keep")[c].alias(c) for c in keep])
