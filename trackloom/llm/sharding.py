@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import fresh, utf8_crc32
+from trackloom.llm.common import checked_keep, materialize, utf8_crc32
 
 #: The generator's multiplier in the published algorithm, as its upper and lower 32 bits.
 MULTIPLIER_HI, MULTIPLIER_LO = divmod(2862933555777941757, 1 << 32)
@@ -85,8 +85,10 @@ def shard_documents(df: DataFrame, n_shards: int, id_col: str = "doc_id", text_c
     and each part is numbered on its own, so neither a large shard nor copies of a text meet in
     one task. A null id is a key like any other; a null text has size 8 and CRC 0; rows that
     repeat get slots of their own; an empty table gives an empty result. ``keep`` names further
-    columns of ``df`` to carry along; other columns are dropped, so none can clash.
+    columns of ``df`` to carry along, which can't be named as columns of the result are (an error);
+    other columns are dropped. Texts are read once, for their sizes and sums, into a work table.
     """
+    checked_keep(keep, ("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"))
     id_, text = F.col(id_col), F.col(text_col)
     rows = df.select(
         id_.alias("doc_id"),
@@ -94,12 +96,12 @@ def shard_documents(df: DataFrame, n_shards: int, id_col: str = "doc_id", text_c
         utf8_crc32(text).alias("text_crc32"),
         F.lit("key").alias("law"),
         jump_shards(F.xxhash64(id_), n_shards).alias("_at"),
-        *[F.col(c) for c in keep],
-    )
-    part = fresh(rows, "_part")
-    rows = rows.withColumn(part, F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(CHUNKS)).cast("int")).withColumns(
-        {"shard": F.col("_at.shard"), "grown_shard": F.col("_at.grown")}
+        (F.struct(*[F.col(c) for c in keep]) if keep else F.lit(0)).alias("_keep"),
     )
+    part = "_part"
+    rows = rows.withColumn(part, F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(CHUNKS)).cast("int"))
+    rows = rows.withColumns({"shard": F.col("_at.shard"), "grown_shard": F.col("_at.grown")}).drop("_at")
+    rows = materialize(rows, "shard-rows")
     totals = rows.groupBy("shard", part).agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("shard").orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("shard", part, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
@@ -113,5 +115,5 @@ def shard_documents(df: DataFrame, n_shards: int, id_col: str = "doc_id", text_c
         "shard",
         (F.col("_before") + F.col("_i")).cast("long").alias("slot"),
         "grown_shard",
-        *keep,
+        *[F.col("_keep")[c].alias(c) for c in keep],
     )
