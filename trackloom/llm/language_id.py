@@ -10,6 +10,8 @@ import zstandard as zstd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trackloom.llm.common import checked_keep, materialize
+
 UNKNOWN = "und"
 #: Bounds of what is learned: samples of a language, characters of each, languages.
 SAMPLES, SAMPLE_CHARS, LANGUAGES = 96, 1024, 256
@@ -31,13 +33,18 @@ def learn_dictionaries(
     """Raw-content dictionaries of a bounded sample of labelled texts.
 
     Hashes of texts fall into ``samples`` buckets; the smallest of each language and bucket wins, a
-    plain aggregate over all rows. The beginnings of at most samples * languages texts come to the driver.
+    plain aggregate over all rows. The beginnings of at most samples * languages texts come to the
+    driver; of more languages, those that fill most buckets are learned, by name where they are equal.
+    Rows whose text is null or blank or whose language is null teach nothing; rows that repeat teach
+    once; an empty table gives no dictionary; other columns are ignored.
     """
     rows = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & (F.trim(text_col) != "")).select(
         F.col(lang_col).cast("string").alias("lang"), F.xxhash64(text_col).alias("_h"), F.col(text_col).alias("_text")
     )
     wins = rows.groupBy("lang", F.pmod("_h", F.lit(samples)).alias("_bucket")).agg(F.min("_h").alias("_h")).select("lang", "_h")
-    wins = wins.limit(samples * languages).collect()
+    wins = materialize(wins, "language-samples")
+    common = wins.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(languages)
+    wins = wins.join(common, "lang", "left_semi").collect()
     if not wins:
         return {}
     texts = rows.where(F.col("_h").isin([r["_h"] for r in wins])).select("lang", "_h", F.substring("_text", 1, chars).alias("_text"))
@@ -80,12 +87,14 @@ def identify(df: DataFrame, dictionaries: dict[str, bytes], text_col: str = "tex
     """``keep..., lang_pred, score`` of each row, from its whole text alone.
 
     A text that is null or has no letter is ``und`` with score 0, and so is every text if nothing was
-    learned. Repeated rows stay repeated, an empty table gives an empty result. Columns of ``df`` in
-    ``keep`` are passed on by position, so their names can't clash.
+    learned. Texts of any length are compressed whole, piece by piece. Repeated rows stay repeated, an
+    empty table gives an empty result. ``keep`` can't name columns as the result's own are (an error).
     """
+    checked_keep(keep, ("lang_pred", "score"))
+    shared = df.sparkSession.sparkContext.broadcast(dictionaries)  # bounded by the sample that taught it
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Classifier(dictionaries)
+        model = Classifier(shared.value)
         for batch in batches:
             found = [model.predict(t.as_py()) for t in batch.column(batch.num_columns - 1)]
             made = [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]
