@@ -1,9 +1,11 @@
 """Plain, slow versions of the corpus operators, to test against."""
 
 import hashlib
+import math
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import xxhash
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -108,3 +110,59 @@ def targets(sizes, weights=(5, 2, 1), share=1.5, most=2.0):
         if not over:
             return {s: cut[s] if s in full else level * weight[s] for s, _ in sizes}
         full |= over
+
+
+def signed(x):
+    return x - (1 << 64) if x >> 63 else x
+
+
+def spark_hash(*values):
+    """Spark's xxhash64 of longs (int), ints (given as numpy int32) and strings; null leaves the seed as it is."""
+    seed = 42
+    for v in values:
+        if v is None:
+            continue
+        data = v.encode() if isinstance(v, str) else int(v).to_bytes(8 if type(v) is int else 4, "little", signed=True)
+        seed = xxhash.xxh64_intdigest(data, seed=seed)
+    return signed(seed)
+
+
+def mix(docs, most=2.0, share=1.5, seed=20):
+    """``docs``: (id, text, source). A list of (id, source, size, taken): the sampling replayed row by row."""
+    sizes = Counter()
+    rows = []
+    for i, text, source in docs:
+        n = len(re.findall(r"[^\x20\x09-\x0D]+", text or ""))
+        sizes[source] += n
+        one = np.int32(seed)
+        h = spark_hash(i, text, one)
+        kind = n if n < 8 else (n.bit_length() - 4) * 8 + (n >> (n.bit_length() - 4))
+        rows.append((source, kind, h % 256, n, h, spark_hash(one, text, np.int32(0)), i is not None, i or 0, i))
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    want = targets([(s, sizes[s]) for s in order], share=share, most=most)
+    out = []
+    for source in order:
+        rate = want[source] / sizes[source] if sizes[source] else 0.0
+        offset = spark_hash(np.int32(seed), source) % (1 << 20) / (1 << 20)
+        for k, r in enumerate(sorted((r[1:] for r in rows if r[0] == source))):
+            copies = math.floor((k + 1) * rate + offset) - math.floor(k * rate + offset)
+            out.append((r[-1], source, r[2], copies * r[2]))
+    return out
+
+
+def fold(events):
+    """``events``: (seq, kind, target, role, text) of one conversation. Its final messages, one event after another."""
+    none_first = lambda x: (x is not None, x if x is not None else 0)
+    done = []
+    for _, kind, target, role, text in sorted(events, key=lambda e: (none_first(e[0]), none_first(e[2]), e[3] or "", e[4] or "", (e[1] is not None, e[1] or ""))):
+        role, text = role or "", text or ""
+        there = target is not None and 0 <= target < len(done)
+        if kind == "message" or kind == "delta" and not done:
+            done.append((role, text))
+        elif kind == "delta":
+            done[-1] = (done[-1][0], done[-1][1] + text)
+        elif kind in ("edit", "regenerate") and there:
+            done[target] = (done[target][0], text)
+            if kind == "regenerate":
+                del done[target + 1 :]
+    return done

@@ -10,6 +10,7 @@ from collections import Counter
 import brute
 import numpy as np
 import pytest
+from test_copies import check
 from pyspark.sql import functions as F
 
 from trackloom.llm import language_id, simhash, topk
@@ -45,6 +46,38 @@ def test_topk_empty(spark):
     assert topk.top_k(df, F.col("vec_id") % 5 == 0).count() == 0
 
 
+def test_topk_bounds(spark):
+    """Far clusters don't meet, and results stay whole."""
+    rng = random.Random(9)
+    centres = [[rng.gauss(0, 40) for _ in range(8)] for _ in range(6)]
+    rows = [(i, [c + rng.gauss(0, 0.1) for c in centres[i % 6]]) for i in range(900)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    seen = []
+    plain = topk.Plan.__init__
+
+    def spy(self, pivots, cells, k):
+        plain(self, pivots, cells, k)
+        seen.append(self.kept_share(cells))
+
+    topk.Plan.__init__ = spy
+    try:
+        topk.GROUP_QUERIES, old = 8, topk.GROUP_QUERIES
+        got = Counter(tuple(r) for r in topk.top_k(df, F.col("vec_id") % 5 == 0).collect())
+    finally:
+        topk.Plan.__init__, topk.GROUP_QUERIES = plain, old
+    assert got == brute_topk(rows, 5) and seen[0] < 0.5, seen
+
+
+def test_topk_of_large_components(spark):
+    kind = "vec_id long, embedding array<double>"
+    rows = [(5 * i, [2.0e6 * (i + 1), -3.0]) for i in range(4)]
+    got = topk.top_k(spark.createDataFrame(rows, kind), F.col("vec_id") % 5 == 0)
+    assert max(r.score for r in got.collect()) == (4 * 512_000_000) * (3 * 512_000_000) + 768 * 768
+    for huge in (4e9, 1e300):
+        with pytest.raises(ValueError):
+            topk.top_k(spark.createDataFrame([(5, [huge]), (6, [huge])], kind), F.col("vec_id") % 5 == 0)
+
+
 def predictions(spark, folder):
     from trackloom.llm.queries import op9_language_id
 
@@ -74,6 +107,31 @@ def test_language_cases(spark):
     assert language_id.learn_dictionaries(learn.limit(0)) == {}
 
 
+def test_language_scores(spark):
+    """Predictions and scores from the compression library, one text at a time; more languages than are learned; ties."""
+    import zstandard as zstd
+
+    learn = spark.createDataFrame([(f"{w} text number {i} " * 9, lang) for lang, w in (("aa", "alpha"), ("bb", "beta"), ("cc", "gamma")) for i in range(20 if lang != "cc" else 3)], "text string, lang string")
+    assert sorted(language_id.learn_dictionaries(learn, languages=2)) == ["aa", "bb"]
+    model = language_id.learn_dictionaries(learn)
+    model["twin"] = model["cc"]
+    texts = ["alpha text", "Beta text " * 400, "gamma text number 2 gamma text number 1", "unlike all of them", "ALPHA beta"]
+    rows = language_id.identify(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), model, keep=("doc_id",)).collect()
+    params = zstd.ZstdCompressionParameters(window_log=18, chain_log=14, hash_log=15, search_log=3, min_match=4, target_length=8, strategy=zstd.STRATEGY_LAZY, write_content_size=0, write_dict_id=0)
+    for r in rows:
+        data = texts[r.doc_id].lower().encode()
+        sizes = []
+        for lang in sorted(model):
+            coder = zstd.ZstdCompressor(dict_data=zstd.ZstdCompressionDict(model[lang], dict_type=zstd.DICT_TYPE_RAWCONTENT), compression_params=params)
+            sizes.append((sum(len(coder.compress(data[i : i + 1024])) for i in range(0, len(data), 1024)), lang))
+        best, second = sorted(sizes)[:2]
+        assert (r.lang_pred, r.score) == (best[1], (second[0] - best[0]) / second[0])
+    tied = next(r for r in rows if r.doc_id == 2)
+    assert (tied.lang_pred, tied.score) == ("cc", 0.0)
+    with pytest.raises(ValueError):
+        language_id.identify(spark.createDataFrame([], "doc_id int, text string, score int"), model, keep=("score",))
+
+
 def test_simhash_query(spark, sf_dir):
     from trackloom.llm.queries import op1_simhash
 
@@ -98,7 +156,7 @@ def test_pipeline_stages(spark, sf_dir):
         assert len(seen[-1]) == len(rows) and all(seen[0][i] == r for i, r in seen[-1].items())
     before, found, deduped, clean = seen
     assert all(any(map(str.isalpha, r.text or "")) for r in found.values()) and len(found) > 0.9 * sum(r.lang is not None for r in before.values() if any(map(str.isalpha, r.text or "")))
-    assert set(deduped) == {c for _, _, c in brute.near_duplicates([(i, r.text) for i, r in found.items()])}
+    check([(i, r.text) for i, r in found.items()], list(deduped))
     assert set(clean) == {i for i, *_, bad in brute.contamination([(i, r.text) for i, r in deduped.items()], bench) if not bad}
     mixed = p.materialize(p.STAGES[3][1](spark, docs, sf_dir), "mixing")
     copies = Counter(r.doc_id for r in mixed.collect())
@@ -114,7 +172,7 @@ def test_pipeline_nulls(spark, tmp_path):
     rows = [(None, None, None, None, None), (1, "", "en", None, 0), (2, "the same words in english again and again", "en", "s", 41), (2, "the same words in english again and again", "en", "s", 41), (3, "eine andere zeile mit deutschen worten darin", "de", "t", 44)]
     for name, data in (("full", rows), ("empty", [])):
         folder = str(tmp_path / name)
-        spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long").withColumns({"size": F.lit("own"), "_keep": F.lit(1), "shard": F.lit("s")}).write.parquet(f"{folder}/documents.parquet")
         spark.createDataFrame([], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
         got = {r.doc_id for r in p.run(spark, folder).collect()}
         assert got <= {2, 3} and (name == "full") == bool(got)

@@ -37,6 +37,21 @@ def test_lines(spark):
     assert line_dedup.dedup_lines(df.limit(0)).count() == 0
 
 
+def test_hot_line(spark):
+    """A line in every text, on many sites, among texts with thousands of lines of their own."""
+    docs = [(i, "\n".join(["common"] + [f"own {i} {j}" for j in range(3000)] + ["common"] * 500), f"site {i % 30}") for i in range(60)]
+    out = line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string, source string")).collect()
+    assert {(r.n_lines, r.n_removed) for r in out} == {(3501, 501)}
+    assert all(r.clean_text == "\n".join(f"own {r.doc_id} {j}" for j in range(3000)) for r in out)
+
+
+def test_line_ends(spark):
+    """A carriage return makes another line; outer spaces don't."""
+    docs = [(i, "a\r\n a \nb" if i % 2 else "a", f"s{i}") for i in range(12)]
+    out = line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string, source string"), min_sites=7).collect()
+    assert {(r.doc_id % 2, r.clean_text) for r in out} == {(0, ""), (1, "a\r\nb")}
+
+
 # sharding
 
 
@@ -79,10 +94,30 @@ def test_shard_query(spark, sf_dir):
         assert (r.size, r.text_crc32, r.shard, r.grown_shard) == (len(data) + 8, zlib.crc32(data), brute.jump(keys[r.doc_id], 24), brute.jump(keys[r.doc_id], 25))
 
 
+def test_kept_columns(spark):
+    """Columns come along by their names, and a name that the result has is refused."""
+    df = spark.createDataFrame([(1, "a b", "s", "x", 7), (2, None, None, "y", 8)], "doc_id long, text string, source string, _part string, _keep int")
+    bench = spark.createDataFrame([(1, "q")], "item_id long, text string")
+    makers = {
+        "shard": lambda keep, rows=df: sharding.shard_documents(rows, 3, keep=keep),
+        "n_words": lambda keep, rows=df: decontaminate.decontaminate(rows, bench, keep=keep),
+        "size": lambda keep, rows=df: mixing.mix_sources(rows, keep=keep),
+    }
+    for name, make in makers.items():
+        got = {(r.doc_id, r.text, r.source, r._part, r._keep) for r in make(("text", "source", "_part", "_keep")).collect()}
+        assert got == {(r.doc_id, r.text, r.source, r._part, r._keep) for r in df.collect()}
+        for clash in (name, name.upper(), "doc_id"):
+            with pytest.raises(ValueError):
+                make((clash,), df.withColumn(name, F.lit("own")))
+
+
 # decontamination
 
 
-def test_contamination(spark):
+@pytest.mark.parametrize("rows", [200_000, 0])
+def test_contamination(spark, monkeypatch, rows):
+    """With all windows on every executor, and with shingles shuffled after the sieve."""
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", rows)
     rng = random.Random(8)
     vocab = [f"w{i}" for i in range(12)] + ["Öl", "ßa"]
     items = [(i, " ".join(rng.choice(vocab) for _ in range(rng.choice([1, 2, 5, 13, 20, 40])))) for i in range(3, 15)] + [(20, None), (21, " -- "), (22, "lone"), (3, "twice the id")]
@@ -102,11 +137,19 @@ def test_contamination(spark):
     assert decontaminate.decontaminate(df.limit(0), bench).count() == 0
 
 
-def test_contamination_by_shuffle(spark, monkeypatch):
-    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 0)
-    docs, items = [(1, "a b c d e f g h i j k l m n"), (2, "x")], [(7, "b c d e f g h i j k l m n o"), (8, "x")]
-    got = decontaminate.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
-    assert sorted((r.doc_id, r.n_words, r.n_hit, r.item_ids, r.contaminated) for r in got.collect()) == brute.contamination(docs, items)
+def test_sieve(spark):
+    """All shingles of the benchmark pass, and few others."""
+    own = spark.range(1000).select(F.xxhash64("id").alias("_shingle"))
+    tokens = spark.range(20_000).select("id", F.xxhash64("id").alias("_shingle"), F.lit(1).alias("_bit"))
+    got = decontaminate.sieved(tokens, own, 1 << 16)
+    assert got.columns == tokens.columns
+    ids = [r.id for r in got.collect()]
+    assert set(range(1000)) <= set(ids) and len(ids) == len(set(ids)) < 1800
+
+
+def test_items_without_id(spark):
+    docs, items = spark.createDataFrame([(1, "a b c")], "doc_id long, text string"), spark.createDataFrame([(None, "b c")], "item_id long, text string")
+    assert [(r.n_hit, r.n_items, r.contaminated) for r in decontaminate.decontaminate(docs, items).collect()] == [(2, 0, True)]
 
 
 # mixing
@@ -141,6 +184,24 @@ def test_mix(spark):
     assert {(r.target, r.taken) for r in mixing.mix_sources(df.where("doc_id = 701")).collect()} == {(0.0, 0)}
 
 
+@pytest.mark.parametrize("most,share", [(2.0, 1.5), (2.5, 2.4), (3.7, 3.0)])
+def test_mix_replayed(spark, most, share):
+    """The very copies that a plain replay of the sampling takes; fractional limits meet their targets, too."""
+    rng = random.Random(int(most * 10))
+    docs = [(i, " ".join("w" * rng.randint(1, 3) for _ in range(rng.choice([0, 1, 9, 50, 300]))), rng.choice(["a", "a", "a", "b", "B", "é", None])) for i in range(300)]
+    docs += [(700, None, "a"), (701, "", "empty"), docs[3], (None, "x y", "b"), (None, None, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    got = mixing.mix_sources(df, keep=("source",), most=most, share=share).select("doc_id", "source", "size", "taken")
+    want = brute.mix(docs, most, share)
+    assert Counter(tuple(r) for r in got.collect()) == Counter(want)
+    words = {s: sum(t for _, x, _, t in want if x == s) for s in {s for _, _, s in docs}}
+    sizes = Counter()
+    for _, s, n, _ in want:
+        sizes[s] += n
+    goal = brute.targets([(s, sizes[s]) for s in sorted(sizes, key=lambda s: (s is None, s or ""))], share=share, most=most)
+    assert all(abs(words[s] - goal[s]) <= 2 * 300 + 1 for s in words)
+
+
 def test_mix_query(spark, sf_dir):
     src = {r.doc_id: r.source for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     rows = op8_mixing(spark, sf_dir).collect()
@@ -182,3 +243,41 @@ def test_chat_events(spark):
     log = spark.createDataFrame(events, "conv_id long, seq long, kind string, turn long, role string, text string")
     got = {r.conv_id: [tuple(m) for m in r.messages] for r in chat.fold_events(log).collect()}
     assert got == {1: [("user", "Hello!"), ("assistant", "Bb")], 2: []}
+
+
+def test_chat_folds(spark):
+    """Random logs against events applied one after another."""
+    rng = random.Random(6)
+    rows = []
+    for conv in range(60):
+        for seq in range(rng.randint(1, 25)):
+            kind = rng.choice(["message", "delta", "delta", "edit", "regenerate", "other", None])
+            at = rng.choice([seq, seq, rng.randint(0, 25), None])
+            rows.append((conv if conv else None, at, kind, rng.choice([0, 1, 2, 3, -1, None]), rng.choice(["user", "assistant", None]), rng.choice(["x", "y", "[z]", None])))
+    rows += rows[:5]
+    log = spark.createDataFrame([(*r, 1, 2) for r in rows], "conv_id long, seq long, kind string, turn long, role string, text string, _n int, _at int")
+    by = defaultdict(list)
+    for conv, *event in rows:
+        seq, kind, target, role, text = event
+        by[conv].append((seq, kind, target, role, text))
+    got = {r.conv_id: [tuple(m) for m in r.messages] for r in chat.fold_events(log).collect()}
+    assert got == {c: brute.fold(e) for c, e in by.items()}
+
+
+def test_chat_of_many_deltas(spark):
+    """100,000 deltas of one message, then 20,000 turns: time grows with the log."""
+    n, turns = 100_000, 20_000
+    first = spark.range(n).select(F.lit(1).alias("conv_id"), F.col("id").alias("seq"), F.lit("delta").alias("kind"), F.lit("assistant").alias("role"), F.lit("ab").alias("text"))
+    rest = spark.range(n, n + turns).select(F.lit(1).alias("conv_id"), F.col("id").alias("seq"), F.lit("message").alias("kind"), F.lit("user").alias("role"), F.lit("q").alias("text"))
+    log = first.unionByName(rest).withColumn("turn", F.lit(None).cast("long"))
+    r = chat.render(chat.fold_events(log)).select("conv_id", "loss_spans", F.char_length("formatted").alias("n")).first()
+    assert [tuple(s) for s in r.loss_spans] == [(4, 4 + 2 * n)] and r.n == 2 * n + 9 + turns * 16
+
+
+def test_chat_render_cases(spark):
+    kind = "conv_id long, messages array<struct<role:string,text:string>>"
+    rows = [(1, [("assistant", "a")]), (1, [("assistant", "a")]), (1, []), (None, None), (2, [("user", "x" * 300_000), ("assistant", "y")])]
+    got = chat.render(spark.createDataFrame(rows, kind)).collect()
+    assert sorted((r.conv_id or 0, len(r.formatted), [tuple(s) for s in r.loss_spans]) for r in got) == [
+        (0, 0, []), (1, 0, []), (1, 10, [(4, 5)]), (2, 300_025, [(300_019, 300_020)]),
+    ]
