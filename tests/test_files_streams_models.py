@@ -40,13 +40,55 @@ def test_paths_and_pixels(spark):
 
 
 def test_visits_over_triggers(spark, tmp_path):
-    rows = [(1, 1, -1), (1, 2, 3), (1, 3, 3), (1, 4, 3), (1, 5, -1), (1, 6, 2), (1, 7, 1)]
-    for i, part in enumerate((rows[:3], rows[3:5], rows[5:])):
-        spark.createDataFrame([(p, t, t, r) for p, t, r in part], "plate long, t long, event_id long, region int").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    """Three triggers; a row that comes late by less than the delay cuts the visit that it lies in."""
+    rows = [(0, -1), (10, 3), (30, 3), (20, 2), (60, -1), (70, 2), (80, 1), (200, 1)]
+    kind = "plate long, t long, event_id long, region int"
+    for part in (rows[:3], rows[3:5], rows[5:]):
+        df = spark.createDataFrame([(1, (1000 + t) * 1_000_000, t, r) for t, r in part] + [(1, None, 0, None)], kind).withColumn("ts", F.timestamp_micros("t"))
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
         time.sleep(1.1)
-    stream = spark.readStream.schema("plate long, t long, event_id long, region int").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    got = st.drain(st.closed_visits(stream), "test").collect()
-    assert sorted((r.start, r.end, r.region) for r in got) == [(1, 4, 3), (5, 6, 2)]
+    stream = spark.readStream.schema(kind + ", ts timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = st.drain(st.closed_visits(stream, "60 seconds"), "test").collect()
+    assert sorted((r.start // 1_000_000 - 1000, r.end // 1_000_000 - 1000, r.region) for r in got) == [(0, 10, 3), (10, 20, 2), (20, 30, 3), (60, 70, 2)]
+
+
+def test_clock_of_files(spark, tmp_path):
+    for name, times in (("a", ["", "", ""]), ("b", ["5", "6", "2", "3"])):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "traj.csv").write_text("id_conservative,frame,time,x,y\n" + "".join(f"1,{k},{t},0,0\n" for k, t in enumerate(times)))
+    rows = files.read_trajectories(spark, str(tmp_path), "traj.csv", frame_s=0.5).orderBy("folder", "frame").collect()
+    assert [r.time for r in rows] == [0.0, 0.5, 1.0, 0.0, 1.0, 1.5, 2.5]
+
+
+def test_stage_tables(spark, tmp_path):
+    (tmp_path / "stage.csv").write_text("folder,n,Unnamed: 0\np1,3,0\n")
+    assert [tuple(r) for r in files.read_stage(spark, str(tmp_path / "stage.csv"), "folder string, n int, `Unnamed: 0` int").collect()] == [("p1", 3)]
+    (tmp_path / "eggs").mkdir()
+    (tmp_path / "eggs" / "e.csv").write_text("folder,n\np1, 12\np2,?\n")
+    assert sorted(map(tuple, files.read_counts(spark, str(tmp_path / "eggs")).collect())) == [("p1", 12), ("p2", None)]
+
+
+def test_cached(spark, tmp_path):
+    made = []
+
+    def make():
+        made.append(1)
+        return spark.range(3)
+
+    for _ in range(2):
+        assert files.cached(spark, str(tmp_path / "c"), make).count() == 3
+    assert len(made) == 1
+
+
+def test_sinks(spark, tmp_path):
+    from trackloom.operators import space as sp
+
+    lines = spark.createDataFrame([(1, 0, 5, 10, 12), (2, 3, 6, 0, 1)], "plate long, region long, by int, low int, high int")
+    files.write_raster(lines, str(tmp_path / "r"))
+    back = spark.read.parquet(str(tmp_path / "r")).where("plate = 1")
+    assert sorted((r.px, r.py, r.region) for r in sp.raster(back).collect()) == [(10, 5, 0), (11, 5, 0)]
+    files.write_results(spark.createDataFrame([(1, [1.5, 2.0])], "g int, m array<double>"), str(tmp_path / "s"))
+    assert [tuple(r) for r in spark.read.option("header", True).csv(str(tmp_path / "s")).collect()] == [("1", "[1.5,2.0]")]
 
 
 def test_write_table(spark, tmp_path):

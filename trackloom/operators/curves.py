@@ -144,3 +144,26 @@ def neighbours(centres: DataFrame, factor: float) -> DataFrame:
 def seconds(us: Column, extra: float = 0.0) -> Column:
     """Microseconds as seconds rounded to four places, half to even, as durations are reported."""
     return F.rint((us / 1_000_000 + extra) * 10_000) / 10_000
+
+
+def border_windows(obs: DataFrame, bin_us: int, bins: int) -> DataFrame:
+    """Steps in a time window around entries and exits: ``plate, stamp, entry, bin, n, dist, dt``.
+
+    Bins of ``bin_us`` count from the first row of the new side, ``bins`` before and after. Windows in
+    which a bin has no row are dropped, as are those that reach beyond the recording. Rows meet borders
+    by plate and bin-wide buckets of time, and then by the exact range.
+    """
+    order = Window.partitionBy("plate").orderBy("ord")
+    whole = Window.partitionBy("plate")
+    o = obs.withColumns({"_in": F.col("region") >= 0, "_first": F.min("t").over(whole), "_last": F.max("t").over(whole)})
+    reach = bin_us * bins
+    edge = o.withColumn("_was", F.lag("_in").over(order)).where(F.col("_was").isNotNull() & (F.col("_was") != F.col("_in")))
+    edge = edge.where((F.col("t") - reach >= F.col("_first")) & (F.col("t") + reach <= F.col("_last")))
+    span = F.sequence(F.floor((F.col("t") - reach) / reach), F.floor((F.col("t") + reach) / reach))
+    edge = edge.select("plate", F.col("ord").alias("_edge"), F.col("t").alias("stamp"), F.col("_in").alias("entry"), F.explode(span).alias("_bucket"))
+    rows = obs.select("plate", "t", "dist", "dt", F.floor(F.col("t") / reach).alias("_bucket"))
+    met = edge.join(rows, ["plate", "_bucket"]).where((F.col("t") >= F.col("stamp") - reach) & (F.col("t") < F.col("stamp") + reach))
+    g = met.groupBy("plate", "_edge", "stamp", "entry", F.floor((F.col("t") - F.col("stamp")) / bin_us).cast("long").alias("bin"))
+    g = g.agg(F.count(F.lit(1)).alias("n"), F.sum("dist").alias("dist"), F.sum("dt").alias("dt"))
+    full = F.count(F.lit(1)).over(Window.partitionBy("plate", "_edge")) == 2 * bins
+    return g.withColumn("_full", full).where("_full").drop("_full", "_edge")

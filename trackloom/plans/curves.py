@@ -144,6 +144,24 @@ def evt34(spark, d):
     return cv.around_entries(kin.steps(observations(spark, d)), 3)
 
 
+BORDER_US, BORDER_BINS = 2 * DAY, 3
+
+
+@query(
+    "evt34_border_windows",
+    f"""WITH {STEPS}, w0 AS (SELECT *, region >= 0 AS ins, lag(region >= 0) OVER (PARTITION BY plate ORDER BY ord) AS was, min(t) OVER (PARTITION BY plate) AS t0, max(t) OVER (PARTITION BY plate) AS t1 FROM st),
+eg AS (SELECT plate, ord, t AS stamp, ins AS entry FROM w0 WHERE was IS NOT NULL AND was <> ins AND t - {BORDER_US * BORDER_BINS} >= t0 AND t + {BORDER_US * BORDER_BINS} <= t1),
+bn AS (SELECT eg.plate, eg.ord, entry, CAST(floor((t - stamp) / {BORDER_US}) AS BIGINT) AS bin, count(*) AS n, sum(dist) AS dist, sum(dt) AS dt FROM eg JOIN st ON st.plate = eg.plate AND t >= stamp - {BORDER_US * BORDER_BINS} AND t < stamp + {BORDER_US * BORDER_BINS} GROUP BY 1, 2, 3, 4),
+fb AS (SELECT *, count(*) OVER (PARTITION BY plate, ord) AS k FROM bn)
+SELECT entry, bin, count(*) AS n_windows, CAST(sum(n) AS BIGINT) AS n_rows, CAST(sum(dist) AS DOUBLE) / CAST(sum(dt) AS DOUBLE) AS speed FROM fb WHERE k = {2 * BORDER_BINS} GROUP BY entry, bin""",
+)
+def evt34_windows(spark, d):
+    """Speed around entries and exits by time from them, for windows without an empty bin."""
+    w = cv.border_windows(kin.steps(observations(spark, d)), BORDER_US, BORDER_BINS)
+    g = w.groupBy("entry", "bin").agg(F.count(F.lit(1)).alias("n_windows"), F.sum("n").alias("n_rows"), F.sum("dist").alias("dist"), F.sum("dt").alias("dt"))
+    return g.select("entry", "bin", "n_windows", "n_rows", F.try_divide(F.col("dist").cast("double"), F.col("dt").cast("double")).alias("speed"))
+
+
 @query(
     "evt35_visit_speed",
     f"WITH {STEPS} SELECT plate, CAST(sum(dist) AS BIGINT) AS dist, CAST(sum(dist) AS DOUBLE) / CAST(nullif(sum(dt), 0) AS DOUBLE) AS speed, CAST(sum(dt) AS DOUBLE) / CAST(nullif(sum(dist), 0) AS DOUBLE) AS pace FROM st WHERE region >= 0 GROUP BY plate",

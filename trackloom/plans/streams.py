@@ -10,9 +10,12 @@ MARK = f"(SELECT max(t) - {HOUR} FROM obs)"
 COUNTS = "count(*) AS n, count(*) FILTER (region >= 0) AS n_inside"
 
 
-@query("str03_closed_visits", f"""WITH {RUNS}, la AS (SELECT *, max(run) OVER (PARTITION BY plate) AS most FROM r) SELECT plate, start_t AS start, end_t AS "end", region FROM la WHERE region >= 0 AND run < most""")
+@query(
+    "str03_closed_visits",
+    f"""WITH {RUNS.replace("FROM obs WINDOW", "FROM (SELECT * FROM obs WHERE t <= " + MARK + ") WINDOW")}, la AS (SELECT *, max(run) OVER (PARTITION BY plate) AS most FROM r) SELECT plate, start_t AS start, end_t AS "end", region FROM la WHERE region >= 0 AND run < most""",
+)
 def str03(spark, d):
-    """Visits that a later row has closed."""
+    """Visits that a later row has closed, of the rows that the watermark has passed."""
     return st.drain(st.closed_visits(st.read_events(spark, d)), "str03")
 
 

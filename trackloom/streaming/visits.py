@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from trackloom.sources.tables import work_folder
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 VISIT = "plate long, start long, end long, region int"
-STATE = "last_t long, last_region int, start long"
+STATE = "last_t long, last_region int, start long, waiting array<struct<t:long,event_id:long,region:long>>"
 
 
 def read_events(spark: SparkSession, folder: str, name: str = "events.parquet") -> DataFrame:
@@ -33,35 +34,46 @@ def read_events(spark: SparkSession, folder: str, name: str = "events.parquet")
     return raw.select(F.col("user_id").alias("plate"), ts.alias("ts"), F.unix_micros(ts).alias("t"), "event_id", region.alias("region"), "value")
 
 
-def closed_visits(stream: DataFrame) -> DataFrame:
+def closed_visits(stream: DataFrame, delay: str = "1 hour") -> DataFrame:
     """Visits of each plate, emitted when a row of another region closes them: ``plate, start, end, region``.
 
-    State is the last time, the last region and the start of the open run. A visit starts at the stamp
-    of the row before it, as in the batch operator. Within a trigger rows are sorted; a row older than
-    the last one of an earlier trigger is late and is not counted.
+    Rows may come out of order by up to ``delay``: they wait in the state until the watermark has passed
+    them and are taken in order of time then, so a late row joins the visit that it belongs to, and a
+    visit that a gap had cut is one. Rows older than the watermark are dropped. State is the last time,
+    the last region, the start of the open run, and what waits. A visit starts at the stamp of the row
+    before it, as in the batch operator.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values(["t", "event_id"])
-        last_t, last_region, start = state.get if state.exists else (None, None, None)
-        out = []
-        for t, region in zip(rows["t"], rows["region"]):
-            t, region = int(t), int(region)
-            if last_t is not None and t < last_t:
-                continue
-            if last_t is None:
-                start = t
-            elif region != last_region:
-                if last_region >= 0:
-                    out.append((int(key[0]), start, last_t, last_region))
-                start = last_t
-            last_t, last_region = t, region
+        last_t, last_region, start, waiting = state.get if state.exists else (None, None, None, [])
+        parts = [np.array([tuple(w) for w in waiting], np.int64).reshape(-1, 3)]
+        parts += [b[["t", "event_id", "region"]].to_numpy(np.int64) for b in batches]
+        rows = np.concatenate(parts)
+        rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+        mark = state.getCurrentWatermarkMs() * 1000
+        ready, later = rows[rows[:, 0] <= mark], rows[rows[:, 0] > mark]
         if last_t is not None:
-            state.update((last_t, last_region, start))
-        yield pd.DataFrame(out, columns=["plate", "start", "end", "region"])
-
-    known = stream.where("region is not null and t is not null").select("plate", "t", "event_id", "region")
-    return known.groupBy("plate").applyInPandasWithState(step, VISIT, STATE, "append", GroupStateTimeout.NoTimeout)
+            ready = ready[ready[:, 0] >= last_t]
+        out = pd.DataFrame(columns=["plate", "start", "end", "region"])
+        if len(ready):
+            t, region = ready[:, 0], ready[:, 2]
+            if last_t is None:
+                t, region, start = np.concatenate([t[:1], t]), np.concatenate([region[:1], region]), int(t[0])
+            else:
+                t, region = np.concatenate([[last_t], t]), np.concatenate([[last_region], region])
+            change = np.flatnonzero(region[1:] != region[:-1])  # the last row of each run that ends here
+            starts = np.concatenate([[start], t[change]])
+            closed = region[change] >= 0
+            out = pd.DataFrame({"plate": int(key[0]), "start": starts[:-1][closed], "end": t[change][closed], "region": region[change][closed].astype(np.int32)})
+            last_t, last_region, start = int(t[-1]), int(region[-1]), int(starts[-1])
+        state.update((last_t, last_region, start, [tuple(map(int, r)) for r in later]))
+        if len(later):
+            state.setTimeoutTimestamp(int(later[:, 0].min() // 1000) + 1)
+        yield out
+
+    known = stream.where("region is not null and t is not null").select("plate", "ts", "t", "event_id", "region")
+    grouped = known.withWatermark("ts", delay).groupBy("plate")
+    return grouped.applyInPandasWithState(step, VISIT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def window_counts(stream: DataFrame, length: str, slide: str | None = None, late: str = "1 hour") -> DataFrame:
