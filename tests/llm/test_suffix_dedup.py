@@ -34,7 +34,7 @@ def made(seed):
     return [*docs, None, "", docs[0], docs[1], "aaaa" * 30, "ab" * 100, "short"]
 
 
-@pytest.mark.parametrize("seed,many,group", [(1, 512, 1 << 15), (2, 1, 1 << 15), (3, 1, 1), (4, 3, 2)])
+@pytest.mark.parametrize("seed,many,group", [(1, 512, 1 << 15), (2, 1, 1 << 15), (3, 1, 1), (4, 3, 2), (5, 1, 5)])
 def test_against_brute_force(spark, seed, many, group):
     texts = made(seed)
     df = spark.createDataFrame([(i if i != 5 else None, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, doc string")

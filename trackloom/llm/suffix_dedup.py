@@ -18,8 +18,9 @@ LENGTH = 200
 #: Bytes of an anchor. Each string of LENGTH bytes has an anchor: its piece of so many bytes with the least hash.
 ANCHOR = 80
 #: Window starts whose anchors are found at a time; anchors with more rows are counted by context
-#: first; distinct contexts that one task sorts; document keys that go to every executor.
-STEP, MANY, GROUP, BROADCAST_KEYS = 1 << 19, 512, 1 << 15, 1_000_000
+#: first; distinct contexts that one task sorts; document keys that go to every executor; parts of the
+#: offsets for which an anchor with more contexts is lengthened.
+STEP, MANY, GROUP, BROADCAST_KEYS, PARTS = 1 << 19, 512, 1 << 11, 1_000_000, 8
 BASE, MIX = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 
 
@@ -71,17 +72,18 @@ def anchors(data: bytes, length: int = LENGTH, size: int = ANCHOR) -> tuple[np.n
 def _anchor_rows(length: int, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = batch.column(0).to_numpy()
+            keys, more = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             found, at = [], []
-            for i, text in enumerate(batch.column(1).cast(pa.binary())):
+            for i, text in enumerate(batch.column(2).cast(pa.binary())):
                 if len(text.as_buffer()) >= length:
                     pos, h = anchors(text.as_buffer(), length, size)
                     found.append((pos, h))
-                    at.append(np.full(len(pos), keys[i]))
+                    at.append(np.full(len(pos), i))
             if found:
+                at = np.concatenate(at)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate([h for _, h in found])), pa.array(np.concatenate(at)), pa.array(np.concatenate([p for p, _ in found]))],
-                    names=["h", "doc", "pos"],
+                    [pa.array(np.concatenate([h for _, h in found])), pa.array(keys[at]), pa.array(more[at]), pa.array(np.concatenate([p for p, _ in found]))],
+                    names=["h", "doc", "doc2", "pos"],
                 )
 
     return run
@@ -105,22 +107,22 @@ def _contexts(length: int, size: int, places: bool):
             texts, lists = batch.column("text").cast(pa.binary()), batch.column("anchors")
             offsets, inner = lists.offsets.to_numpy(), lists.values
             pos, h, many = (inner.field(n).to_numpy(zero_copy_only=False) for n in ("pos", "h", "many"))
-            docs = batch.column("doc").to_numpy()
+            docs, docs2 = batch.column("doc").to_numpy(), batch.column("doc2").to_numpy()
             seen: dict[tuple[int, int], list] = {}
-            rows: list[tuple[int, int, int, int]] = []
+            rows: list[tuple[int, int, int, int, int]] = []
             for i, text in enumerate(texts):
                 view = memoryview(text.as_buffer())
                 for j in range(offsets[i], offsets[i + 1]):
                     left, data = context(view, int(pos[j]), length, size)
                     cid = _context_id(left, data)
                     if places:
-                        rows.append((int(h[j]), cid, int(docs[i]), int(pos[j])))
+                        rows.append((int(h[j]), cid, int(docs[i]), int(docs2[i]), int(pos[j])))
                     elif (got := seen.get((h[j], cid))) is not None:
                         got[4] += 1
                     else:
                         seen[h[j], cid] = [int(h[j]), cid, left, data, 1, bool(many[j])]
             if places and rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["h", "cid", "doc", "pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["h", "cid", "doc", "doc2", "pos"])
             elif seen:
                 kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.bool_()]
                 names = ["h", "cid", "left", "data", "n", "many"]
@@ -221,7 +223,7 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Cut the spans out of each text; the digest of what stays."""
     for batch in batches:
         out = []
-        for doc, text, spans in zip(batch.column("doc").to_pylist(), batch.column("text").cast(pa.binary()), batch.column("spans").to_pylist()):
+        for doc, doc2, text, spans in zip(batch.column("doc").to_pylist(), batch.column("doc2").to_pylist(), batch.column("text").cast(pa.binary()), batch.column("spans").to_pylist()):
             view, at, removed, count, sha = memoryview(text.as_buffer()), 0, 0, 0, hashlib.sha256()
             end = -1
             for s in sorted((x["start"], x["end"]) for x in spans):
@@ -233,11 +235,10 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     removed += s[1] - end
                     at = end = s[1]
             sha.update(view[at:])
-            out.append((doc, removed, count, sha.hexdigest()))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.int64()), pa.array([r[3] for r in out], pa.string())],
-            names=["doc", "n_removed", "n_spans", "kept_sha256"],
-        )
+            out.append((doc, doc2, removed, count, sha.hexdigest()))
+        kinds = [pa.int64()] * 4 + [pa.string()]
+        columns = [pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc", "doc2", "n_removed", "n_spans", "kept_sha256"])
 
 
 def _crowded(contexts: DataFrame, length: int, size: int) -> DataFrame:
@@ -259,6 +260,36 @@ def _crowded(contexts: DataFrame, length: int, size: int) -> DataFrame:
     return ranges.select("h", "cid", "r.i1", "r.i2")
 
 
+def _lengthened(contexts: DataFrame, length: int, size: int, group: int) -> DataFrame:
+    """Repeated strings of anchors with too many contexts to sort at once.
+
+    Offsets fall into PARTS ranges. All strings whose offset lies in one range share the bytes about the
+    anchor that each of them holds, most of their length; so contexts, cut to what the range needs,
+    meet by these bytes. Contexts that differ elsewhere are one then, and copies of a passage that was
+    changed here and there part by where it was. What is still too large is counted string by string.
+    """
+    width = -(-(length - size + 1) // PARTS)
+    lo = F.col("part") * width
+    hi = F.least(lo + width - 1, F.lit(length - size))
+    rows = contexts.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)))).withColumns({"lo": lo, "hi": hi, "right": F.octet_length("data") - F.col("left")})
+    rows = rows.where((F.col("left") >= F.col("lo")) & (F.col("right") >= length - F.col("hi")) & (F.col("lo") <= F.col("hi")))
+    before, after = F.least("left", "hi"), F.least(F.col("right"), length - F.col("lo"))
+    core = F.substring("data", F.col("left") - F.col("lo") + 1, F.col("lo") + length - F.col("hi"))
+    rows = rows.select("h", "cid", "n", "part", before.alias("_left"), F.substring("data", F.col("left") - before + 1, before + after).alias("_data"), core.alias("_core"))
+    rows = rows.withColumn("_cid", F.xxhash64("part", "_left", "_data"))
+    key = ["h", "part", "a", "b"]
+    cut = rows.select("h", "part", F.xxhash64("_core").alias("a"), F.xxhash64(F.lit(7), "_core").alias("b"), F.col("_cid").alias("cid"), F.col("_left").alias("left"), F.col("_data").alias("data"), "n")
+    cut = materialize(cut.groupBy(*key, "cid", "left", "data").agg(F.sum("n").alias("n")), "lengthened-contexts")
+    sizes = materialize(cut.groupBy(*key).agg(F.count(F.lit(1)).alias("c")), "lengthened-sizes")
+    some = cut.join(sizes.where(F.col("c") <= group), key).groupBy(*key).agg(F.collect_list(F.struct("cid", "left", "data", "n")).alias("rows"))
+    found = some.select("h", "rows").mapInArrow(_sort_groups(length, size), "h long, cid long, i1 int, i2 int")
+    rest = sizes.where(F.col("c") > group)
+    if not rest.isEmpty():
+        found = found.unionByName(_crowded(cut.join(rest.select(*key), key, "left_semi").select("h", "cid", "left", "data", "n"), length, size))
+    found = found.withColumnRenamed("cid", "_cid")
+    return rows.select("h", "cid", "_cid").join(found, ["h", "_cid"]).select("h", "cid", "i1", "i2")
+
+
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, size: int = ANCHOR, many: int = MANY, group: int = GROUP) -> DataFrame:
     """Remove every byte that lies in a string of ``length`` bytes which starts anywhere else too.
 
@@ -266,25 +297,27 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     same anchor at the same place, so only suffixes at anchors whose hash occurs again can matter.
     Anchors are counted over all texts first. Texts with repeated anchors are kept at hand; their
     contexts meet by anchor hash and are sorted there (deep-shallow). Anchors of many rows are first
-    reduced to distinct contexts with counts; those with still more contexts than one task may
-    sort are resolved string by string. Contexts are compared by their bytes.
+    reduced to distinct contexts with counts; those with more contexts than one task may sort are
+    lengthened first, and at last resolved string by string. Contexts are compared by their bytes.
 
-    Null is the empty text; texts shorter than ``length`` keep all; repeated rows repeat each other's
-    bytes and so lose them; an empty table gives an empty result; other columns are dropped. Rows
-    are known by a 64-bit hash of id and text.
+    Null is the empty text; texts shorter than ``length`` keep all, and texts of any length are read
+    whole, a bounded part at a time; repeated rows repeat each other's bytes and so lose them; an empty
+    table gives an empty result; other columns are dropped. Rows are known by 128 bits of hashes of id
+    and text.
     """
     docs = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    docs = docs.withColumn("doc", F.xxhash64("doc_id", "text"))
-    long_ones = docs.where(F.octet_length("text") >= length).select("doc", "text")
-    found = materialize(long_ones.mapInArrow(_anchor_rows(length, size), "h long, doc long, pos long"), "anchors")
+    docs = docs.withColumns({"doc": F.xxhash64("doc_id", "text"), "doc2": F.xxhash64(F.lit(1), "text", "doc_id")})
+    own = ["doc", "doc2"]
+    long_ones = docs.where(F.octet_length("text") >= length).select(*own, "text")
+    found = materialize(long_ones.mapInArrow(_anchor_rows(length, size), "h long, doc long, doc2 long, pos long"), "anchors")
     counts = found.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h", (F.col("c") > many).alias("many"))
     counts = materialize(counts, "anchor-counts")  # so that the join below may split a frequent anchor
-    per_doc = found.join(counts, "h").groupBy("doc").agg(F.collect_set(F.struct("pos", "h", "many")).alias("anchors"))
+    per_doc = found.join(counts, "h").groupBy(*own).agg(F.collect_set(F.struct("pos", "h", "many")).alias("anchors"))
     per_doc = materialize(per_doc, "repeated-anchors")
     texts = long_ones
     if per_doc.count() <= BROADCAST_KEYS:
-        texts = texts.join(F.broadcast(per_doc.select("doc")), "doc", "left_semi")
-    work = materialize(texts.join(per_doc, "doc"), "repeated-texts")
+        texts = texts.join(F.broadcast(per_doc.select(*own)), own, "left_semi")
+    work = materialize(texts.join(per_doc, own), "repeated-texts")
 
     contexts = work.mapInArrow(_contexts(length, size, False), "h long, cid long, left int, data binary, n long, many boolean")
     row = F.struct("cid", "left", "data", "n")
@@ -297,16 +330,16 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     offsets = offsets.unionByName(sorted_ones.mapInArrow(_sort_groups(length, size), "h long, cid long, i1 int, i2 int"))
     crowded = sizes.where(F.col("c") > group).select("h")
     if not crowded.isEmpty():
-        offsets = offsets.unionByName(_crowded(distinct.join(crowded, "h", "left_semi"), length, size))
+        offsets = offsets.unionByName(_lengthened(distinct.join(crowded, "h", "left_semi"), length, size, group))
     offsets = materialize(offsets, "repeated-offsets")
 
-    places = work.mapInArrow(_contexts(length, size, True), "h long, cid long, doc long, pos long")
+    places = work.mapInArrow(_contexts(length, size, True), "h long, cid long, doc long, doc2 long, pos long")
     span = F.struct((F.col("pos") - F.col("i2")).alias("start"), (F.col("pos") - F.col("i1") + length).alias("end"))
-    spans = places.join(offsets, ["h", "cid"]).groupBy("doc").agg(F.collect_set(span).alias("spans"))
-    cut = work.select("doc", "text").join(spans, "doc").mapInArrow(_remove, "doc long, n_removed long, n_spans long, kept_sha256 string")
-    cut = cut.dropDuplicates(["doc"])
-    whole = docs.select("doc_id", "doc", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("_whole"))
-    return whole.join(cut, "doc", "left").select(
+    spans = places.join(offsets, ["h", "cid"]).groupBy(*own).agg(F.collect_set(span).alias("spans"))
+    cut = work.select(*own, "text").join(spans, own).mapInArrow(_remove, "doc long, doc2 long, n_removed long, n_spans long, kept_sha256 string")
+    cut = cut.dropDuplicates(own)
+    whole = docs.select("doc_id", *own, F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("_whole"))
+    return whole.join(cut, own, "left").select(
         "doc_id",
         "n_bytes",
         F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"),
