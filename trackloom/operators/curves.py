@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackloom.functions.stats import bin_index
+from trackloom.operators import space as sp
 
 
 def threshold_totals(v: DataFrame, thresholds_us: list[int]) -> DataFrame:
@@ -133,12 +136,19 @@ def around_entries(steps: DataFrame, reach: int) -> DataFrame:
 
 
 def neighbours(centres: DataFrame, factor: float) -> DataFrame:
-    """Pairs of regions no farther apart than ``factor`` times the nearest: ``src, dst``; one row per region in."""
-    a = centres.select(F.col("region").alias("src"), F.col("cx").alias("ax"), F.col("cy").alias("ay"))
-    b = centres.select(F.col("region").alias("dst"), "cx", "cy")
-    d = a.join(b, F.col("src") != F.col("dst")).withColumn("d", F.hypot(F.col("ax") - F.col("cx"), F.col("ay") - F.col("cy")))
-    near = d.withColumn("least", F.min("d").over(Window.partitionBy("src"))).where(F.col("d") <= factor * F.col("least"))
-    return near.select("src", "dst", "d")
+    """Pairs of regions no farther apart than ``factor`` times the nearest: ``src, dst, d``; one row per region in.
+
+    Regions meet in cells of about the space that one has: first each finds its nearest, then all within reach.
+    """
+    ends = centres.agg(F.max("cx") - F.min("cx"), F.max("cy") - F.min("cy"), F.count(F.lit(1))).first()
+    cell = max(ends[0] or 0.0, ends[1] or 0.0) / math.sqrt(max(1, ends[2])) or 1.0
+    at = centres.select(F.lit(0).alias("plate"), "region", "cx", "cy")
+    points = at.select("plate", F.col("region").alias("src"), F.col("cx").alias("px"), F.col("cy").alias("py"))
+    near = sp.nearest(points, at.withColumns({"low": F.col("cx"), "high": F.col("cx") + 1, "by": F.col("cy")}), ["region", "cx", "cy"], F.col("src") != F.col("_t_region"), cell)
+    # the distance anew, from the coordinates as they are
+    near = near.select("plate", "src", "px", "py", (factor * F.hypot(F.col("px") - F.col("cx"), F.col("py") - F.col("cy"))).alias("reach"))
+    met = sp.within(near, at.withColumnRenamed("region", "dst"), "reach").where("src <> dst")
+    return met.select("src", "dst", "d")
 
 
 def seconds(us: Column, extra: float = 0.0) -> Column:

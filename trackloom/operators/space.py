@@ -96,6 +96,23 @@ def nearest(points: DataFrame, targets: DataFrame, tag: list[str], other: Column
     return found.select(*keys, "_best.d2", *[F.col("_best")[c].alias(c) for c in tag if c not in keys])
 
 
+def within(points: DataFrame, targets: DataFrame, reach: str) -> DataFrame:
+    """Pairs of a point (plate, px, py, ``reach`` and more) and a target (plate, cx, cy and more) of its plate that lies within its reach: with ``d``.
+
+    Reaches fall into powers of two; points meet targets in cells of that size, their own and the eight
+    around it. There are as many sizes as reaches differ by powers of two, some tens at most.
+    """
+    p = points.withColumn("_level", F.ceil(F.log2(F.greatest(F.col(reach), F.lit(1e-30)))).cast("int"))
+    levels = sorted(r["_level"] for r in p.select("_level").distinct().collect())
+    size = F.pow(F.lit(2.0), F.col("_level"))
+    p = p.withColumn("_x", F.explode(F.sequence(F.floor(F.col("px") / size) - 1, F.floor(F.col("px") / size) + 1)))
+    p = p.withColumn("_y", F.explode(F.sequence(F.floor(F.col("py") / size) - 1, F.floor(F.col("py") / size) + 1)))
+    t = targets.withColumn("_level", F.explode(F.array(*map(F.lit, levels)) if levels else F.array().cast("array<int>")))
+    t = t.withColumns({"_x": F.floor(F.col("cx") / size), "_y": F.floor(F.col("cy") / size)})
+    met = p.join(t, ["plate", "_level", "_x", "_y"]).withColumn("d", F.hypot(F.col("px") - F.col("cx"), F.col("py") - F.col("cy")))
+    return met.where(F.col("d") <= F.col(reach)).drop("_level", "_x", "_y")
+
+
 def merged_lines(lines: DataFrame) -> DataFrame:
     """Extents of all regions of a line, joined where they touch or overlap: ``plate, by, low, high``."""
     order = Window.partitionBy("plate", "by").orderBy("low", "high")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from trackloom.config import CONFIG, CONDITIONS, PATCHES
 from trackloom.functions import stats
+from trackloom.operators import curves as cv
 from trackloom.operators import events as ev
 from trackloom.operators import kinematics as kin
 from trackloom.sources.tables import condition_of, conditions, micros, observations, pools, table
@@ -424,13 +425,10 @@ SELECT src, dst, round(dist, 6) AS dist FROM m WHERE dist <= {CONFIG.neighbour_f
 )
 def geo16(spark, d):
     """Region centres within 1.3 times the nearest one's distance; centres are one row per region."""
-    pt = table(spark, d, "embeddings").groupBy("label").agg(
+    pt = table(spark, d, "embeddings").groupBy(F.col("label").alias("region")).agg(
         F.avg(F.col("embedding")[0].cast("double")).alias("cx"), F.avg(F.col("embedding")[1].cast("double")).alias("cy")
     )
-    a, b = pt.select(F.col("label").alias("src"), "cx", "cy"), pt.select(F.col("label").alias("dst"), F.col("cx").alias("dx"), F.col("cy").alias("dy"))
-    ds = a.join(b, F.col("src") != F.col("dst")).withColumn("dist", F.hypot(F.col("cx") - F.col("dx"), F.col("cy") - F.col("dy")))
-    near = ds.withColumn("least", F.min("dist").over(Window.partitionBy("src"))).where(F.col("dist") <= CONFIG.neighbour_factor * F.col("least"))
-    return near.select("src", "dst", F.round("dist", 6).alias("dist"))
+    return cv.neighbours(pt, CONFIG.neighbour_factor).select("src", "dst", F.round("d", 6).alias("dist"))
 
 
 @query(

@@ -310,3 +310,16 @@ def trj11(spark, d):
 @query("trj12_initial_position", f"WITH {OBS} SELECT plate, t, x, y, region FROM obs WHERE ord = 1")
 def trj12(spark, d):
     return observations(spark, d).groupBy("plate").agg(F.min_by(F.struct("t", "x", "y", "region"), "ord").alias("p")).select("plate", "p.*")
+
+
+@query(
+    "trj11_time_per_frame",
+    f"""WITH {OBS}, q AS (SELECT plate, t - lag(t) OVER w AS dt, (ord + ord // 50) - lag(ord + ord // 50) OVER w AS df FROM obs WINDOW w AS (PARTITION BY plate ORDER BY ord))
+SELECT plate, count(*) AS n, round(avg(dt / df), 3) AS mean_us FROM q WHERE df > 0 GROUP BY plate""",
+)
+def trj11_frames(spark, d):
+    """Mean time of a frame between rows, where frames are missing at times; steps without a new frame don't count."""
+    w = Window.partitionBy("plate").orderBy("ord")
+    frame = F.col("ord") + F.floor(F.col("ord") / 50)
+    q = observations(spark, d).select("plate", (F.col("t") - F.lag("t").over(w)).alias("dt"), (frame - F.lag(frame).over(w)).alias("df")).where("df > 0")
+    return q.groupBy("plate").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.try_divide("dt", "df")), 3).alias("mean_us"))

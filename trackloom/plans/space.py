@@ -306,3 +306,18 @@ def agg11(spark, d):
     p = observations(spark, d).groupBy("plate").agg(F.count(F.lit(1)).alias("n")).withColumn("condition_id", condition_of(F.col("plate")))
     j = p.join(F.broadcast(conditions(spark).select("condition_id", "layout")), "condition_id")
     return j.groupBy("condition_id", "layout").agg(F.count(F.lit(1)).alias("n_plates"), F.sum("n").alias("n_rows"))
+
+
+@query(
+    "fil02_few_overlaps",
+    f"""WITH {OBS}, {BOUNDARY}, fu AS (SELECT *, max(high) OVER (PARTITION BY plate, "by" ORDER BY low, high, region ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS furthest FROM ln),
+ov AS (SELECT plate, count(*) FILTER (furthest > low) / count(*) AS share FROM fu GROUP BY plate), p AS (SELECT plate, max(t) - min(t) AS video_us FROM obs GROUP BY plate)
+SELECT p.plate, video_us FROM p WHERE CAST(p.plate % 10 AS INTEGER) NOT IN (SELECT plate FROM ov WHERE share > 0.26) AND video_us >= {20 * 86_400_000_000}""",
+)
+def fil02_overlaps(spark, d):
+    """Plates of long recordings, without those on whose lines more than 26 in a hundred region extents overlap."""
+    found = lines(spark, d)
+    n = found.groupBy("plate").agg(F.count(F.lit(1)).alias("n"))
+    bad = sp.line_overlaps(found).join(n, "plate").where(F.col("n_overlaps") / F.col("n") > 0.26).select(F.col("plate").alias("frame"))
+    p = observations(spark, d).groupBy("plate").agg((F.max("t") - F.min("t")).alias("video_us")).where(F.col("video_us") >= 20 * 86_400_000_000)
+    return p.withColumn("frame", (F.col("plate") % 10).cast("int")).join(bad, "frame", "left_anti").select("plate", "video_us")
