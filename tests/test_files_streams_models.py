@@ -80,6 +80,15 @@ def test_cached(spark, tmp_path):
     assert len(made) == 1
 
 
+def test_work_tables_go(spark):
+    from trackloom.sources import tables
+
+    one = tables.stored(spark.range(4), "test")
+    assert one.count() == 4
+    tables.drop_work_tables(spark)
+    assert not spark.sparkContext._jvm.java.io.File(one.inputFiles()[0].removeprefix("file://")).exists()
+
+
 def test_sinks(spark, tmp_path):
     from trackloom.operators import space as sp
 

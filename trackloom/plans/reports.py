@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from trackloom.config import CONFIG
 from trackloom.functions.stats import bin_index
+from trackloom.functions import stats
 from trackloom.operators import curves as cv
 from trackloom.operators import events as ev
 from trackloom.operators import reports as rp
@@ -181,11 +182,13 @@ SELECT CAST(plate % 8 AS INTEGER) AS condition_id, count(nx) AS n_moves, count(*
 def agg06(spark, d):
     """Revisits and moves, rate of leaving and the 15th percentile of visits, by condition."""
     n = ev.visits(observations(spark, d)).withColumns({"nx": F.lead("region").over(Window.partitionBy("plate").orderBy("start", "end", "region")), "dur": F.col("end") - F.col("start")})
-    return n.groupBy(condition_of(F.col("plate")).alias("condition_id")).agg(
+    n = n.withColumn("condition_id", condition_of(F.col("plate")))
+    shares = n.groupBy("condition_id").agg(
         F.count("nx").alias("n_moves"), (F.count_if(F.col("nx") == F.col("region")) / F.count("nx")).alias("p_revisit"),
         (F.count_if(F.col("nx") != F.col("region")) / F.count("nx")).alias("p_cross"), (F.count(F.lit(1)).cast("double") / F.sum("dur")).alias("leave_rate"),
-        F.round(F.percentile("dur", F.lit(0.15)), 3).alias("p15_visit"),
     )
+    p = stats.exact_percentiles(n, "condition_id", "dur", [0.15])
+    return shares.join(p, "condition_id").select(*shares.columns, F.round("p0", 3).alias("p15_visit"))
 
 
 @query(
