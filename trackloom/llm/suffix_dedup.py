@@ -260,6 +260,20 @@ def _crowded(contexts: DataFrame, length: int, size: int) -> DataFrame:
     return ranges.select("h", "cid", "r.i1", "r.i2")
 
 
+def _parted(rows: DataFrame, key: list[str], group: int) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of keys with up to ``group`` rows, and those of larger ones (None if there are none).
+
+    Keys of larger groups are few; as long as there are at most BROADCAST_KEYS of them they go to every
+    executor, so rows of a large group aren't brought together only to be told from others.
+    """
+    large = materialize(rows.groupBy(*key).agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > group).select(*key), "large-groups")
+    n = large.count()
+    if not n:
+        return rows, None
+    near = F.broadcast(large) if n <= BROADCAST_KEYS else large
+    return rows.join(near, key, "left_anti"), rows.join(near, key, "left_semi")
+
+
 def _lengthened(contexts: DataFrame, length: int, size: int, group: int) -> DataFrame:
     """Repeated strings of anchors with too many contexts to sort at once.
 
@@ -280,12 +294,11 @@ def _lengthened(contexts: DataFrame, length: int, size: int, group: int) -> Data
     key = ["h", "part", "a", "b"]
     cut = rows.select("h", "part", F.xxhash64("_core").alias("a"), F.xxhash64(F.lit(7), "_core").alias("b"), F.col("_cid").alias("cid"), F.col("_left").alias("left"), F.col("_data").alias("data"), "n")
     cut = materialize(cut.groupBy(*key, "cid", "left", "data").agg(F.sum("n").alias("n")), "lengthened-contexts")
-    sizes = materialize(cut.groupBy(*key).agg(F.count(F.lit(1)).alias("c")), "lengthened-sizes")
-    some = cut.join(sizes.where(F.col("c") <= group), key).groupBy(*key).agg(F.collect_list(F.struct("cid", "left", "data", "n")).alias("rows"))
+    some, rest = _parted(cut, key, group)
+    some = some.groupBy(*key).agg(F.collect_list(F.struct("cid", "left", "data", "n")).alias("rows"))
     found = some.select("h", "rows").mapInArrow(_sort_groups(length, size), "h long, cid long, i1 int, i2 int")
-    rest = sizes.where(F.col("c") > group)
-    if not rest.isEmpty():
-        found = found.unionByName(_crowded(cut.join(rest.select(*key), key, "left_semi").select("h", "cid", "left", "data", "n"), length, size))
+    if rest is not None:
+        found = found.unionByName(_crowded(rest.select("h", "cid", "left", "data", "n"), length, size))
     found = found.withColumnRenamed("cid", "_cid")
     return rows.select("h", "cid", "_cid").join(found, ["h", "_cid"]).select("h", "cid", "i1", "i2")
 
@@ -325,12 +338,11 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     offsets = few.mapInArrow(_sort_groups(length, size), "h long, cid long, i1 int, i2 int")
     distinct = contexts.where("many").groupBy("h", "cid", "left", "data").agg(F.sum("n").alias("n"))
     distinct = materialize(distinct, "distinct-contexts")
-    sizes = distinct.groupBy("h").agg(F.count(F.lit(1)).alias("c"))
-    sorted_ones = distinct.join(sizes.where(F.col("c") <= group), "h").groupBy("h").agg(F.collect_list(row).alias("rows"))
+    sorted_ones, crowded = _parted(distinct, ["h"], group)
+    sorted_ones = sorted_ones.groupBy("h").agg(F.collect_list(row).alias("rows"))
     offsets = offsets.unionByName(sorted_ones.mapInArrow(_sort_groups(length, size), "h long, cid long, i1 int, i2 int"))
-    crowded = sizes.where(F.col("c") > group).select("h")
-    if not crowded.isEmpty():
-        offsets = offsets.unionByName(_lengthened(distinct.join(crowded, "h", "left_semi"), length, size, group))
+    if crowded is not None:
+        offsets = offsets.unionByName(_lengthened(crowded, length, size, group))
     offsets = materialize(offsets, "repeated-offsets")
 
     places = work.mapInArrow(_contexts(length, size, True), "h long, cid long, doc long, doc2 long, pos long")

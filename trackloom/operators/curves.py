@@ -125,6 +125,31 @@ def first_passage(obs: DataFrame, radii: list[int]) -> DataFrame:
     )
 
 
+def first_passage_uncut(obs: DataFrame, radii: list[int], jump_us: int) -> DataFrame:
+    """As ``first_passage``, for transits cut at their first pause of more than ``jump_us``: ``radius, n_transits, n_passed, delay_us``.
+
+    A transit that goes on without such a pause until the plate returns to the same region counts at
+    every radius; any other one only at radii that it reached before it was cut.
+    """
+    order = Window.partitionBy("plate").orderBy("ord")
+    inside = F.col("region") >= 0
+    last = F.last(F.when(inside, F.struct("ord", "t", "x", "y", "region")), True).over(order)
+    after = F.first(F.when(inside, F.struct("t", "region")), True).over(order.rowsBetween(1, Window.unboundedFollowing))
+    o = obs.withColumns({"left": last, "next": after, "pause": F.col("t") - F.lag("t").over(order)}).where(~inside & F.col("left").isNotNull())
+    here = Window.partitionBy("plate", "left").orderBy("ord")
+    o = o.withColumn("cut", F.max(F.col("pause") > jump_us).over(here))
+    dx, dy = F.col("x") - F.col("left.x"), (F.col("y") - F.col("left.y")) * 100
+    far = (dx * dx + dy * dy).alias("d2")
+    o = o.select("plate", F.col("left.ord").alias("exit"), "ord", "t", "cut", (F.col("t") - F.col("left.t")).alias("delay"), far, (F.col("next.region") == F.col("left.region")).alias("back"), F.col("next.t").alias("back_t"))
+    passed = [F.min(F.when(~F.col("cut") & (F.col("d2") >= r * r), F.col("delay"))).alias(f"r{i}") for i, r in enumerate(radii)]
+    whole = F.coalesce(F.first("back") & ~F.max("cut") & (F.first("back_t") - F.max("t") <= jump_us), F.lit(False)).alias("whole")
+    transits = o.groupBy("plate", "exit").agg(whole, *passed)
+    long = transits.select("whole", F.explode(F.array(*[F.struct(F.lit(r).cast("long").alias("radius"), F.col(f"r{i}").alias("delay")) for i, r in enumerate(radii)])).alias("p"))
+    return long.groupBy(F.col("p.radius").alias("radius")).agg(
+        F.count_if(F.col("whole") | F.col("p.delay").isNotNull()).alias("n_transits"), F.count("p.delay").alias("n_passed"), F.coalesce(F.sum("p.delay"), F.lit(0)).alias("delay_us")
+    )
+
+
 def around_entries(steps: DataFrame, reach: int) -> DataFrame:
     """Mean step at each offset around the first inside row of a visit; windows with missing rows don't count."""
     order = Window.partitionBy("plate").orderBy("ord")

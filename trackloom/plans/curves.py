@@ -135,6 +135,19 @@ def evt33(spark, d):
     return cv.first_passage(observations(spark, d), RADII)
 
 
+@query(
+    "evt33_uncut_passage",
+    f"""WITH {OBS}, e0 AS (SELECT *, t - lag(t) OVER w AS pause, last_value(CASE WHEN region >= 0 THEN ord END IGNORE NULLS) OVER w AS ex,
+  first_value(CASE WHEN region >= 0 THEN ord END IGNORE NULLS) OVER (PARTITION BY plate ORDER BY ord ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS nx FROM obs WINDOW w AS (PARTITION BY plate ORDER BY ord)),
+e1 AS (SELECT a.plate, a.ex, a.ord, a.t, max(a.pause > {2 * DAY}) OVER (PARTITION BY a.plate, a.ex ORDER BY a.ord) AS cut, a.t - b.t AS delay, (a.x - b.x) * (a.x - b.x) + 10000 * (a.y - b.y) * (a.y - b.y) AS d2, n.region = b.region AS back, n.t AS back_t
+  FROM e0 a JOIN obs b ON a.plate = b.plate AND a.ex = b.ord LEFT JOIN obs n ON n.plate = a.plate AND n.ord = a.nx WHERE a.region < 0),
+e2 AS (SELECT plate, ex, radius, coalesce(bool_and(back) AND NOT bool_or(cut) AND min(back_t) - max(t) <= {2 * DAY}, false) AS whole, min(delay) FILTER (NOT cut AND d2 >= radius * radius) AS delay FROM e1, (SELECT unnest({RADII})::BIGINT AS radius) GROUP BY plate, ex, radius)
+SELECT radius, count(*) FILTER (whole OR delay IS NOT NULL) AS n_transits, count(delay) AS n_passed, CAST(coalesce(sum(delay), 0) AS BIGINT) AS delay_us FROM e2 GROUP BY radius""",
+)
+def evt33_uncut(spark, d):
+    return cv.first_passage_uncut(observations(spark, d), RADII, 2 * DAY)
+
+
 @query(
     "evt34_border_steps",
     f"""WITH {STEPS}, en AS (SELECT plate, ord FROM (SELECT *, lag(region) OVER (PARTITION BY plate ORDER BY ord) AS prev, max(ord) OVER (PARTITION BY plate) AS most FROM st) WHERE region >= 0 AND prev < 0 AND ord > 3 AND ord + 3 <= most)
@@ -229,6 +242,24 @@ def evt40(spark, d):
     return e.groupBy("plate", "day").agg(F.count_if("vis").alias("n_visits"), F.count_if(~F.col("vis")).alias("n_transits"))
 
 
+@query(
+    "evt40_codes",
+    f"""WITH {CENSORED}, sp AS (SELECT plate, unnest(range((min(t) - {T0}) // {DAY}, (max(t) - {T0}) // {DAY} + 1)) AS day FROM obs GROUP BY plate), ro AS (SELECT DISTINCT plate, (t - {T0}) // {DAY} AS day FROM obs),
+dd AS (SELECT plate, region >= 0 AS vis, uncensored, unnest(range((s // 2 - {T0}) // {DAY}, (e // 2 - {T0}) // {DAY} + 1)) AS day FROM c), ev AS (SELECT plate, day, bool_or(vis) AS vis, bool_or(vis AND NOT uncensored) AS cens FROM dd GROUP BY plate, day)
+SELECT sp.plate, sp.day, CASE WHEN ro.day IS NULL THEN -2 WHEN cens THEN -3 WHEN vis THEN 1 ELSE 0 END AS code FROM sp LEFT JOIN ro ON ro.plate = sp.plate AND ro.day = sp.day LEFT JOIN ev ON ev.plate = sp.plate AND ev.day = sp.day""",
+)
+def evt40_codes(spark, d):
+    """Timeline of a plate by day: -2 without rows (a hole that events may fill), -3 with a censored visit, 1 with a visit, 0 else."""
+    o = observations(spark, d).select("plate", F.floor((F.col("t") - T0) / DAY).alias("day"))
+    span = o.groupBy("plate").agg(F.min("day").alias("a"), F.max("day").alias("b")).select("plate", F.explode(F.sequence("a", "b")).alias("day"))
+    day = lambda c: F.floor((F.floor(F.col(c) / 2) - T0) / DAY)
+    e = ev.censored(ev.filled_events(observations(spark, d))).withColumn("day", F.explode(F.sequence(day("start2"), day("end2"))))
+    e = e.groupBy("plate", "day").agg(F.max(F.col("region") >= 0).alias("vis"), F.max((F.col("region") >= 0) & ~F.col("uncensored")).alias("cens"))
+    j = span.join(o.distinct().withColumn("rows", F.lit(True)), ["plate", "day"], "left").join(e, ["plate", "day"], "left")
+    code = F.when(F.col("rows").isNull(), -2).when(F.col("cens"), -3).when(F.col("vis"), 1).otherwise(0)
+    return j.select("plate", "day", code.alias("code"))
+
+
 @query(
     "evt43_neighbour_moves",
     f"""WITH {VISITS}, ce AS (SELECT region, CAST(sum(x) AS BIGINT) / count(*) AS cx, CAST(sum(y) AS BIGINT) / count(*) AS cy FROM obs WHERE region >= 0 GROUP BY region),
