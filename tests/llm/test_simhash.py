@@ -77,3 +77,12 @@ def test_components(spark):
         got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
         pairs = {frozenset(e) for e in edges if e[0] != e[1]}
         assert got == brute.components({n for p in pairs for n in p}, lambda a, b: frozenset((a, b)) in pairs)
+
+
+def test_work_tables_go(spark):
+    from trackloom.llm import common
+
+    one = common.materialize(spark.range(4), "test")
+    assert one.count() == 4
+    common.drop_work_tables(spark)
+    assert not spark.sparkContext._jvm.java.io.File(one.inputFiles()[0].removeprefix("file://")).exists()
