@@ -39,6 +39,26 @@ def select_events(obs: DataFrame, choice: str, cut: tuple[int, int], long_us: in
     return events
 
 
+def first_visits(censored: DataFrame, uncensored_first: bool = False, first_region_only: bool = False, cut2: tuple[int, int] | None = None, least2: int = 0) -> DataFrame:
+    """First visits to regions, ``plate, region, dur2`` (doubled microseconds), from events with their censoring.
+
+    ``uncensored_first`` leaves out regions whose first visit is censored; then visits shorter than
+    ``least2`` go; ``first_region_only`` keeps the region that is found first among the rest; ``cut2``
+    keeps visits that start in it; of what is left the first visit to each region counts.
+    """
+    here, order = Window.partitionBy("plate", "region").orderBy("start2", "end2"), Window.partitionBy("plate").orderBy("start2", "end2", "region")
+    v = censored.where("region >= 0")
+    if uncensored_first:
+        v = v.withColumn("_ok", F.first("uncensored").over(here)).where("_ok")
+    v = v.where(F.col("end2") - F.col("start2") >= least2)
+    if first_region_only:
+        v = v.withColumn("_one", F.first("region").over(order)).where("region = _one")
+    if cut2:
+        v = v.where(F.col("start2").between(*cut2))
+    v = v.withColumn("_k", F.row_number().over(here)).where("_k = 1")
+    return v.select("plate", "region", (F.col("end2") - F.col("start2")).alias("dur2"))
+
+
 def plate_sums(events: DataFrame) -> DataFrame:
     """``plate, condition_id, visit_us, transit_us, n_visits, n_regions`` of chosen events; times in whole microseconds."""
     is_visit, dur = F.col("region") >= 0, F.col("end2") - F.col("start2")

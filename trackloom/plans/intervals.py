@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from trackloom.functions import stats
 from trackloom.operators import curves as cv
 from trackloom.operators import events as ev
-from trackloom.plans.catalog import COND, DAY, OBS, RUNS, T0, VISITS, query
+from trackloom.operators import reports as rp
+from trackloom.plans.catalog import CENSORED, COND, DAY, OBS, RUNS, T0, VISITS, query
 from trackloom.plans.curves import CLOCK_EDGES, HOUR, STAYS
-from trackloom.sources.tables import condition_of, conditions, observations, table
+from trackloom.sources.tables import condition_of, conditions, observations, stored, table
 
 WIDTH = 7000.0
 
@@ -240,3 +241,36 @@ def agg07(spark, d):
         F.when(F.col("nx") != F.col("region"), item("cross_transits", F.col("gap"))), item("patch_sequence", F.col("region")),
     )
     return v.select("plate", "pos", F.explode(F.filter(lists, lambda x: x.isNotNull())).alias("x")).select("x.kind", "plate", "pos", "x.value")
+
+
+#: Modes of first visits: what ``first_visits`` takes, in doubled microseconds.
+FIRST = {
+    "all": {},
+    "uncensored": {"uncensored_first": True},
+    "first_region": {"first_region_only": True, "cut2": (2 * T0, 2 * (T0 + 20 * DAY))},
+    "long": {"uncensored_first": True, "least2": 2 * DAY},
+}
+
+
+def _first_sql(i: int, name: str, mode: dict) -> str:
+    a, b = mode.get("cut2", (-(1 << 62), 1 << 62))
+    return f"""fa{i} AS (SELECT *, first_value(uncensored) OVER (PARTITION BY plate, region ORDER BY s, e) AS ok FROM c WHERE region >= 0),
+fb{i} AS (SELECT *, first_value(region) OVER (PARTITION BY plate ORDER BY s, e, region) AS one FROM fa{i} WHERE {"ok AND " if mode.get("uncensored_first") else ""}e - s >= {mode.get("least2", 0)}),
+fc{i} AS (SELECT *, row_number() OVER (PARTITION BY plate, region ORDER BY s, e) AS k FROM fb{i} WHERE {"region = one AND " if mode.get("first_region_only") else ""}s BETWEEN {a} AND {b}),
+fd{i} AS (SELECT '{name}' AS mode, plate, CAST(plate % 8 AS INTEGER) AS condition_id, avg((e - s) / 120000000.0) AS minutes FROM fc{i} WHERE k = 1 GROUP BY plate)"""
+
+
+@query(
+    "agg05_first_visits",
+    f"""WITH {CENSORED}, {", ".join(_first_sql(i, n, m) for i, (n, m) in enumerate(FIRST.items()))}, fv AS ({" UNION ALL ".join(f"SELECT * FROM fd{i}" for i in range(len(FIRST)))}),
+{_means('fv', 'mode, condition_id', 'minutes', ['mode', 'plate'], 200)} SELECT mode, condition_id, n, round(mean, 4) AS mean, round(lo, 4) AS lo, round(hi, 4) AS hi FROM iv""",
+)
+def agg05(spark, d):
+    """Mean first visit to a region in minutes, by plate and then by condition with intervals, in several modes."""
+    c = stored(ev.censored(ev.filled_events(observations(spark, d))), "censored-events")
+    rows = None
+    for name, mode in FIRST.items():
+        v = rp.first_visits(c, **mode).groupBy("plate").agg(F.avg(F.col("dur2") / 120_000_000.0).alias("minutes"))
+        v = v.select(F.lit(name).alias("mode"), "plate", condition_of(F.col("plate")).alias("condition_id"), "minutes")
+        rows = v if rows is None else rows.unionByName(v)
+    return _rounded(stats.intervals(rows, ["mode", "condition_id"], "minutes", ["mode", "plate"], 200), ["mode", "condition_id"], 4)
