@@ -366,9 +366,10 @@ def keep_one(
 
     Fingerprints of word shingles are cut into disjoint blocks; pairs that share a block are compared
     on CHECKED bits and link if they are no farther apart than texts of this cosine ``similarity`` are
-    on average. Sets with a Jaccard similarity of 0.8 have a cosine of 0.89, so the distance leaves
-    them five standard deviations of room, and blocks catch them but for a share of ``missed``; pairs
-    of a Jaccard similarity from about 0.62 to 0.72 link by chance, and others don't.
+    on average. Sets with a Jaccard similarity of 0.8 have a cosine of 0.89, so blocks miss a share of
+    ``missed`` of such pairs and the distance about one in 96 more (2.4 standard deviations); at 0.85
+    both together miss one in a thousand. Pairs of a Jaccard similarity from about 0.6 to 0.75 link by
+    chance, and less similar ones don't.
 
     A block is read in one task, as rows in order: dense groups are linked from one fingerprint to the
     next, which takes few comparisons, and a block beyond LARGE_BLOCK rows goes on with the first
