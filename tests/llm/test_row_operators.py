@@ -133,6 +133,8 @@ def test_contamination(spark, monkeypatch, rows):
     bench = spark.createDataFrame([(*d, "y") for d in items], "item_id long, text string, n string")
     got = Counter((r.doc_id, r.n_words, r.n_hit, tuple(r.item_ids), r.contaminated) for r in decontaminate.decontaminate(df, bench).collect())
     assert got == Counter((i, n, h, tuple(x), c) for i, n, h, x, c in brute.contamination(docs, items))
+    kept = decontaminate.decontaminate(df, bench, keep=("text", "_words")).collect()
+    assert Counter((r.doc_id, r.n_words, r.n_hit, tuple(r.item_ids), r.contaminated) for r in kept) == got and Counter((r.doc_id, r.text, r["_words"]) for r in kept) == Counter((*d, "x") for d in docs)
     assert {r.n_hit for r in decontaminate.decontaminate(df, bench.limit(0)).collect()} == {0}
     assert decontaminate.decontaminate(df.limit(0), bench).count() == 0
 

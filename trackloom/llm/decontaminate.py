@@ -10,6 +10,8 @@ from trackloom.llm.common import ascii_lower, checked_keep, materialize
 WINDOW_WORDS = 13
 SHINGLE_WORDS = 3
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: A word in a text that isn't lower-cased.
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Item windows up to this many rows go to every executor; beyond it, the join shuffles instead, after a
 #: sieve of so many bits (a table of a 64th of them in rows, which is what goes to executors then).
 BROADCAST_ROWS, SIEVE_BITS = 200_000, 1 << 26
@@ -122,11 +124,13 @@ def decontaminate(
     are no item in ``n_items`` and ``item_ids``; repeated rows each get the same figures; texts of any
     length are taken whole; an empty benchmark leaves all documents clean; an empty table gives an
     empty result. ``keep`` names columns of ``docs`` to carry along, which can't be named as columns
-    of the result are (an error); others are dropped. Texts are cut into words once, into a work table.
+    of the result are (an error); others are dropped. Texts are cut into words once, into a work table
+    without them; with ``keep``, what was found comes back to the rows by hashes of id and text.
     """
     checked_keep(keep, ("doc_id", "n_words", "n_hit", "n_items", "item_ids", "contaminated"))
-    held = F.struct(*[F.col(c) for c in keep]) if keep else F.lit(0)
-    base = docs.select(F.monotonically_increasing_id().alias("_doc"), F.col(id_col).alias("doc_id"), words_of(F.col(text_col)).alias("_words"), held.alias("_keep"))
+    text = F.col(text_col)
+    key = F.struct(F.xxhash64(F.col(id_col), text).alias("a"), F.xxhash64(F.lit(1), text, F.col(id_col)).alias("b"))
+    base = docs.select(F.monotonically_increasing_id().alias("_doc"), F.col(id_col).alias("doc_id"), words_of(text).alias("_words"), (key if keep else F.lit(0)).alias("_key"))
     base = materialize(base.withColumn("n_words", F.size("_words").cast("long")), "document-words")
     found = find_occurrences(base.select("_doc", "_words"), item_windows(benchmark, item_id_col, item_text_col, window_words), window_words)
     cover = F.aggregate(
@@ -148,7 +152,13 @@ def decontaminate(
     per_doc = materialize(per_doc, "doc-hits")
     n_hit = F.coalesce("_hit", F.lit(0)).cast("long")
     items = F.coalesce("_items", F.array().cast("array<string>"))
-    return base.drop("_words").join(per_doc, "_doc", "left").select(
+    rows, on = base.drop("_words"), "_doc"
+    if keep:
+        held = F.struct(*[F.col(c) for c in keep]).alias("_keep")
+        n_words = F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("n_words")
+        rows, on = docs.select(F.col(id_col).alias("doc_id"), n_words, key.alias("_key"), held), "_key"
+        per_doc = per_doc.join(base.select("_doc", "_key"), "_doc").drop("_doc").dropDuplicates(["_key"])
+    return rows.join(per_doc, on, "left").select(
         "doc_id",
         "n_words",
         n_hit.alias("n_hit"),
