@@ -166,3 +166,50 @@ def fold(events):
             if kind == "regenerate":
                 del done[target + 1 :]
     return done
+
+
+def phrases(texts, length):
+    """For each text: n_words, n_removed, the kept words joined by spaces."""
+    words = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for t in texts]
+    seen = Counter(tuple(w[i : i + length]) for w in words for i in range(len(w) - length + 1))
+    out = []
+    for w in words:
+        gone = [False] * len(w)
+        for i in range(len(w) - length + 1):
+            if seen[tuple(w[i : i + length])] > 1:
+                gone[i : i + length] = [True] * length
+        out.append((len(w), sum(gone), " ".join(x for x, g in zip(w, gone) if not g)))
+    return out
+
+
+def whitened(vectors, k=16):
+    """``vectors``: rows of longs. n, S, the components' signed projections by row, shares, all in plain numpy."""
+    fit = np.array(sorted(set(map(tuple, vectors))), dtype=np.int64)
+    n, sums = len(fit), fit.sum(axis=0)
+    c = fit - sums / n
+    values, axes = np.linalg.eigh(c.T @ c / n)
+    order = np.argsort(-values)[:k]
+    w = (np.array(vectors) - sums / n) @ axes[:, order] / np.sqrt(values[order])
+    deviation = [sum((n * int(x) - int(s)) ** 2 for x, s in zip(v, sums)) for v in vectors]
+    return n, deviation, w, values[order] / values.sum()
+
+
+def audit(rows):
+    """``rows``: (part, set of letters that fail, good, toxic). One tuple for each part, order and step, by replaying every order."""
+    from itertools import permutations
+
+    out = []
+    for part in {r[0] for r in rows}:
+        own = [r for r in rows if r[0] == part]
+        made, sums = [], Counter()
+        for order in permutations("ABCDE"):
+            alive = own
+            for step, f in enumerate(order, 1):
+                removed = [r for r in alive if f in r[1]]
+                alive = [r for r in alive if f not in r[1]]
+                failing = sum(f in r[1] for r in own)
+                alone = sum(r[1] == {f} for r in own)
+                sums[f] += len(removed)
+                made.append((part, "".join(order), step, len(alive), len(removed), failing - len(removed), alone, sum(r[2] for r in removed), sum(r[3] for r in removed), f))
+        out += [(*m[:-1], sums[m[-1]]) for m in made]
+    return Counter(out)

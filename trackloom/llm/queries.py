@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackloom.llm import chat, decontaminate, language_id, line_dedup, mixing, sharding, simhash, suffix_dedup, token_files, topk
+from trackloom.llm import chat, decontaminate, filter_audit, language_id, line_dedup, mixing, phrases, sharding, simhash, suffix_dedup, token_files, topk, whitening
 from trackloom.llm.common import read_table, ship_package
 
 SHARDS = 24
@@ -85,8 +85,22 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.remove_phrases(read_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read_table(spark, sf_dir, "embeddings"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of all parts together, which the operator gives besides, are left out."""
+    flags = filter_audit.failures(read_table(spark, sf_dir, "documents"))
+    return filter_audit.audit(filter_audit.labelled(flags, read_table(spark, sf_dir, "labels"))).where("part IS NOT NULL")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_simhash, op2_token_files, op3_line_dedup, op4_sharding, op5_decontaminate, op6_topk, op7_suffix_dedup, op8_mixing, op9_language_id, op10_chat]
+    found = [op1_simhash, op2_token_files, op3_line_dedup, op4_sharding, op5_decontaminate, op6_topk, op7_suffix_dedup, op8_mixing, op9_language_id, op10_chat, op11_phrases, op12_whitening, op13_filter_audit]
     return {f.__name__: f for f in found}
 
 
@@ -162,5 +176,61 @@ FROM e GROUP BY conv_id
 """
 
 
+#: Windows by their words; words of a text are counted by position.
+OP11_SQL = f"""
+WITH d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+win AS (
+  SELECT doc_id, s, sha256(array_to_string(w[s:s + {phrases.LENGTH - 1}], ' ')) AS k FROM (
+    SELECT doc_id, w, unnest(range(1, len(w) - {phrases.LENGTH} + 2)) AS s FROM d WHERE len(w) >= {phrases.LENGTH})),
+rep AS (SELECT k FROM win GROUP BY k HAVING count(*) > 1),
+gone AS (SELECT doc_id, list(DISTINCT p) AS g FROM (SELECT doc_id, unnest(range(s, s + {phrases.LENGTH})) AS p FROM win JOIN rep USING (k)) GROUP BY doc_id),
+words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d SEMI JOIN gone USING (doc_id)),
+hit AS (SELECT doc_id, unnest(g) AS p FROM gone),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS t FROM words ANTI JOIN hit USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(g), 0) AS BIGINT) AS n_removed,
+       sha256(CASE WHEN g IS NULL THEN array_to_string(w, ' ') ELSE coalesce(t, '') END) AS kept_sha256
+FROM d LEFT JOIN gone USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+#: All orders by recursion over the letters; a step's figures are counts over the documents that came to it.
+OP13_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+         list_filter(regexp_split_to_array(coalesce(text, ''), '[ 	-]+'), lambda x: x <> '') AS w FROM documents),
+l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+f AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+         CASE WHEN len(w) < 200 THEN 1 ELSE 0 END AS a,
+         CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 2 ELSE 0 END AS b,
+         CASE WHEN 100 * (length(t) - length(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', ''))) > 3 * length(t) THEN 4 ELSE 0 END AS c,
+         CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END AS d,
+         CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 16 ELSE 0 END AS e
+  FROM d LEFT JOIN l USING (doc_id)),
+m AS (SELECT part, a + b + c + d + e AS fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY ALL),
+o AS (
+  SELECT '' AS filter_order, 0 AS step, 0 AS before, 0 AS own
+  UNION ALL
+  SELECT filter_order || x.letter, step + 1, before | own, x.bit
+  FROM o, (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) x(letter, bit) WHERE (before | own) & x.bit = 0 AND step < 5),
+s AS (
+  SELECT whole.filter_order, part.step, part.before, part.own
+  FROM o whole JOIN o part ON whole.step = 5 AND part.step > 0 AND starts_with(whole.filter_order, part.filter_order)),
+r AS (
+  SELECT part, filter_order, step, own,
+         coalesce(sum(n) FILTER (fails & (before | own) = 0), 0) AS kept,
+         coalesce(sum(n) FILTER (fails & before = 0 AND fails & own <> 0), 0) AS removed,
+         coalesce(sum(n) FILTER (fails & before <> 0 AND fails & own <> 0), 0) AS redundant,
+         coalesce(sum(n) FILTER (fails = own), 0) AS unique_fails,
+         coalesce(sum(good) FILTER (fails & before = 0 AND fails & own <> 0), 0) AS good_lost,
+         coalesce(sum(toxic) FILTER (fails & before = 0 AND fails & own <> 0), 0) AS toxic_lost
+  FROM s, m GROUP BY part, filter_order, step, before, own)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+       CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+       CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+FROM r
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": OP3_SQL, "op5_decontaminate": OP5_SQL, "op6_topk": OP6_SQL, "op10_chat": OP10_SQL}
+    return {"op3_line_dedup": OP3_SQL, "op5_decontaminate": OP5_SQL, "op6_topk": OP6_SQL, "op10_chat": OP10_SQL, "op11_phrases": OP11_SQL, "op13_filter_audit": OP13_SQL}
