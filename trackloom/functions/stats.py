@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -131,7 +133,7 @@ def spread_rank(df: DataFrame, keys: list[str], order: list[str], parts: int = 6
     at = [i / parts for i in range(1, parts)]
     cuts = df.groupBy(*keys).agg(F.percentile_approx(order[0], at, 1000).alias("_cuts"))
     same = [F.col(f"d.{k}").eqNullSafe(F.col(f"c.{k}")) for k in keys]
-    on = same[0] if len(same) == 1 else same[0] & same[1]
+    on = reduce(lambda a, b: a & b, same)
     dealt = df.alias("d").join(cuts.alias("c"), on).select("d.*", F.size(F.filter(F.col("_cuts"), lambda e: e < F.col(f"d.{order[0]}"))).alias("_range"))
     sizes = dealt.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)

@@ -134,7 +134,8 @@ def first_passage_uncut(obs: DataFrame, radii: list[int], jump_us: int) -> DataF
     order = Window.partitionBy("plate").orderBy("ord")
     inside = F.col("region") >= 0
     last = F.last(F.when(inside, F.struct("ord", "t", "x", "y", "region")), True).over(order)
-    after = F.first(F.when(inside, F.struct("t", "region")), True).over(order.rowsBetween(1, Window.unboundedFollowing))
+    back = Window.partitionBy("plate").orderBy(F.desc("ord"))
+    after = F.last(F.when(inside, F.struct("t", "region")), True).over(back.rowsBetween(Window.unboundedPreceding, -1))
     o = obs.withColumns({"left": last, "next": after, "pause": F.col("t") - F.lag("t").over(order)}).where(~inside & F.col("left").isNotNull())
     here = Window.partitionBy("plate", "left").orderBy("ord")
     o = o.withColumn("cut", F.max(F.col("pause") > jump_us).over(here))

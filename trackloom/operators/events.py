@@ -162,10 +162,10 @@ def hard_cut(events: DataFrame, start_us: int, length_us: int) -> DataFrame:
 def transit_kinds(events: DataFrame) -> DataFrame:
     """Transits by whether the visits around them are to one region or two; leading ones have no kind."""
     order = Window.partitionBy("plate").orderBy("start2", "end2", "region")
+    back = Window.partitionBy("plate").orderBy(F.desc("start2"), F.desc("end2"), F.desc("region"))
     seen = F.when(F.col("region") >= 0, F.col("region"))
-    e = events.withColumns(
-        {"left": F.last(seen, True).over(order.rowsBetween(Window.unboundedPreceding, -1)), "came": F.first(seen, True).over(order.rowsBetween(1, Window.unboundedFollowing))}
-    )
+    before = (Window.unboundedPreceding, -1)
+    e = events.withColumns({"left": F.last(seen, True).over(order.rowsBetween(*before)), "came": F.last(seen, True).over(back.rowsBetween(*before))})
     kind = F.when(F.col("left").isNull() | F.col("came").isNull(), F.lit("edge")).when(F.col("left") == F.col("came"), F.lit("same")).otherwise("cross")
     return e.where("region = -1").select("plate", "start2", "end2", kind.alias("kind"))
 

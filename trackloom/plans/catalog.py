@@ -341,7 +341,8 @@ def jon06(spark, d):
     both = o.unionByName(q).withColumn("seen", F.when(F.col("ord").isNotNull(), F.struct("t", "ord")))
     order = Window.partitionBy("plate").orderBy("t", F.col("ord").asc_nulls_last())
     back = F.last("seen", True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    on = F.first("seen", True).over(order.rowsBetween(1, Window.unboundedFollowing))
+    turned = Window.partitionBy("plate").orderBy(F.desc("t"), F.col("ord").desc_nulls_first())
+    on = F.last("seen", True).over(turned.rowsBetween(Window.unboundedPreceding, -1))
     near = both.withColumns({"b": back, "n": on}).where("ord is null")
     low, high = F.col("t") - F.col("b.t"), F.col("n.t") - F.col("t")
     pick = low.isNotNull() & (high.isNull() | (low <= high))

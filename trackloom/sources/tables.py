@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -59,31 +61,65 @@ def pools(spark: SparkSession) -> DataFrame:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write a step's rows to the work folder and read them back: the lineage ends there."""
+    """Write a step's rows to the work folder and read them back: the lineage ends there.
+
+    A lost executor then costs a re-read, not a recomputation, and later steps know sizes exactly.
+    """
     path = work_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def work_folder(spark: SparkSession, name: str) -> str:
-    """A new folder for work tables and stream checkpoints: in ``spark.checkpoint.dir``, or a local one if the master is local."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
+
+    Without that setting a session on a local master has a temporary folder of its own, one for all its
+    work. On a cluster each executor would write to its own disk, so there it is an error.
+    """
+    app = spark.sparkContext.applicationId
+    found = spark.conf.get("spark.checkpoint.dir", None) or _own_folders.get(app)
+    if not found:
         if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        base = tempfile.mkdtemp(prefix="spark-")
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+        found = _own_folders[app] = "file://" + tempfile.mkdtemp(prefix="spark-trackloom-")
+    return found.rstrip("/")
+
+
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for work tables and stream checkpoints, noted with the owner that is at work."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    app = spark.sparkContext.applicationId
+    _made.setdefault(app, {})[path] = _owners[-1] if _owners else None
     return path
 
 
-#: Work folders that this process has named, by application.
-_made: dict[str, list[str]] = {}
+#: Folders of local sessions by application; work folders that this process has named, with their owners; owners at work.
+_own_folders: dict[str, str] = {}
+_made: dict[str, dict[str, str | None]] = {}
+_owners: list[str] = []
+
 
+@contextmanager
+def owned_by(owner: str) -> Iterator[None]:
+    """Work folders that are named within belong to ``owner``, who can be dropped apart from others."""
+    _owners.append(owner)
+    try:
+        yield
+    finally:
+        _owners.pop()
 
-def drop_work_tables(spark: SparkSession) -> None:
-    """Delete this session's work folders, once the results that were read from them are written."""
+
+def drop_work_tables(spark: SparkSession, owner: str | None = None, still_read: DataFrame | None = None) -> None:
+    """Delete this session's work folders, once the results that were read from them are written: those of one owner, or all.
+
+    Folders that hold a file that ``still_read`` reads stay.
+    """
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for path in _made.pop(spark.sparkContext.applicationId, []):
+    made = _made.get(spark.sparkContext.applicationId, {})
+    needed = still_read.inputFiles() if still_read is not None else []
+    for path in [p for p, o in made.items() if owner is None or o == owner]:
+        if any(f"/{path.rsplit('/', 1)[-1]}/" in f for f in needed):
+            continue
         at = jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(conf).delete(at, True)
+        del made[path]
