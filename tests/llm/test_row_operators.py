@@ -283,3 +283,33 @@ def test_chat_render_cases(spark):
     assert sorted((r.conv_id or 0, len(r.formatted), [tuple(s) for s in r.loss_spans]) for r in got) == [
         (0, 0, []), (1, 0, []), (1, 10, [(4, 5)]), (2, 300_025, [(300_019, 300_020)]),
     ]
+
+
+# rows with nulls in different places
+
+
+def test_lines_of_rows_with_nulls(spark):
+    """With ids as text, (null, T) and (T, null) are two rows."""
+    docs = [(None, "abc", "s1"), ("abc", None, "s2"), ("", "x\nabc", "s3"), (None, None, "s4"), ("x", "abc", "s5")]
+    out = line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id string, text string, source string"), min_sites=3).collect()
+    got = Counter((r.doc_id, r.clean_text, r.n_lines, r.n_removed) for r in out)
+    assert got == Counter([(None, "", 1, 1), ("abc", None, 0, 0), ("", "x", 2, 1), (None, None, 0, 0), ("x", "", 1, 1)])
+
+
+@pytest.mark.parametrize("keep", [(), ("text", "source")])
+def test_contamination_of_rows_with_nulls(spark, keep):
+    docs = [(None, "one two", "a"), ("one two", None, "b"), ("one two", "one two", "c"), (None, None, "d")]
+    df = spark.createDataFrame(docs, "doc_id string, text string, source string")
+    items = spark.createDataFrame([(7, "one two")], "item_id long, text string")
+    out = decontaminate.decontaminate(df, items, keep=keep).collect()
+    got = Counter((r.doc_id, r.n_words, r.n_hit, r.n_items, r.contaminated) for r in out)
+    assert got == Counter([(None, 2, 2, 1, True), ("one two", 0, 0, 0, False), ("one two", 2, 2, 1, True), (None, 0, 0, 0, False)])
+    if keep:
+        assert {(r.source, r.contaminated) for r in out} == {("a", True), ("b", False), ("c", True), ("d", False)}
+
+
+def test_rendering_tells_nulls_apart(spark):
+    """Two foldings of one id that differ only in where a null stands are a conversation each."""
+    kind = "conv_id long, messages array<struct<role:string,text:string>>"
+    out = chat.render(spark.createDataFrame([(1, [(None, "user")]), (1, [("user", None)]), (1, None), (1, [])], kind)).collect()
+    assert len(out) == 4

@@ -81,8 +81,19 @@ def test_components(spark):
 
 def test_work_tables_go(spark):
     from trackloom.llm import common
-
-    one = common.materialize(spark.range(4), "test")
+    from trackloom.sources.tables import drop_work_tables, owned_by
+
+    there = lambda df: spark.sparkContext._jvm.java.io.File(df.inputFiles()[0].removeprefix("file://")).exists()
+    with owned_by("a"):
+        one, read = common.materialize(spark.range(4), "one"), common.materialize(spark.range(4), "read")
+    with owned_by("b"):
+        other = common.materialize(spark.range(4), "other")
+    last = read.withColumn("x", read["id"] + 1)
     assert one.count() == 4
-    common.drop_work_tables(spark)
-    assert not spark.sparkContext._jvm.java.io.File(one.inputFiles()[0].removeprefix("file://")).exists()
+    paths = one.inputFiles(), other.inputFiles()
+    drop_work_tables(spark, "a", still_read=last)
+    assert not spark.sparkContext._jvm.java.io.File(paths[0][0].removeprefix("file://")).exists()
+    assert there(other) and there(read) and last.count() == 4
+    drop_work_tables(spark, "a")
+    drop_work_tables(spark)
+    assert not spark.sparkContext._jvm.java.io.File(paths[1][0].removeprefix("file://")).exists()

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trackloom.llm.common import row_key
+
 #: Markers of a turn by role; any other role (and its name) goes into a generic marker.
 MARKS = {"user": ("[INST] ", " [/INST]"), "assistant": ("<s> ", " </s>"), "system": ("[SYS] ", " [/SYS]")}
 OTHER = ("[ROLE ", "] ", " [/ROLE]")
@@ -94,7 +96,9 @@ def render(folded: DataFrame) -> DataFrame:
     conversation each, rows that repeat whole are one; other columns are dropped.
     """
     begin, end = (len(x) for x in MARKS["assistant"])
-    turns = folded.select("conv_id", F.coalesce(F.xxhash64("messages"), F.lit(0)).alias("_which"), F.posexplode_outer("messages").alias("_pos", "_m"))
+    told = F.transform("messages", lambda m: F.struct(m["role"].isNull(), m["role"], m["text"].isNull(), m["text"]))
+    keyed = folded.select("conv_id", "messages", row_key(told).alias("_which"))  # once for a conversation, not for each turn
+    turns = keyed.select("conv_id", "_which", F.posexplode_outer("messages").alias("_pos", "_m"))
     turns = turns.withColumn("_turn", _render_turn(F.col("_m"))).withColumn("_n", F.coalesce(F.char_length("_turn"), F.lit(0)).cast("long"))
     order = Window.partitionBy("conv_id", "_which").orderBy("_pos")
     turns = turns.withColumn("_before", F.lag("_pos").over(order)).where("_before is null or _before <> _pos")

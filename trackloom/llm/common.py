@@ -1,60 +1,31 @@
-"""Helpers that the corpus operators share: scratch tables, safe column names, text measures."""
+"""Helpers that the corpus operators share: work tables, row keys, safe column names, text measures."""
 
 from __future__ import annotations
 
 import os
 import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trackloom.sources.tables import stored
+
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables: ``spark.checkpoint.dir`` of the session.
+def materialize(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and read it back (``stored``), which cuts the lineage.
 
-    Where that setting is absent, a session on a local master gets a temporary folder of its own. On a
-    cluster each executor would write to its own disk, so there it is an error.
+    Results are read from these tables when the caller runs them, so the caller says when they can go:
+    ``drop_work_tables``, of all or of one owner.
     """
-    found = spark.conf.get("spark.checkpoint.dir", None) or _own_folders.get(spark.sparkContext.applicationId)
-    if not found:
-        if spark.sparkContext.master.split("[")[0] != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        found = _own_folders[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="trackloom-")
-    return found.rstrip("/")
-
-
-#: Folders of local sessions, and the work tables that this process has written, by application.
-_own_folders: dict[str, str] = {}
-_written: dict[str, list[str]] = {}
-
+    return stored(df, label)
 
-def new_folder(spark: SparkSession, label: str) -> str:
-    return f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back.
-
-    This cuts the lineage so that a lost executor costs a re-read, not a recomputation, and it
-    gives later stages exact sizes, column pruning and stable row order within files. Results are
-    read from these tables when the caller runs them, so the caller says when they can go
-    (``drop_work_tables``).
-    """
-    path = new_folder(df.sparkSession, label)
-    _written.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def drop_work_tables(spark: SparkSession) -> None:
-    """Delete the work tables of this session, once the results that were read from them are written."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for path in _written.pop(spark.sparkContext.applicationId, []):
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(conf).delete(at, True)
+def row_key(*columns: Column) -> Column:
+    """128 bits that tell rows apart by these columns; a null is told from any value and from a null elsewhere."""
+    known = [c.isNull() for c in columns]
+    return F.struct(F.xxhash64(*known, *columns).alias("a"), F.xxhash64(F.lit(1), *reversed(columns), *known).alias("b"))
 
 
 def fresh(df: DataFrame, base: str) -> str:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import ascii_lower, checked_keep, materialize
+from trackloom.llm.common import ascii_lower, checked_keep, materialize, row_key
 
 WINDOW_WORDS = 13
 SHINGLE_WORDS = 3
@@ -129,7 +129,7 @@ def decontaminate(
     """
     checked_keep(keep, ("doc_id", "n_words", "n_hit", "n_items", "item_ids", "contaminated"))
     text = F.col(text_col)
-    key = F.struct(F.xxhash64(F.col(id_col), text).alias("a"), F.xxhash64(F.lit(1), text, F.col(id_col)).alias("b"))
+    key = row_key(F.col(id_col), text)
     base = docs.select(F.monotonically_increasing_id().alias("_doc"), F.col(id_col).alias("doc_id"), words_of(text).alias("_words"), (key if keep else F.lit(0)).alias("_key"))
     base = materialize(base.withColumn("n_words", F.size("_words").cast("long")), "document-words")
     found = find_occurrences(base.select("_doc", "_words"), item_windows(benchmark, item_id_col, item_text_col, window_words), window_words)

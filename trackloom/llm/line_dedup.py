@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import materialize
+from trackloom.llm.common import materialize, row_key
 
 #: A line on this many distinct sites is boilerplate.
 SITES = 10
@@ -50,7 +50,7 @@ def dedup_lines(
     """
     base = df.select(
         F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"), F.coalesce(F.col(site_col).cast("string"), F.lit("")).alias("site")
-    ).withColumn("_doc", F.struct(F.xxhash64("doc_id", "_text").alias("a"), F.xxhash64(F.lit(2), "_text", "doc_id").alias("b")))
+    ).withColumn("_doc", row_key(F.col("doc_id"), F.col("_text")))
     lines = base.select("_doc", "site", F.posexplode(F.split("_text", "\n")).alias("_pos", "_line")).select(
         "_doc", "site", "_pos", line_key(F.col("_line")).alias("key")
     )
