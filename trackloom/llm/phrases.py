@@ -111,6 +111,46 @@ def _window_rows(length: int, size: int):
     return run
 
 
+def _window_lists(length: int, size: int):
+    """Windows of each text as one row for each anchor that occurs again: ``h, block, ws``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            anchors, blocks, lists = [], [], []
+            for block, text, hs in zip(b.column("block").to_pylist(), b.column("text").cast(pa.binary()), b.column("anchors")):
+                found = Windows(text.as_py().split(), length, size)
+                near = np.flatnonzero(_members(found.anchor, hs.values.to_numpy()))
+                by = near[np.argsort(found.anchor[near], kind="stable")]
+                for part in np.split(by, np.flatnonzero(np.diff(found.anchor[by])) + 1) if len(by) else []:
+                    anchors.append(int(found.anchor[part[0]]))
+                    blocks.append(block)
+                    lists.append(found.window[part].tolist())
+            if anchors:
+                yield pa.RecordBatch.from_arrays([pa.array(anchors), pa.array(blocks), pa.array(lists, pa.list_(pa.int64()))], names=["h", "block", "ws"])
+
+    return run
+
+
+#: Windows that a task remembers, so that it names each but once; it starts anew beyond this.
+REMEMBERED = 1 << 20
+
+
+def _first_named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``block, h, w`` from lists of windows; copies of a passage in one task give their windows once."""
+    seen: set[tuple[int, int, int]] = set()
+    for b in batches:
+        rows = []
+        for h, block, ws in zip(b.column("h").to_pylist(), b.column("block").to_pylist(), b.column("ws").to_pylist()):
+            for w in ws:
+                if (block, h, w) not in seen:
+                    seen.add((block, h, w))
+                    rows.append((block, h, w))
+        if len(seen) > REMEMBERED:
+            seen.clear()
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["block", "h", "w"])
+
+
 def _runs(flags: np.ndarray) -> Iterator[tuple[int, int]]:
     edges = np.flatnonzero(np.diff(np.concatenate([[0], flags.astype(np.int8), [0]])))
     return zip(edges[::2].tolist(), edges[1::2].tolist())
@@ -326,7 +366,8 @@ def remove_phrases(
     near = _broadcast_if_few(spread)
     needs = owners.join(near, "h", "left_anti").join(has, "h").select("first", "block", "h", F.lit(None).cast("long").alias("w"))
     if not spread.isEmpty():
-        apart = windows.join(near, "h", "left_semi").select("block", "h", "w").distinct()
+        lists = work.select("block", "text", "anchors").mapInArrow(_window_lists(length, size), "h long, block long, ws array<long>")
+        apart = lists.join(near, "h", "left_semi").mapInArrow(_first_named, "block long, h long, w long").distinct()
         needs = needs.unionByName(confirmed.join(near, "h", "left_semi").join(apart, ["h", "w"]).select("first", "block", "h", "w"))
     served = (F.col("block") / SERVED).cast("long").alias("served")
     needs = needs.groupBy("first", served).agg(F.collect_list(F.struct("block", "h", "w")).alias("needs"))
