@@ -116,10 +116,8 @@ def smooth(obs: DataFrame, radius: float) -> DataFrame:
     switched = F.coalesce((F.col("track") != F.lag("track").over(by_frame())).cast("int"), F.lit(0))
     k = k.withColumn("_switched", switched).withColumn("_switches", F.sum("_switched").over(by_frame()))
     at = F.when(F.col("kept"), F.struct("ord", "x", "y", "_switches", "_switched"))
-    k = k.withColumns({
-        "_a": F.last(at, True).over(by_frame().rowsBetween(Window.unboundedPreceding, Window.currentRow)),
-        "_b": F.first(at, True).over(by_frame().rowsBetween(1, Window.unboundedFollowing)),
-    })
+    back = Window.partitionBy("plate").orderBy(F.desc("ord")).rowsBetween(Window.unboundedPreceding, -1)
+    k = k.withColumns({"_a": F.last(at, True).over(by_frame().rowsBetween(Window.unboundedPreceding, Window.currentRow)), "_b": F.last(at, True).over(back)})
     cut = F.col("_b._switches") - F.col("_b._switched") > F.col("_a._switches")
     moved = ~F.col("kept") & F.col("_b").isNotNull() & ~F.coalesce(cut, F.lit(False))
     share = (F.col("ord") - F.col("_a.ord")) / (F.col("_b.ord") - F.col("_a.ord"))

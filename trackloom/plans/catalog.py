@@ -286,9 +286,18 @@ def trj10(spark, d):
     return kin.coverage(observations(spark, d))
 
 
-@query("trj04_smoothing")
+@query(
+    "trj04_smoothing",
+    f"""WITH RECURSIVE {OBS}, sw AS (SELECT *, CASE WHEN track <> lag(track) OVER (PARTITION BY plate ORDER BY ord) THEN 1 ELSE 0 END AS switched FROM obs),
+nx AS (SELECT a.plate, a.ord, min(b.ord) AS nxt FROM obs a JOIN obs b ON a.plate = b.plate AND b.ord > a.ord AND (b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y) > 4000 * 4000 GROUP BY a.plate, a.ord),
+k AS (SELECT DISTINCT plate, CAST(1 AS BIGINT) AS ord FROM obs UNION ALL SELECT nx.plate, nx.nxt FROM k JOIN nx ON k.plate = nx.plate AND k.ord = nx.ord),
+c AS (SELECT k.plate, k.ord, o.x, o.y, lead(k.ord) OVER w AS b, lead(o.x) OVER w AS bx, lead(o.y) OVER w AS bty FROM k JOIN obs o ON o.plate = k.plate AND o.ord = k.ord WINDOW w AS (PARTITION BY k.plate ORDER BY k.ord)),
+r AS (SELECT o.plate, o.ord, CAST(o.x AS DOUBLE) AS x, CAST(o.y AS DOUBLE) AS y, c.ord AS a, c.x AS ax, c.y AS ay, b, bx, bty, coalesce((SELECT sum(s.switched) FROM sw s WHERE s.plate = o.plate AND s.ord > c.ord AND s.ord < c.b), 0) > 0 AS cut
+  FROM obs o ASOF JOIN c ON o.plate = c.plate AND o.ord >= c.ord)
+SELECT plate, ord, CASE WHEN ord = a OR b IS NULL OR cut THEN x ELSE ax + (ord - a) / (b - a) * (bx - ax) END AS sx, CASE WHEN ord = a OR b IS NULL OR cut THEN y ELSE ay + (ord - a) / (b - a) * (bty - ay) END AS sy, ord <> a AND NOT cut AS is_smoothed FROM r""",
+)
 def trj04(spark, d):
-    """Smoothed positions; the keep decision feeds back, so no SQL."""
+    """Smoothed positions; in SQL, the rows kept are what the first row of a plate leads to, from each row to the next far one."""
     return kin.smooth(observations(spark, d), 4000.0)
 
 

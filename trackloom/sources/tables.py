@@ -21,6 +21,11 @@ def micros(ts: Column) -> Column:
     return F.unix_micros(ts.cast("timestamp"))
 
 
+def track_of(plate: Column, ts: Column) -> Column:
+    """Tracks of a plate: stretches of days."""
+    return (plate * 100000 + F.floor(F.dayofmonth(ts) / 5)).cast("long")
+
+
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``plate, track, ord, t, region, x, y`` from ``events``: times in microseconds, x in hundredths.
 
@@ -32,7 +37,7 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
         region = F.when(F.col("event_type") == kind, F.lit(code)).otherwise(region)
     raw = table(spark, sf_dir, "events").select(
         F.col("user_id").alias("plate"),
-        (F.col("user_id") * 100000 + F.floor(F.dayofmonth("ts") / 5)).cast("long").alias("track"),
+        track_of(F.col("user_id"), F.col("ts")).alias("track"),
         F.col("event_id"),
         micros(F.col("ts")).alias("t"),
         region.alias("region"),

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from trackloom.config import REGIONS
-from trackloom.sources.tables import work_folder
+from trackloom.sources.tables import track_of, work_folder
+from trackloom.streaming.stateful import state_store
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 VISIT = "plate long, start long, end long, region int"
@@ -19,7 +20,7 @@ STATE = "last_t long, last_region int, start long, waiting array<struct<t:long,e
 
 
 def read_events(spark: SparkSession, folder: str, name: str = "events.parquet") -> DataFrame:
-    """New event files of a folder as a stream: ``plate, ts, t, event_id, region, value``.
+    """New event files of a folder as a stream: ``plate, track, ts, t, event_id, region, value``.
 
     The table is one file, or a folder of part files, which the filter on leaf names would all leave out.
     """
@@ -31,7 +32,7 @@ def read_events(spark: SparkSession, folder: str, name: str = "events.parquet")
     for kind, code in REGIONS.items():
         region = F.when(F.col("event_type") == kind, F.lit(code)).otherwise(region)
     ts = F.col("ts").cast("timestamp")
-    return raw.select(F.col("user_id").alias("plate"), ts.alias("ts"), F.unix_micros(ts).alias("t"), "event_id", region.alias("region"), "value")
+    return raw.select(F.col("user_id").alias("plate"), track_of(F.col("user_id"), F.col("ts")).alias("track"), ts.alias("ts"), F.unix_micros(ts).alias("t"), "event_id", region.alias("region"), "value")
 
 
 def closed_visits(stream: DataFrame, delay: str = "1 hour") -> DataFrame:
@@ -91,9 +92,13 @@ def sessions(stream: DataFrame, gap: str, late: str = "1 hour") -> DataFrame:
 
 
 def drain(stream: DataFrame, name: str) -> DataFrame:
-    """Run a stream over all that is there, with its checkpoint and output in the work folder, and read the output."""
+    """Run a stream over all that is there, with its checkpoint and output in the work folder, and read the output.
+
+    The stream runs here and now, while the query is built. Its state is in RocksDB, which timers need.
+    """
     spark = stream.sparkSession
     out, marks = work_folder(spark, name), work_folder(spark, f"{name}-marks")
-    run = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", marks).outputMode("append").trigger(availableNow=True).start()
-    run.awaitTermination()
+    with state_store(spark):
+        run = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", marks).outputMode("append").trigger(availableNow=True).start()
+        run.awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
