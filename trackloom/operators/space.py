@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from itertools import permutations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -181,6 +182,28 @@ def square_basis(p: DataFrame) -> DataFrame:
     return out.select("plate", (F.col("mx") - (F.col("v1x") - F.col("v1y")) / 2).alias("x0"), (F.col("my") - (F.col("v1y") + F.col("v1x")) / 2).alias("y0"), "v1x", "v1y")
 
 
+def best_turn(points: list[tuple[Column, Column]], targets: list[tuple[float, float]]) -> Column:
+    """``deg, rms``: the turn about their middle that brings points nearest to targets (centred on 0), and how far off they stay.
+
+    For a matching of points to targets the least-squares turn is closed: its tangent is the sum of cross
+    products over that of inner products. All matchings are compared; of equally good ones (a square's
+    quarter turns) the smallest turn wins, and the negative one of two.
+    """
+    n = len(points)
+    mx, my = (sum((p[i] for p in points[1:]), points[0][i]) / n for i in (0, 1))
+    at = [(x - mx, y - my) for x, y in points]
+    own = sum((x * x + y * y for x, y in at[1:]), at[0][0] * at[0][0] + at[0][1] * at[0][1])
+    size = float(sum(u * u + v * v for u, v in targets))
+    turns = []
+    for order in permutations(targets):
+        along = sum((x * u + y * v for (x, y), (u, v) in zip(at, order)), F.lit(0.0))
+        across = sum((x * v - y * u for (x, y), (u, v) in zip(at, order)), F.lit(0.0))
+        deg = F.degrees(F.atan2(across, along))
+        rms = F.sqrt(F.greatest(own + size - 2 * F.sqrt(along * along + across * across), F.lit(0.0)) / n)
+        turns.append(F.struct(F.round(rms, 5).alias("_rms"), F.round(F.abs(deg), 5).alias("_deg"), deg.alias("deg"), rms.alias("rms")))
+    return F.array_min(F.array(*turns))
+
+
 def square_quality(p: DataFrame) -> DataFrame:
     """Sum over four points of the absolute cosine between the ways to the two nearest others; 0 is a square."""
     a = p.select("plate", F.col("x").alias("ax"), F.col("y").alias("ay"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from trackloom.config import CONDITIONS, PATCHES
 from trackloom.operators import events as ev
 from trackloom.operators import layouts as lay
+from trackloom.operators import raster as ra
 from trackloom.operators import space as sp
 from trackloom.plans.catalog import CENSORED, DAY, OBS, T0, VISITS, query
 from trackloom.plans.reports import CHOICE, SUMS, _values
@@ -146,24 +147,21 @@ def geo15(spark, d):
 
 @query(
     "geo18_best_rotation",
-    f"""WITH {CO}, ce AS (SELECT plate, k, x - avg(x) OVER (PARTITION BY plate) AS x, y - avg(y) OVER (PARTITION BY plate) AS y FROM co), an AS (SELECT h / 2.0 AS deg FROM (SELECT unnest(range(-20, 21)) AS h)),
-di AS (SELECT plate, deg, sum(sqrt(pow(x * cos(radians(deg)) - y * sin(radians(deg)) - (k % 2 * 1000 - 500), 2) + pow(x * sin(radians(deg)) + y * cos(radians(deg)) - (k // 2 * 1000 - 500), 2))) AS total FROM ce, an GROUP BY plate, deg)
-SELECT plate, arg_min(deg::DOUBLE, round(total, 6) * 1000 + deg / 1e6) AS deg, round(min(total), 6) AS total FROM di GROUP BY plate""",
+    f"""WITH {CO}, ce AS (SELECT plate, k, x - avg(x) OVER (PARTITION BY plate) AS x, y - avg(y) OVER (PARTITION BY plate) AS y FROM co),
+tk AS (SELECT unnest([0, 1, 2, 3]) AS k), pm AS (SELECT a.k AS p0, b.k AS p1, c.k AS p2, d.k AS p3 FROM tk a, tk b, tk c, tk d WHERE len(list_distinct([a.k, b.k, c.k, d.k])) = 4),
+mt AS (SELECT plate, p0, p1, p2, x, y, (CASE k WHEN 0 THEN p0 WHEN 1 THEN p1 WHEN 2 THEN p2 ELSE p3 END) AS q FROM ce, pm),
+sm AS (SELECT plate, p0, p1, p2, sum(x * (q % 2 * 1000 - 500) + y * (q // 2 * 1000 - 500)) AS along, sum(x * (q // 2 * 1000 - 500) - y * (q % 2 * 1000 - 500)) AS across, sum(x * x + y * y) AS own FROM mt GROUP BY ALL),
+rs AS (SELECT plate, degrees(atan2(across, along)) AS deg, sqrt(greatest(own + 2000000 - 2 * sqrt(along * along + across * across), 0) / 4) AS rms FROM sm),
+rk AS (SELECT *, row_number() OVER (PARTITION BY plate ORDER BY round(rms, 5), round(abs(deg), 5), deg) AS r FROM rs)
+SELECT plate, round(deg, 6) AS deg, round(rms, 6) AS rms FROM rk WHERE r = 1""",
 )
 def geo18(spark, d):
-    """The turn about their middle, by half degrees up to ten, that brings four points nearest to a square."""
+    """The turn about their middle that brings four points nearest to a square, in least squares over all matchings."""
     p = corners(spark, d).groupBy("plate").agg(F.sort_array(F.collect_list(F.struct("k", "x", "y"))).alias("p"))
-    mean = lambda c: sum((F.col("p")[i][c] for i in range(4)), F.lit(0.0)) / 4
-    a = p.select("plate", "p", mean("x").alias("mx"), mean("y").alias("my"), F.explode(F.sequence(F.lit(-20), F.lit(20))).alias("h")).withColumn("deg", F.col("h") / 2.0)
-    c, s = F.cos(F.radians("deg")), F.sin(F.radians("deg"))
-
-    def off(i):
-        x, y = F.col("p")[i]["x"] - F.col("mx"), F.col("p")[i]["y"] - F.col("my")
-        return F.sqrt(F.pow(x * c - y * s - (i % 2 * 1000 - 500), F.lit(2)) + F.pow(x * s + y * c - (i // 2 * 1000 - 500), F.lit(2)))
-
-    total = sum((off(i) for i in range(1, 4)), off(0))
-    best = a.select("plate", "deg", total.alias("total")).groupBy("plate").agg(F.min_by("deg", F.round("total", 6) * 1000 + F.col("deg") / 1e6).alias("deg"), F.round(F.min("total"), 6).alias("total"))
-    return best
+    points = [(F.col("p")[i]["x"], F.col("p")[i]["y"]) for i in range(4)]
+    square = [(i % 2 * 1000 - 500, i // 2 * 1000 - 500) for i in range(4)]
+    best = sp.best_turn(points, square)
+    return p.select("plate", best.alias("b")).select("plate", F.round("b.deg", 6).alias("deg"), F.round("b.rms", 6).alias("rms"))
 
 
 @query(
@@ -227,6 +225,34 @@ def agg09(spark, d):
     return far.groupBy("plate", ring.alias("ring")).agg(F.count(F.lit(1)).alias("n_pixels"), F.sum("n").alias("n_frames"), (F.sum("n") / F.count(F.lit(1))).alias("frames_per_pixel"))
 
 
+CELL = 8
+#: Extents of regions in cells of eight pixels, and all cells of their plates.
+CELLS = f"""{BOUNDARY.replace("ln AS (", "fine AS (")},
+ln AS (SELECT DISTINCT plate, CAST(floor("by" / {CELL}.0) AS BIGINT) AS "by", CAST(floor(low / {CELL}.0) AS BIGINT) AS low, CAST(floor((high - 1) / {CELL}.0) AS BIGINT) + 1 AS high FROM fine),
+dp AS (SELECT plate, px, unnest(range(y0 - 1, y1 + 2)) AS py FROM (SELECT plate, y0, y1, unnest(range(x0 - 1, x1 + 1)) AS px FROM (SELECT plate, min(low) AS x0, max(high) AS x1, min("by") AS y0, max("by") AS y1 FROM ln GROUP BY plate))), {SIGNED}"""
+
+
+def cell_distances(spark, d):
+    return ra.distance_raster(ra.coarse_lines(lines(spark, d), CELL))
+
+
+@query("geo09_whole_raster", f"WITH {CELLS} SELECT plate, px, py, distance FROM sg")
+def geo09_whole(spark, d):
+    """Signed distance of every cell of a plate, visited or not, to the edge of its regions."""
+    return cell_distances(spark, d)
+
+
+@query(
+    "agg09_time_per_pixel",
+    f"""WITH {PIX}, {CELLS}, n AS (SELECT plate, CAST(floor(px / {CELL}.0) AS BIGINT) AS px, CAST(floor(py / {CELL}.0) AS BIGINT) AS py, count(*) AS n FROM oq GROUP BY 1, 2, 3)
+SELECT plate, CAST(len(list_filter([-4, -1, 0, 1, 4, 16], lambda e: e < distance)) AS BIGINT) AS ring, count(*) AS n_pixels, CAST(coalesce(sum(n), 0) AS BIGINT) AS n_frames, coalesce(sum(n), 0) / count(*) AS frames_per_pixel FROM sg LEFT JOIN n USING (plate, px, py) GROUP BY 1, 2""",
+)
+def agg09_time(spark, d):
+    """Frames for each cell at a distance to the edge of regions, over all cells."""
+    at = lambda c: F.floor(F.col(c) / CELL).cast("long").alias(c)
+    return ra.time_per_pixel(placed(spark, d).select("plate", at("px"), at("py")), cell_distances(spark, d), [-4, -1, 0, 1, 4, 16])
+
+
 RASTER = f"""{PIX}, {BOUNDARY}, pxl AS (SELECT plate, region, "by" AS py, unnest(range(low, high)) AS px FROM ln), w AS (SELECT plate, px, py, max(region) AS region FROM pxl GROUP BY plate, px, py)"""
 
 

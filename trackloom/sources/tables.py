@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -128,3 +130,14 @@ def drop_work_tables(spark: SparkSession, owner: str | None = None, still_read:
         at = jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(conf).delete(at, True)
         del made[path]
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors unless their Python path has it already."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    if root in os.environ.get("PYTHONPATH", "").split(os.pathsep) or getattr(spark.sparkContext, "_trackloom_sent", False):
+        return
+    base = os.path.join(tempfile.mkdtemp(prefix="spark-trackloom-pkg-"), "trackloom")
+    shutil.make_archive(base, "zip", root, "trackloom")
+    spark.sparkContext.addPyFile(base + ".zip")
+    spark.sparkContext._trackloom_sent = True
