@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackloom.sources.tables import stored
+from trackloom.sources.tables import ship_package, stored
+
+__all__ = ["ascii_lower", "checked_keep", "fresh", "materialize", "read_table", "row_key", "ship_package", "utf8_crc32"]
 
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -57,16 +56,3 @@ def utf8_crc32(text: Column) -> Column:
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def ship_package(spark: SparkSession) -> None:
-    """Send this package to the executors unless their Python path has it already."""
-    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    if root in os.environ.get("PYTHONPATH", "").split(os.pathsep) or getattr(spark.sparkContext, "_trackloom_sent", False):
-        return
-    import shutil
-
-    base = os.path.join(tempfile.mkdtemp(prefix="trackloom-pkg-"), "trackloom")
-    shutil.make_archive(base, "zip", root, "trackloom")
-    spark.sparkContext.addPyFile(base + ".zip")
-    spark.sparkContext._trackloom_sent = True
