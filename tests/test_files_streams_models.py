@@ -129,12 +129,11 @@ def test_bootstrap(spark):
 
 
 def test_fixed_width_bins(spark):
-    assert stats.fixed_width_edges(1, 10, 3) == [0, 3, 6] and stats.fixed_width_edges(5, 5, 10) == [4]
-    assert stats.middles([0, 3, 6], 10) == [1.5, 4.5, 8]
+    assert stats.last_bin(1, 10, 3) == 2 and stats.last_bin(5, 5, 10) == 0
     df = spark.createDataFrame([(1, 1, 2.0), (2, 3, 4.0), (3, 10, 8.0), (4, 10, None)], "k int, x int, y double")
-    got = [(r.bin, r.middle, r.n, r["mean"]) for r in stats.fixed_width_bins(df, "x", "y", ["k"], 3.0, 10).orderBy("bin").collect()]
+    got = [(r.bin, r.middle, r.n, r["mean"]) for r in stats.fixed_width_bins(df, "x", "y", 3.0, 10).orderBy("bin").collect()]
     assert got == [(0, 1.5, 2, 3.0), (1, 4.5, 0, 0.0), (2, 8.0, 1, 8.0)]
-    assert stats.fixed_width_bins(df.limit(0), "x", "y", ["k"], 3.0).count() == 0
+    assert stats.fixed_width_bins(df.limit(0), "x", "y", 3.0).count() == 0
 
 
 def test_pooled_ranks(spark):
@@ -143,12 +142,14 @@ def test_pooled_ranks(spark):
 
 
 def test_tests(spark):
-    assert abs(stats.chi2_tail_3(7.814728) - 0.05) < 1e-6
+    for x, p in ((0.0, 1.0), (7.814728, 0.05), (16.26624, 0.001), (40.0, 1.0655e-08)):
+        assert abs(spark.range(1).select(stats.chi2_tail_3(F.lit(x))).first()[0] - p) < 1e-8
     few = spark.createDataFrame([("a", float(i)) for i in range(7)] + [("b", 1.0)] * 20, "g string, v double")
     assert {r.g: r.k2 for r in stats.normality(stats.moments(few, "g", "v")).collect()} == {"a": None, "b": None}
     same = spark.createDataFrame([(g, float(i)) for g in "abcd" for i in range(10)], "g string, v double")
     r = stats.equal_means(same, "g", "v").first()
-    assert r.k == 4 and abs(r.statistic) < 1e-12
+    assert r.k == 4 and abs(r.statistic) < 1e-12 and abs(r.p - 1) < 1e-6
+    assert stats.equal_means(same.where("g <> 'a'"), "g", "v").first().p is None
 
 def test_stream_of_part_files(spark, sf_dir, tmp_path):
     table = spark.read.parquet(f"{sf_dir}/events.parquet")

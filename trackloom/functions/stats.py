@@ -68,35 +68,39 @@ def intervals(df: DataFrame, keys: list[str], value: str, row: list[str], resamp
 def picked_means(df: DataFrame, group: str, value: str, order: list[str], picks: int, resamples: int) -> DataFrame:
     """``group, r, m``: means of ``picks`` values of a group drawn with replacement, ``resamples`` times.
 
-    Draws name places in the group's order, so only as many rows as draws meet the values.
+    Draws name places in the group's order, so only as many rows as draws meet the values. Places are found
+    in ranges of the first column of the order, so no group comes together.
     """
-    places = df.withColumn("_k", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
+    places = spread_rank(df, [group], order).withColumnRenamed("_rank", "_k")
     sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
     draws = sizes.withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(resamples)))).withColumn("_i", F.explode(F.sequence(F.lit(1), F.lit(picks))))
-    draws = draws.select(group, "r", (F.floor(draw(F.col("r"), F.col("_i"), F.col(group)) * F.col("_n")) + 1).cast("int").alias("_k"))
+    draws = draws.select(group, "r", (F.floor(draw(F.col("r"), F.col("_i"), F.col(group)) * F.col("_n")) + 1).alias("_k"))
     return draws.join(places, [group, "_k"]).groupBy(group, "r").agg((F.sum(value) / F.count(F.lit(1))).alias("m"))
 
 
-def fixed_width_edges(least: float, most: float, width: float) -> list[float]:
-    """Left edges from one below the least value; the last bin takes what is left, up to twice the width."""
-    n = max(0, math.ceil((most - (least - 1) - 2 * width) / width))
-    return [least - 1 + k * width for k in range(n + 1)]
+def last_bin(least: float, most: float, width: float) -> int:
+    """The last bin's number; bins begin at one below the least value, and the last one takes what is left, up to twice the width."""
+    return max(0, math.ceil((most - (least - 1) - 2 * width) / width))
 
 
-def middles(edges: list[float], most: float) -> list[float]:
-    """Centres of bins; the last one lies between its edge and the greatest value."""
-    return [(a + b) / 2 for a, b in zip(edges, [*edges[1:], most])]
+def fixed_width_bins(df: DataFrame, x: str, y: str, width: float, resamples: int = 100) -> DataFrame:
+    """``bin, middle, n, mean, lo, hi`` of every bin of equal width; an empty bin has mean 0 and no interval.
 
+    The last bin's middle lies between its edge and the greatest value. Intervals are those of resamples of
+    exactly a bin's size (``resampling.exact_intervals``), drawn by distinct values.
+    """
+    from trackloom.functions.resampling import exact_intervals
 
-def fixed_width_bins(df: DataFrame, x: str, y: str, row: list[str], width: float, resamples: int = 100) -> DataFrame:
-    """``bin, middle, n, mean, lo, hi`` of every bin of equal width; an empty bin has mean 0 and no interval."""
+    spark = df.sparkSession
     ends = df.agg(F.min(x), F.max(x)).first()
     if ends[0] is None:
-        return df.sparkSession.createDataFrame([], "bin long, middle double, n long, mean double, lo double, hi double")
-    edges = fixed_width_edges(float(ends[0]), float(ends[1]), width)
-    all_bins = df.sparkSession.createDataFrame(list(zip(range(len(edges)), middles(edges, float(ends[1])))), "bin long, middle double")
-    place = F.least(F.ceil((F.col(x) - F.lit(edges[0])) / F.lit(width)) - 1, F.lit(len(edges) - 1)).cast("long")
-    found = intervals(df.withColumn("bin", place), ["bin"], y, row, resamples)
+        return spark.createDataFrame([], "bin long, middle double, n long, mean double, lo double, hi double")
+    least, most = float(ends[0]), float(ends[1])
+    last = last_bin(least, most, width)
+    left = F.lit(least - 1) + F.col("bin") * F.lit(float(width))
+    all_bins = spark.range(last + 1).select(F.col("id").alias("bin")).withColumn("middle", F.when(F.col("bin") == last, (left + F.lit(most)) / 2).otherwise(left + F.lit(width / 2)))
+    place = F.least(F.ceil((F.col(x) - F.lit(least - 1)) / F.lit(width)) - 1, F.lit(last)).cast("long")
+    found = exact_intervals(df.withColumn("bin", place), ["bin"], y, resamples)
     return all_bins.join(found, "bin", "left").select("bin", "middle", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("mean", F.lit(0.0)).alias("mean"), "lo", "hi")
 
 
@@ -124,23 +128,29 @@ def pooled_ranks(counts: DataFrame, rank: str, n: str, least: int) -> DataFrame:
     return ranks.select(F.explode(F.aggregate("_all", start, step, lambda s: s["out"])).alias("p")).select("p.*")
 
 
-def spread_rank(df: DataFrame, keys: list[str], order: list[str], parts: int = 64) -> DataFrame:
+def spread_rank(df: DataFrame, keys: list[str], order: list[str], parts: int = 64, weight: str | None = None) -> DataFrame:
     """Add ``_rank`` (from 1) of each row within ``keys`` by ``order``, without a task that holds a whole group.
 
     Rows are dealt to ranges of the first column of the order by approximate quantiles of each group, a
     bounded sketch; counts of ranges give the rank where each begins, and each range is ranked on its own.
+    With ``weight``, ``_before`` is the sum of that column over the rows that come earlier.
     """
     at = [i / parts for i in range(1, parts)]
     cuts = df.groupBy(*keys).agg(F.percentile_approx(order[0], at, 1000).alias("_cuts"))
     same = [F.col(f"d.{k}").eqNullSafe(F.col(f"c.{k}")) for k in keys]
     on = reduce(lambda a, b: a & b, same)
     dealt = df.alias("d").join(cuts.alias("c"), on).select("d.*", F.size(F.filter(F.col("_cuts"), lambda e: e < F.col(f"d.{order[0]}"))).alias("_range"))
-    sizes = dealt.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    heavy = F.col(weight).cast("long") if weight else F.lit(0).cast("long")
+    sizes = dealt.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_n"), F.sum(heavy).alias("_w"))
     before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(*keys, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    ranked = dealt.withColumn("_k", F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(*order)))
+    starts = sizes.select(*keys, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_earlier"), F.coalesce(F.sum("_w").over(before), F.lit(0)).alias("_heavier"))
+    within = Window.partitionBy(*keys, "_range").orderBy(*order)
+    ranked = dealt.withColumn("_k", F.row_number().over(within))
+    if weight:
+        ranked = ranked.withColumn("_s", F.coalesce(F.sum(heavy).over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     joined = ranked.alias("d").join(starts.alias("c"), [*same, F.col("d._range") == F.col("c._range")])
-    return joined.select(*[F.col(f"d.{c}") for c in df.columns], (F.col("_before") + F.col("_k")).cast("long").alias("_rank"))
+    sums = [(F.col("_heavier") + F.col("_s")).cast("long").alias("_before")] if weight else []
+    return joined.select(*[F.col(f"d.{c}") for c in df.columns], (F.col("_earlier") + F.col("_k")).cast("long").alias("_rank"), *sums)
 
 
 def exact_percentiles(df: DataFrame, key: str, value: str, shares: list[float], parts: int = 64) -> DataFrame:
@@ -184,7 +194,7 @@ def normality(m: DataFrame) -> DataFrame:
 
 
 def equal_means(df: DataFrame, group: str, value: str) -> DataFrame:
-    """Alexander and Govern's statistic for equal means under unequal variances: one row ``k, statistic``."""
+    """Alexander and Govern's test of equal means under unequal variances: one row ``k, statistic, p``; p is of four groups alone."""
     g = df.groupBy(group).agg(F.count(value).alias("n"), F.avg(value).alias("m"), F.var_samp(value).alias("v")).where("n > 1 and v > 0")
     g = g.withColumn("w", F.col("n") / F.col("v"))
     common = g.agg((F.sum(F.col("w") * F.col("m")) / F.sum("w"))).scalar()
@@ -194,16 +204,32 @@ def equal_means(df: DataFrame, group: str, value: str) -> DataFrame:
     b = 48 * a * a
     c = F.sqrt(a * F.log(1 + t * t / nu))
     z = c + (c**3 + 3 * c) / b - (4 * c**7 + 33 * c**5 + 240 * c**3 + 855 * c) / (10 * b * b + 8 * b * c**4 + 1000 * b)
-    return g.agg(F.count(F.lit(1)).alias("k"), F.sum(z * z).alias("statistic"))
+    out = g.agg(F.count(F.lit(1)).alias("k"), F.sum(z * z).alias("statistic"))
+    return out.withColumn("p", F.when(F.col("k") == 4, chi2_tail_3(F.col("statistic"))))
+
+
+def erfc(z: Column) -> Column:
+    """The complementary error function of a number that isn't negative: its series up to 4, then its asymptotic form; to about 1e-9."""
+    sign = lambda i: F.when(i % 2 == 0, F.lit(1.0)).otherwise(F.lit(-1.0))
+    start = F.struct(z.alias("term"), F.lit(0.0).alias("sum"))
+    # term i is z ** (2 i + 1) / i!
+    series = F.aggregate(
+        F.sequence(F.lit(0), F.lit(79)),
+        start,
+        lambda s, i: F.struct((s["term"] * z * z / (i + 1)).alias("term"), (s["sum"] + sign(i) * s["term"] / (2 * i + 1)).alias("sum")),
+        lambda s: 1 - s["sum"] * (2 / math.sqrt(math.pi)),
+    )
+    far = F.exp(-z * z) / (z * math.sqrt(math.pi)) * (1 - 1 / (2 * z * z) + 3 / (4 * z * z * z * z))
+    return F.when(z < 4, series).otherwise(far)
 
 
-def chi2_tail_3(x: float) -> float:
+def chi2_tail_3(x: Column) -> Column:
     """Probability that a chi-squared variable of three degrees of freedom exceeds ``x``."""
-    return math.erfc(math.sqrt(x / 2)) + math.sqrt(2 * x / math.pi) * math.exp(-x / 2)
+    return erfc(F.sqrt(x / 2)) + F.sqrt(2 * x / math.pi) * F.exp(-x / 2)
 
 
 def box(df: DataFrame, group: str, value: str) -> DataFrame:
-    """Quartiles, whisker ends (the furthest values within 1.5 times the box) and counts by group."""
+    """Quartiles, whisker ends (the furthest values within 1.5 times the box) and counts by group; ``resampling.notches`` gives the notch."""
     q = exact_percentiles(df, group, value, [0.25, 0.5, 0.75]).select(F.col(group), F.array("p0", "p1", "p2").alias("q"))
     reach = 1.5 * (F.col("q")[2] - F.col("q")[0])
     inside = F.col(value).between(F.col("q")[0] - reach, F.col("q")[2] + reach)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from trackloom.functions import stats
+from trackloom.functions import resampling, stats
 from trackloom.operators import curves as cv
 from trackloom.operators import events as ev
 from trackloom.operators import reports as rp
@@ -28,6 +30,38 @@ rm AS (SELECT {keys}, r, sum({w}) AS n, sum(({w}) * {value}) / nullif(sum({w}),
 iv AS (SELECT {keys}, CAST(max(n) FILTER (r = 0) AS BIGINT) AS n, max(m) FILTER (r = 0) AS mean, quantile_cont(m, 0.025) FILTER (r > 0) AS lo, quantile_cont(m, 0.975) FILTER (r > 0) AS hi FROM rm GROUP BY {keys})"""
 
 
+def splits(source: str, keys: list[str], value: str, resamples: int, place: str | None = None) -> str:
+    """SQL of resamples by nested binomial splits: ``ce`` (distinct values with counts) and the leaves ``lf`` (keys, r, v, n, off, total).
+
+    With ``place``, an expression of ``total``, only branches that hold the places about it are followed.
+    """
+    own = ", ".join(keys)
+    on = " AND ".join(f"cu.{k} = nd.{k}" for k in keys)
+    digest = f"md5(concat_ws(',', {', '.join('nd.' + k for k in keys)}, r, l, j))"
+    u, v = (f"(('0x' || substr({digest}, {at}, 8))::BIGINT / {float(1 << 32)!r}::DOUBLE)" for at in (1, 9))
+    few = f"""list_reduce(range(1, least(n, {resampling.MOST_STEPS}) + 1), lambda s, i: {{'mass': CASE WHEN s.below < u THEN s.mass * (n - i + 1) / i * (q / (1 - q)) ELSE s.mass END,
+      'below': CASE WHEN s.below < u THEN s.below + s.mass * (n - i + 1) / i * (q / (1 - q)) ELSE s.below END, 'k': CASE WHEN s.below < u THEN i ELSE s.k END}}, {{'mass': pow(1 - q, n), 'below': pow(1 - q, n), 'k': 0::BIGINT}}).k"""
+    x = f"""CAST(CASE WHEN mid = hi THEN n WHEN n * q <= {resampling.SMALL_MEAN} THEN CASE WHEN p <= 0.5 THEN {few} ELSE n - {few} END
+      ELSE greatest(0, least(n, floor(n * p + sqrt(n * p * (1 - p)) * (sqrt(-2 * ln(1 - u)) * cos({2 * math.pi!r}::DOUBLE * v)) + 0.5))) END AS BIGINT)"""
+    holds = "" if place is None else f" AND ((ch.off < floor({place}) AND floor({place}) <= ch.off + ch.n) OR (ch.off < ceil({place}) AND ceil({place}) <= ch.off + ch.n))"
+    return f"""ce AS (SELECT {own}, {value} AS v, count(*) AS c FROM {source} WHERE {value} IS NOT NULL GROUP BY {own}, {value}),
+cu AS (SELECT {own}, v, c, row_number() OVER (PARTITION BY {own} ORDER BY v) - 1 AS k, CAST(sum(c) OVER (PARTITION BY {own} ORDER BY v ROWS UNBOUNDED PRECEDING) - c AS BIGINT) AS before FROM ce),
+tt AS (SELECT {own}, CAST(sum(c) AS BIGINT) AS n, count(*) AS m FROM ce GROUP BY {own}), de AS (SELECT CAST(ceil(log2(max(m))) AS BIGINT) AS depth FROM tt),
+nd AS (SELECT {own}, r, 0::BIGINT AS l, 0::BIGINT AS j, n, 0::BIGINT AS lo, n AS hi, 0::BIGINT AS off, n AS total FROM tt, (SELECT unnest(range(1, {resamples + 1})) AS r)
+  UNION ALL SELECT {own}, r, l + 1, ch.j, ch.n, ch.lo, ch.hi, ch.off, total FROM (
+    SELECT {own}, r, l, total, unnest([{{'j': 2 * j, 'n': x, 'lo': lo, 'hi': mid, 'off': off}}, {{'j': 2 * j + 1, 'n': n - x, 'lo': mid, 'hi': hi, 'off': off + x}}]) AS ch FROM (
+      SELECT *, {x} AS x FROM (SELECT *, least(p, 1 - p) AS q FROM (SELECT *, (mid - lo) / (hi - lo) AS p FROM (
+        SELECT nd.*, coalesce(cu.before, hi) AS mid, {u} AS u, {v} AS v FROM nd CROSS JOIN de LEFT JOIN cu ON {on} AND cu.k = j * (1::BIGINT << (depth - l)) + (1::BIGINT << (depth - l - 1)) WHERE l < depth))))) WHERE ch.n > 0{holds}),
+lf AS (SELECT {", ".join("nd." + k for k in keys)}, r, cu.v, nd.n, off, total FROM nd JOIN de ON l = depth JOIN cu ON {on} AND cu.k = nd.j)"""
+
+
+def exact_means(source: str, keys: list[str], value: str, resamples: int) -> str:
+    own = ", ".join(keys)
+    return f"""{splits(source, keys, value, resamples)},
+rm AS (SELECT {own}, r, sum(n) AS n, sum(n * v) / sum(n) AS m FROM (SELECT {own}, r, v, n FROM lf UNION ALL SELECT {own}, 0, v, c FROM ce) GROUP BY {own}, r),
+iv AS (SELECT {own}, CAST(max(n) FILTER (r = 0) AS BIGINT) AS n, max(m) FILTER (r = 0) AS mean, quantile_cont(m, 0.025) FILTER (r > 0) AS lo, quantile_cont(m, 0.975) FILTER (r > 0) AS hi FROM rm GROUP BY {own})"""
+
+
 def _rounded(df, keys, digits=6):
     return df.select(*keys, "n", *[F.round(c, digits).alias(c) for c in ("mean", "lo", "hi")])
 
@@ -40,6 +74,22 @@ def _plates(spark, d):
     return ev.visits(observations(spark, d)).groupBy("plate").agg(condition_of(F.first("plate")).alias("condition_id"), F.count(F.lit(1)).alias("n_visits"))
 
 
+@query(
+    "sta01_exact_sizes",
+    f"WITH RECURSIVE {PLATES}, {splits('pn', ['condition_id'], 'n_visits', 200)} SELECT condition_id, r, v AS n_visits, CAST(n AS BIGINT) AS n FROM lf",
+)
+def sta01_exact(spark, d):
+    """How often each of 200 resamples has each number of visits, by condition; each resample is as large as its condition."""
+    c = resampling.resample_counts(_plates(spark, d), ["condition_id"], "n_visits", 200)
+    return c.select("condition_id", F.col("r").cast("long").alias("r"), "n_visits", "n")
+
+
+@query("sta01_exact_intervals", f"WITH RECURSIVE {PLATES}, {exact_means('pn', ['condition_id'], 'n_visits', 1000)} SELECT condition_id, {ROUNDED} FROM iv")
+def sta01_sized(spark, d):
+    """Mean visits of a condition with an interval of 1000 resamples of exactly its size."""
+    return _rounded(resampling.exact_intervals(_plates(spark, d), ["condition_id"], "n_visits", 1000), ["condition_id"])
+
+
 @query("sta01_bootstrap", f"WITH {PLATES}, {_means('pn', 'condition_id', 'n_visits', ['plate'], 1000)} SELECT condition_id, {ROUNDED} FROM iv")
 def sta01(spark, d):
     """Mean visits of a condition with an interval of 1000 resamples."""
@@ -64,14 +114,14 @@ def agg01(spark, d):
 
 @query(
     "bin01_fixed_width",
-    f"""WITH {OBS}, en AS (SELECT min(x) AS lo_x, max(x) AS hi_x FROM obs), nb AS (SELECT *, CAST(greatest(0, ceil((hi_x - (lo_x - 1) - 2 * {WIDTH}) / {WIDTH})) AS BIGINT) AS last_bin FROM en),
+    f"""WITH RECURSIVE {OBS}, en AS (SELECT min(x) AS lo_x, max(x) AS hi_x FROM obs), nb AS (SELECT *, CAST(greatest(0, ceil((hi_x - (lo_x - 1) - 2 * {WIDTH}) / {WIDTH})) AS BIGINT) AS last_bin FROM en),
 ab AS (SELECT bin, CASE WHEN bin = last_bin THEN (lo_x - 1 + bin * {WIDTH} + hi_x) / 2 ELSE lo_x - 1 + bin * {WIDTH} + {WIDTH} / 2 END AS middle FROM nb, (SELECT unnest(range(0, (SELECT last_bin + 1 FROM nb))) AS bin)),
 bx AS (SELECT plate, ord, y, CAST(least(ceil((x - (lo_x - 1)) / {WIDTH}) - 1, last_bin) AS BIGINT) AS bin FROM obs, nb),
-{_means('bx', 'bin', 'y', ['plate', 'ord'], 100)} SELECT ab.bin, middle, coalesce(n, 0) AS n, round(coalesce(mean, 0), 6) AS mean, round(lo, 6) AS lo, round(hi, 6) AS hi FROM ab LEFT JOIN iv ON iv.bin = ab.bin""",
+{exact_means('bx', ['bin'], 'y', 100)} SELECT ab.bin, middle, coalesce(n, 0) AS n, round(coalesce(mean, 0), 6) AS mean, round(lo, 6) AS lo, round(hi, 6) AS hi FROM ab LEFT JOIN iv ON iv.bin = ab.bin""",
 )
 def bin01(spark, d):
     """Bins of equal width with their middles, means and intervals of 100 resamples."""
-    b = stats.fixed_width_bins(observations(spark, d), "x", "y", ["plate", "ord"], WIDTH)
+    b = stats.fixed_width_bins(observations(spark, d), "x", "y", WIDTH)
     return _rounded(b, ["bin", "middle"])
 
 

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from trackloom.functions import stats
+from trackloom.functions import resampling, stats
 from trackloom.operators import events as ev
 from trackloom.operators import models as md
 from trackloom.plans.catalog import COND, OBS, VISITS, query
+from trackloom.plans.intervals import splits
 from trackloom.sources.tables import condition_of, conditions, observations, table
 
 
@@ -101,24 +102,32 @@ def sta08(spark, d):
     "sta09_equal_means",
     f"""WITH {OBS}, g AS (SELECT region, count(y) AS n, avg(y) AS m, var_samp(y) AS v FROM obs WHERE region >= 0 GROUP BY region), w AS (SELECT *, n / v AS w FROM g), c AS (SELECT sum(w * m) / sum(w) AS mu FROM w),
 t AS (SELECT n - 1.0::DOUBLE AS nu, (m - mu) * sqrt(w) AS t FROM w, c), q AS (SELECT 48 * (nu - 0.5) * (nu - 0.5) AS b, sqrt((nu - 0.5) * ln(1 + t * t / nu)) AS c FROM t),
-z AS (SELECT c + (c ** 3 + 3 * c) / b - (4 * c ** 7 + 33 * c ** 5 + 240 * c ** 3 + 855 * c) / (10 * b * b + 8 * b * c ** 4 + 1000 * b) AS z FROM q)
-SELECT count(*) AS k, round(sum(z * z), 6) AS statistic FROM z""",
+z AS (SELECT c + (c ** 3 + 3 * c) / b - (4 * c ** 7 + 33 * c ** 5 + 240 * c ** 3 + 855 * c) / (10 * b * b + 8 * b * c ** 4 + 1000 * b) AS z FROM q),
+st AS (SELECT count(*) AS k, sum(z * z) AS x, sqrt(sum(z * z) / 2) AS y FROM z)
+SELECT k, round(x, 6) AS statistic, CASE WHEN k = 4 THEN round(CASE WHEN y < 4 THEN 1 - 2 / sqrt(pi()) * list_sum(list_transform(range(0, 80), lambda i: (CASE WHEN i % 2 = 0 THEN 1 ELSE -1 END) * exp((2 * i + 1) * ln(y) - lgamma(i + 1)) / (2 * i + 1)))
+  ELSE exp(-y * y) / (y * sqrt(pi())) * (1 - 1 / (2 * y * y) + 3 / (4 * pow(y, 4))) END + sqrt(2 * x / pi()) * exp(-x / 2), 7) END AS p FROM st""",
 )
 def sta09(spark, d):
-    """Whether the four regions have equal means."""
-    return stats.equal_means(observations(spark, d).where("region >= 0"), "region", "y").select("k", F.round("statistic", 6).alias("statistic"))
+    """Whether the four regions have equal means, and how likely a statistic as large is if they have."""
+    e = stats.equal_means(observations(spark, d).where("region >= 0"), "region", "y")
+    return e.select("k", F.round("statistic", 6).alias("statistic"), F.round("p", 7).alias("p"))
 
 
 @query(
     "sta12_boxes",
-    f"""WITH {VISITS}, q AS (SELECT region, quantile_cont(end_t - start_t, 0.25) AS q1, quantile_cont(end_t - start_t, 0.5) AS q2, quantile_cont(end_t - start_t, 0.75) AS q3 FROM v GROUP BY region)
-SELECT v.region, count(*) AS n, round(q1, 3) AS q1, round(q2, 3) AS q2, round(q3, 3) AS q3, min(end_t - start_t) FILTER (end_t - start_t BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)) AS low, max(end_t - start_t) FILTER (end_t - start_t BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)) AS high
-FROM v JOIN q ON q.region = v.region GROUP BY v.region, q1, q2, q3""",
+    f"""WITH RECURSIVE {VISITS}, vd AS (SELECT region, end_t - start_t AS dur FROM v), {splits("vd", ["region"], "dur", 200, "(1 + 0.5 * (total - 1))")},
+md AS (SELECT region, r, max(v) FILTER (off < floor(1 + 0.5 * (total - 1)) AND floor(1 + 0.5 * (total - 1)) <= off + n) AS a, max(v) FILTER (off < ceil(1 + 0.5 * (total - 1)) AND ceil(1 + 0.5 * (total - 1)) <= off + n) AS b FROM lf GROUP BY region, r),
+nt AS (SELECT region, quantile_cont(a + (b - a) / 2, 0.025) AS notch_low, quantile_cont(a + (b - a) / 2, 0.975) AS notch_high FROM md GROUP BY region),
+q AS (SELECT region, quantile_cont(dur, 0.25) AS q1, quantile_cont(dur, 0.5) AS q2, quantile_cont(dur, 0.75) AS q3 FROM vd GROUP BY region)
+SELECT vd.region, count(*) AS n, round(q1, 3) AS q1, round(q2, 3) AS q2, round(q3, 3) AS q3, min(dur) FILTER (dur BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)) AS low, max(dur) FILTER (dur BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)) AS high,
+ round(any_value(notch_low), 3) AS notch_low, round(any_value(notch_high), 3) AS notch_high
+FROM vd JOIN q ON q.region = vd.region JOIN nt ON nt.region = vd.region GROUP BY vd.region, q1, q2, q3""",
 )
 def sta12(spark, d):
-    """Box of visit lengths by region."""
-    b = stats.box(ev.visits(observations(spark, d)).withColumn("dur", F.col("end") - F.col("start")), "region", "dur")
-    return b.select("region", "n", *[F.round(c, 3).alias(c) for c in ("q1", "q2", "q3")], "low", "high")
+    """Box of visit lengths by region, with the notch of 200 resampled medians."""
+    v = ev.visits(observations(spark, d)).select("region", (F.col("end") - F.col("start")).alias("dur"))
+    b = stats.box(v, "region", "dur").join(resampling.notches(v, ["region"], "dur", 200), "region")
+    return b.select("region", "n", *[F.round(c, 3).alias(c) for c in ("q1", "q2", "q3")], "low", "high", *[F.round(c, 3).alias(c) for c in ("notch_low", "notch_high")])
 
 
 @query("bin02_equal_counts", f"WITH {OBS}, b AS (SELECT plate % 8 AS g, x, y, (row_number() OVER (PARTITION BY plate % 8 ORDER BY x, plate, ord) - 1) // 200 AS bin FROM obs) SELECT CAST(g AS INTEGER) AS condition_id, bin, count(*) AS n, min(x) AS low, max(x) AS high, CAST(sum(y) AS BIGINT) AS sum_y FROM b GROUP BY 1, 2")
