@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trackloom.sources.tables import stored
+
 
 def feeding_rate(t: Column, tau: Column) -> Column:
     return F.exp(-t / tau)
@@ -33,6 +37,85 @@ def with_revisits(transitions: DataFrame, p_stay: float) -> DataFrame:
     return t.withColumn("p_new", F.when((F.col("_other") == 0) | ~F.col("_self"), F.col("p")).otherwise(scaled)).drop("_other", "_self")
 
 
+def recovery_fit(points: DataFrame, group: str, t: str, y: str, scales: list[float], steps: int = 5, damping: float = 1e-3) -> DataFrame:
+    """``group, n, low, high, scale``: least-squares parameters of ``recovered_speed`` for the points (t, y) of each group.
+
+    For a given scale the model is a straight line in exp(-t / scale), so the best of ``scales`` starts the search. Each
+    Gauss-Newton step is one aggregate of the normal equations by group, whose three unknowns are solved in closed
+    form (a little damping keeps them solvable; a scale changes by a factor of three at most in a step). Points
+    never leave the executors. Groups of fewer than four points, or without spread in y, have no row.
+    """
+    p = stored(points.select(F.col(group).alias("_g"), F.col(t).cast("double").alias("_t"), F.col(y).cast("double").alias("_y")).where("_t is not null and _y is not null"), "recovery-points")
+    tried = p.withColumn("s", F.explode(F.array(*[F.lit(float(v)) for v in scales]))).withColumn("_e", -F.exp(-F.col("_t") / F.col("s")))
+    line = tried.groupBy("_g", "s").agg(F.count(F.lit(1)).alias("n"), F.regr_slope("_y", "_e").alias("b"), F.regr_intercept("_y", "_e").alias("a"), F.regr_syy("_y", "_e").alias("_syy"), F.regr_sxy("_y", "_e").alias("_sxy"))
+    line = line.where("n >= 4 and b is not null and _syy > 0").withColumn("_left", F.round(F.col("_syy") - F.col("b") * F.col("_sxy"), 9))
+    theta = line.groupBy("_g").agg(F.min_by(F.struct("n", "a", "b", "s"), F.struct("_left", "s")).alias("p")).select("_g", "p.*")
+    for _ in range(steps):
+        d = p.join(F.broadcast(theta.drop("n")), "_g")  # a row a group
+        e = F.exp(-F.col("_t") / F.col("s"))
+        grad = [F.lit(1.0), -e, -F.col("b") * e * F.col("_t") / (F.col("s") * F.col("s"))]
+        off = F.col("_y") - (F.col("a") - F.col("b") * e)
+        sums = [F.sum(grad[i] * grad[j]).alias(f"m{i}{j}") for i in range(3) for j in range(i, 3)] + [F.sum(grad[i] * off).alias(f"v{i}") for i in range(3)]
+        q = d.groupBy("_g").agg(F.count(F.lit(1)).alias("n"), F.first("a").alias("a"), F.first("b").alias("b"), F.first("s").alias("s"), *sums)
+        m = [[F.col(f"m{min(i, j)}{max(i, j)}") * (1 + damping if i == j else 1.0) for j in range(3)] for i in range(3)]
+        v = [F.col(f"v{i}") for i in range(3)]
+        whole = _determinant(m)
+        move = [F.coalesce(F.try_divide(_determinant([[v[r] if c == k else m[r][c] for c in range(3)] for r in range(3)]), whole), F.lit(0.0)) for k in range(3)]
+        s = F.col("s")
+        theta = q.select("_g", "n", (F.col("a") + move[0]).alias("a"), (F.col("b") + move[1]).alias("b"), F.least(F.greatest(s + move[2], s / 3), s * 3).alias("s"))
+    return theta.select(F.col("_g").alias(group), "n", (F.col("a") - F.col("b")).alias("low"), F.col("a").alias("high"), F.col("s").alias("scale"))
+
+
+def _determinant(m: list[list[Column]]) -> Column:
+    return sum((m[0][i] * (m[1][(i + 1) % 3] * m[2][(i + 2) % 3] - m[1][(i + 2) % 3] * m[2][(i + 1) % 3]) for i in (1, 2)), m[0][0] * (m[1][1] * m[2][2] - m[1][2] * m[2][1]))
+
+
+def since_exit(obs: DataFrame) -> DataFrame:
+    """Add ``since_us``: the time since the plate's last row inside of a region, null before the first."""
+    order = Window.partitionBy("plate").orderBy("ord")
+    return obs.withColumn("since_us", F.col("t") - F.last(F.when(F.col("region") >= 0, F.col("t")), True).over(order))
+
+
+def exchanged_behaviour(visits: DataFrame, group: str, ranks: int = 4, length: int = 8) -> DataFrame:
+    """``moves_of, stays_of, visits, stay_us, travel_us``: what plates are expected to do that move like one group and stay like another.
+
+    ``visits`` has plate, ``group``, start, end, region. Shares of moves by rank of the visit (``ranks`` and later as
+    one) are a sparse matrix; the expected number of visits to each region at the next rank is the current one
+    times that matrix, a join and a sum, for ``length`` visits from the first on. Plates whose visits end take no
+    further part, by the share that ended. Mean stays by region and mean travels by move of the other
+    group turn expected visits and moves into times; regions or moves that it doesn't have take no time. All
+    ordered pairs of groups are given, each with itself as well; nothing is drawn.
+    """
+    order = Window.partitionBy("plate").orderBy("start", "end", "region")
+    v = visits.select("plate", F.col(group).alias("g"), "region", F.row_number().over(order).alias("_n"), (F.col("end") - F.col("start")).alias("stay"), F.lead("region").over(order).alias("dst"), (F.lead("start").over(order) - F.col("end")).alias("travel"))
+    v = stored(v.withColumn("rank", F.least("_n", F.lit(ranks))), "exchange-visits")
+    made = v.groupBy("g", "rank", "region").agg(F.count(F.lit(1)).alias("_all"))
+    moves = v.where("dst is not null").groupBy("g", "rank", "region", "dst").agg(F.count(F.lit(1)).alias("_n"))
+    share = stored(moves.join(made, ["g", "rank", "region"]).select("g", "rank", "region", "dst", (F.col("_n") / F.col("_all")).alias("p")), "exchange-shares")
+    first = v.where("_n = 1").groupBy("g", "region").agg(F.count(F.lit(1)).alias("m"))
+    now = first.join(first.groupBy("g").agg(F.sum("m").alias("_all")), "g").select("g", "region", (F.col("m") / F.col("_all")).alias("m"))
+    seen, flows = [], []
+    for k in range(1, length + 1):
+        now = stored(now, "exchange-expected")
+        seen.append(now)
+        if k == length:
+            break
+        step = now.join(share.where(F.col("rank") == min(k, ranks)), ["g", "region"]).select("g", "region", "dst", (F.col("m") * F.col("p")).alias("m"))
+        flows.append(step)
+        now = step.groupBy("g", F.col("dst").alias("region")).agg(F.sum("m").alias("m"))
+    union = lambda parts: reduce(DataFrame.unionByName, parts)
+    at = union(seen).groupBy(F.col("g").alias("moves_of"), "region").agg(F.sum("m").alias("m"))
+    went = union(flows).groupBy(F.col("g").alias("moves_of"), "region", "dst").agg(F.sum("m").alias("m"))
+    stays = v.groupBy(F.col("g").alias("stays_of"), "region").agg(F.avg("stay").alias("us"))
+    travels = v.where("dst is not null").groupBy(F.col("g").alias("stays_of"), "region", "dst").agg(F.avg("travel").alias("us"))
+    pairs = [F.col("moves_of"), F.col("stays_of")]
+    stay = at.join(stays, "region").groupBy(*pairs).agg(F.sum(F.col("m") * F.col("us")).alias("stay_us"))
+    travel = went.join(travels, ["region", "dst"]).groupBy(*pairs).agg(F.sum(F.col("m") * F.col("us")).alias("travel_us"))
+    total = at.groupBy("moves_of").agg(F.sum("m").alias("visits"))
+    out = stay.join(travel, ["moves_of", "stays_of"], "left").join(total, "moves_of")
+    return out.select("moves_of", "stays_of", "visits", "stay_us", F.coalesce("travel_us", F.lit(0.0)).alias("travel_us"))
+
+
 def intake_rates(stays: DataFrame, taus: list[float], travel_s: float) -> DataFrame:
     """Mean intake of observed stays (``dur_s`` seconds) under exponential depletion, by ``grp``: a whole stay's intake in closed form."""
     grid = stays.withColumn("tau", F.explode(F.array(*map(F.lit, taus))))

@@ -443,14 +443,18 @@ def geo16(spark, d):
 
 @query(
     "mod03_optimal_visit",
-    """WITH t AS (SELECT unnest(range(1, 401)) AS dur), r AS (SELECT tau, dur, tau * (1 - exp(-dur / tau)) / (dur + 60.0) AS rate FROM t, (VALUES (50.0::DOUBLE), (100.0::DOUBLE), (200.0::DOUBLE)) x(tau))
-SELECT tau, arg_max(dur, rate) AS best_dur, round(max(rate), 9) AS best_rate FROM r GROUP BY tau""",
+    f"""WITH {VISITS}, n AS (SELECT plate, lead(start_t) OVER (PARTITION BY plate ORDER BY start_t, end_t, region) - end_t AS gap FROM v), tv AS (SELECT plate, CAST(sum(gap) AS BIGINT) / count(gap) / 3.6e9 AS travel FROM n GROUP BY plate HAVING count(gap) > 0),
+ir AS (SELECT plate, tau, dur, tau * (1 - exp(-dur / tau)) / (dur + travel) AS rate FROM tv, (SELECT unnest(range(1, 401)) AS dur), (VALUES (50.0::DOUBLE), (100.0::DOUBLE), (200.0::DOUBLE)) x(tau))
+SELECT plate, tau, arg_max(dur, rate) AS best_h, round(max(rate), 9) AS best_rate FROM ir GROUP BY plate, tau""",
 )
 def mod03(spark, d):
-    """Visit length with the highest mean intake rate under exponential depletion, by a grid of lengths."""
-    grid = spark.range(1, 401).select(F.col("id").alias("dur")).withColumn("tau", F.explode(F.array(F.lit(50.0), F.lit(100.0), F.lit(200.0))))
-    rate = F.col("tau") * (1 - F.exp(-F.col("dur") / F.col("tau"))) / (F.col("dur") + 60.0)
-    return grid.withColumn("rate", rate).groupBy("tau").agg(F.max_by("dur", "rate").alias("best_dur"), F.round(F.max("rate"), 9).alias("best_rate"))
+    """Visit length, in hours, with the highest mean intake under exponential depletion for each plate's mean travel, by a grid of lengths."""
+    order = Window.partitionBy("plate").orderBy("start", "end", "region")
+    gaps = ev.visits(observations(spark, d)).select("plate", (F.lead("start").over(order) - F.col("end")).alias("gap")).where("gap is not null")
+    travel = gaps.groupBy("plate").agg((F.sum("gap") / F.count("gap") / 3.6e9).alias("travel"))
+    grid = travel.withColumn("dur", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(400).cast("long")))).withColumn("tau", F.explode(F.array(F.lit(50.0), F.lit(100.0), F.lit(200.0))))
+    rate = F.col("tau") * (1 - F.exp(-F.col("dur") / F.col("tau"))) / (F.col("dur") + F.col("travel"))
+    return grid.withColumn("rate", rate).groupBy("plate", "tau").agg(F.max_by("dur", "rate").alias("best_h"), F.round(F.max("rate"), 9).alias("best_rate"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

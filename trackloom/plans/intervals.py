@@ -233,10 +233,11 @@ def fil18(spark, d):
     return observations(spark, d).where(F.col("t").between(T0 + 3 * DAY, T0 + 9 * DAY)).select("plate", "ord", "x", "y")
 
 
-@query("fil20_condition_names", f"WITH {COND} SELECT condition_id, layout || ' ' || density AS name, layout, density FROM cond")
+@query("fil20_condition_names", f"WITH {COND}, {OBS} SELECT DISTINCT plate, condition_id, layout || ' ' || density AS name, layout, density FROM obs JOIN cond ON condition_id = plate % 8")
 def fil20(spark, d):
-    """Layout and density read back from a condition's name: longer words before those that they contain."""
-    names = conditions(spark).select("condition_id", F.concat_ws(" ", "layout", "density").alias("name"))
+    """Layout and density of each plate, read back from its condition's name: longer words before those that they contain."""
+    plates = observations(spark, d).select("plate").distinct().withColumn("condition_id", condition_of(F.col("plate")))
+    names = plates.join(F.broadcast(conditions(spark)), "condition_id").select("plate", "condition_id", F.concat_ws(" ", "layout", "density").alias("name"))
 
     def first(words):
         out = F.lit(None).cast("string")
@@ -246,7 +247,7 @@ def fil20(spark, d):
 
     layout = first(["superfar", "close", "med", "far", "cluster"])
     density = first(["0.2+0.5", "0.5+1.25", "1.25", "0.2", "0.5", "0"])
-    return names.select("condition_id", "name", layout.alias("layout"), density.alias("density"))
+    return names.select("plate", "condition_id", "name", layout.alias("layout"), density.alias("density"))
 
 
 @query(

@@ -16,7 +16,7 @@ from trackloom.plans.catalog import CENSORED, DAY, OBS, T0, VISITS, query
 from trackloom.plans.reports import CHOICE, SUMS, _values
 from trackloom.plans.space import BOUNDARY, CORNERS, PIX, REG, SIGNED, _spline, corners, lines, placed, regions
 from trackloom.plans.streams import MARK
-from trackloom.sources.tables import condition_of, observations
+from trackloom.sources.tables import condition_of, observations, table
 from trackloom.streaming import visits as st
 
 #: Parameters of the ideal layouts: pixels between neighbours, size of the frame, radii of a region and of the arena.
@@ -32,50 +32,77 @@ def grid(spark):
     return lay.triangular_grid(spark, PATCHES, SPACING)
 
 
-@query("geo21_triangular_grid", f"WITH {GRID} SELECT layout, CAST(region AS INTEGER) AS region, round(x, 6) AS x, round(y, 6) AS y FROM gr")
+#: The layout of a plate, and all plates that have rows.
+LAYOUT_OF = "['close', 'med', 'far', 'superfar', 'cluster']"
+PLATES = f"pt AS (SELECT DISTINCT user_id AS plate, {LAYOUT_OF}[user_id % 5 + 1] AS layout FROM events)"
+
+
+def layout_of(plate):
+    return F.get(F.array(*[F.lit(x) for x in ("close", "med", "far", "superfar", "cluster")]), (plate % 5).cast("int"))
+
+
+def on_plates(spark, d, points):
+    """``points`` of a layout for each plate of that layout."""
+    plates = table(spark, d, "events").select(F.col("user_id").alias("plate")).distinct().withColumn("layout", layout_of(F.col("plate")))
+    return plates.join(F.broadcast(points), "layout")  # as many points as the layouts have regions
+
+
+@query("geo21_triangular_grid", f"WITH {GRID}, {PLATES} SELECT plate, layout, CAST(region AS INTEGER) AS region, round(x, 6) AS x, round(y, 6) AS y FROM gr JOIN pt USING (layout)")
 def geo21(spark, d):
-    return grid(spark).select("layout", "region", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+    """Grid points of each plate's layout."""
+    return on_plates(spark, d, grid(spark)).select("plate", "layout", "region", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
 
 
 _C, _S = math.cos(math.radians(40)), math.sin(math.radians(40))
 
 
-@query("geo22_rotated", f"WITH {GRID} SELECT CAST(region AS INTEGER) AS region, round(x * {_C!r}::DOUBLE - y * {_S!r}::DOUBLE, 6) AS x, round(x * {_S!r}::DOUBLE + y * {_C!r}::DOUBLE, 6) AS y FROM gr WHERE layout = 'superfar'")
+@query("geo22_rotated", f"WITH {PIX} SELECT who, ord, round(px * {_C!r}::DOUBLE - py * {_S!r}::DOUBLE, 6) AS x, round(px * {_S!r}::DOUBLE + py * {_C!r}::DOUBLE, 6) AS y FROM oq")
 def geo22(spark, d):
-    """The widest layout turned by 40 degrees."""
-    x, y = lay.rotated(F.col("x"), F.col("y"), 40)
-    return grid(spark).where("layout = 'superfar'").select("region", F.round(x, 6).alias("x"), F.round(y, 6).alias("y"))
+    """Positions turned by 40 degrees about the origin."""
+    x, y = lay.rotated(F.col("px"), F.col("py"), 40)
+    return placed(spark, d).select("who", "ord", F.round(x, 6).alias("x"), F.round(y, 6).alias("y"))
 
 
-@query("geo13_ideal_centres", f"WITH {GRID} SELECT layout, CAST(region AS INTEGER) AS region, round(cx, 6) AS cx, round(cy, 6) AS cy FROM gf")
+@query("geo13_ideal_centres", f"WITH {GRID}, {PLATES} SELECT plate, layout, CAST(region AS INTEGER) AS region, round(cx, 6) AS cx, round(cy, 6) AS cy FROM gf JOIN pt USING (layout)")
 def geo13(spark, d):
-    """Centres of ideal regions in pixels of the frame."""
-    return lay.in_frame(grid(spark), FRAME).select("layout", "region", F.round("cx", 6).alias("cx"), F.round("cy", 6).alias("cy"))
+    """Centres of each plate's ideal regions in pixels of the frame."""
+    at = on_plates(spark, d, lay.in_frame(grid(spark), FRAME))
+    return at.select("plate", "layout", "region", F.round("cx", 6).alias("cx"), F.round("cy", 6).alias("cy"))
 
 
 @query(
     "geo26_layout_check",
-    f"""WITH {GRID}, nd AS (SELECT a.layout, a.region, round(min(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))), 1) AS d FROM gr a JOIN gr b ON a.layout = b.layout AND a.region <> b.region GROUP BY a.layout, a.region)
-SELECT layout, count(*) AS n, round(avg(d), 6) AS mean, array_to_string(list_sort(list(DISTINCT d)), ',') AS "values" FROM nd GROUP BY layout""",
+    f"""WITH {REG}, {GRID}, nd AS (SELECT a.plate, a.region, min((a.cx - b.cx) * (a.cx - b.cx) + (a.cy - b.cy) * (a.cy - b.cy)) AS d2 FROM rg a JOIN rg b ON a.plate = b.plate AND a.region <> b.region GROUP BY a.plate, a.region),
+id AS (SELECT a.layout, round(min(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))), 6) AS want FROM gr a JOIN gr b ON a.layout = b.layout AND a.region <> b.region GROUP BY a.layout)
+SELECT plate, layout, count(*) AS n, round(avg(sqrt(d2)), 6) AS mean, round(min(sqrt(d2)), 6) AS least, any_value(want) AS want, count(*) FILTER (sqrt(d2) < want) AS n_close FROM nd JOIN id ON layout = {LAYOUT_OF}[plate % 5 + 1] GROUP BY plate, layout""",
 )
 def geo26(spark, d):
-    """Nearest distances within each layout: their mean and distinct values."""
-    at = grid(spark).select(F.col("layout").alias("plate"), "region", F.col("x").alias("low"), (F.col("x") + 1).alias("high"), F.col("y").alias("by"))
-    points = grid(spark).select(F.col("layout").alias("plate"), F.col("region").alias("src"), F.col("x").alias("px"), F.col("y").alias("py"))
-    near = sp.nearest(points, at, ["region"], F.col("src") != F.col("_t_region")).withColumn("d", F.round(F.sqrt("d2"), 1))
-    return near.groupBy(F.col("plate").alias("layout")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("d"), 6).alias("mean"), F.array_join(F.array_sort(F.collect_set("d")), ",").alias("values"))
+    """Distances to the nearest other region on each plate, against the least distance of the plate's ideal layout."""
+
+    def nearest(points):
+        at = points.select("plate", "region", F.col("cx").alias("low"), (F.col("cx") + 1).alias("high"), F.col("cy").alias("by"))
+        own = points.select("plate", F.col("region").alias("src"), F.col("cx").alias("px"), F.col("cy").alias("py"))
+        return sp.nearest(own, at, ["region"], F.col("src") != F.col("_t_region")).select("plate", F.sqrt("d2").alias("d"))
+
+    want = nearest(grid(spark).select(F.col("layout").alias("plate"), "region", F.col("x").alias("cx"), F.col("y").alias("cy"))).groupBy(F.col("plate").alias("layout")).agg(F.round(F.min("d"), 6).alias("want"))
+    near = nearest(regions(spark, d).select("plate", "region", "cx", "cy")).withColumn("layout", layout_of(F.col("plate"))).join(F.broadcast(want), "layout")
+    return near.groupBy("plate", "layout").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.avg("d"), 6).alias("mean"), F.round(F.min("d"), 6).alias("least"), F.first("want").alias("want"), F.count_if(F.col("d") < F.col("want")).alias("n_close")
+    )
 
 
-@query("geo27_mixed_density", f"WITH {GRID} SELECT CAST(region AS INTEGER) AS region, base, CASE WHEN (region + region // side) % 2 = 1 THEN '0.5' ELSE base END AS density FROM gr JOIN gp USING (layout), (SELECT unnest(['0.2', '1.25']) AS base) WHERE layout = 'med'")
+@query(
+    "geo27_mixed_density",
+    f"WITH {GRID}, {PLATES} SELECT plate, CAST(region AS INTEGER) AS region, CASE WHEN plate % 2 = 0 THEN '0.2' ELSE '1.25' END AS base, CASE WHEN (region + region // side) % 2 = 1 THEN '0.5' WHEN plate % 2 = 0 THEN '0.2' ELSE '1.25' END AS density FROM gr JOIN gp USING (layout) JOIN pt USING (layout) WHERE layout = 'med'",
+)
 def geo27(spark, d):
-    """Densities of a mixed layout: every other region, like a chessboard, has the second one."""
+    """Densities on plates of the mixed layout: every other region, like a chessboard, has the second one."""
     side = math.isqrt(PATCHES["med"] - 1) + 1
-    g = grid(spark).where("layout = 'med'").withColumn("base", F.explode(F.array(F.lit("0.2"), F.lit("1.25"))))
+    g = on_plates(spark, d, grid(spark).where("layout = 'med'")).withColumn("base", F.when(F.col("plate") % 2 == 0, F.lit("0.2")).otherwise(F.lit("1.25")))
     mask = (F.col("region") + F.floor(F.col("region") / side)) % 2 == 1
-    return g.select("region", "base", F.when(mask, F.lit("0.5")).otherwise(F.col("base")).alias("density"))
+    return g.select("plate", "region", "base", F.when(mask, F.lit("0.5")).otherwise(F.col("base")).alias("density"))
 
 
-LAYOUT_OF = "['close', 'med', 'far', 'superfar', 'cluster']"
 SEEN = f"""{PIX}, {GRID}, sn AS (SELECT DISTINCT {LAYOUT_OF}[who % 5 + 1] AS layout, least(greatest(px * 2 + 900, 0), {FRAME - 1}) AS px, least(greatest(py * 4 + 900, 0), {FRAME - 1}) AS py FROM oq)"""
 
 

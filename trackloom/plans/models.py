@@ -7,29 +7,80 @@ from pyspark.sql import functions as F
 
 from trackloom.functions import resampling, stats
 from trackloom.operators import events as ev
+from trackloom.operators import kinematics as kin
 from trackloom.operators import models as md
-from trackloom.plans.catalog import COND, OBS, VISITS, query
+from trackloom.plans.catalog import COND, FRAME_US, OBS, STEPS, VISITS, query
 from trackloom.plans.intervals import splits
 from trackloom.sources.tables import condition_of, conditions, observations, table
 
 
 @query(
     "mod01_stay_lengths",
-    """WITH g AS (SELECT tau, thr, spent FROM (SELECT unnest([50.0, 100.0, 200.0]::DOUBLE[]) AS tau), (SELECT unnest([0.05, 0.1, 0.5]::DOUBLE[]) AS thr), (SELECT unnest([0, 10, 100, 1000]::BIGINT[]) AS spent))
-SELECT tau, thr, spent, round(exp(-spent / tau), 9) AS rate, greatest(0, CAST(trunc(-tau * ln(thr) - spent) AS BIGINT)) AS stay FROM g""",
+    f"""WITH {VISITS}, g AS (SELECT CAST(plate % 8 AS INTEGER) AS condition_id, (end_t - start_t) // 3600000000 AS spent, tau, thr FROM v, (SELECT unnest([50.0, 100.0, 200.0]::DOUBLE[]) AS tau), (SELECT unnest([0.05, 0.1, 0.5]::DOUBLE[]) AS thr))
+SELECT condition_id, tau, thr, count(*) AS n, round(avg(exp(-spent / tau)), 9) AS rate, CAST(sum(greatest(0, CAST(trunc(-tau * ln(thr) - spent) AS BIGINT))) AS BIGINT) AS stay_h FROM g GROUP BY condition_id, tau, thr""",
 )
 def mod01(spark, d):
-    """Feeding rate after some time, and the stay until it falls to a threshold."""
-    g = spark.range(1)
-    for name, values in (("tau", [50.0, 100.0, 200.0]), ("thr", [0.05, 0.1, 0.5]), ("spent", [0, 10, 100, 1000])):
+    """Feeding rate at the end of observed visits, in hours, and how much longer each would stay until the rate falls to a threshold."""
+    g = ev.visits(observations(spark, d)).select(condition_of(F.col("plate")).alias("condition_id"), F.floor((F.col("end") - F.col("start")) / 3_600_000_000).cast("long").alias("spent"))
+    for name, values in (("tau", [50.0, 100.0, 200.0]), ("thr", [0.05, 0.1, 0.5])):
         g = g.withColumn(name, F.explode(F.array(*map(F.lit, values))))
-    spent = F.col("spent").cast("long")
-    return g.select("tau", "thr", spent.alias("spent"), F.round(md.feeding_rate(spent, F.col("tau")), 9).alias("rate"), md.stay_length(F.col("tau"), F.col("thr"), spent).alias("stay"))
+    rate, stay = md.feeding_rate(F.col("spent"), F.col("tau")), md.stay_length(F.col("tau"), F.col("thr"), F.col("spent"))
+    return g.groupBy("condition_id", "tau", "thr").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(rate), 9).alias("rate"), F.sum(stay).alias("stay_h"))
 
 
-@query("mod06_recovery", "SELECT t, round(0.25 - (0.25 - 0.05) * exp(-t / 30.0), 9) AS speed FROM (SELECT unnest(range(0, 301)) AS t)")
+SCALES = [1.0, 3.0, 10.0, 30.0, 100.0]
+STEPS_OF_FIT = 3
+
+
+def _fit_sql() -> str:
+    """Gauss-Newton steps written out, one after another, from the best of a few scales."""
+    out = """t0 AS (SELECT g, arg_min(a, {'l': l, 's': s}) AS a, arg_min(b, {'l': l, 's': s}) AS b, arg_min(s, {'l': l, 's': s}) AS s FROM (
+  SELECT g, s, count(*) AS n, regr_slope(y, e) AS b, regr_intercept(y, e) AS a, round(regr_syy(y, e) - regr_slope(y, e) * regr_sxy(y, e), 9) AS l, regr_syy(y, e) AS syy FROM (SELECT g, t, y, s, -exp(-t / s) AS e FROM pt, (SELECT unnest([%s]::DOUBLE[]) AS s)) GROUP BY g, s) WHERE n >= 4 AND syy > 0 AND b IS NOT NULL GROUP BY g)""" % ", ".join(map(str, SCALES))
+    for k in range(STEPS_OF_FIT):
+        det = lambda a: f"({a[0]} * ({a[4]} * {a[8]} - {a[5]} * {a[7]}) + {a[1]} * ({a[5]} * {a[6]} - {a[3]} * {a[8]}) + {a[2]} * ({a[3]} * {a[7]} - {a[4]} * {a[6]}))"
+        m = ["m00 * 1.001", "m01", "m02", "m01", "m11 * 1.001", "m12", "m02", "m12", "m22 * 1.001"]
+        move = [det([f"v{i // 3}" if i % 3 == c else m[i] for i in range(9)]) + " / nullif(" + det(m) + ", 0)" for c in range(3)]
+        out += f""",
+j{k} AS (SELECT g, a, b, s, -exp(-t / s) AS d1, -b * exp(-t / s) * t / (s * s) AS d2, y - (a - b * exp(-t / s)) AS f FROM pt JOIN t{k} USING (g)),
+n{k} AS (SELECT g, any_value(a) AS a, any_value(b) AS b, any_value(s) AS s, count(*)::DOUBLE AS m00, sum(d1) AS m01, sum(d2) AS m02, sum(d1 * d1) AS m11, sum(d1 * d2) AS m12, sum(d2 * d2) AS m22, sum(f) AS v0, sum(d1 * f) AS v1, sum(d2 * f) AS v2 FROM j{k} GROUP BY g),
+t{k + 1} AS (SELECT g, CAST(m00 AS BIGINT) AS n, a + coalesce({move[0]}, 0) AS a, b + coalesce({move[1]}, 0) AS b, least(greatest(s + coalesce({move[2]}, 0), s / 3), s * 3) AS s FROM n{k})"""
+    return out
+
+
+@query(
+    "mod06_recovery",
+    f"""WITH {STEPS}, le AS (SELECT *, last_value(CASE WHEN region >= 0 THEN t END IGNORE NULLS) OVER (PARTITION BY plate ORDER BY ord ROWS UNBOUNDED PRECEDING) AS gone FROM st),
+pt AS (SELECT CAST(plate % 8 AS INTEGER) AS g, (t - gone) / 3.6e9 AS t, dist / greatest(coalesce(dt, {FRAME_US}), 3600000000) * 3.6e6 AS y FROM le WHERE region = -1 AND gone IS NOT NULL),
+{_fit_sql()} SELECT g AS condition_id, n, round(a - b, 2) AS low, round(a, 2) AS high, round(s, 3) AS scale_h FROM t{STEPS_OF_FIT}""",
+)
 def mod06(spark, d):
-    return spark.range(301).select(F.col("id").alias("t"), F.round(md.recovered_speed(F.col("id"), 0.05, 0.25, 30.0), 9).alias("speed"))
+    """How speed outside recovers with the hours since the last row inside, fitted by condition."""
+    o = kin.speeds(md.since_exit(observations(spark, d)), FRAME_US, 3_600_000_000).where("region = -1 and since_us is not null")
+    p = o.select(condition_of(F.col("plate")).alias("condition_id"), (F.col("since_us") / 3.6e9).alias("t"), (F.col("speed") * 3.6e6).alias("y"))
+    f = md.recovery_fit(p, "condition_id", "t", "y", SCALES, STEPS_OF_FIT)
+    return f.select("condition_id", "n", F.round("low", 2).alias("low"), F.round("high", 2).alias("high"), F.round("scale", 3).alias("scale_h"))
+
+
+EXCHANGE = 6
+
+
+@query(
+    "jon11_exchanged_behaviour",
+    f"""WITH RECURSIVE {VISITS}, w AS (SELECT CAST(plate % 8 AS INTEGER) AS g, region, row_number() OVER o AS nth, least(row_number() OVER o, 4) AS rank, end_t - start_t AS stay, lead(region) OVER o AS dst, lead(start_t) OVER o - end_t AS travel FROM v WINDOW o AS (PARTITION BY plate ORDER BY start_t, end_t, region)),
+sh AS (SELECT g, rank, region, dst, n / al AS p FROM (SELECT g, rank, region, dst, count(*) AS n, sum(count(*)) OVER (PARTITION BY g, rank, region) AS al FROM w GROUP BY g, rank, region, dst) WHERE dst IS NOT NULL),
+it AS (SELECT g, 1 AS k, region, count(*) / sum(count(*)) OVER (PARTITION BY g) AS m FROM w WHERE nth = 1 GROUP BY g, region
+  UNION ALL SELECT it.g, any_value(it.k) + 1, sh.dst, sum(m * p) FROM it JOIN sh ON sh.g = it.g AND sh.region = it.region AND sh.rank = least(it.k, 4) WHERE it.k < {EXCHANGE} GROUP BY it.g, sh.dst),
+se AS (SELECT g, region, sum(m) AS m FROM it GROUP BY g, region), fl AS (SELECT it.g, it.region, sh.dst, sum(m * p) AS m FROM it JOIN sh ON sh.g = it.g AND sh.region = it.region AND sh.rank = least(it.k, 4) WHERE it.k < {EXCHANGE} GROUP BY ALL),
+sy AS (SELECT g, region, avg(stay) AS us FROM w GROUP BY g, region), tr AS (SELECT g, region, dst, avg(travel) AS us FROM w WHERE dst IS NOT NULL GROUP BY ALL),
+a AS (SELECT se.g AS moves_of, sy.g AS stays_of, sum(m * us) AS stay_us FROM se JOIN sy USING (region) GROUP BY 1, 2), b AS (SELECT fl.g AS moves_of, tr.g AS stays_of, sum(m * us) AS travel_us FROM fl JOIN tr USING (region, dst) GROUP BY 1, 2),
+c AS (SELECT g AS moves_of, sum(m) AS visits FROM se GROUP BY g)
+SELECT moves_of, stays_of, round(visits, 9) AS visits, round(stay_us, 0) AS stay_us, round(coalesce(travel_us, 0), 0) AS travel_us FROM a LEFT JOIN b USING (moves_of, stays_of) JOIN c USING (moves_of)""",
+)
+def jon11(spark, d):
+    """Expected visits and times of plates that move like one condition and stay like another, over their first visits."""
+    v = ev.visits(observations(spark, d)).withColumn("condition_id", condition_of(F.col("plate")))
+    x = md.exchanged_behaviour(v, "condition_id", 4, EXCHANGE)
+    return x.select("moves_of", "stays_of", F.round("visits", 9).alias("visits"), F.round("stay_us", 0).alias("stay_us"), F.round("travel_us", 0).alias("travel_us"))
 
 
 @query(
