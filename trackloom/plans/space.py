@@ -15,7 +15,7 @@ from trackloom.operators import kinematics as kin
 from trackloom.operators import pixels as px
 from trackloom.operators import space as sp
 from trackloom.plans.catalog import COND, OBS, STEPS, query
-from trackloom.sources.tables import condition_of, conditions, observations, table
+from trackloom.sources.tables import condition_of, conditions, kept, observations, table
 
 BREAKS = [-math.pi, -math.pi / 2, 0.0, math.pi / 2, math.pi]
 ANGLES = [-4.0, -3.0, -1.0, 0.0, 0.5, 2.0, 3.0, 4.0]
@@ -60,7 +60,8 @@ ln AS (SELECT plate, region, "by", min(bx) AS low, max(bx) AS high FROM bp GROUP
 
 
 def lines(spark, d) -> DataFrame:
-    return sp.scan_lines(sp.boundary(regions(spark, d), SAMPLES))
+    """Extents of regions on lines, made once for the session."""
+    return kept(spark, d, "line-extents", ["embeddings"], lambda: sp.scan_lines(sp.boundary(regions(spark, d), SAMPLES)))
 
 
 @query("geo01_spline", f"WITH {REG}, a AS (SELECT *, unnest([{', '.join(map(str, ANGLES))}]::DOUBLE[]) AS angle FROM rg) SELECT region, angle, round({_spline('angle')}, 8) AS radius FROM a")

@@ -6,7 +6,7 @@ import os
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -28,12 +28,65 @@ def track_of(plate: Column, ts: Column) -> Column:
     return (plate * 100000 + F.floor(F.dayofmonth(ts) / 5)).cast("long")
 
 
+#: Bytes of input for each bucket of a table that is laid out by plate, and the fewest buckets.
+BUCKET_BYTES, LEAST_BUCKETS = 128 << 20, 8
+#: What sessions of this process have laid down, by application, input and name: the table's name (or its schema) and its folder.
+_laid: dict[tuple, tuple] = {}
+
+
+def _files_of(spark: SparkSession, path: str) -> tuple[tuple[tuple[str, int, int], ...], int]:
+    """Names, lengths and times of the files of a table, and their bytes together."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at)
+    files = tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in found))
+    return files, sum(f[1] for f in files)
+
+
+def laid_out(df: DataFrame, name: str, by: str, order: list[str], buckets: int) -> tuple[str, str]:
+    """Write ``df`` in buckets of ``by``, each one file in the given order, as a table; its name and folder.
+
+    Reading it needs no exchange for windows, joins and aggregates by ``by``, and no sort in that order.
+    The setting by which Spark trusts the order of files is set for the session.
+    """
+    spark = df.sparkSession
+    path = work_folder(spark, name)
+    spark.conf.set("spark.sql.legacy.bucketedTableScan.outputOrdering", "true")
+    table_name = path.rsplit("/", 1)[-1].replace("-", "_")
+    laid = df.repartition(buckets, by).sortWithinPartitions(*order)  # a task a bucket, so a file a bucket
+    laid.write.format("parquet").option("path", path).bucketBy(buckets, by).sortBy(*order).saveAsTable(table_name)
+    return table_name, path
+
+
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``plate, track, ord, t, region, x, y`` from ``events``: times in microseconds, x in hundredths.
+    """``plate, track, t, region, x, y, ord`` from ``events``: times in microseconds, x in hundredths.
 
-    ``ord`` is the total order (time, event) of a plate. One shuffle on the plate serves every later
-    window and aggregate on it.
+    ``ord`` is the total order (time, event) of a plate. The rows are laid down once for a session and a
+    state of the input's files, in buckets by plate and in order, so that all queries read them without an
+    exchange or a sort by plate; ``drop_work_tables`` ends that.
     """
+    files, size = _files_of(spark, f"{sf_dir}/events.parquet")
+    key = spark.sparkContext.applicationId, sf_dir, files, "observations"
+    if key not in _laid or _laid[key][1] not in _made.get(key[0], {}):
+        with owned_by("observations"):
+            _laid[key] = laid_out(_observations(spark, sf_dir), "observations", "plate", ["plate", "ord"], max(LEAST_BUCKETS, -(-size // BUCKET_BYTES)))
+    return spark.table(_laid[key][0])
+
+
+def kept(spark: SparkSession, sf_dir: str, name: str, sources: list[str], make: Callable[[], DataFrame]) -> DataFrame:
+    """What ``make()`` gives for these source tables, written once for a session and a state of their files."""
+    files = tuple(_files_of(spark, f"{sf_dir}/{t}.parquet")[0] for t in sources)
+    key = spark.sparkContext.applicationId, sf_dir, files, name
+    if key not in _laid or _laid[key][1] not in _made.get(key[0], {}):
+        df = make()
+        with owned_by("observations"):
+            path = work_folder(spark, name)
+        df.write.parquet(path)
+        _laid[key] = df.schema, path
+    schema, path = _laid[key]
+    return spark.read.schema(schema).parquet(path)
+
+
+def _observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     region = F.lit(None).cast("int")
     for kind, code in REGIONS.items():
         region = F.when(F.col("event_type") == kind, F.lit(code)).otherwise(region)
