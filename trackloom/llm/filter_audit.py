@@ -43,6 +43,7 @@ def failures(
     )
     rows = materialize(rows.select("doc_id", "part", "_a", "_b", "_w.words", "_w.kinds", "_upper", "_chars", "D"), "audit-rows")
     firsts = rows.groupBy("_a", "_b").agg(F.count(F.lit(1)).alias("_rows"), F.min("doc_id").alias("_first")).where("_rows > 1")
+    firsts = materialize(firsts, "audit-copies")  # so that the join below may split a text with very many copies
     later = (F.col("doc_id") > F.col("_first")) | (F.col("doc_id").isNull() & F.col("_first").isNotNull())
     return rows.join(firsts, ["_a", "_b"], "left").select(
         "doc_id",
