@@ -2,10 +2,12 @@
 
 import math
 import random
+import time
 from collections import Counter
 
 import corpus_pipeline
 import numpy as np
+import pandas as pd
 import pytest
 
 from trackloom.llm import simhash
@@ -133,3 +135,67 @@ def test_links_of_blocks(n, keys):
 def test_block_plan():
     assert simhash.block_plan(0) == simhash.block_plan(4_000_000) == (16, 62) and simhash.block_plan(1 << 30)[0] == 24
     assert simhash.most_apart() == 52
+
+
+def group_frame(spark, rng, n, spread, others):
+    """Distinct fingerprints in one block: a dense group around one centre, chains that lead away from it, and unrelated ones."""
+    centre = rng.integers(0, 1 << 63, 4, dtype=np.uint64)
+    rows = [centre]
+    for _ in range(n):
+        w = centre.copy()
+        for bit in rng.choice(256, rng.integers(1, spread), replace=False):
+            w[bit // 64] ^= np.uint64(1 << int(bit % 64))
+        rows.append(w)
+    chain = centre.copy()
+    for k in range(12):
+        for bit in range(20 * k, 20 * k + 20):
+            chain[bit // 64] ^= np.uint64(1 << int(bit % 64))
+        rows.append(chain.copy())
+    rows += [rng.integers(0, 1 << 63, 4, dtype=np.uint64) for _ in range(others)]
+    # rows are told apart by their first two words
+    rows = np.array(rows).view(np.int64)
+    rows = rows[np.unique(rows[:, :2], axis=0, return_index=True)[1]]
+    frame = pd.DataFrame(rows, columns=["w0", "w1", "w2", "w3"])
+    frame.insert(0, "key", 7)
+    return rows.view(np.uint64).T, spark.createDataFrame(frame)
+
+
+def grouped(spark, df, distance, large):
+    left, links = simhash.thinned(df, distance, large)
+    rest = left.repartition("key").sortWithinPartitions("key").mapInArrow(simhash._wide_links(distance), simhash._LINK)
+    pairs = [tuple(r) for x in [rest, *links] for r in x.collect()]
+    root = {}
+
+    def top(x):
+        while root.get(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b, c, d in pairs:
+        if top((a, b)) != top((c, d)):
+            root[top((a, b))] = top((c, d))
+    out = {}
+    for r in df.select("w0", "w1").collect():
+        out.setdefault(top((r.w0, r.w1)), set()).add((r.w0, r.w1))
+    return {frozenset(x) for x in out.values()}, left.count()
+
+
+@pytest.mark.parametrize("seed,n,spread,others", [(1, 150, 20, 40), (2, 80, 60, 20), (3, 0, 2, 120)])
+def test_large_blocks_lose_no_link(spark, seed, n, spread, others):
+    """The same groups on both sides of the switch, whatever is thought large."""
+    w, df = group_frame(spark, np.random.default_rng(seed), n, spread, others)
+    signed = w.view(np.int64)
+    want = {frozenset((int(signed[0, i]), int(signed[1, i])) for i in g) for g in close_groups(w, 52)}
+    for large in (10_000, 60, 5):
+        assert grouped(spark, df, 52, large)[0] == want
+
+
+def test_a_block_of_100_000(spark):
+    """A dense group of more than 100,000 distinct fingerprints leaves its block before that meets in one task."""
+    rng = np.random.default_rng(5)
+    w, df = group_frame(spark, rng, 180_000, 12, 30)
+    assert w.shape[1] > 100_000
+    at = time.time()
+    got, left = grouped(spark, df.repartition(8).cache(), 52, 4096)
+    assert time.time() - at < 120 and left < 4096
+    assert max(map(len, got)) >= w.shape[1] - 50

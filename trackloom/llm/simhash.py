@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 from itertools import accumulate, combinations
 
 import numpy as np
@@ -17,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import fresh, materialize
+from trackloom.llm.common import fresh, materialize, ship_package
 from trackloom.llm.components import connected_components
 
 BITS = 64
@@ -31,8 +32,9 @@ STEP = 255 * 256
 COPY_WORDS, SIMILARITY, MISSED, CHECKED = 5, 0.8, 0.01, 256
 #: The least bits of a block; unrelated fingerprints that share a block are 2 ** SPARE at most, on average.
 LEAST_BITS, SPARE = 16, 6
-#: Blocks of up to so many fingerprints are compared pair by pair at once; larger ones from one fingerprint to the next.
-SMALL_BLOCK, LARGE_BLOCK = 48, 1 << 15
+#: Blocks of up to so many fingerprints are compared pair by pair at once, larger ones from one fingerprint to the next, and
+#: those beyond the second number lose their dense groups before. Keys of blocks that go to every executor.
+SMALL_BLOCK, LARGE_BLOCK, BROADCAST_KEYS = 48, 1 << 13, 1_000_000
 
 
 def simhash(text: bytes | None, shingle_words: int = SHINGLE_WORDS) -> bytes:
@@ -194,6 +196,7 @@ def near_duplicates(
     repeated rows stay repeated; an empty table gives an empty result; other columns are dropped.
     Texts of any length are read whole, a bounded number of shingles at a time.
     """
+    ship_package(df.sparkSession)
     prints = materialize(fingerprints(df, id_col, text_col, shingle_words), "fingerprints")
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     nodes = materialize(nodes, "fingerprint-nodes")
@@ -329,38 +332,134 @@ def _links_of(keys: np.ndarray, w: np.ndarray, distance: int) -> tuple[np.ndarra
     return np.concatenate([empty, *us]), np.concatenate([empty, *vs])
 
 
+def _link_batch(w: np.ndarray, u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+    w = w.view(np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(w[i][x])) for x in (u, v) for i in (0, 1)], names=["u0", "u1", "v0", "v1"])
+
+
 def _wide_links(distance: int):
     """Links of rows ``key, w0, w1, ...`` in order of key, each between two that are close and share a key."""
 
-    def links(w: np.ndarray, u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
-        w = w.view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(w[i][x])) for x in (u, v) for i in (0, 1)], names=["u0", "u1", "v0", "v1"])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = np.empty((1 + len(_CHECKED_NAMES), 0), np.int64)
         for batch in batches:
             rest = np.concatenate([rest, np.stack([c.to_numpy() for c in batch.columns])], axis=1)
-            if not rest.shape[1]:
-                continue
-            cut = int(np.searchsorted(rest[0], rest[0, -1]))  # the last block may go on
+            cut = int(np.searchsorted(rest[0], rest[0, -1])) if rest.shape[1] else 0  # the last block may go on
             if cut:
                 w = rest[1:, :cut].view(np.uint64)
-                yield links(w, *_links_of(rest[0, :cut], w, distance))
+                yield _link_batch(w, *_links_of(rest[0, :cut], w, distance))
                 rest = rest[:, cut:]
-            elif rest.shape[1] > LARGE_BLOCK:
-                w = rest[1:].view(np.uint64)
-                u, v, firsts = _grown(w, distance)
-                yield links(w, *(np.concatenate([np.empty(0, np.int64), *x]) for x in (u, v)))
-                rest = rest[:, firsts]
         if rest.shape[1]:
             w = rest[1:].view(np.uint64)
-            yield links(w, *_links_of(rest[0], w, distance))
+            yield _link_batch(w, *_links_of(rest[0], w, distance))
+
+    return run
+
+
+_LINK = "u0 long, u1 long, v0 long, v1 long"
+
+
+def _witnesses(distance: int):
+    """For each row outside of a ball one of the ball's rows that is close to it, if a group has one.
+
+    Rows ``part, side, w0, w1, ...`` come in order of part, the ball's (side 0) before the others.
+    """
+
+    def found(side: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        ball, us, vs = np.flatnonzero(side == 0), [], []
+        if len(ball):
+            own = np.ascontiguousarray(w[:, ball])
+            for y in np.flatnonzero(side == 1):
+                near = _apart(own, w[:, y][:, None]) <= distance
+                if near.any():
+                    us.append(y)
+                    vs.append(ball[near.argmax()])
+        return np.array(us, np.int64), np.array(vs, np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = np.empty((2 + len(_CHECKED_NAMES), 0), np.int64)
+        for batch in _with_end(batches):
+            if batch is not None:
+                rest = np.concatenate([rest, np.stack([c.to_numpy() for c in batch.columns])], axis=1)
+            n = rest.shape[1]
+            cut = n if batch is None else int(np.searchsorted(rest[0], rest[0, -1])) if n else 0
+            if not cut:
+                continue
+            starts = np.flatnonzero(np.concatenate([[True], rest[0, 1:cut] != rest[0, : cut - 1]]))
+            for a, b in zip(starts, [*starts[1:], cut]):
+                w = rest[2:, a:b].view(np.uint64)
+                u, v = found(rest[1, a:b], w)
+                yield _link_batch(w, u, v)
+            rest = rest[:, cut:]
 
     return run
 
 
+def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from batches
+    yield None
+
+
+def thinned(rows: DataFrame, distance: int, large: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Rows ``key, w0, w1, ...`` of blocks, with those left out that links speak for; and these links.
+
+    A block of more than ``large`` rows isn't compared in one task. It names a leader, and each of its rows
+    measures its own distance to it: those within ``distance`` are the leader's ball and link to it, and the
+    rest is the block from now on. What links the two is found as well: a row outside needs one witness in
+    the ball, as the ball is connected, and only rows on the ball's rim can be one, by the triangle inequality.
+    Rim and rest meet in parts of at most ``large`` rows each. So a dense group leaves its block without losing
+    a link, and no task holds it. That is done again until blocks are small enough, or balls hold less than a tenth
+    of what is left.
+    """
+    counted = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > large).select("key")
+    hot = materialize(counted, "wide-hot")
+    if hot.isEmpty():
+        return rows, []
+    few = lambda df: F.broadcast(df) if df.count() <= BROADCAST_KEYS else df
+    near = few(hot)
+    small = [rows.join(near, "key", "left_anti")]
+    now = materialize(rows.join(near, "key", "left_semi"), "wide-hot-rows")
+    links, place = [], F.xxhash64(*_CHECKED_NAMES)
+    while True:
+        first = F.min(F.struct(place.alias("h"), *_CHECKED_NAMES)).alias("lead")
+        leaders = now.groupBy("key").agg(F.count(F.lit(1)).alias("n"), first).where(F.col("n") > large).select("key", *[F.col(f"lead.{w}").alias(f"l{i}") for i, w in enumerate(_CHECKED_NAMES)])
+        leaders = materialize(leaders, "wide-leaders")
+        led = few(leaders)
+        small.append(now.join(led, "key", "left_anti"))
+        if leaders.isEmpty():
+            break
+        apart = sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"l{i}"))) for i, w in enumerate(_CHECKED_NAMES)), F.lit(0))
+        met = materialize(now.join(led, "key").withColumn("d", apart), "wide-led")
+        links.append(met.where((F.col("d") <= distance) & (F.col("d") > 0)).select(F.col("w0").alias("u0"), F.col("w1").alias("u1"), F.col("l0").alias("v0"), F.col("l1").alias("v1")))
+        beyond = F.col("d") > distance
+        out = met.groupBy("key").agg(F.min(F.when(beyond, F.col("d"))).alias("least"), F.count_if(beyond).alias("n_out")).where("n_out > 0")
+        out = materialize(out, "wide-beyond")
+        rim = met.join(few(out), "key").where(~beyond & (F.col("d") >= F.col("least") - distance)).select("key", *_CHECKED_NAMES, "n_out")
+        sizes = materialize(rim.groupBy("key").agg(F.count(F.lit(1)).alias("n_rim"), F.first("n_out").alias("n_out")), "wide-rims")
+        parts = sizes.select("key", *[F.ceil(F.col(c) / large).cast("int").alias(c[2:]) for c in ("n_rim", "n_out")])
+        sides = []
+        for side, source, own, other in ((0, rim.drop("n_out"), "rim", "out"), (1, met.where(beyond).select("key", *_CHECKED_NAMES), "out", "rim")):
+            laid = source.join(few(parts), "key").withColumns({"_own": F.pmod(place, F.col(own)).cast("int"), "_other": F.explode(F.sequence(F.lit(0), F.col(other) - 1))})
+            at = F.xxhash64("key", *(("_own", "_other") if side == 0 else ("_other", "_own"))).alias("part")
+            sides.append(laid.select(at, F.lit(side).cast("long").alias("side"), *_CHECKED_NAMES))
+        meeting = sides[0].unionByName(sides[1]).repartition("part").sortWithinPartitions("part", "side")
+        links.append(materialize(meeting.mapInArrow(_witnesses(distance), _LINK), "wide-witnesses"))
+        left = materialize(met.where(beyond).select("key", *_CHECKED_NAMES), "wide-left")
+        if left.count() > 0.9 * met.count():
+            small.append(left)
+            break
+        now = left
+    return reduce(DataFrame.unionByName, small), links
+
+
 def keep_one(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = COPY_WORDS, similarity: float = SIMILARITY, missed: float = MISSED
+    df: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    shingle_words: int = COPY_WORDS,
+    similarity: float = SIMILARITY,
+    missed: float = MISSED,
+    large: int = LARGE_BLOCK,
 ) -> DataFrame:
     """The rows of ``df`` with one row of each group of similar texts: that with the smallest id.
 
@@ -371,15 +470,18 @@ def keep_one(
     both together miss one in a thousand. Pairs of a Jaccard similarity from about 0.6 to 0.75 link by
     chance, and less similar ones don't.
 
-    A block is read in one task, as rows in order: dense groups are linked from one fingerprint to the
-    next, which takes few comparisons, and a block beyond LARGE_BLOCK rows goes on with the first
-    fingerprint of each group, so memory stays bounded. Copies are one fingerprint and meet nowhere.
+    A block of up to ``large`` rows is compared within one task: dense groups are linked from one
+    fingerprint to the next, which takes few comparisons. Larger ones lose their dense groups first
+    (``thinned``), without losing a link; what stays of a block, at 40 bytes a row, is in one task. Only a block of
+    very many fingerprints that are neither alike nor unrelated stays large. Copies are one
+    fingerprint and meet nowhere.
 
     Ids that are null come after all others, so such a row stays only if its group has no id. Rows
     are told apart by id and text, so another text under the same id stays; rows that repeat, in id and
     text, are cut to one. Null, empty and blank texts are alike. Texts of any length are read whole; an
     empty table gives an empty result; all columns of ``df`` stay, whatever their names.
     """
+    ship_package(df.sparkSession)
     bits, blocks = block_plan(df.count(), similarity, missed)
     text = F.col(text_col)
     key = {"_a": F.xxhash64(text), "_b": F.xxhash64(F.lit(1), text)}
@@ -391,8 +493,9 @@ def keep_one(
     least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "_a", "_b")).alias("least")
     nodes = prints.groupBy(*_CHECKED_NAMES).agg(least, F.first("keys").alias("keys"))
     nodes = materialize(nodes, "wide-nodes")
-    rows_of_blocks = nodes.select(F.explode("keys").alias("key"), *_CHECKED_NAMES).repartition("key").sortWithinPartitions("key", *_CHECKED_NAMES)
-    found = rows_of_blocks.mapInArrow(_wide_links(most_apart(similarity)), "u0 long, u1 long, v0 long, v1 long")
+    in_blocks, found = thinned(nodes.select(F.explode("keys").alias("key"), *_CHECKED_NAMES), most_apart(similarity), large)
+    in_blocks = in_blocks.repartition("key").sortWithinPartitions("key", *_CHECKED_NAMES)
+    found = reduce(DataFrame.unionByName, found, in_blocks.mapInArrow(_wide_links(most_apart(similarity)), _LINK))
     links = found.select(F.struct(F.col("u0").alias("w0"), F.col("u1").alias("w1")).alias("u"), F.struct(F.col("v0").alias("w0"), F.col("v1").alias("w1")).alias("v"))
     parts = connected_components(links, "wide-links")
     labelled = nodes.select(node, "least").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
