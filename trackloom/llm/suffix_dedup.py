@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import materialize
+from trackloom.llm.common import materialize, ship_package
 from trackloom.llm.deep_shallow import common_prefix, with_prefixes
 
 LENGTH = 200
@@ -71,11 +71,14 @@ def anchors(data: bytes, length: int = LENGTH, size: int = ANCHOR) -> tuple[np.n
 
 def _anchor_rows(length: int, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()  # copies within a task are read once; a key of 16 bytes a text
         for batch in batches:
             keys, more = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             found, at = [], []
             for i, text in enumerate(batch.column(2).cast(pa.binary())):
-                if len(text.as_buffer()) >= length:
+                key = (int(keys[i]), int(more[i]))
+                if key not in seen and len(text.as_buffer()) >= length:
+                    seen.add(key)
                     pos, h = anchors(text.as_buffer(), length, size)
                     found.append((pos, h))
                     at.append(np.full(len(pos), i))
@@ -313,24 +316,30 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     reduced to distinct contexts with counts; those with more contexts than one task may sort are
     lengthened first, and at last resolved string by string. Contexts are compared by their bytes.
 
+    Texts that are equal as a whole are read once: with ``length`` bytes or more they lose all, as each
+    string starts in a copy too, and only what they share with other texts is looked for.
+
     Null is the empty text; texts shorter than ``length`` keep all, and texts of any length are read
     whole, a bounded part at a time; repeated rows repeat each other's bytes and so lose them; an empty
-    table gives an empty result; other columns are dropped. Rows are known by 128 bits of hashes of id
-    and text.
+    table gives an empty result; other columns are dropped. Texts are known by 128 bits of hashes.
     """
+    ship_package(df.sparkSession)
     docs = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    docs = docs.withColumns({"doc": F.xxhash64("doc_id", "text"), "doc2": F.xxhash64(F.lit(1), "text", "doc_id")})
+    docs = docs.withColumns({"doc": F.xxhash64("text"), "doc2": F.xxhash64(F.lit(1), "text")})
     own = ["doc", "doc2"]
     long_ones = docs.where(F.octet_length("text") >= length).select(*own, "text")
+    copied = materialize(long_ones.groupBy(*own).agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(*own), "copied-texts")
     found = materialize(long_ones.mapInArrow(_anchor_rows(length, size), "h long, doc long, doc2 long, pos long"), "anchors")
-    counts = found.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h", (F.col("c") > many).alias("many"))
+    other = (F.min("doc") != F.max("doc")) | (F.min("doc2") != F.max("doc2")) | (F.min("pos") != F.max("pos"))
+    counts = found.groupBy("h").agg(F.count(F.lit(1)).alias("c"), other.alias("again")).where("again").select("h", (F.col("c") > many).alias("many"))
     counts = materialize(counts, "anchor-counts")  # so that the join below may split a frequent anchor
-    per_doc = found.join(counts, "h").groupBy(*own).agg(F.collect_set(F.struct("pos", "h", "many")).alias("anchors"))
+    few_keys = lambda keys: F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+    per_doc = found.join(few_keys(counts), "h").groupBy(*own).agg(F.collect_set(F.struct("pos", "h", "many")).alias("anchors"))
     per_doc = materialize(per_doc, "repeated-anchors")
     texts = long_ones
     if per_doc.count() <= BROADCAST_KEYS:
         texts = texts.join(F.broadcast(per_doc.select(*own)), own, "left_semi")
-    work = materialize(texts.join(per_doc, own), "repeated-texts")
+    work = materialize(texts.dropDuplicates(own).join(per_doc, own), "repeated-texts")
 
     contexts = work.mapInArrow(_contexts(length, size, False), "h long, cid long, left int, data binary, n long, many boolean")
     row = F.struct("cid", "left", "data", "n")
@@ -345,16 +354,19 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         offsets = offsets.unionByName(_lengthened(crowded, length, size, group))
     offsets = materialize(offsets, "repeated-offsets")
 
-    places = work.mapInArrow(_contexts(length, size, True), "h long, cid long, doc long, doc2 long, pos long")
+    single = work.join(few_keys(copied), own, "left_anti")
+    places = single.mapInArrow(_contexts(length, size, True), "h long, cid long, doc long, doc2 long, pos long")
     span = F.struct((F.col("pos") - F.col("i2")).alias("start"), (F.col("pos") - F.col("i1") + length).alias("end"))
     spans = places.join(offsets, ["h", "cid"]).groupBy(*own).agg(F.collect_set(span).alias("spans"))
-    cut = work.select(*own, "text").join(spans, own).mapInArrow(_remove, "doc long, doc2 long, n_removed long, n_spans long, kept_sha256 string")
-    cut = cut.dropDuplicates(own)
+    cut = single.select(*own, "text").join(spans, own).mapInArrow(_remove, "doc long, doc2 long, n_removed long, n_spans long, kept_sha256 string")
+    all_of_it = [F.lit(-1).cast("long").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.sha2(F.lit("").cast("binary"), 256).alias("kept_sha256")]
+    cut = materialize(cut.unionByName(copied.select(*own, *all_of_it)), "cut-texts")
     whole = docs.select("doc_id", *own, F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("_whole"))
+    removed = F.when(F.col("n_removed") == -1, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0)))
     return whole.join(cut, own, "left").select(
         "doc_id",
         "n_bytes",
-        F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"),
+        removed.cast("long").alias("n_removed"),
         F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"),
         F.coalesce("kept_sha256", "_whole").alias("kept_sha256"),
     )
