@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackloom.llm import chat, decontaminate, filter_audit, language_id, line_dedup, mixing, phrases, sharding, simhash, suffix_dedup, token_files, topk, whitening
-from trackloom.llm.common import read_table, ship_package
+from trackloom.llm.common import read_table
 
 SHARDS = 24
 
@@ -20,12 +20,10 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ship_package(spark)
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ship_package(spark)
     return token_files.read_token_files(token_files.write_token_files(read_table(spark, sf_dir, "documents"), tokenizer_path()))
 
 
@@ -46,12 +44,10 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ship_package(spark)
     return topk.top_k(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ship_package(spark)
     return suffix_dedup.remove_repeats(read_table(spark, sf_dir, "documents"))
 
 
@@ -60,7 +56,6 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ship_package(spark)
     docs = read_table(spark, sf_dir, "documents").withColumn("held_out", language_id.held_out(F.col("doc_id")))
     dictionaries = language_id.learn_dictionaries(docs.where(~F.col("held_out")))
     return language_id.identify(docs, dictionaries, keep=("doc_id", "held_out"))
@@ -197,7 +192,8 @@ FROM d LEFT JOIN gone USING (doc_id) LEFT JOIN kept USING (doc_id)
 OP13_SQL = r"""
 WITH RECURSIVE d AS (
   SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
-         list_filter(regexp_split_to_array(coalesce(text, ''), '[ 	-]+'), lambda x: x <> '') AS w FROM documents),
+         list_filter(regexp_split_to_array(coalesce(text, ''), '[ 	-
+]+'), lambda x: x <> '') AS w FROM documents),
 l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
 f AS (
   SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,

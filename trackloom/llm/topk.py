@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import materialize
+from trackloom.llm.common import materialize, ship_package
 
 K = 5
 #: Queries a group holds on average, the most pivots, queries and data rows of one local solution.
@@ -194,6 +194,7 @@ def top_k(df: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: s
     Vectors so large that a score might not fit 64 bits are refused (an error).
     """
     spark = df.sparkSession
+    ship_package(spark)
     rows = df.select(F.col(id_col).cast("long").alias("vec_id"), quantized(F.col(vector_col), scale).alias("v"), F.coalesce(is_query, F.lit(False)).alias("is_query"))
     rows = rows.where("v is not null and vec_id is not null").withColumn("rid", F.monotonically_increasing_id())
     rows = materialize(rows, "vectors")
