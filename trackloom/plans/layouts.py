@@ -299,18 +299,34 @@ def geo20(spark, d):
     return hit.select("who", "ord", F.coalesce("region", F.lit(-1).cast("long")).alias("region"))
 
 
-SHAPE = [(0, 0), (9, 0), (3, 7), (0, 12)]
-SHAPES = f"""{RASTER}, sh AS (SELECT who, ord, plate, px, py FROM oq WHERE ord % 5 <> 0),
-sp AS (SELECT who, ord, plate, pos, px + dx AS px, py + dy AS py FROM sh, (VALUES (1, 0, 0), (2, 0, 12), (3, 9, 0), (4, 9, 12), {", ".join(f"({i}, {x}, {y})" for i, (x, y) in enumerate(SHAPE, 5))}) o(pos, dx, dy)),
+#: Silhouettes: a row's pixels, as many and as far apart as its numbers say; every fifth row has none. In SQL, offsets of pixels by place.
+OFFSETS = "(i * (1 + y % 7)) % 11 AS dx, (i * (2 + ord % 5)) % 13 AS dy"
+SHAPES = f"""{RASTER}, sh AS (SELECT who, ord, plate, px, py, (py + 200) // 4 AS y FROM oq WHERE ord % 5 <> 0),
+si AS (SELECT who, ord, plate, px + dx AS px, py + dy AS py, min(i) AS i FROM (SELECT *, {OFFSETS} FROM (SELECT *, unnest(range(0, 3 + y % 15)) AS i FROM sh)) GROUP BY 1, 2, 3, 4, 5),
+sp AS (SELECT who, ord, plate, 5 + i AS pos, px, py FROM si UNION ALL
+  SELECT who, ord, plate, pos, CASE WHEN pos <= 2 THEN x0 ELSE x1 END, CASE WHEN pos % 2 = 1 THEN y0 ELSE y1 END FROM (SELECT who, ord, plate, min(px) AS x0, max(px) AS x1, min(py) AS y0, max(py) AS y1 FROM si GROUP BY 1, 2, 3), (SELECT unnest([1, 2, 3, 4]) AS pos)),
 fo AS (SELECT who, ord, list(coalesce(w.region, -1) ORDER BY pos) AS fd FROM sp LEFT JOIN w ON w.plate = sp.plate AND w.px = sp.px AND w.py = sp.py GROUP BY who, ord),
 fc AS (SELECT who, ord, fd[5:] AS own, list_filter(fd[1:4], lambda r: r >= 0) AS co, list_filter(fd[5:], lambda r: r >= 0) AS ins FROM fo)"""
+SIZES = f"""{OBS}, sz AS (SELECT plate, ord, t, count(*) AS size FROM (SELECT DISTINCT plate, ord, t, dx, dy FROM (SELECT plate, ord, t, {OFFSETS} FROM (SELECT *, unnest(range(0, 3 + y % 15)) AS i FROM obs WHERE ord % 5 <> 0))) GROUP BY plate, ord, t)"""
+
+
+def silhouette(px, py, y, order):
+    """Distinct pixels of a row's shape, in order, about its position."""
+    shift = lambda i: F.struct((px + (i * (1 + y % 7)) % 11).cast("long").alias("px"), (py + (i * (2 + order % 5)) % 13).cast("long").alias("py"))
+    pixels = F.array_distinct(F.transform(F.sequence(F.lit(0).cast("long"), 2 + y % 15), shift))
+    return F.when(order % 5 == 0, F.array().cast("array<struct<px:bigint,py:bigint>>")).otherwise(pixels)
 
 
 def shapes(spark, d):
-    """A shape of four pixels for each row; every fifth row has none."""
-    pixels = F.array(*[F.struct((F.col("px") + x).alias("px"), (F.col("py") + y).alias("py")) for x, y in SHAPE])
-    kind = "array<struct<px:bigint,py:bigint>>"
-    return placed(spark, d).select("who", "ord", "plate", F.when(F.col("ord") % 5 == 0, F.array().cast(kind)).otherwise(pixels.cast(kind)).alias("pixels"))
+    """The silhouette of each row: 3 to 17 pixels, or none."""
+    y = ((F.col("py") + 200) / 4).cast("long")
+    return placed(spark, d).select("who", "ord", "plate", silhouette(F.col("px"), F.col("py"), y, F.col("ord")).alias("pixels"))
+
+
+def sizes(spark, d):
+    """Rows with a silhouette, and how many pixels it has."""
+    o = observations(spark, d).withColumn("size", F.size(silhouette(F.lit(0), F.lit(0), F.col("y"), F.col("ord"))).cast("long"))
+    return o.where("size > 0")
 
 
 @query("trj06_shape_regions", f"WITH {SHAPES} SELECT oq.who, oq.ord, CAST(coalesce(CASE WHEN len(co) >= 2 THEN co[2] WHEN len(co) = 1 THEN coalesce(ins[1], -1) END, -1) AS BIGINT) AS region FROM oq LEFT JOIN fc USING (who, ord)")
@@ -424,11 +440,11 @@ def mod08(spark, d):
 ENDS = [T0 + k * DAY for k in (5, 10, 20, 30)]
 
 
-@query("trj13_sizes_until", f"WITH {OBS}, m AS (SELECT plate, e, count(*) AS n, CAST(sum(y) AS BIGINT) AS s FROM obs, (SELECT unnest({ENDS}) AS e) WHERE t <= e GROUP BY plate, e) SELECT plate, e AS end_t, n, round(s / n / (first_value(s / n) OVER (PARTITION BY plate ORDER BY e)), 9) AS relative FROM m")
+@query("trj13_sizes_until", f"WITH {SIZES}, m AS (SELECT plate, e, count(*) AS n, CAST(sum(size) AS BIGINT) AS s FROM sz, (SELECT unnest({ENDS}) AS e) WHERE t <= e GROUP BY plate, e) SELECT plate, e AS end_t, n, round(s / n / (first_value(s / n) OVER (PARTITION BY plate ORDER BY e)), 9) AS relative FROM m")
 def trj13(spark, d):
-    """Mean size of rows up to several end times over that up to the first: one pass gives sums between ends, which add up."""
-    o = observations(spark, d).select("plate", "y", F.size(F.filter(F.array(*map(F.lit, ENDS)), lambda e: e < F.col("t"))).alias("k")).where(F.col("k") < len(ENDS))
-    g = o.groupBy("plate", "k").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("s"))
+    """Mean size of silhouettes up to several end times over that up to the first: one pass gives sums between ends, which add up."""
+    o = sizes(spark, d).select("plate", "size", F.size(F.filter(F.array(*map(F.lit, ENDS)), lambda e: e < F.col("t"))).alias("k")).where(F.col("k") < len(ENDS))
+    g = o.groupBy("plate", "k").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("s"))
     g = g.groupBy("plate").agg(F.map_from_entries(F.collect_list(F.struct("k", F.struct("n", "s")))).alias("m"))
     up_to = [F.struct(F.lit(e).alias("end_t"), *[sum((F.coalesce(F.col("m")[i][c], F.lit(0)) for i in range(j + 1)), F.lit(0)).cast("long").alias(c) for c in ("n", "s")]) for j, e in enumerate(ENDS)]
     rows = g.select("plate", F.explode(F.array(*up_to)).alias("x")).select("plate", "x.*").where("n > 0").withColumn("mean", F.col("s") / F.col("n"))
@@ -437,13 +453,13 @@ def trj13(spark, d):
 
 @query(
     "fil19_odd_sizes",
-    f"""WITH {OBS}, q AS (SELECT plate, t, y / avg(y) FILTER (ord <= 20) OVER (PARTITION BY plate) AS ratio FROM obs), b AS (SELECT plate, (t - {T0}) // {5 * DAY} AS bin, count(*) FILTER (ratio < 0.5 OR ratio > 1.5) AS n_odd, count(*) AS n FROM q GROUP BY 1, 2)
+    f"""WITH {SIZES}, q AS (SELECT plate, t, size / avg(size) FILTER (ord <= 20) OVER (PARTITION BY plate) AS ratio FROM sz), b AS (SELECT plate, (t - {T0}) // {5 * DAY} AS bin, count(*) FILTER (ratio < 0.5 OR ratio > 1.5) AS n_odd, count(*) AS n FROM q GROUP BY 1, 2)
 SELECT plate, bin, CAST(sum(n_odd) OVER w AS BIGINT) AS n_odd, CAST(sum(n) OVER w AS BIGINT) AS n FROM b WINDOW w AS (PARTITION BY plate ORDER BY bin)""",
 )
 def fil19(spark, d):
-    """Rows whose size is far from the mean of the first twenty, counted up to the end of each span of five days."""
-    ratio = F.try_divide(F.col("y").cast("double"), F.avg(F.when(F.col("ord") <= 20, F.col("y"))).over(Window.partitionBy("plate")))
-    b = observations(spark, d).withColumn("ratio", ratio).groupBy("plate", F.floor((F.col("t") - T0) / (5 * DAY)).alias("bin")).agg(F.count_if((F.col("ratio") < 0.5) | (F.col("ratio") > 1.5)).alias("n_odd"), F.count(F.lit(1)).alias("n"))
+    """Silhouettes whose size is far from the mean of the first twenty rows, counted up to the end of each span of five days."""
+    ratio = F.try_divide(F.col("size").cast("double"), F.avg(F.when(F.col("ord") <= 20, F.col("size"))).over(Window.partitionBy("plate")))
+    b = sizes(spark, d).withColumn("ratio", ratio).groupBy("plate", F.floor((F.col("t") - T0) / (5 * DAY)).alias("bin")).agg(F.count_if((F.col("ratio") < 0.5) | (F.col("ratio") > 1.5)).alias("n_odd"), F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy("plate").orderBy("bin")
     return b.select("plate", "bin", F.sum("n_odd").over(w).alias("n_odd"), F.sum("n").over(w).alias("n"))
 
