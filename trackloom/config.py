@@ -7,13 +7,14 @@ from dataclasses import dataclass
 
 @dataclass(frozen=True)
 class Config:
+    # Length of a frame, size of a pixel, and how much farther than the nearest a neighbour may be.
     frame_s: float = 0.82817
     pixel_mm: float = 0.0324
+    neighbour_factor: float = 1.3
     gap_fill_us: int = 6 * 3600 * 1_000_000
     long_gap_us: int = 6 * 3600 * 1_000_000
     cut_us: int = 20 * 86400 * 1_000_000
     merge_gap_us: int = 2 * 86400 * 1_000_000
-    neighbour_factor: float = 1.3
 
 
 CONFIG = Config()

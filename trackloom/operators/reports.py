@@ -90,7 +90,7 @@ def mean_by(values: DataFrame, keys: list[str], value: Column) -> DataFrame:
 
 def mean_by_curve(values: DataFrame, members: DataFrame, value: Column) -> DataFrame:
     """Means by curve; ``members`` has (curve, condition_id), a row per pair, and a condition may be in several."""
-    return mean_by(values.join(F.broadcast(members), "condition_id"), ["curve"], value)
+    return mean_by(values.join(members, "condition_id"), ["curve"], value)
 
 
 def curve_members(pools: DataFrame, curves: list[list[str]]) -> DataFrame:

@@ -343,6 +343,14 @@ def trj07(spark, d):
     return lay.looked_up(shapes(spark, d), lines(spark, d), ["who", "ord"]).select("who", "ord", lay.pixels_inside(F.col("found")).alias("n_inside"))
 
 
+@query("trj08_silhouette_pixels", f"WITH {SHAPES} SELECT si.who, si.ord, si.px, si.py, coalesce(w.region, -1) AS region FROM si LEFT JOIN w ON w.plate = si.plate AND w.px = si.px AND w.py = si.py")
+def trj08_silhouettes(spark, d):
+    """A row for each pixel of a row's silhouette, with the region that it lies in."""
+    at = shapes(spark, d).select("who", "ord", "plate", F.explode("pixels").alias("p")).select("who", "ord", "plate", "p.px", "p.py")
+    hit = at.join(sp.raster_regions(at.select("plate", "px", "py").distinct(), lines(spark, d)), ["plate", "px", "py"], "left")
+    return hit.select("who", "ord", "px", "py", F.coalesce("region", F.lit(-1).cast("long")).alias("region"))
+
+
 CONTROL = "[" + ", ".join(f"'{x}'" for x in CONDITIONS["0"]) + "]"
 REPLICAS = f"""{OBS}, rp AS (SELECT plate AS parent, plate * 10 + i AS replica, {CONTROL}[i + 1] AS layout, [{", ".join(map(str, CONDITIONS["0"].values()))}][i + 1] AS condition_id FROM (SELECT DISTINCT plate FROM obs WHERE plate % 8 = 0), (SELECT unnest(range(0, {len(CONDITIONS["0"])})) AS i))"""
 
