@@ -161,8 +161,16 @@ def test_pipeline_stages(spark, sf_dir):
     mixed = p.materialize(p.STAGES[3][1](spark, docs, sf_dir), "mixing")
     copies = Counter(r.doc_id for r in mixed.collect())
     assert mixed.columns == list(p.COLUMNS) and set(copies) <= set(clean) and max(copies.values()) <= 2
+    for i, _, size, taken in brute.mix([(i, r.text, r.source) for i, r in clean.items()]):
+        assert copies[i] * size == taken
     sharded = p.STAGES[4][1](spark, mixed, sf_dir).collect()
     assert Counter(r.doc_id for r in sharded) == copies
+    slots = {}
+    for r in sharded:
+        assert r.shard == brute.jump(brute.spark_hash(r.doc_id), 24)
+        assert r.size == len((clean[r.doc_id].text or "").encode()) + 8
+        slots.setdefault(r.shard, []).append(r.slot)
+    assert all(sorted(x) == list(range(len(x))) for x in slots.values())
     assert p.run(spark, sf_dir).count() == len(sharded)
 
 
