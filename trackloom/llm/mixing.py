@@ -67,7 +67,7 @@ def mix_sources(
     for each copy, so a row has at most the rate's next whole number of copies. As sizes are in order,
     the words taken stay within about one document of a size class of the target. Counts per (source,
     class, part) give every part's first rank, and each part is ranked on its own, so a source with a
-    third of all rows is spread over many tasks. The result is the same on each run; only rows that
+    third of all rows is spread over many tasks (rows equal in id and text share one). The result is the same on each run; only rows that
     are equal in id, text and ``keep`` may swap places.
 
     Words are counted once, into a work table. A null or empty text has size 0 and takes part; a

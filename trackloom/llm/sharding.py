@@ -82,8 +82,8 @@ def shard_documents(df: DataFrame, n_shards: int, id_col: str = "doc_id", text_c
     Law ``key``: the id and the shard count alone decide the shard, so one more shard takes rows
     only into itself (``grown_shard``). Slots start at 0 in each shard. Rows are numbered in
     CHUNKS hash parts of a shard: part totals are summed up (a table of n_shards * CHUNKS rows),
-    and each part is numbered on its own, so neither a large shard nor copies of a text meet in
-    one task. A null id is a key like any other; a null text has size 8 and CRC 0; rows that
+    and each part is numbered on its own, so neither a large shard nor copies of a text under
+    ids of their own meet in one task; only rows equal in id and text do. A null id is a key like any other; a null text has size 8 and CRC 0; rows that
     repeat get slots of their own; an empty table gives an empty result. ``keep`` names further
     columns of ``df`` to carry along, which can't be named as columns of the result are (an error);
     other columns are dropped. Texts are read once, for their sizes and sums, into a work table.
