@@ -106,13 +106,15 @@ def kept_rows(obs: DataFrame, radius: float) -> DataFrame:
     return rows.mapInArrow(scan, f"{kinds}, kept boolean")
 
 
-def smooth(obs: DataFrame, radius: float) -> DataFrame:
+def smooth(obs: DataFrame, radius: float, kept: DataFrame | None = None) -> DataFrame:
     """Keep a row if it is farther than ``radius`` from the last kept row; interpolate the rest between kept rows.
 
-    Between two kept rows with a track switch strictly between them, rows stay as they are and don't
+    ``kept`` (plate, ord, kept) says which rows these are, if they have been found in another way
+    (``orbits.kept_orbit``, for plates that are too long for a task). Between two kept rows with a track switch strictly between them, rows stay as they are and don't
     count as smoothed. Rows after the last kept one stay, too, but do count.
     """
-    k = kept_rows(obs.select("plate", "track", "ord", "x", "y"), radius)
+    rows = obs.select("plate", "track", "ord", "x", "y")
+    k = kept_rows(rows, radius) if kept is None else rows.join(kept, ["plate", "ord"])
     switched = F.coalesce((F.col("track") != F.lag("track").over(by_frame())).cast("int"), F.lit(0))
     k = k.withColumn("_switched", switched).withColumn("_switches", F.sum("_switched").over(by_frame()))
     at = F.when(F.col("kept"), F.struct("ord", "x", "y", "_switches", "_switched"))

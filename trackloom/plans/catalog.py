@@ -12,6 +12,7 @@ from trackloom.functions import stats
 from trackloom.operators import curves as cv
 from trackloom.operators import events as ev
 from trackloom.operators import kinematics as kin
+from trackloom.operators import orbits
 from trackloom.sources.tables import condition_of, conditions, micros, observations, pools, table
 
 DAY = 86_400_000_000
@@ -301,6 +302,12 @@ def trj04(spark, d):
     return kin.smooth(observations(spark, d), 4000.0)
 
 
+@query("trj04_kept_orbits", REGISTRY["trj04_smoothing"][1].split("\nc AS (")[0].rstrip(",") + "\nSELECT plate, ord FROM k")
+def trj04_orbits(spark, d):
+    """The rows that smoothing keeps, found in parallel within plates."""
+    return orbits.kept_orbit(observations(spark, d), 4000.0, 32).where("kept").select("plate", "ord")
+
+
 @query(
     "fil02_plate_quality",
     f"""WITH {TRACKS}, h AS (SELECT plate, coalesce(sum(nt0 - t1) FILTER (r1 <> nr0), 0) AS bad_us FROM g GROUP BY plate), o AS (SELECT plate, max(t) - min(t) AS video_us, count(*) AS n_rows FROM obs GROUP BY plate)
