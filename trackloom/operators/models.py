@@ -51,7 +51,7 @@ def recovery_fit(points: DataFrame, group: str, t: str, y: str, scales: list[flo
     line = line.where("n >= 4 and b is not null and _syy > 0").withColumn("_left", F.round(F.col("_syy") - F.col("b") * F.col("_sxy"), 9))
     theta = line.groupBy("_g").agg(F.min_by(F.struct("n", "a", "b", "s"), F.struct("_left", "s")).alias("p")).select("_g", "p.*")
     for _ in range(steps):
-        d = p.join(F.broadcast(theta.drop("n")), "_g")  # a row a group
+        d = p.join(theta.drop("n"), "_g")
         e = F.exp(-F.col("_t") / F.col("s"))
         grad = [F.lit(1.0), -e, -F.col("b") * e * F.col("_t") / (F.col("s") * F.col("s"))]
         off = F.col("_y") - (F.col("a") - F.col("b") * e)
