@@ -32,6 +32,8 @@ def track_of(plate: Column, ts: Column) -> Column:
 BUCKET_BYTES, LEAST_BUCKETS = 128 << 20, 8
 #: What sessions of this process have laid down, by application, input and name: the table's name (or its schema) and its folder.
 _laid: dict[tuple, tuple] = {}
+#: Names of catalogued tables by their folder.
+_tables: dict[str, str] = {}
 
 
 def _files_of(spark: SparkSession, path: str) -> tuple[tuple[tuple[str, int, int], ...], int]:
@@ -54,6 +56,7 @@ def laid_out(df: DataFrame, name: str, by: str, order: list[str], buckets: int)
     table_name = path.rsplit("/", 1)[-1].replace("-", "_")
     laid = df.repartition(buckets, by).sortWithinPartitions(*order)  # a task a bucket, so a file a bucket
     laid.write.format("parquet").option("path", path).bucketBy(buckets, by).sortBy(*order).saveAsTable(table_name)
+    _tables[path] = table_name
     return table_name, path
 
 
@@ -180,6 +183,8 @@ def drop_work_tables(spark: SparkSession, owner: str | None = None, still_read:
     for path in [p for p, o in made.items() if owner is None or o == owner]:
         if any(f"/{path.rsplit('/', 1)[-1]}/" in f for f in needed):
             continue
+        if path in _tables:
+            spark.sql(f"DROP TABLE IF EXISTS {_tables.pop(path)}")  # its files are the folder's
         at = jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(conf).delete(at, True)
         del made[path]
