@@ -28,14 +28,23 @@ def binomial(n: Column, p: Column, u: Column, v: Column) -> Column:
     beyond that a normal number of the same mean and variance is rounded and cut to 0 to n.
     """
     rare = F.least(p, 1 - p)
-    start = F.struct(F.pow(1 - rare, n).alias("mass"), F.pow(1 - rare, n).alias("below"), F.lit(0).cast("long").alias("k"))
+    odds = rare / (1 - rare)
+    none = F.pow(1 - rare, n)
+    # the share of the next number, the share of those up to k, and k
+    start = F.struct((none * n / 1 * odds).alias("next"), none.alias("below"), F.lit(0).cast("long").alias("k"), odds.alias("odds"))
 
     def step(s: Column, i: Column) -> Column:
-        mass = s["mass"] * (n - i + 1) / i * (rare / (1 - rare))
         more = s["below"] < u
-        return F.struct(F.when(more, mass).otherwise(s["mass"]).alias("mass"), F.when(more, s["below"] + mass).otherwise(s["below"]).alias("below"), F.when(more, i).otherwise(s["k"]).alias("k"))
-
-    few = F.aggregate(F.sequence(F.lit(1).cast("long"), F.least(n, F.lit(MOST_STEPS)).cast("long")), start, step, lambda s: s["k"])
+        return F.struct(
+            (s["next"] * (n - i) / (i + 1) * s["odds"]).alias("next"),
+            F.when(more, s["below"] + s["next"]).otherwise(s["below"]).alias("below"),
+            F.when(more, i).otherwise(s["k"]).alias("k"),
+            s["odds"].alias("odds"),
+        )
+
+    # beyond ten standard deviations there is nothing that 32 bits could draw
+    steps = F.least(n, F.ceil(n * rare + 10 * F.sqrt(n * rare)) + 12, F.lit(MOST_STEPS)).cast("long")
+    few = F.aggregate(F.sequence(F.lit(1).cast("long"), steps), start, step, lambda s: s["k"])
     z = F.sqrt(-2 * F.log(1 - u)) * F.cos(2 * math.pi * v)
     many = F.floor(n * p + F.sqrt(n * p * (1 - p)) * z + 0.5)
     return F.when(n * rare <= SMALL_MEAN, F.when(p <= 0.5, few).otherwise(n - few)).otherwise(F.greatest(F.lit(0), F.least(n, many))).cast("long")
@@ -66,8 +75,8 @@ def _leaves(df: DataFrame, keys: list[str], value: str, resamples: int, follow)
         d, c = nodes.alias("d"), ranked.alias("c")
         met = d.join(c, _same(keys, "d", "c") & (F.col("c._rank") - 1 == F.col("d.j") * width + width // 2), "left").select("d.*", F.coalesce("c._before", "d.hi").alias("mid"))
         u, v = uniforms(*[F.col(k) for k in keys], F.col("r"), F.lit(level), F.col("j"))
-        p = (F.col("mid") - F.col("lo")) / (F.col("hi") - F.col("lo"))
-        split = met.withColumn("x", F.when(F.col("mid") == F.col("hi"), F.col("n")).otherwise(binomial(F.col("n"), p, u, v)))
+        met = met.withColumns({"p": (F.col("mid") - F.col("lo")) / (F.col("hi") - F.col("lo")), "u": u, "v": v})
+        split = met.withColumn("x", F.when(F.col("mid") == F.col("hi"), F.col("n")).otherwise(binomial(F.col("n"), F.col("p"), F.col("u"), F.col("v"))))
         made = [("j", F.col("j") * 2, F.col("j") * 2 + 1), ("n", F.col("x"), F.col("n") - F.col("x")), ("lo", F.col("lo"), F.col("mid")), ("hi", F.col("mid"), F.col("hi")), ("off", F.col("off"), F.col("off") + F.col("x"))]
         halves = F.array(*[F.struct(*[m[side].cast("long").alias(m[0]) for m in made]) for side in (1, 2)])
         nodes = split.select(*keys, "r", "total", F.explode(halves).alias("h")).select(*keys, "r", "total", "h.*").where(F.col("n") > 0)
