@@ -73,6 +73,8 @@ def test_topk_of_large_components(spark):
     rows = [(5 * i, [2.0e6 * (i + 1), -3.0]) for i in range(4)]
     got = topk.top_k(spark.createDataFrame(rows, kind), F.col("vec_id") % 5 == 0)
     assert max(r.score for r in got.collect()) == (4 * 512_000_000) * (3 * 512_000_000) + 768 * 768
+    outlier = spark.createDataFrame([(5, [1.0, 2.0]), (6, [3.0, 1.0]), (7, [1e300, 0.0]), (8, [0.0, -20.0])], kind)
+    assert [(r.query_id, r.vec_id) for r in topk.top_k(outlier, F.col("vec_id") % 5 == 0, most=10.0).collect()] == [(5, 6)]
     for huge in (4e9, 1e300):
         with pytest.raises(ValueError):
             topk.top_k(spark.createDataFrame([(5, [huge]), (6, [huge])], kind), F.col("vec_id") % 5 == 0)

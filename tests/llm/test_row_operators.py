@@ -285,6 +285,30 @@ def test_chat_render_cases(spark):
     ]
 
 
+# rows that repeat in bulk
+
+
+def test_slots_of_a_row_that_repeats(spark):
+    """A row that is there 5,000 times among others gets slots of its own, without gaps."""
+    df = spark.range(5000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("same text").alias("text"))
+    df = df.unionByName(spark.range(300).select((F.col("id") + 100).alias("doc_id"), F.col("id").cast("string").alias("text")))
+    slots = defaultdict(list)
+    for r in sharding.shard_documents(df, 5).collect():
+        slots[r.shard].append(r.slot)
+    assert sum(map(len, slots.values())) == 5300 and all(sorted(x) == list(range(len(x))) for x in slots.values())
+
+
+def test_mix_of_a_row_that_repeats(spark):
+    """Each of 5,000 equal rows counts on its own: the source comes near its target."""
+    df = spark.range(5000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("three words here").alias("text"), F.lit("a").alias("source"))
+    df = df.unionByName(spark.range(200).select((F.col("id") + 100).alias("doc_id"), F.concat_ws(" ", F.array_repeat(F.lit("w"), (F.col("id") % 40).cast("int"))).alias("text"), F.lit("b").alias("source")))
+    rows = mixing.mix_sources(df).collect()
+    for source in ("a", "b"):
+        own = [r for r in rows if (r.doc_id == 7) == (source == "a")]
+        assert len(own) == (5000 if source == "a" else 200) and all(r.taken <= 2 * r.size for r in own)
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 50
+
+
 # rows with nulls in different places
 
 

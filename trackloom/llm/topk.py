@@ -177,7 +177,7 @@ def _solve(k: int, width: int, kind: str):
     return run
 
 
-def top_k(df: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, scale: int = 256) -> DataFrame:
+def top_k(df: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, scale: int = 256, most: float | None = None) -> DataFrame:
     """``query_id, rank, vec_id, score``: the k best inner products of each query row with all other rows.
 
     Pivots are a bounded sample by hash. Queries and data are grouped by their nearest pivot; one
@@ -191,11 +191,14 @@ def top_k(df: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: s
     Vectors that are null or hold null or non-finite components, and rows without an id, take no
     part; shorter vectors count as filled up with zeros; rows that repeat are rows of their own; fewer
     than k others give fewer ranks; an empty table gives an empty result; other columns are dropped.
-    Vectors so large that a score might not fit 64 bits are refused (an error).
+    Vectors so large that a score might not fit 64 bits are refused (an error); with ``most``, vectors that
+    hold a component beyond it take no part instead.
     """
     spark = df.sparkSession
     ship_package(spark)
     rows = df.select(F.col(id_col).cast("long").alias("vec_id"), quantized(F.col(vector_col), scale).alias("v"), F.coalesce(is_query, F.lit(False)).alias("is_query"))
+    if most is not None:
+        rows = rows.where(F.forall("v", lambda x: F.abs(x) <= most * scale))
     rows = rows.where("v is not null and vec_id is not null").withColumn("rid", F.monotonically_increasing_id())
     rows = materialize(rows, "vectors")
     totals = rows.agg(
