@@ -69,7 +69,7 @@ SELECT CAST(plate // 1000 AS BIGINT) AS plate, s AS start2, e AS end2, region FR
 )
 def str07(spark, d):
     """Events with gaps between tracks filled, of the rows that the watermark has passed; open ones are left out unless nothing followed for two days."""
-    return st.drain(stateful.stitched_events(st.read_events(spark, d), fill_us=CONFIG.gap_fill_us, patience_us=PATIENCE), "str07")
+    return st.drain(stateful.stitched_events(st.read_events(spark, d), fill_us=CONFIG.gap_fill_us, patience_us=PATIENCE), "str07", timers=True)
 
 
 @query(
@@ -81,4 +81,4 @@ SELECT plate, event_id, ord, CAST(sum(CASE WHEN step < 0 THEN {FRAME_US} ELSE co
 def str02(spark, d):
     """Repaired clocks of a stream in which every 17th event is set back a day."""
     back = F.when(F.col("event_id") % 17 == 0, F.col("t") - DAY).otherwise(F.col("t"))
-    return st.drain(stateful.repaired_clock(st.read_events(spark, d).withColumn("t", back), FRAME_US), "str02")
+    return st.drain(stateful.repaired_clock(st.read_events(spark, d).withColumn("t", back), FRAME_US), "str02", timers=True)

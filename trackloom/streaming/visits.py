@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import nullcontext
 
 import numpy as np
 import pandas as pd
@@ -91,14 +92,14 @@ def sessions(stream: DataFrame, gap: str, late: str = "1 hour") -> DataFrame:
     return g.select("plate", "region", F.unix_micros(F.col("w.start")).alias("start"), F.unix_micros(F.col("w.end")).alias("end"), "n")
 
 
-def drain(stream: DataFrame, name: str) -> DataFrame:
+def drain(stream: DataFrame, name: str, timers: bool = False) -> DataFrame:
     """Run a stream over all that is there, with its checkpoint and output in the work folder, and read the output.
 
-    The stream runs here and now, while the query is built. Its state is in RocksDB, which timers need.
+    The stream runs here and now, while the query is built. With ``timers`` its state is in RocksDB, which they need.
     """
     spark = stream.sparkSession
     out, marks = work_folder(spark, name), work_folder(spark, f"{name}-marks")
-    with state_store(spark):
+    with state_store(spark) if timers else nullcontext():
         run = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", marks).outputMode("append").trigger(availableNow=True).start()
         run.awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
