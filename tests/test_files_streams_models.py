@@ -201,3 +201,24 @@ def test_exchanged_behaviour(spark):
     assert got["a", "b"] == (1.5, 60 + 0.5 * 65, 0.5 * 10)
     assert got["b", "a"] == (3.0, 10 + 10 + 10, 5.0)
     assert got["b", "b"] == (3.0, 65 + 60 + 65, 30 + 10)
+
+
+def test_walk_spread(spark):
+    """A straight way and a square one, worked out by hand; y counts a hundredfold."""
+    from trackloom.operators import models as md
+
+    straight = [("a", 1, 1, i + 1, 3 * i, 0) for i in range(6)]
+    square = [("b", 2, 2, i + 1, x, y) for i, (x, y) in enumerate([(0, 0), (100, 0), (100, 1), (0, 1), (0, 0), (100, 0)])]
+    rows = spark.createDataFrame(straight + square + [("c", 3, 3, 1, 5, 5)], "g string, plate long, track long, ord long, x long, y long")
+    got = {(r.g, r.n): (r.expected, r.observed) for r in md.walk_spread(rows, "g", [1, 2]).collect()}
+    assert got["a", 1] == (9.0, 9.0) and abs(got["a", 2][0] - 36.0) < 1e-6 and got["a", 2][1] == 36.0
+    assert got["b", 1] == (10_000.0, 10_000.0) and abs(got["b", 2][0] - 20_000.0) < 1e-6 and got["b", 2][1] == 20_000.0
+    assert got["c", 1] == (None, None)
+
+
+def test_expected_visits(spark):
+    from trackloom.operators import models as md
+
+    rows = [(1, "a", 0, 10, 0), (1, "a", 15, 25, 1), (2, "a", 0, 10, 0), (3, "b", 0, 5, 2)]
+    v = spark.createDataFrame(rows, "plate long, g string, start long, end long, region int")
+    assert {tuple(r) for r in md.expected_visits(v, "g", 4, 3).collect()} == {("a", 1, 0, 1.0), ("a", 2, 1, 0.5), ("b", 1, 2, 1.0)}

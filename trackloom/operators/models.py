@@ -76,19 +76,14 @@ def since_exit(obs: DataFrame) -> DataFrame:
     return obs.withColumn("since_us", F.col("t") - F.last(F.when(F.col("region") >= 0, F.col("t")), True).over(order))
 
 
-def exchanged_behaviour(visits: DataFrame, group: str, ranks: int = 4, length: int = 8) -> DataFrame:
-    """``moves_of, stays_of, visits, stay_us, travel_us``: what plates are expected to do that move like one group and stay like another.
-
-    ``visits`` has plate, ``group``, start, end, region. Shares of moves by rank of the visit (``ranks`` and later as
-    one) are a sparse matrix; the expected number of visits to each region at the next rank is the current one
-    times that matrix, a join and a sum, for ``length`` visits from the first on. Plates whose visits end take no
-    further part, by the share that ended. Mean stays by region and mean travels by move of the other
-    group turn expected visits and moves into times; regions or moves that it doesn't have take no time. All
-    ordered pairs of groups are given, each with itself as well; nothing is drawn.
-    """
+def _moves(visits: DataFrame, group: str, ranks: int) -> DataFrame:
     order = Window.partitionBy("plate").orderBy("start", "end", "region")
     v = visits.select("plate", F.col(group).alias("g"), "region", F.row_number().over(order).alias("_n"), (F.col("end") - F.col("start")).alias("stay"), F.lead("region").over(order).alias("dst"), (F.lead("start").over(order) - F.col("end")).alias("travel"))
-    v = stored(v.withColumn("rank", F.least("_n", F.lit(ranks))), "exchange-visits")
+    return stored(v.withColumn("rank", F.least("_n", F.lit(ranks))), "exchange-visits")
+
+
+def _chain(v: DataFrame, ranks: int, length: int) -> tuple[DataFrame, DataFrame]:
+    """Expected visits ``g, k, region, m`` and moves ``g, k, region, dst, m`` of the chain that starts as the groups' plates do."""
     made = v.groupBy("g", "rank", "region").agg(F.count(F.lit(1)).alias("_all"))
     moves = v.where("dst is not null").groupBy("g", "rank", "region", "dst").agg(F.count(F.lit(1)).alias("_n"))
     share = stored(moves.join(made, ["g", "rank", "region"]).select("g", "rank", "region", "dst", (F.col("_n") / F.col("_all")).alias("p")), "exchange-shares")
@@ -97,15 +92,62 @@ def exchanged_behaviour(visits: DataFrame, group: str, ranks: int = 4, length: i
     seen, flows = [], []
     for k in range(1, length + 1):
         now = stored(now, "exchange-expected")
-        seen.append(now)
-        if k == length:
+        seen.append(now.select("g", F.lit(k).alias("k"), "region", "m"))
+        if k == length and flows:
             break
         step = now.join(share.where(F.col("rank") == min(k, ranks)), ["g", "region"]).select("g", "region", "dst", (F.col("m") * F.col("p")).alias("m"))
-        flows.append(step)
+        flows.append(step.select("g", F.lit(k).alias("k"), "region", "dst", "m"))
         now = step.groupBy("g", F.col("dst").alias("region")).agg(F.sum("m").alias("m"))
-    union = lambda parts: reduce(DataFrame.unionByName, parts)
-    at = union(seen).groupBy(F.col("g").alias("moves_of"), "region").agg(F.sum("m").alias("m"))
-    went = union(flows).groupBy(F.col("g").alias("moves_of"), "region", "dst").agg(F.sum("m").alias("m"))
+    return reduce(DataFrame.unionByName, seen), reduce(DataFrame.unionByName, flows)
+
+
+def expected_visits(visits: DataFrame, group: str, ranks: int = 4, length: int = 8) -> DataFrame:
+    """``group, k, region, m``: the share of plates that are expected to make their k-th visit, and to which region.
+
+    A Markov chain of visits in expected values: the first visits are the group's own, moves from then on have the
+    shares that they had at that rank (``ranks`` and later as one), and plates whose visits end drop out. The k-th
+    distribution is the one before times a sparse matrix, a join and a sum.
+    """
+    return _chain(_moves(visits, group, ranks), ranks, length)[0].withColumnRenamed("g", group)
+
+
+def walk_spread(obs: DataFrame, group: str, lags: list[int]) -> DataFrame:
+    """``group, n, expected, observed``: mean squared displacement after n steps, of a correlated walk and of the ways themselves.
+
+    A walk with independent step lengths of mean l and mean square q, and independent turns of mean cosine c, has
+    n q + 2 l l c / (1 - c) (n - (1 - c ** n) / (1 - c)), or n q + l l n (n - 1) if it never turns. These means are one aggregate over the steps of tracks;
+    steps of no length don't turn. Observed displacements are those of rows n apart on a track.
+    """
+    order = Window.partitionBy("plate", "track").orderBy("ord")
+    y = F.col("y") * 100
+    way = obs.withColumns({"_dx": F.col("x") - F.lag("x").over(order), "_dy": y - F.lag(y).over(order)})
+    way = way.withColumns({"_px": F.lag("_dx").over(order), "_py": F.lag("_dy").over(order), "_l2": (F.col("_dx") * F.col("_dx") + F.col("_dy") * F.col("_dy")).cast("double")})
+    before = (F.col("_px") * F.col("_px") + F.col("_py") * F.col("_py")).cast("double")
+    cos = F.try_divide((F.col("_px") * F.col("_dx") + F.col("_py") * F.col("_dy")).cast("double"), F.sqrt(before * F.col("_l2")))
+    far = [(F.pow(F.lead("x", n).over(order) - F.col("x"), F.lit(2)) + F.pow(F.lead(y, n).over(order) - y, F.lit(2))).alias(f"_r{n}") for n in lags]
+    rows = way.select(group, F.sqrt("_l2").alias("_l"), "_l2", cos.alias("_c"), *far)
+    means = rows.groupBy(group).agg(F.avg("_l").alias("l"), F.avg("_l2").alias("q"), F.avg("_c").alias("c"), *[F.avg(f"_r{n}").alias(f"_r{n}") for n in lags])
+    n, c = F.col("v.n"), F.col("c")
+    out = means.withColumn("v", F.explode(F.array(*[F.struct(F.lit(k).alias("n"), F.col(f"_r{k}").alias("r")) for k in lags])))
+    turned = F.when(F.abs(1 - c) < 1e-9, n * (n - 1) / 2).otherwise(F.try_divide(c, 1 - c) * (n - F.try_divide(1 - F.pow(c, n), 1 - c)))
+    expected = n * F.col("q") + 2 * F.col("l") * F.col("l") * turned
+    return out.select(group, F.col("v.n").cast("long").alias("n"), expected.alias("expected"), F.col("v.r").alias("observed"))
+
+
+def exchanged_behaviour(visits: DataFrame, group: str, ranks: int = 4, length: int = 8) -> DataFrame:
+    """``moves_of, stays_of, visits, stay_us, travel_us``: what plates are expected to do that move like one group and stay like another.
+
+    ``visits`` has plate, ``group``, start, end, region. Shares of moves by rank of the visit (``ranks`` and later as
+    one) are a sparse matrix; the expected number of visits to each region at the next rank is the current one
+    times that matrix, a join and a sum, for ``length`` visits from the first on. Plates whose visits end take no
+    further part, by the share that ended. Mean stays by region and mean travels by move of the other
+    group turn expected visits and moves into times; regions or moves that it doesn't have take no time. All
+    ordered pairs of groups are given, each with itself as well; nothing is drawn.
+    """
+    v = _moves(visits, group, ranks)
+    seen, flows = _chain(v, ranks, length)
+    at = seen.groupBy(F.col("g").alias("moves_of"), "region").agg(F.sum("m").alias("m"))
+    went = flows.groupBy(F.col("g").alias("moves_of"), "region", "dst").agg(F.sum("m").alias("m"))
     stays = v.groupBy(F.col("g").alias("stays_of"), "region").agg(F.avg("stay").alias("us"))
     travels = v.where("dst is not null").groupBy(F.col("g").alias("stays_of"), "region", "dst").agg(F.avg("travel").alias("us"))
     pairs = [F.col("moves_of"), F.col("stays_of")]

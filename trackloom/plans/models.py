@@ -223,3 +223,35 @@ def jon12(spark, d):
     c = conditions(spark).select("condition_id", F.concat_ws(" ", "layout", "density").alias("name"))
     o = observations(spark, d).groupBy("plate").agg(F.count(F.lit(1)).alias("n")).withColumn("condition_id", condition_of(F.col("plate")))
     return o.join(F.broadcast(c), "condition_id").groupBy("name").agg(F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("n_plates"))
+
+
+@query(
+    "mod11_expected_visits",
+    f"""WITH RECURSIVE {VISITS}, w AS (SELECT CAST(plate % 8 AS INTEGER) AS g, region, row_number() OVER o AS nth, least(row_number() OVER o, 4) AS rank, lead(region) OVER o AS dst FROM v WINDOW o AS (PARTITION BY plate ORDER BY start_t, end_t, region)),
+sh AS (SELECT g, rank, region, dst, n / al AS p FROM (SELECT g, rank, region, dst, count(*) AS n, sum(count(*)) OVER (PARTITION BY g, rank, region) AS al FROM w GROUP BY g, rank, region, dst) WHERE dst IS NOT NULL),
+it AS (SELECT g, 1 AS k, region, count(*) / sum(count(*)) OVER (PARTITION BY g) AS m FROM w WHERE nth = 1 GROUP BY g, region
+  UNION ALL SELECT it.g, any_value(it.k) + 1, sh.dst, sum(m * p) FROM it JOIN sh ON sh.g = it.g AND sh.region = it.region AND sh.rank = least(it.k, 4) WHERE it.k < {EXCHANGE} GROUP BY it.g, sh.dst)
+SELECT g AS condition_id, CAST(k AS INTEGER) AS k, region, round(m, 9) AS m FROM it""",
+)
+def mod11_expected(spark, d):
+    """The expected share of plates that make their k-th visit, by region, of the chain that each condition's moves by rank make."""
+    v = ev.visits(observations(spark, d)).withColumn("condition_id", condition_of(F.col("plate")))
+    return md.expected_visits(v, "condition_id", 4, EXCHANGE).select("condition_id", "k", "region", F.round("m", 9).alias("m"))
+
+
+LAGS = [1, 2, 4, 8]
+
+
+@query(
+    "mod05_walk_spread",
+    f"""WITH {OBS}, s AS (SELECT plate % 8 AS g, plate, track, ord, x, y * 100 AS y, x - lag(x) OVER w AS dx, (y - lag(y) OVER w) * 100 AS dy, {", ".join(f"pow(lead(x, {n}) OVER w - x, 2) + pow((lead(y, {n}) OVER w - y) * 100, 2) AS r{n}" for n in LAGS)} FROM obs WINDOW w AS (PARTITION BY plate, track ORDER BY ord)),
+t AS (SELECT *, lag(dx) OVER w AS px, lag(dy) OVER w AS py, (dx * dx + dy * dy)::DOUBLE AS l2 FROM s WINDOW w AS (PARTITION BY plate, track ORDER BY ord)),
+m AS (SELECT CAST(g AS INTEGER) AS condition_id, avg(sqrt(l2)) AS l, avg(l2) AS q, avg(CASE WHEN l2 > 0 AND px * px + py * py > 0 THEN (px * dx + py * dy)::DOUBLE / sqrt((px * px + py * py)::DOUBLE * l2) END) AS c, {", ".join(f"avg(r{n}) AS r{n}" for n in LAGS)} FROM t GROUP BY g),
+u AS (SELECT condition_id, l, q, c, unnest({LAGS}::BIGINT[]) AS n, unnest([{", ".join(f"r{n}" for n in LAGS)}]) AS r FROM m)
+SELECT condition_id, n, round((n * q + 2 * l * l * c / (1 - c) * (n - (1 - pow(c, n)) / (1 - c))) / 1e6, 6) AS expected, round(r / 1e6, 6) AS observed FROM u""",
+)
+def mod05_spread(spark, d):
+    """How far a correlated walk with each condition's steps and turns is expected to come, and how far its ways did."""
+    o = observations(spark, d).withColumn("condition_id", condition_of(F.col("plate")))
+    w = md.walk_spread(o, "condition_id", LAGS)
+    return w.select("condition_id", "n", F.round(F.col("expected") / 1e6, 6).alias("expected"), F.round(F.col("observed") / 1e6, 6).alias("observed"))
