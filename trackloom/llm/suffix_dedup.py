@@ -255,6 +255,7 @@ def _crowded(contexts: DataFrame, length: int, size: int) -> DataFrame:
     text = F.substring("data", F.col("left") - F.col("i") + 1, F.lit(length))
     strings = strings.select("h", "cid", "n", "i", F.xxhash64(text).alias("a"), F.xxhash64(F.lit(7), text).alias("b"))
     again = strings.groupBy("h", "i", "a", "b").agg(F.sum("n").alias("total")).where("total > 1").drop("total")
+    again = materialize(again, "crowded-strings")  # so that the join below may split a frequent string
     found = strings.join(again, ["h", "i", "a", "b"], "left_semi").groupBy("h", "cid").agg(F.collect_set("i").alias("at"))
     # neighbouring offsets become one range
     first = F.array_sort(F.filter("at", lambda i: ~F.array_contains("at", i - 1)))
