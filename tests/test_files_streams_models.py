@@ -222,3 +222,15 @@ def test_expected_visits(spark):
     rows = [(1, "a", 0, 10, 0), (1, "a", 15, 25, 1), (2, "a", 0, 10, 0), (3, "b", 0, 5, 2)]
     v = spark.createDataFrame(rows, "plate long, g string, start long, end long, region int")
     assert {tuple(r) for r in md.expected_visits(v, "g", 4, 3).collect()} == {("a", 1, 0, 1.0), ("a", 2, 1, 0.5), ("b", 1, 2, 1.0)}
+
+
+def test_null_revisits(spark):
+    import math
+
+    from trackloom.operators import models as md
+
+    rows = [(1, "a", 0, 10, 0), (1, "a", 14, 20, 0), (1, "a", 26, 30, 1), (2, "b", 0, 5, 2)]
+    v = spark.createDataFrame(rows, "plate long, g string, start long, end long, region int")
+    (r,) = md.null_revisits(v, "g", [10.0], [0.5], 1.0).collect()
+    stay = 10 * math.log(2)
+    assert (r.g, r.p_back) == ("a", 0.5) and math.isclose(r.stay, stay) and math.isclose(r.rate, 0.5 * 5 / (0.5 * stay + 2 + 3))

@@ -166,6 +166,28 @@ def intake_rates(stays: DataFrame, taus: list[float], travel_s: float) -> DataFr
     return sums.select("grp", "tau", "n", (F.col("gain") / (F.col("dur_s") + F.col("n") * travel_s)).alias("rate"))
 
 
+def null_revisits(visits: DataFrame, group: str, taus: list[float], thresholds: list[float], unit_us: float = 3.6e9) -> DataFrame:
+    """``group, tau, thr, p_back, stay, rate``: expected intake of a forager that leaves at a threshold and at times returns to the region it left.
+
+    A region's rate falls as exp(-t / tau) and the forager stays until it is ``thr``, so a return at once finds nothing
+    to stay for. The share of such returns and the mean travels back and across are the group's own; then a visit
+    gains tau (1 - thr) in -tau ln(thr) where it isn't a return, and intake over time is the ratio of expected values. Times
+    are in units of ``unit_us``. Groups without moves have no row.
+    """
+    order = Window.partitionBy("plate").orderBy("start", "end", "region")
+    moves = visits.select(group, "region", F.lead("region").over(order).alias("dst"), (F.lead("start").over(order) - F.col("end")).alias("travel")).where("dst is not null")
+    back = F.col("region") == F.col("dst")
+    own = moves.groupBy(group).agg(
+        (F.count_if(back) / F.count(F.lit(1))).alias("p_back"),
+        (F.coalesce(F.sum(F.when(back, F.col("travel"))), F.lit(0)) / F.count(F.lit(1)) / unit_us).alias("_back"),
+        (F.coalesce(F.sum(F.when(~back, F.col("travel"))), F.lit(0)) / F.count(F.lit(1)) / unit_us).alias("_across"),
+    )
+    g = own.withColumn("tau", F.explode(F.array(*map(F.lit, taus)))).withColumn("thr", F.explode(F.array(*map(F.lit, thresholds))))
+    stay, fresh = -F.col("tau") * F.log("thr"), 1 - F.col("p_back")
+    rate = F.try_divide(fresh * F.col("tau") * (1 - F.col("thr")), fresh * stay + F.col("_back") + F.col("_across"))
+    return g.select(group, "tau", "thr", "p_back", stay.alias("stay"), rate.alias("rate"))
+
+
 def turns(obs: DataFrame, width_deg: int) -> DataFrame:
     """Turning angles of observed ways by plate: counts and mean step by bins of ``width_deg`` degrees in (-180, 180]."""
     order = Window.partitionBy("plate", "track").orderBy("ord")

@@ -255,3 +255,16 @@ def mod05_spread(spark, d):
     o = observations(spark, d).withColumn("condition_id", condition_of(F.col("plate")))
     w = md.walk_spread(o, "condition_id", LAGS)
     return w.select("condition_id", "n", F.round(F.col("expected") / 1e6, 6).alias("expected"), F.round(F.col("observed") / 1e6, 6).alias("observed"))
+
+
+@query(
+    "mod02_null_revisits",
+    f"""WITH {VISITS}, mv AS (SELECT CAST(plate % 8 AS INTEGER) AS condition_id, region, lead(region) OVER w AS dst, lead(start_t) OVER w - end_t AS travel FROM v WINDOW w AS (PARTITION BY plate ORDER BY start_t, end_t, region)),
+o AS (SELECT condition_id, count(*) FILTER (region = dst) / count(*) AS p, coalesce(sum(travel) FILTER (region = dst), 0)::DOUBLE / count(*) / 3.6e9 AS b, coalesce(sum(travel) FILTER (region <> dst), 0)::DOUBLE / count(*) / 3.6e9 AS a FROM mv WHERE dst IS NOT NULL GROUP BY condition_id)
+SELECT condition_id, tau, thr, round(p, 9) AS p_back, round(-tau * ln(thr), 6) AS stay_h, round((1 - p) * tau * (1 - thr) / ((1 - p) * (-tau * ln(thr)) + b + a), 9) AS rate FROM o, (SELECT unnest([50.0, 200.0]::DOUBLE[]) AS tau), (SELECT unnest([0.05, 0.5]::DOUBLE[]) AS thr)""",
+)
+def mod02_revisits(spark, d):
+    """Expected intake with the returns and travels of each condition, in hours."""
+    v = ev.visits(observations(spark, d)).withColumn("condition_id", condition_of(F.col("plate")))
+    m = md.null_revisits(v, "condition_id", [50.0, 200.0], [0.05, 0.5])
+    return m.select("condition_id", "tau", "thr", F.round("p_back", 9).alias("p_back"), F.round("stay", 6).alias("stay_h"), F.round("rate", 9).alias("rate"))
