@@ -63,8 +63,8 @@ def nearest(points: DataFrame, targets: DataFrame, tag: list[str], other: Column
     with high = low + 1; ties go to the least tag. ``other`` is a condition on a point and a target.
     Points meet the targets of their own grid cell and of the eight around it. What is found within
     the length of a cell is nearest; points that found nothing so near go on with cells eight times as
-    long, until one cell holds the plate. So points and targets far apart never meet. Points of plates
-    without targets are left out.
+    long, until one cell holds the plate; what is left then is bounded by boxes of points (``_met_by_bounds``; with
+    ``other`` it meets all targets). Points of plates without targets are left out.
     """
     keys = points.columns
     span = targets.agg(F.min("low"), F.max("high"), F.min("by"), F.max("by")).first()
@@ -76,19 +76,24 @@ def nearest(points: DataFrame, targets: DataFrame, tag: list[str], other: Column
     dy = F.col("by") - F.col("py")
     d2 = (dx * dx + dy * dy).cast("double").alias("d2")
     todo, found = points.join(targets.select("plate").distinct(), "plate", "left_semi"), None
+    first = cell
     while True:
-        at = lambda c: F.floor(c / F.lit(cell)).cast("long")  # noqa: E731, B023
-        t = targets.withColumns({"_x": F.explode(F.sequence(at(F.col("low")), at(F.col("high") - 1))), "_y": at(F.col("by"))})
-        p = todo.withColumn("_x", F.explode(F.sequence(at(F.col("px")) - 1, at(F.col("px")) + 1)))
-        p = p.withColumn("_y", F.explode(F.sequence(at(F.col("py")) - 1, at(F.col("py")) + 1)))
-        t = t.select(F.col("plate").alias("_plate"), "_x", "_y", "low", "high", "by", *[F.col(c).alias(f"_t_{c}") for c in tag])
-        met = p.withColumnRenamed("plate", "_plate").join(t, ["_plate", "_x", "_y"]).withColumnRenamed("_plate", "plate")
+        last = cell >= reach
+        if last and other is None:
+            met = _met_by_bounds(todo, targets, tag, first)
+        else:
+            at = lambda c: F.floor(c / F.lit(cell)).cast("long")  # noqa: E731, B023
+            t = targets.withColumns({"_x": F.explode(F.sequence(at(F.col("low")), at(F.col("high") - 1))), "_y": at(F.col("by"))})
+            p = todo.withColumn("_x", F.explode(F.sequence(at(F.col("px")) - 1, at(F.col("px")) + 1)))
+            p = p.withColumn("_y", F.explode(F.sequence(at(F.col("py")) - 1, at(F.col("py")) + 1)))
+            t = t.select(F.col("plate").alias("_plate"), "_x", "_y", "low", "high", "by", *[F.col(c).alias(f"_t_{c}") for c in tag])
+            met = p.withColumnRenamed("plate", "_plate").join(t, ["_plate", "_x", "_y"]).withColumnRenamed("_plate", "plate")
         if other is not None:
             met = met.where(other)
         best = met.groupBy(*keys).agg(F.min(F.struct(d2, *[F.col(f"_t_{c}").alias(c) for c in tag])).alias("_best"))
-        best = stored(best if cell >= reach else best.where(F.col("_best.d2") <= cell * cell), "nearest")
+        best = stored(best if last else best.where(F.col("_best.d2") <= cell * cell), "nearest")
         found = best if found is None else found.unionByName(best)
-        if cell >= reach:
+        if last:
             break
         todo = stored(todo.join(best, keys, "left_anti"), "nearest-left")
         if todo.isEmpty():
@@ -97,6 +102,27 @@ def nearest(points: DataFrame, targets: DataFrame, tag: list[str], other: Column
     return found.select(*keys, "_best.d2", *[F.col("_best")[c].alias(c) for c in tag if c not in keys])
 
 
+def _met_by_bounds(points: DataFrame, targets: DataFrame, tag: list[str], cell: float) -> DataFrame:
+    """Points with the targets of their plate that may be their nearest: boxes of points decide which these are.
+
+    Points of a small cell share a box. A target can be nearest to one of them only if its least distance to the box is at
+    most the smallest of all greatest distances. So boxes, not points, meet all targets of a plate.
+    """
+    at = lambda c: F.floor(F.col(c) / F.lit(cell)).cast("long")
+    p = points.withColumns({"_x": at("px"), "_y": at("py")}).withColumnRenamed("plate", "_plate")
+    box = ["_plate", "_x", "_y"]
+    boxes = p.groupBy(*box).agg(F.min("px").alias("_x0"), F.max("px").alias("_x1"), F.min("py").alias("_y0"), F.max("py").alias("_y1"))
+    t = targets.select(F.col("plate").alias("_plate"), "low", "high", "by", *[F.col(c).alias(f"_t_{c}") for c in tag])
+    most_x = F.greatest(F.col("low") - F.col("_x0"), F.col("_x1") - (F.col("high") - 1), F.lit(0)).cast("double")
+    most_y = F.greatest(F.abs(F.col("by") - F.col("_y0")), F.abs(F.col("by") - F.col("_y1"))).cast("double")
+    least_x = F.greatest(F.col("low") - F.col("_x1"), F.col("_x0") - (F.col("high") - 1), F.lit(0)).cast("double")
+    least_y = F.greatest(F.col("by") - F.col("_y1"), F.col("_y0") - F.col("by"), F.lit(0)).cast("double")
+    both = boxes.join(t, "_plate")
+    bound = stored(both.groupBy(*box).agg(F.min(most_x * most_x + most_y * most_y).alias("_bound")), "nearest-bounds")
+    near = both.join(bound, box).where(least_x * least_x + least_y * least_y <= F.col("_bound"))
+    return p.join(near.drop("_x0", "_x1", "_y0", "_y1", "_bound"), box).withColumnRenamed("_plate", "plate")
+
+
 def within(points: DataFrame, targets: DataFrame, reach: str) -> DataFrame:
     """Pairs of a point (plate, px, py, ``reach`` and more) and a target (plate, cx, cy and more) of its plate that lies within its reach: with ``d``.
 
