@@ -15,6 +15,8 @@ WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Item windows up to this many rows go to every executor; beyond it, the join shuffles instead, after a
 #: sieve of so many bits (a table of a 64th of them in rows, which is what goes to executors then).
 BROADCAST_ROWS, SIEVE_BITS = 200_000, 1 << 26
+#: Documents with candidates up to this many are named to every executor.
+BROADCAST_KEYS = 1_000_000
 
 
 def words_of(text: Column) -> Column:
@@ -99,7 +101,11 @@ def find_occurrences(docs: DataFrame, items: DataFrame, window_words: int = WIND
             bare = sieved(tokens.select("_doc", "_pos", "_shingle", F.size("_words").alias("_len")), prefixes.select("_shingle"))
             room = (start >= 0) & (start + F.col("n") <= F.col("_len"))
             candidates = bare.join(prefixes, "_shingle").where(room).select("_doc", "_pos", "_at", "n", "item_ids", "_window")
-            hits = candidates.join(docs, "_doc").where(same).select("_doc", start.alias("start"), "n", "item_ids")
+            candidates = materialize(candidates, "window-candidates")
+            ids = candidates.select("_doc").distinct()
+            # words of few documents come back to candidates, without the rest being shuffled
+            near = docs.join(F.broadcast(ids), "_doc", "left_semi") if ids.count() <= BROADCAST_KEYS else docs
+            hits = candidates.join(near, "_doc").where(same).select("_doc", start.alias("start"), "n", "item_ids")
         found = hits if found is None else found.unionByName(hits)
     if found is None:
         found = docs.sparkSession.sql("SELECT 0L AS _doc, 0 AS start, 0 AS n, array('') AS item_ids").where("false")
