@@ -82,3 +82,9 @@ def test_ranks_in_ranges(spark, keys):
         own.sort(key=lambda r: (r.v, r.i))
         assert [r._rank for r in own] == list(range(1, len(own) + 1))
         assert [r._before for r in own] == [sum(x.w for x in own[:k]) for k in range(len(own))]
+
+
+def test_ranges_are_cut_once(spark):
+    """Ranks and the counts before them rest on the same cuts, though a sketch of quantiles may differ from run to run."""
+    df = spark.createDataFrame([("a", float(i % 97), i) for i in range(500)], "g string, v double, i int")
+    assert "percentile_approx" not in stats.spread_rank(df, ["g"], ["v", "i"], parts=4)._jdf.queryExecution().toString()

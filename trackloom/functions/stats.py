@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trackloom.sources.tables import stored
+
 
 def bin_index(x: Column, edges: list[float]) -> Column:
     """Bins (e_i, e_i+1]; the first edge belongs to the first bin, values beyond the last to the last."""
@@ -136,7 +138,8 @@ def spread_rank(df: DataFrame, keys: list[str], order: list[str], parts: int = 6
     With ``weight``, ``_before`` is the sum of that column over the rows that come earlier.
     """
     at = [i / parts for i in range(1, parts)]
-    cuts = df.groupBy(*keys).agg(F.percentile_approx(order[0], at, 1000).alias("_cuts"))
+    # written down: the sketch depends on the order in which parts come in, and both uses must see the same cuts
+    cuts = stored(df.groupBy(*keys).agg(F.percentile_approx(order[0], at, 1000).alias("_cuts")), "rank-cuts")
     same = [F.col(f"d.{k}").eqNullSafe(F.col(f"c.{k}")) for k in keys]
     on = reduce(lambda a, b: a & b, same)
     dealt = df.alias("d").join(cuts.alias("c"), on).select("d.*", F.size(F.filter(F.col("_cuts"), lambda e: e < F.col(f"d.{order[0]}"))).alias("_range"))
