@@ -88,3 +88,17 @@ def test_ranges_are_cut_once(spark):
     """Ranks and the counts before them rest on the same cuts, though a sketch of quantiles may differ from run to run."""
     df = spark.createDataFrame([("a", float(i % 97), i) for i in range(500)], "g string, v double, i int")
     assert "percentile_approx" not in stats.spread_rank(df, ["g"], ["v", "i"], parts=4)._jdf.queryExecution().toString()
+
+
+def test_a_row_is_digested_once_a_resample(spark):
+    """The digest that decides how often a row enters a resample is taken once, not for each number of times; the numbers stay those of ``draw``."""
+    df = spark.createDataFrame([("a", float(i), i) for i in range(30)], "g string, v double, i int")
+    out = stats.resampled_means(df, ["g"], "v", ["i"], 20)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("md5(") == 1
+    u = df.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(20)))).withColumn("u", stats.draw(F.col("r"), F.col("i"))).collect()
+    n, s = Counter(), Counter()
+    for row in u:
+        w = 1 if row.r == 0 else sum(row.u >= p for p in stats.POISSON)
+        n[row.r] += w
+        s[row.r] += w * row.v
+    assert {(r.r, r.n): r.m for r in out.collect()} == {(r, n[r]): s[r] / n[r] for r in n}

@@ -38,8 +38,12 @@ POISSON = [sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) for k in
 
 def draw(*parts: Column) -> Column:
     """A number in [0, 1) that depends on the parts alone: 32 bits of their MD5, which any SQL engine can compute."""
-    text = F.concat_ws(",", *[p.cast("string") for p in parts])
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") / float(1 << 32)
+    return F.conv(F.substring(digest(*parts), 1, 8), 16, 10).cast("long") / float(1 << 32)
+
+
+def digest(*parts: Column) -> Column:
+    """The MD5 of the parts, whose first eight digits ``draw`` reads as a number."""
+    return F.md5(F.concat_ws(",", *[p.cast("string") for p in parts]))
 
 
 def resampled_means(df: DataFrame, keys: list[str], value: str, row: list[str], resamples: int) -> DataFrame:
@@ -49,10 +53,14 @@ def resampled_means(df: DataFrame, keys: list[str], value: str, row: list[str],
     its own, so tasks give partial sums for each resample and no group comes together. Resamples vary
     a little in size, as the mean of what is drawn allows for. Null values and NaN don't count.
     """
-    rows = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(resamples))))
-    u = draw(F.col("r"), *[F.col(c) for c in row])
-    w = F.when(F.col("r") == 0, 1).otherwise(sum((F.when(u >= p, 1).otherwise(0) for p in POISSON), F.lit(0))).cast("long")
-    sums = rows.withColumn("_w", w).groupBy(*keys, "r").agg(F.sum("_w").alias("n"), F.sum(F.col("_w") * F.col(value)).alias("_s"))
+    known = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
+    rows = known.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(resamples)))).withColumn("_u", digest(F.col("r"), *[F.col(c) for c in row]))
+    w = F.when(F.col("r") == 0, 1)
+    for k, p in enumerate(POISSON):
+        # the draw is below p if its eight digits come before those of the least number that isn't
+        w = w.when(F.col("_u") < f"{math.ceil(p * (1 << 32)):08x}", k)
+    taken = rows.withColumn("_w", w.otherwise(len(POISSON)).cast("long"))
+    sums = taken.groupBy(*keys, "r").agg(F.sum("_w").alias("n"), F.sum(F.col("_w") * F.col(value)).alias("_s"))
     return sums.select(*keys, "r", "n", F.try_divide(F.col("_s"), F.col("n")).alias("m"))
 
 
