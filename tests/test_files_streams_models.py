@@ -234,3 +234,22 @@ def test_null_revisits(spark):
     (r,) = md.null_revisits(v, "g", [10.0], [0.5], 1.0).collect()
     stay = 10 * math.log(2)
     assert (r.g, r.p_back) == ("a", 0.5) and math.isclose(r.stay, stay) and math.isclose(r.rate, 0.5 * 5 / (0.5 * stay + 2 + 3))
+
+
+def test_plates_share_files(spark, sf_dir):
+    """Trajectories of many plates lie in few files, so that files don't grow in number with plates."""
+    from trackloom.plans.files import trajectories
+    from trackloom.sources.tables import observations
+
+    path = spark._jvm.org.apache.hadoop.fs.Path(trajectories(spark, sf_dir))
+    listed = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    assert all(f.isFile() for f in listed) and len(listed) <= 10 < observations(spark, sf_dir).select("plate").distinct().count()
+
+
+def test_track_numbers_beyond_an_int(spark, tmp_path, monkeypatch):
+    """Places of files times the numbers of a file leave the range of an int with some 21,000 files."""
+    monkeypatch.setattr(files, "TRACKS_A_FILE", 2_000_000_000)
+    for k in range(3):
+        (tmp_path / f"p{k}.csv").write_text(f"id_conservative,frame,time,x,y\n{k},0,0.0,1.0,1.0\n")
+    got = sorted(r.track for r in files.read_trajectories(spark, str(tmp_path)).collect())
+    assert got == [0, 2_000_000_001, 4_000_000_002]

@@ -17,12 +17,13 @@ from trackloom.sources.tables import condition_of, observations, table, work_fol
 
 
 def trajectories(spark, d) -> str:
-    """A folder with a CSV file for each plate: tracks numbered within the plate, seconds that jump back a day at every 17th row."""
+    """A folder with CSV files that hold the trajectories of many plates each, by their paths: tracks numbered within the plate, seconds that jump back a day at every 17th row."""
     o = observations(spark, d)
     t = F.when(F.col("ord") % 17 == 0, F.col("t") - DAY).otherwise(F.col("t"))
     rows = o.select("plate", (F.col("track") % 100_000).alias("id_conservative"), (F.col("ord") - 1).alias("frame"), ((t - T0) / 1e6).alias("time"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
     path = work_folder(spark, "trajectories")
-    rows.repartition("plate").write.partitionBy("plate").option("header", True).csv(path)
+    own = F.concat(F.lit("/plate="), F.col("plate").cast("string"), F.lit("/traj.csv"))
+    rows.withColumn("folder", own).drop("plate").write.option("header", True).csv(path)
     return path
 
 
@@ -36,7 +37,7 @@ def _plate():
 @query("src01_trajectories", f"WITH {OBS} SELECT plate, {TRACK} AS track, ord - 1 AS frame, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y FROM obs")
 def src01(spark, d):
     """Files of all plates as one table, with track numbers that are unique over files."""
-    return files.read_trajectories(spark, trajectories(spark, d)).select(_plate(), "track", "frame", "x", "y")
+    return files.read_trajectories(spark, trajectories(spark, d), shared=True).select(_plate(), "track", "frame", "x", "y")
 
 
 @query(
@@ -47,7 +48,7 @@ SELECT plate, ord - 1 AS frame, round(CASE WHEN back THEN total ELSE t END, 3) A
 )
 def src02(spark, d):
     """Clocks of the files of all plates, repaired file by file."""
-    rows = files.read_trajectories(spark, trajectories(spark, d), frame_s=FRAME_US / 1e6)
+    rows = files.read_trajectories(spark, trajectories(spark, d), frame_s=FRAME_US / 1e6, shared=True)
     return rows.select(_plate(), "frame", F.round("time", 3).alias("time"))
 
 

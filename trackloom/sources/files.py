@@ -9,21 +9,22 @@ TRAJECTORY = "id_conservative long, frame long, time double, x double, y double"
 TRACKS_A_FILE = 100_000
 
 
-def read_trajectories(spark: SparkSession, root: str, name: str = "*.csv", with_controls: bool = True, frame_s: float | None = None) -> DataFrame:
+def read_trajectories(spark: SparkSession, root: str, name: str = "*.csv", with_controls: bool = True, frame_s: float | None = None, shared: bool = False) -> DataFrame:
     """All files called ``name`` below ``root`` as one table with ``folder`` and a track number unique over files.
 
     ``track`` is the file's own number plus 100,000 times the file's place among the sorted paths.
     Only the list of paths is ranked, one row a file; rows get their place by a join. With ``frame_s``
     clocks are repaired by file: a missing first time makes time the frame times this length, and where
-    time runs backwards the step is one frame and time is summed up anew.
+    time runs backwards the step is one frame and time is summed up anew. ``shared`` files hold many
+    trajectories each and name the path of a row's own in a last column ``folder``: as many plates as there are would be too many files.
     """
-    rows = (
-        spark.read.schema(TRAJECTORY).option("header", True).option("recursiveFileLookup", True).option("pathGlobFilter", name).csv(root)
-        .withColumn("folder", F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "/"))
-    )
+    schema = f"{TRAJECTORY}, folder string" if shared else TRAJECTORY
+    rows = spark.read.schema(schema).option("header", True).option("recursiveFileLookup", True).option("pathGlobFilter", name).csv(root)
+    if not shared:
+        rows = rows.withColumn("folder", F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "/"))
     if not with_controls:
         rows = rows.where(~F.col("folder").contains("control_"))
-    place = rows.select("folder").distinct().withColumn("place", F.row_number().over(Window.orderBy("folder")) - 1)
+    place = rows.select("folder").distinct().withColumn("place", F.row_number().over(Window.orderBy("folder")).cast("long") - 1)
     out = rows.join(place, "folder").withColumn("track", F.col("id_conservative") + TRACKS_A_FILE * F.col("place")).drop("place")
     if frame_s is None:
         return out
