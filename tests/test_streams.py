@@ -94,3 +94,26 @@ def test_clock_in_the_stream_is_that_of_the_batch(spark, tmp_path):
     obs = spark.createDataFrame(rows, SCHEMA).withColumn("ord", F.col("event_id") + 1)
     want = {r.ord: r.t for r in kin.repair_clock(obs, 7).collect()}
     assert {r.ord: r.t for r in got.collect()} == want
+
+
+def test_plates_share_state(spark, tmp_path):
+    """5,000 plates, of negative numbers and none as well: at most ``SHARES`` states and calls, and each plate's events are its own."""
+    rows = []
+    for p in [*range(-20, 4980), None]:
+        n = p or 0
+        rows += [row(p, 10, h + n % 7 / 8, (h + n) % 3 - 1 if h % 2 else n % 2, h) for h in range(3)] + [row(p, 11, 5 + h + n % 5 / 8, n % 4 - 1, 10 + h) for h in range(2)] + [row(p, 11, 9, 3, 20)]
+    rows.append(row(1, 12, 40, 2, 99))
+    out, marks = str(tmp_path / "out"), str(tmp_path / "marks")
+    spark.createDataFrame(rows + rows[:50], SCHEMA).coalesce(2).write.parquet(str(tmp_path / "in"))
+    got = run(spark, lambda s: stateful.stitched_events(s, delay="6 hours", fill_us=2 * HOUR, patience_us=1000 * HOUR), tmp_path / "in", out, marks, stateful.EVENT)
+    obs = spark.createDataFrame([r for r in rows if r[5] != 2 or r[4] != 99], SCHEMA).selectExpr("plate", "track", "t", "region", "row_number() over (partition by plate order by t, event_id) as ord")
+    bound = {r.plate: 2 * r.start for r in ev.runs(obs, "track").groupBy("plate").agg(F.max("start").alias("start")).collect()}
+    want: dict = {}
+    for r in sorted((r.plate, r.start2, r.end2, r.region) for r in ev.filled_events(obs, 2 * HOUR).where("plate is not null").collect()):
+        want.setdefault(r[0], []).append(r)
+    seen = sorted(map(tuple, got.where("plate is not null").collect()))
+    assert seen == [e for p in want for e in [x for x in want[p] if x[1] < bound[p]][:-1]]
+    # rows without a plate are like those of plate 0
+    assert sorted(tuple(r)[1:] for r in got.where("plate is null").collect()) == [e[1:] for e in seen if e[0] == 0]
+    states = spark.read.format("statestore").option("path", marks).option("stateVarName", "run").load()
+    assert 4000 < states.select("key.plate").distinct().count() <= stateful.SHARES + 1

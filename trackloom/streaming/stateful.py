@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +17,10 @@ EVENT = "plate long, start2 long, end2 long, region int"
 CLOCK = "plate long, event_id long, ord long, t long, n_resets long"
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Plates that leave the same remainder by this prime share a state and a call of Python, so that calls don't grow with plates.
+SHARES = 4099
+#: Rows of a value of the state, which holds them as bytes.
+BLOCK = 1 << 16
 
 
 @contextmanager
@@ -32,33 +37,84 @@ def state_store(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(PROVIDER, before)
 
 
+def shared(rows: DataFrame) -> DataFrame:
+    """``plate`` becomes the number of its share (-1 for rows without a plate), ``own`` is the plate itself."""
+    return rows.withColumns({"own": F.coalesce("plate", F.lit(0)).cast("long"), "plate": F.coalesce(F.pmod("plate", F.lit(SHARES)), F.lit(-1)).cast("long"), "event_id": F.coalesce("event_id", F.lit(2**63 - 1))})
+
+
 def _stitcher(fill_us: int, patience_us: int) -> StatefulProcessor:
     """Made in a function, so that it goes to executors by value and they need no package."""
 
     class Stitcher(StatefulProcessor):
         def init(self, handle) -> None:
             self.handle = handle
-            # rows that the watermark hasn't passed
-            self.waiting = handle.getListState("waiting", "t long, event_id long, track long, region int")
-            # the last row taken and the run that it belongs to
-            self.run = handle.getValueState("run", "t long, track long, region int, start long")
-            # closed events that may still change places, and the last event in order, which may still grow
-            self.closed = handle.getListState("closed", "start2 long, end2 long, region int")
-            self.grown = handle.getValueState("grown", "start2 long, end2 long, region int")
+            # numbers of all plates of the share, as bytes:
+            # rows that the watermark hasn't passed: plate, t, event_id, track, region
+            self.waiting = handle.getListState("waiting", "numbers binary")
+            # the last row taken of a plate and the run that it belongs to: plate, t, track, region, start
+            self.run = handle.getListState("run", "numbers binary")
+            # closed events that may still change places, and a plate's last event in order, which may still grow: plate, start2, end2, region
+            self.closed = handle.getListState("closed", "numbers binary")
+            self.grown = handle.getListState("grown", "numbers binary")
 
         def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-            came = [tuple(map(int, r)) for part in rows for r in part[["t", "event_id", "track", "region"]].itertuples(index=False)]
-            yield self._advance(key, came, timerValues.getCurrentWatermarkInMs() * 1000)
+            came = [part[["own", "t", "event_id", "track", "region"]].to_numpy(np.int64) for part in rows]
+            yield self._advance(key, np.concatenate(came), timerValues.getCurrentWatermarkInMs() * 1000)
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-            yield self._advance(key, [], timerValues.getCurrentWatermarkInMs() * 1000)
-
-        def _advance(self, key, came: list[tuple], mark: int) -> pd.DataFrame:
-            """Take the rows up to ``mark`` in order of time, and end what nothing followed for so long."""
-            waiting = sorted({*(tuple(r) for r in self.waiting.get()), *came})
-            run = self.run.get() if self.run.exists() else None
-            closed = [tuple(r) for r in self.closed.get()]
-            grown = tuple(self.grown.get()) if self.grown.exists() else None
+            yield self._advance(key, np.empty((0, 5), np.int64), timerValues.getCurrentWatermarkInMs() * 1000)
+
+        def _load(self, state, width: int) -> np.ndarray:
+            return np.concatenate([np.empty((0, width), np.int64), *(np.frombuffer(r[0], np.int64).reshape(-1, width) for r in state.get())])
+
+        def _put(self, state, numbers, width: int) -> None:
+            numbers = np.array(numbers, np.int64).reshape(-1, width)
+            state.put([(numbers[a : a + BLOCK].tobytes(),) for a in range(0, len(numbers), BLOCK)]) if len(numbers) else state.clear()
+
+        def _advance(self, key, came: np.ndarray, mark: int) -> pd.DataFrame:
+            """Take the rows up to ``mark`` of each plate in order of time, and end what nothing followed for so long."""
+            waiting = np.concatenate([self._load(self.waiting, 5), came])
+            passed = waiting[:, 1] <= mark
+            if passed.any():
+                self._put(self.waiting, waiting[~passed], 5)
+            elif len(came):
+                self.waiting.appendList([(came[a : a + BLOCK].tobytes(),) for a in range(0, len(came), BLOCK)])
+            ready, waiting = waiting[passed], waiting[~passed]
+            ready = ready[np.lexsort(ready.T[::-1])]
+            fresh = np.ones(len(ready), bool)  # rows that repeat count once
+            fresh[1:] = (ready[1:] != ready[:-1]).any(axis=1)
+            rows: dict[int, list] = {}
+            for plate, t, _, track, region in ready[fresh].tolist():
+                rows.setdefault(plate, []).append((t, track, region))
+            runs = {r[0]: tuple(r[1:]) for r in self._load(self.run, 5).tolist()}
+            due = [plate for plate, run in runs.items() if plate not in rows and mark >= run[0] + patience_us]
+            out: list[tuple] = []
+            if rows or due:
+                closed: dict[int, list] = {}
+                for plate, *e in self._load(self.closed, 4).tolist():
+                    closed.setdefault(plate, []).append(tuple(e))
+                grown = {r[0]: tuple(r[1:]) for r in self._load(self.grown, 4).tolist()}
+                for plate in [*rows, *due]:
+                    ended, run, left, last = self._of_plate(rows.get(plate, []), runs.pop(plate, None), closed.pop(plate, []), grown.pop(plate, None), mark)
+                    out += [(plate, *e) for e in ended]
+                    if run:
+                        runs[plate] = run
+                    if left:
+                        closed[plate] = left
+                    if last:
+                        grown[plate] = last
+                self._put(self.run, [(plate, *r) for plate, r in runs.items()], 5)
+                self._put(self.closed, [(plate, *e) for plate, left in closed.items() for e in left], 4)
+                self._put(self.grown, [(plate, *e) for plate, e in grown.items()], 4)
+            if len(waiting):
+                self.handle.registerTimer(int(waiting[:, 1].min()) // 1000 + 1)
+            if runs:
+                self.handle.registerTimer((min(r[0] for r in runs.values()) + patience_us) // 1000 + 1)
+            found = pd.DataFrame(out, columns=["plate", "start2", "end2", "region"]).astype({"plate": "int64", "start2": "int64", "end2": "int64", "region": "int32"})
+            return found if key[0] >= 0 else found.assign(plate=pd.array([None] * len(found), "Int64"))
+
+        def _of_plate(self, rows: list[tuple], run: tuple | None, closed: list[tuple], grown: tuple | None, mark: int) -> tuple:
+            """What one plate's rows end, and its run, closed events and last event after them."""
             out: list[tuple] = []
 
             def settle(bound: int | None) -> None:
@@ -82,9 +138,7 @@ def _stitcher(fill_us: int, patience_us: int) -> StatefulProcessor:
                     out.append(grown)
                 run = grown = None
 
-            ready = [r for r in waiting if r[0] <= mark]
-            waiting = waiting[len(ready) :]
-            for t, _, track, region in ready:
+            for t, track, region in rows:
                 if run and t < run[0]:
                     continue  # older than what was taken: the watermark has dropped its like already
                 if run and t - run[0] > patience_us:
@@ -110,16 +164,7 @@ def _stitcher(fill_us: int, patience_us: int) -> StatefulProcessor:
                     settle(start * 2)
             if run and mark >= run[0] + patience_us:
                 end()
-            self.waiting.put(waiting) if waiting else self.waiting.clear()
-            self.run.update(run) if run else self.run.clear()
-            self.closed.put(closed) if closed else self.closed.clear()
-            self.grown.update(grown) if grown else self.grown.clear()
-            if waiting:
-                self.handle.registerTimer(waiting[0][0] // 1000 + 1)
-            if run:
-                self.handle.registerTimer((run[0] + patience_us) // 1000 + 1)
-            rows = [(int(key[0]), *e) for e in out]
-            return pd.DataFrame(rows, columns=["plate", "start2", "end2", "region"]).astype({"plate": "int64", "start2": "int64", "end2": "int64", "region": "int32"})
+            return out, run, closed, grown
 
         def close(self) -> None:
             pass
@@ -137,10 +182,10 @@ def stitched_events(stream: DataFrame, delay: str = "1 hour", fill_us: int = CON
 
     An event is emitted when a later one can no longer touch it. A plate without rows for more than ``patience_us`` is
     over: a timer emits what is open and clears its state, and rows that come later begin anew. State is the
-    open run, a few closed events and the rows that wait.
+    open run, a few closed events and the rows that wait. Plates of one remainder by ``SHARES`` keep it together.
     """
     known = stream.where("region is not null and t is not null and track is not null").select("plate", "ts", "t", "event_id", "track", "region")
-    grouped = known.withWatermark("ts", delay).groupBy("plate")
+    grouped = shared(known).withWatermark("ts", delay).groupBy("plate")
     return grouped.transformWithStateInPandas(_stitcher(fill_us, patience_us), EVENT, "Append", "EventTime")
 
 
