@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from trackloom.functions import stats
 from trackloom.operators import curves as cv
 from trackloom.sources import files
+from trackloom.sources.tables import shared_folder
 from trackloom.streaming import visits as st
+from trackloom.streaming.stateful import SHARES
 
 
 def test_trajectories(spark, tmp_path):
@@ -52,6 +54,35 @@ def test_visits_over_triggers(spark, tmp_path):
     assert sorted((r.start // 1_000_000 - 1000, r.end // 1_000_000 - 1000, r.region) for r in got) == [(0, 10, 3), (10, 20, 2), (20, 30, 3), (60, 70, 2)]
 
 
+def test_plates_of_closed_visits_share_state(spark, tmp_path):
+    """5,000 plates in three triggers, of negative numbers and none as well: fewer states than plates, and each plate's visits are its own."""
+    kind = "plate long, t long, event_id long, region int"
+    rows = [(p, (1000 + 10 * k + ((p or 0) + k) % 7) * 1_000_000, k, ((p or 0) * 5 + k * k) % 4 - 1) for p in [*range(-20, 4980), None] for k in range(9)]
+    for k in range(3):
+        own = [r for r in rows if r[2] // 3 == k] + [(1, 2000_000_000, 99, 1)] * (k == 2)
+        spark.createDataFrame(own[::-1], kind).withColumn("ts", F.timestamp_micros("t")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        time.sleep(1.1)
+    stream = spark.readStream.schema(kind + ", ts timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = st.drain(st.closed_visits(stream, "60 seconds"), "test").collect()
+    want = []
+    for p in [*range(-20, 4980), None]:
+        taken = sorted(r[1:] for r in rows if r[0] == p) if p in (None, -20, 4979) else [r[1:] for r in rows[(p + 20) * 9 : (p + 20) * 9 + 9]]
+        start = last = None
+        for t, _, region in taken:
+            if last is None:
+                start = t
+            elif region != last[1]:
+                want += [(p, start, last[0], last[1])] * (last[1] >= 0)
+                start = last[0]
+            last = t, region
+    order = lambda r: (r[0] is None, r[0] or 0, *r[1:])
+    assert sorted(map(tuple, got), key=order) == sorted(want, key=order)
+    folder = shared_folder(spark)
+    marks = [m for m in spark.sparkContext._jvm.java.io.File(folder.removeprefix("file://")).list() if m.startswith("test-marks")]
+    counts = [spark.read.format("statestore").load(f"{folder}/{m}").select("key").distinct().count() for m in marks]
+    assert 4000 < max(counts) <= SHARES + 1
+
+
 def test_clock_of_files(spark, tmp_path):
     for name, times in (("a", ["", "", ""]), ("b", ["5", "6", "2", "3"])):
         (tmp_path / name).mkdir()

@@ -13,11 +13,11 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from trackloom.config import REGIONS
 from trackloom.sources.tables import track_of, work_folder
-from trackloom.streaming.stateful import state_store
+from trackloom.streaming.stateful import shared, state_store
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 VISIT = "plate long, start long, end long, region int"
-STATE = "last_t long, last_region int, start long, waiting array<struct<t:long,event_id:long,region:long>>"
+STATE = "last binary, waiting binary"
 
 
 def read_events(spark: SparkSession, folder: str, name: str = "events.parquet") -> DataFrame:
@@ -42,39 +42,48 @@ def closed_visits(stream: DataFrame, delay: str = "1 hour") -> DataFrame:
     Rows may come out of order by up to ``delay``: they wait in the state until the watermark has passed
     them and are taken in order of time then, so a late row joins the visit that it belongs to, and a
     visit that a gap had cut is one. Rows older than the watermark are dropped. State is the last time,
-    the last region, the start of the open run, and what waits. A visit starts at the stamp of the row
-    before it, as in the batch operator.
+    the last region and the start of the open run of each plate, and what waits; plates share it by their
+    remainder (``stateful.shared``) and it holds their numbers as bytes. A visit starts at the stamp of the
+    row before it, as in the batch operator.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last_t, last_region, start, waiting = state.get if state.exists else (None, None, None, [])
-        parts = [np.array([tuple(w) for w in waiting], np.int64).reshape(-1, 3)]
-        parts += [b[["t", "event_id", "region"]].to_numpy(np.int64) for b in batches]
-        rows = np.concatenate(parts)
-        rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+        # of each plate: plate, last time, last region, start of the open run; and of each row that waits: plate, t, event_id, region
+        last, waiting = (np.frombuffer(b, np.int64).reshape(-1, 4) for b in (state.get if state.exists else (b"", b"")))
+        rows = np.concatenate([waiting, *(b[["own", "t", "event_id", "region"]].to_numpy(np.int64) for b in batches)])
         mark = state.getCurrentWatermarkMs() * 1000
-        ready, later = rows[rows[:, 0] <= mark], rows[rows[:, 0] > mark]
-        if last_t is not None:
-            ready = ready[ready[:, 0] >= last_t]
+        ready, later = rows[rows[:, 1] <= mark], rows[rows[:, 1] > mark]
+        if len(last) and len(ready):
+            at = np.minimum(np.searchsorted(last[:, 0], ready[:, 0]), len(last) - 1)
+            ready = ready[(last[at, 0] != ready[:, 0]) | (ready[:, 1] >= last[at, 1])]
         out = pd.DataFrame(columns=["plate", "start", "end", "region"])
         if len(ready):
-            t, region = ready[:, 0], ready[:, 2]
-            if last_t is None:
-                t, region, start = np.concatenate([t[:1], t]), np.concatenate([region[:1], region]), int(t[0])
-            else:
-                t, region = np.concatenate([[last_t], t]), np.concatenate([[last_region], region])
-            change = np.flatnonzero(region[1:] != region[:-1])  # the last row of each run that ends here
-            starts = np.concatenate([[start], t[change]])
+            ready = ready[np.lexsort(ready[:, [2, 1, 0]].T)]
+            plates, first = np.unique(ready[:, 0], return_index=True)
+            # before its rows each plate has the last one taken, or its first row once more
+            heads = np.column_stack([plates, ready[first, 1], ready[first, 3], ready[first, 1]])
+            heads[np.isin(plates, last[:, 0])] = last[np.isin(last[:, 0], plates)]
+            taken = np.concatenate([heads[:, :3], ready[:, [0, 1, 3]]])
+            taken = taken[np.argsort(taken[:, 0], kind="stable")]
+            plate, t, region = taken.T
+            same = plate[1:] == plate[:-1]
+            change = np.flatnonzero(same & (region[1:] != region[:-1]))  # the last row of each run that ends here
+            number = np.searchsorted(plates, plate[change])
+            start = np.concatenate([t[:0], heads[number[:1], 3], np.where(number[1:] == number[:-1], t[change[:-1]], heads[number[1:], 3])])
             closed = region[change] >= 0
-            out = pd.DataFrame({"plate": int(key[0]), "start": starts[:-1][closed], "end": t[change][closed], "region": region[change][closed].astype(np.int32)})
-            last_t, last_region, start = int(t[-1]), int(region[-1]), int(starts[-1])
-        state.update((last_t, last_region, start, [tuple(map(int, r)) for r in later]))
+            out = pd.DataFrame({"plate": plate[change], "start": start, "end": t[change], "region": region[change].astype(np.int32)})[closed]
+            heads[number, 3] = t[change]  # in order, so that a plate's last change counts
+            ends = np.flatnonzero(np.append(~same, True))
+            heads[:, 1:3] = taken[ends, 1:]
+            last = np.concatenate([last[~np.isin(last[:, 0], plates)], heads])
+            last = last[np.argsort(last[:, 0])]
+        state.update((last.tobytes(), later.tobytes()))
         if len(later):
-            state.setTimeoutTimestamp(int(later[:, 0].min() // 1000) + 1)
-        yield out
+            state.setTimeoutTimestamp(int(later[:, 1].min() // 1000) + 1)
+        yield out if key[0] >= 0 else out.assign(plate=pd.array([None] * len(out), "Int64"))
 
     known = stream.where("region is not null and t is not null").select("plate", "ts", "t", "event_id", "region")
-    grouped = known.withWatermark("ts", delay).groupBy("plate")
+    grouped = shared(known).withWatermark("ts", delay).groupBy("plate")
     return grouped.applyInPandasWithState(step, VISIT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
